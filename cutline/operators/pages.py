@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import vocab as V
 from ..functions.expr import blank_to_null, c, contains_any, strip, text
@@ -39,7 +40,7 @@ def unescape(value: Column) -> Column:
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_all(values: pd.Series) -> pd.Series:
     """Every HTML entity, in Arrow batches; only for pages with rare named characters."""
     import html

@@ -198,3 +198,15 @@ def section_cut(
         .filter(F.col("_cut_pos").isNull() | (F.col(pos) < F.col("_cut_pos")))
         .drop("_hit", "_stop", "_cut_pos")
     )
+
+
+def cut_lines(lines: Column, hit, stop) -> Column:
+    """W14 inside one cell: the lines before the first ``stop`` line that follows a ``hit`` line.
+
+    Lines of one document already sit in one row, so no rows are exploded or shuffled.
+    """
+    at = F.transform(lines, lambda x, i: F.when(hit(x), i))
+    first_hit = F.array_min(at)
+    stops = F.transform(lines, lambda x, i: F.when(stop(x) & (i > first_hit), i))
+    cut = F.array_min(stops)
+    return F.slice(lines, F.lit(1), F.coalesce(cut, F.size(lines)))
