@@ -102,3 +102,9 @@ def js_number(col: Column | str) -> Column:
 def first_group(col: Column, patterns: Iterable[str], group: int = 1) -> Column:
     """SF33: first pattern that matches wins; null when none does."""
     return F.coalesce(*[blank_to_null(F.regexp_extract(col, p, group)) for p in patterns])
+
+
+def let(value: Column, fn) -> Column:
+    """Bind a costly expression to a name once: ``fn`` may use its argument many times
+    without the plan repeating the expression."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))

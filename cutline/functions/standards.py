@@ -6,20 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab as V
-from .expr import c, contains_any, lookup, number_text, strip, text
+from .expr import c, contains_any, let, lookup, number_text, strip, text
 
 
 def parse_standard(std: Column | str, ranks: dict[str, int] = V.STANDARD_RANK) -> Column:
     """SF1: struct(rank, any, base) of a requirement standard such as ``任一均标以上``."""
-    raw = strip(text(std))
-    is_any = raw.startswith("任一") | raw.startswith("任何一")
-    body = (
-        F.when(raw.startswith("任一"), raw.substr(3, 1 << 20))
-        .when(raw.startswith("任何一"), F.regexp_replace(raw, "^任何一(?:科|門|门|項|项)?", ""))
-        .otherwise(raw)
-    )
-    base = strip(F.regexp_replace(body, "(级以上|級以上|以上)$", ""))
-    return F.struct(lookup(base, ranks).alias("rank"), is_any.alias("any"), base.alias("base"))
+
+    def parse(raw: Column) -> Column:
+        is_any = raw.startswith("任一") | raw.startswith("任何一")
+        body = F.regexp_replace(raw, "^(?:任一|任何一(?:科|門|门|項|项)?)", "")
+        base = strip(F.regexp_replace(body, "(级以上|級以上|以上)$", ""))
+        return F.struct(is_any.alias("any"), base.alias("base"))
+
+    def ranked(x: Column) -> Column:
+        return F.struct(lookup(x["base"], ranks).alias("rank"), x["any"].alias("any"), x["base"].alias("base"))
+
+    return let(let(strip(text(std)), parse), ranked)
 
 
 def standard_rank(std: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab as V
-from .expr import alternation, array_of, c, contains_any, ends_with_any, no_space, parens, strip, strip_chars, text
+from .expr import alternation, array_of, c, contains_any, ends_with_any, let, no_space, parens, strip, strip_chars, text
 
 # Fixed value: "math A/B" written as a pair.
 MATH_PAIR = "(数学|數學)\\s*[AaＡ].{0,4}[/、,，及和與与或].{0,4}[BbＢ]"
@@ -63,22 +63,28 @@ CHOICE_SEGMENT = "((?:" + _SUBJECT_ALT + ")[^。；;]{0,40}?)(" + "|".join(V.CHO
 
 def context_groups(value: Column | str, segment: str = CHOICE_SEGMENT) -> Column:
     """Any-of groups named in a text, each group once (U8)."""
-    t = no_space(text(value))
-    segments = F.regexp_extract_all(t, F.lit(segment), F.lit(1))
-    groups = F.filter(F.transform(segments, choice_subjects), lambda g: F.size(g) > 0)
-    whole = choice_subjects(t)
-    fallback = F.when(F.size(whole) > 0, F.array(whole)).otherwise(F.array().cast("array<array<string>>"))
-    found = F.when(F.size(groups) > 0, groups).otherwise(fallback)
-    return F.when(has_choice(value), distinct_groups(found)).otherwise(F.array().cast("array<array<string>>"))
+    empty = F.array().cast("array<array<string>>")
+
+    def groups_of(t: Column) -> Column:
+        segments = F.regexp_extract_all(t, F.lit(segment), F.lit(1))
+        named = F.filter(F.transform(segments, lambda g: choice_subjects(g)), lambda g: F.size(g) > 0)
+        whole = F.filter(F.array(choice_subjects(t)), lambda g: F.size(g) > 0)
+        return let(named, lambda g: distinct_groups(F.when(F.size(g) > 0, g).otherwise(whole)))
+
+    return F.when(has_choice(value), let(no_space(text(value)), groups_of)).otherwise(empty)
 
 
 def distinct_groups(groups: Column) -> Column:
     """U8: keep the first group of each member set; empty groups go."""
     clean = F.filter(F.transform(groups, F.array_distinct), lambda g: F.size(g) > 0)
+
+    def firsts(keyed: Column) -> Column:
+        sigs = F.transform(keyed, lambda x: x["sig"])
+        kept = F.filter(keyed, lambda x, i: F.array_position(sigs, x["sig"]) == i + 1)
+        return F.transform(kept, lambda x: x["g"])
+
     keyed = F.transform(clean, lambda g: F.struct(F.array_join(F.array_sort(g), "|").alias("sig"), g.alias("g")))
-    sigs = F.transform(keyed, lambda x: x["sig"])
-    firsts = F.filter(keyed, lambda x, i: F.array_position(sigs, x["sig"]) == i + 1)
-    return F.transform(firsts, lambda x: x["g"])
+    return let(keyed, firsts)
 
 
 # ---- majors --------------------------------------------------------------------
@@ -86,24 +92,31 @@ def distinct_groups(groups: Column) -> Column:
 
 def split_tokens(value: Column | str) -> Column:
     """SF9: tokens of a list written with mixed separators."""
-    s = strip(text(value))
-    left = F.substring_index(s, "：", 1)
-    right = F.when(s.contains("：") & left.rlike("招生专业|招生專業|专业|專業"), s.substr(F.length(left) + 2, F.length(s)))
-    s = parens(F.coalesce(right, s))
-    s = F.translate(strip(s), "，,/\\；;|｜", "、" * 8)
-    s = F.regexp_replace(s, LIST_NUMBER, "")
-    return F.filter(F.transform(F.split(s, "、"), strip), lambda t: t != "")
+
+    def split(s: Column) -> Column:
+        left = F.substring_index(s, "：", 1)
+        listed = s.contains("：") & left.rlike("招生专业|招生專業|专业|專業")
+        body = strip(F.when(listed, s.substr(F.length(left) + 2, F.length(s))).otherwise(s))
+        body = F.translate(parens(body), "，,/\\；;|｜", "、" * 8)
+        parts = F.split(F.regexp_replace(body, LIST_NUMBER, ""), "、")
+        return F.filter(F.transform(parts, strip), lambda t: t != "")
+
+    return let(strip(text(value)), split)
 
 
 def normalise_major(value: Column | str) -> Column:
     """SF10, extraction form: marks, code prefix and unit prefix removed."""
     s = strip_chars(no_space(parens(text(value))), TRIM_MARKS)
     s = strip_chars(F.regexp_replace(s, "^[0-9]{4,12}", ""), TRIM_MARKS)
-    out = F.when(F.lit(False), F.lit(""))
-    for unit in V.UNIT_WORDS:
-        tail = strip(F.substring_index(s, unit, -1))
-        out = out.when(s.contains(unit) & F.length(tail).between(2, 40), tail)
-    return out.otherwise(s)
+
+    def after_unit(v: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for unit in V.UNIT_WORDS:
+            tail = strip(F.substring_index(v, unit, -1))
+            out = out.when(v.contains(unit) & F.length(tail).between(2, 40), tail)
+        return out.otherwise(v)
+
+    return let(s, after_unit)
 
 
 def han_count(s: Column) -> Column:
@@ -112,7 +125,10 @@ def han_count(s: Column) -> Column:
 
 def is_major(name: Column | str) -> Column:
     """SF11: plausibility of a major name, on its normalised form."""
-    s = normalise_major(name)
+    return let(normalise_major(name), _plausible)
+
+
+def _plausible(s: Column) -> Column:
     base = strip(F.substring_index(s, "(", 1))
     short_ok = (F.length(s) != 2) | s.endswith("学") | s.endswith("语") | s.isin(V.TWO_CHAR_MAJORS)
     clean = (
@@ -143,7 +159,10 @@ def display_key(value: Column | str) -> Column:
 
 def is_display_major(value: Column | str) -> Column:
     """SF11, display form."""
-    v = display_key(value)
+    return let(display_key(value), _display_plausible)
+
+
+def _display_plausible(v: Column) -> Column:
     short_ok = (F.length(v) != 2) | v.endswith("学") | v.endswith("语") | v.isin(V.TWO_CHAR_MAJORS)
     return (
         F.length(v).between(2, 40)
@@ -156,10 +175,17 @@ def is_display_major(value: Column | str) -> Column:
 
 def label_majors(label: Column | str) -> Column:
     """X9, extraction form: majors named in a department label, at most 80."""
-    s = normalise_major(label)
-    generic = (s.contains("类专业") | s.endswith("专业") | s.endswith("專業")) & ~s.rlike("[、,，/]")
-    names = F.filter(F.transform(split_tokens(s), normalise_major), is_major)
-    return F.when(generic | (s == ""), F.array().cast("array<string>")).otherwise(F.slice(F.array_distinct(names), 1, 80))
+
+    def named(s: Column) -> Column:
+        names = F.filter(F.transform(split_tokens(s), normalise_major), is_major)
+        return F.when(_generic_label(s), F.array().cast("array<string>")).otherwise(F.slice(F.array_distinct(names), 1, 80))
+
+    return let(normalise_major(label), named)
+
+
+def _generic_label(s: Column) -> Column:
+    """Category labels name no majors unless they are visibly a list."""
+    return (s == "") | ((s.contains("类专业") | s.endswith("专业") | s.endswith("專業")) & ~s.rlike("[、,，/]"))
 
 
 def display_label_majors(label: Column | str) -> Column:

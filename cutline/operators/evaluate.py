@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.expr import blank_to_null, c, contains_any, js_number, lookup, no_space, number_text, parens, strip, text
+from ..functions.expr import blank_to_null, c, contains_any, js_number, let, lookup, no_space, number_text, parens, strip, text
 from ..functions.standards import is_present, listening_rank, normalise_word, parse_standard, subject_key
 from ..functions.text import distinct_groups
 from ..functions.values import percent_in_range
@@ -57,19 +57,18 @@ def inherit_export(general: Column, row: Column | None) -> Column:
 
 def any_of_groups(reqs: Column) -> Column:
     """Subjects that share an any-of base, in subject order, two or more."""
-    parsed = F.array(
-        *[
-            F.struct(F.lit(k).alias("key"), parse_standard(reqs[k]["standard"]).alias("p"))
-            for k in KEYS
-        ]
-    )
+    stds = F.array(*[reqs[k]["standard"] for k in KEYS])
+    names = F.array(*[F.lit(k) for k in KEYS])
+    parsed = F.transform(stds, lambda s, i: F.struct(F.get(names, i).alias("key"), parse_standard(s).alias("p")))
     marked = F.filter(parsed, lambda x: x["p"]["any"] & x["p"]["rank"].isNotNull())
-    bases = F.array_distinct(F.transform(marked, lambda x: x["p"]["base"]))
-    groups = F.transform(
-        bases,
-        lambda b: F.transform(F.filter(marked, lambda x: x["p"]["base"] == b), lambda x: x["key"]),
-    )
-    return F.filter(groups, lambda g: F.size(g) >= 2)
+
+    def grouped(m: Column) -> Column:
+        bases = F.array_distinct(F.transform(m, lambda x: x["p"]["base"]))
+        return F.transform(
+            bases, lambda b: F.transform(F.filter(m, lambda x: x["p"]["base"] == b), lambda x: x["key"])
+        )
+
+    return F.filter(let(marked, grouped), lambda g: F.size(g) >= 2)
 
 
 def merge_groups(*lists: Column) -> Column:
@@ -84,7 +83,7 @@ def user_ranks(profile: Mapping[str, str] | Column | str) -> Column:
         ranks = [V.STANDARD_RANK.get((profile.get(k) or "").strip()) for k in KEYS]
         return F.array(*[F.lit(r).cast("int") for r in ranks])
     col = c(profile)
-    return F.array(*[parse_standard(col[k])["rank"] for k in KEYS])
+    return F.transform(F.array(*[col[k] for k in KEYS]), lambda s: parse_standard(s)["rank"])
 
 
 def _prepare(df: DataFrame, reqs: str, groups: str | None, profile) -> DataFrame:
@@ -92,7 +91,7 @@ def _prepare(df: DataFrame, reqs: str, groups: str | None, profile) -> DataFrame
     r = F.col(reqs)
     index = {k: i for i, k in enumerate(KEYS)}
     step = (
-        df.withColumn("_p", F.array(*[parse_standard(r[k]["standard"]) for k in KEYS]))
+        df.withColumn("_p", F.transform(F.array(*[r[k]["standard"] for k in KEYS]), lambda s: parse_standard(s)))
         .withColumn("_has", F.array(*[F.coalesce(is_present(r[k]), F.lit(False)) for k in KEYS]))
         .withColumn("_ms", F.array(*[F.coalesce(r[k]["min_score"], F.lit(0)) != 0 for k in KEYS]))
         .withColumn("_ur", user_ranks(profile))

@@ -245,7 +245,7 @@ def star_catalog_rows(df: DataFrame, key: str, html: str, group: str, year: int)
 def cells_of(html: Column | str) -> Column:
     """Texts of all table cells in order, lines separated by newlines."""
     raw = F.regexp_extract_all(text(html), F.lit(r"(?is)<td\b[^>]*>(.*?)</td\s*>"), F.lit(1))
-    return F.transform(raw, lines_of)
+    return F.transform(raw, lambda x: lines_of(x))
 
 
 def _by_class(html: Column, name: str) -> Column:
