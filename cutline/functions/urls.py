@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab as V
-from .expr import blank_to_null, c, contains_any, first_group, strip, strip_chars, text
+from .expr import blank_to_null, c, contains_any, first_group, let, strip, strip_chars, text
 
 URL_EDGES = " \t\r\n\"'<>[]()（）【】,;，；。"
 
@@ -15,7 +15,7 @@ def clean_url(value: Column | str) -> Column:
     """SF17: first URL of a mixed text, protocol added to ``//``, marks stripped."""
     s = strip(text(value))
     url = F.coalesce(blank_to_null(F.regexp_extract(s, r"""https?://[^\s"'<>]+""", 0)), s)
-    url = F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).otherwise(url)
+    url = F.regexp_replace(url, "^//", "https://")
     return strip_chars(url, URL_EDGES)
 
 
@@ -27,7 +27,7 @@ def netloc(url: Column | str) -> Column:
 def host(url: Column | str, drop_www: bool = False) -> Column:
     """Authority without port; ``www.`` removed on request."""
     h = F.substring_index(netloc(url), ":", 1)
-    return F.when(h.startswith("www."), h.substr(5, 1 << 20)).otherwise(h) if drop_www else h
+    return F.regexp_replace(h, r"^www\.", "") if drop_www else h
 
 
 def mixed_host(value: Column | str) -> Column:
@@ -38,16 +38,19 @@ def mixed_host(value: Column | str) -> Column:
 
 def domain_root(value: Column | str) -> Column:
     """SF17: organisation root, three labels for the known second-level suffixes."""
+
+    def root(parts: Column) -> Column:
+        n = F.size(parts)
+        last2 = F.array_join(F.slice(parts, -2, 2), ".")
+        return (
+            F.when(n == 0, F.lit(""))
+            .when(n == 1, F.get(parts, F.lit(0)))
+            .when((n >= 3) & last2.isin(V.SECOND_LEVEL_SUFFIXES), F.array_join(F.slice(parts, -3, 3), "."))
+            .otherwise(last2)
+        )
+
     h = strip_chars(F.lower(strip(F.substring_index(text(value), ":", 1))), ".")
-    parts = F.filter(F.split(h, r"\."), lambda p: p != "")
-    n = F.size(parts)
-    last2 = F.array_join(F.slice(parts, -2, 2), ".")
-    return (
-        F.when(h == "", F.lit(""))
-        .when(n < 2, h)
-        .when((n >= 3) & last2.isin(V.SECOND_LEVEL_SUFFIXES), F.array_join(F.slice(parts, -3, 3), "."))
-        .otherwise(last2)
-    )
+    return let(F.filter(F.split(h, r"\."), lambda p: p != ""), root)
 
 
 def dot_suffixes(value: Column | str) -> Column:
@@ -83,8 +86,7 @@ def unwrap_redirect(url: Column | str, host_word: str = "bing.com", path_word: s
     u = text(url)
     path = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
 
-    def target(name: str) -> Column:
-        raw = query_param(u, name)
+    def target(raw: Column) -> Column:
         body = F.when(raw.startswith("a1"), raw.substr(3, 1 << 20)).when(raw.startswith("a"), raw.substr(2, 1 << 20)).otherwise(raw)
         b64 = F.translate(body, "-_", "+/")
         pad = F.when(F.length(b64) % 4 == 2, F.lit("==")).when(F.length(b64) % 4 == 3, F.lit("=")).otherwise(F.lit(""))
@@ -97,7 +99,8 @@ def unwrap_redirect(url: Column | str, host_word: str = "bing.com", path_word: s
         )
 
     wrapped = netloc(u).contains(host_word) & path.contains(path_word)
-    return F.when(wrapped, F.coalesce(target("u"), target("r"), u)).otherwise(u)
+    first, second = (let(query_param(u, n), target) for n in ("u", "r"))
+    return F.when(wrapped, F.coalesce(first, second, u)).otherwise(u)
 
 
 def content_id(url: Column | str, html: Column | str) -> Column:
@@ -151,7 +154,10 @@ def image_candidates(urls: Column | str, limit: int | None = 8, fallback: bool =
 
 def resolve_url(base: Column | str, href: Column | str) -> Column:
     """SF20: absolute form of a link, with dot segments removed for relative paths."""
-    b, h = text(base), strip(text(href))
+    return let(F.struct(text(base).alias("b"), strip(text(href)).alias("h")), lambda x: _resolved(x["b"], x["h"]))
+
+
+def _resolved(b: Column, h: Column) -> Column:
     scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     page = F.regexp_extract(b, r"^([^?#]*)", 1)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.expr import c, contains_any, strip, text
+from ..functions.expr import c, contains_any, let, strip, text
 from ..functions.standards import confidence_rank, extraction_has_requirements, status_rank
 from ..functions.urls import is_edu, is_gov, netloc
 from .scans import top_per_key
@@ -20,15 +20,18 @@ from .scans import top_per_key
 
 def source_quality(source: Column | str, url: Column | str, length: Column | str) -> Column:
     """SF14."""
-    src, host, n = F.lower(text(source)), netloc(url), F.coalesce(c(length), F.lit(0))
-    return (
-        F.when(src == "official", 150).when(src == "search", 20).otherwise(0)
-        + F.when(is_edu(host), 120).otherwise(0)
-        + F.when(is_gov(host), 80).otherwise(0)
-        + F.when(contains_any(host, V.ADMISSION_HOST_WORDS), 60).otherwise(0)
-        + F.when(contains_any(host, V.LOW_QUALITY_HOSTS), -220).otherwise(0)
-        + F.least(F.floor(n / 200), F.lit(60))
-    ).cast("int")
+    src, n = F.lower(text(source)), F.coalesce(c(length), F.lit(0))
+
+    def host_points(host: Column) -> Column:
+        return (
+            F.when(is_edu(host), 120).otherwise(0)
+            + F.when(is_gov(host), 80).otherwise(0)
+            + F.when(contains_any(host, V.ADMISSION_HOST_WORDS), 60).otherwise(0)
+            + F.when(contains_any(host, V.LOW_QUALITY_HOSTS), -220).otherwise(0)
+        )
+
+    source_points = F.when(src == "official", 150).when(src == "search", 20).otherwise(0)
+    return (source_points + let(netloc(url), host_points) + F.least(F.floor(n / 200), F.lit(60))).cast("int")
 
 
 def best_order(

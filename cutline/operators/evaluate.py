@@ -86,52 +86,202 @@ def user_ranks(profile: Mapping[str, str] | Column | str) -> Column:
     return F.transform(F.array(*[col[k] for k in KEYS]), lambda s: parse_standard(s)["rank"])
 
 
-def _prepare(df: DataFrame, reqs: str, groups: str | None, profile) -> DataFrame:
-    """Ranks as arrays in subject order and groups as arrays of 0-based indexes."""
-    r = F.col(reqs)
+def _index_groups(groups: Column | None) -> Column:
+    if groups is None:
+        return F.array().cast("array<array<int>>")
     index = {k: i for i, k in enumerate(KEYS)}
-    step = (
-        df.withColumn("_p", F.transform(F.array(*[r[k]["standard"] for k in KEYS]), lambda s: parse_standard(s)))
-        .withColumn("_has", F.array(*[F.coalesce(is_present(r[k]), F.lit(False)) for k in KEYS]))
-        .withColumn("_ms", F.array(*[F.coalesce(r[k]["min_score"], F.lit(0)) != 0 for k in KEYS]))
-        .withColumn("_ur", user_ranks(profile))
-        .withColumn("_rr", F.transform("_p", lambda p: p["rank"]))
+    named = F.coalesce(groups, F.array().cast("array<array<string>>"))
+    return F.transform(named, lambda g: F.transform(g, lambda k: lookup(k, index)))
+
+
+def _prepared(reqs: Column, groups: Column | None, profile) -> Column:
+    """Struct of ranks in subject order and the any-of targets as 0-based indexes.
+
+    Steps are bound with ``let`` instead of helper columns: a filter on the result is
+    pushed below the projection, and helper columns would multiply there.
+    """
+    base = F.struct(
+        F.transform(F.array(*[reqs[k]["standard"] for k in KEYS]), lambda s: parse_standard(s)).alias("p"),
+        F.array(*[F.coalesce(is_present(reqs[k]), F.lit(False)) for k in KEYS]).alias("has"),
+        F.array(*[F.coalesce(reqs[k]["min_score"], F.lit(0)) != 0 for k in KEYS]).alias("ms"),
+        user_ranks(profile).alias("ur"),
+        _index_groups(groups).alias("g"),
     )
-    given = F.array().cast("array<array<int>>")
-    if groups:
-        given = F.transform(
-            F.coalesce(F.col(groups), F.array().cast("array<array<string>>")),
-            lambda g: F.transform(g, lambda k: lookup(k, index)),
+
+    def with_pair(x: Column) -> Column:
+        """Equal requirements for both maths mean either one."""
+        a, b = F.get(x["p"], F.lit(2)), F.get(x["p"], F.lit(3))
+        pair = (
+            a["rank"].isNotNull()
+            & (a["rank"] == b["rank"])
+            & (a["base"] == b["base"])
+            & ~F.exists(x["g"], lambda g: F.array_contains(g, 2) & F.array_contains(g, 3))
+        )
+        added = F.when(F.coalesce(pair, F.lit(False)), F.array(F.array(F.lit(2), F.lit(3)))).otherwise(
+            F.array().cast("array<array<int>>")
+        )
+        return F.struct(
+            F.transform(x["p"], lambda p: p["rank"]).alias("rr"),
+            x["has"].alias("has"),
+            F.exists(x["has"], lambda h: h).alias("any_req"),
+            F.exists(x["ms"], lambda h: h).alias("scored"),
+            x["ur"].alias("ur"),
+            F.concat(x["g"], added).alias("g"),
         )
-    step = step.withColumn("_g0", given)
-    a, b = F.get("_p", F.lit(2)), F.get("_p", F.lit(3))
-    pair = (
-        a["rank"].isNotNull()
-        & b["rank"].isNotNull()
-        & (a["base"] == b["base"])
-        & ~F.exists("_g0", lambda g: F.array_contains(g, 2) & F.array_contains(g, 3))
-    )
-    # Equal requirements for both maths mean either one.
-    step = step.withColumn(
-        "_g0", F.when(F.coalesce(pair, F.lit(False)), F.concat("_g0", F.array(F.array(F.lit(2), F.lit(3))))).otherwise(F.col("_g0"))
-    )
-    targets = F.filter(
-        F.transform("_g0", lambda g: F.filter(g, lambda k: F.get("_has", k))), lambda t: F.size(t) > 0
-    )
-    return step.withColumn("_t", targets)
 
+    def with_targets(x: Column) -> Column:
+        targets = F.filter(
+            F.transform(x["g"], lambda g: F.filter(g, lambda k: F.get(x["has"], k))), lambda t: F.size(t) > 0
+        )
+        return F.struct(*[x[n].alias(n) for n in ("rr", "any_req", "scored", "ur", "has")], targets.alias("t"))
+
+    def with_rest(x: Column) -> Column:
+        """Subjects outside every group that carry a readable standard, in subject order."""
+        used = F.flatten(x["t"])
+        rest = F.filter(
+            F.array(*[F.lit(i) for i in range(len(KEYS))]),
+            lambda k: F.get(x["has"], k)
+            & F.get(x["rr"], k).isNotNull()
+            & ~F.coalesce(F.array_contains(used, k), F.lit(False)),
+        )
+        return F.struct(*[x[n].alias(n) for n in ("rr", "any_req", "scored", "ur", "t")], rest.alias("rest"))
 
-_WORK = ["_p", "_has", "_ms", "_ur", "_rr", "_g0", "_t"]
+    return let(let(let(base, with_pair), with_targets), with_rest)
 
 
-def _rest() -> Column:
-    """Subjects outside every group that carry a readable standard, in subject order."""
-    all_idx = F.array(*[F.lit(i) for i in range(len(KEYS))])
-    used = F.flatten("_t")
-    return F.filter(
-        all_idx,
-        lambda k: F.get("_has", k) & F.get("_rr", k).isNotNull() & ~F.coalesce(F.array_contains(used, k), F.lit(False)),
-    )
+def match_of(reqs: Column, groups: Column | None, profile, include_unknown: bool = False) -> Column:
+    """struct(status, fit, reason) of a requirement row; smaller fit is closer (Q2-Q4)."""
+    unk = F.lit(include_unknown)
+    names = F.array(*[F.lit(k) for k in KEYS])
+
+    def tested(x: Column) -> Column:
+        def slack(k: Column) -> Column:
+            rr, ur = F.get(x["rr"], k), F.get(x["ur"], k)
+            return F.when(ur >= rr, ur - rr)
+
+        def group(t: Column) -> Column:
+            given = F.exists(t, lambda k: F.get(x["rr"], k).isNotNull() & F.get(x["ur"], k).isNotNull())
+            return F.struct(F.array_min(F.transform(t, slack)).alias("best"), given.alias("given"))
+
+        def single(k: Column) -> Column:
+            return F.struct(k.alias("k"), F.get(x["ur"], k).isNull().alias("missing"), slack(k).alias("slack"))
+
+        return F.struct(
+            x["any_req"].alias("any_req"),
+            x["scored"].alias("scored"),
+            F.transform(x["t"], group).alias("or"),
+            F.transform(x["rest"], single).alias("and"),
+        )
+
+    def first_bad(x: Column) -> Column:
+        total = F.aggregate(x["or"], F.lit(0), lambda s, g: s + F.coalesce(g["best"], F.lit(0))) + F.aggregate(
+            x["and"], F.lit(0), lambda s, a: s + F.coalesce(a["slack"], F.lit(0))
+        )
+        return F.struct(
+            x["any_req"].alias("any_req"),
+            x["scored"].alias("scored"),
+            F.get(F.filter(x["or"], lambda g: g["best"].isNull()), F.lit(0)).alias("g"),
+            F.get(F.filter(x["and"], lambda a: a["slack"].isNull()), F.lit(0)).alias("a"),
+            total.alias("fit"),
+        )
+
+    def verdict(x: Column) -> Column:
+        def out(status: str, reason) -> Column:
+            why = reason if isinstance(reason, Column) else F.lit(reason).cast("string")
+            return F.struct(
+                F.lit(status).alias("status"), F.lit(None).cast("int").alias("fit"), why.alias("reason")
+            )
+
+        missing = F.concat(F.lit("缺少"), F.get(names, x["a"]["k"]), F.lit("成绩"))
+        passed = F.struct(
+            F.lit("pass").alias("status"), x["fit"].alias("fit"), F.lit(None).cast("string").alias("reason")
+        )
+        return (
+            F.when(~x["any_req"], out("unknown", "无科目要求"))
+            .when(x["scored"], out("unknown", "包含级分要求（需核对）"))
+            .when(x["g"].isNotNull() & unk & ~x["g"]["given"], out("unknown", "缺少可判定成绩"))
+            .when(x["g"].isNotNull(), out("fail", "未满足任一条件"))
+            .when(x["a"].isNotNull() & x["a"]["missing"], F.when(unk, out("unknown", missing)).otherwise(out("fail", missing)))
+            .when(x["a"].isNotNull(), out("fail", "科目未达标"))
+            .otherwise(passed)
+        )
+
+    return let(let(let(_prepared(reqs, groups, profile), tested), first_bad), verdict)
+
+
+GAP_DETAIL = "array<struct<kind:string,key:string,required:int,user:int,deficit:int>>"
+
+
+def gap_of(reqs: Column, groups: Column | None, profile) -> Column:
+    """struct(status, max_deficit, details, reason): what a failing row is short of."""
+    names = F.array(*[F.lit(k) for k in KEYS])
+
+    def tested(x: Column) -> Column:
+        def option(k: Column, i: Column) -> Column:
+            rr, ur = F.get(x["rr"], k), F.get(x["ur"], k)
+            return F.when(
+                rr.isNotNull() & ur.isNotNull(),
+                F.struct(
+                    F.greatest(F.lit(0), rr - ur).alias("deficit"), i.alias("i"), k.alias("k"), rr.alias("rr"), ur.alias("ur")
+                ),
+            )
+
+        return F.struct(
+            x["any_req"].alias("any_req"),
+            x["scored"].alias("scored"),
+            F.transform(x["t"], lambda t: F.array_min(F.transform(t, option))).alias("or"),
+            F.transform(x["rest"], lambda k, i: F.struct(k.alias("k"), option(k, i).alias("o"))).alias("and"),
+        )
+
+    def detail(kind: str):
+        return lambda o: F.struct(
+            F.lit(kind).alias("kind"),
+            F.get(names, o["k"]).alias("key"),
+            o["rr"].alias("required"),
+            o["ur"].alias("user"),
+            o["deficit"].alias("deficit"),
+        )
+
+    def collected(x: Column) -> Column:
+        short = F.concat(
+            F.transform(F.filter(x["or"], lambda b: b["deficit"] > 0), detail("or")),
+            F.transform(F.filter(F.transform(x["and"], lambda a: a["o"]), lambda o: o["deficit"] > 0), detail("and")),
+        )
+        return F.struct(
+            x["any_req"].alias("any_req"),
+            x["scored"].alias("scored"),
+            F.exists(x["or"], lambda b: b.isNull()).alias("no_option"),
+            F.get(F.filter(x["and"], lambda a: a["o"].isNull()), F.lit(0)).alias("missing"),
+            short.cast(GAP_DETAIL).alias("d"),
+        )
+
+    def verdict(x: Column) -> Column:
+        def unknown(reason) -> Column:
+            why = reason if isinstance(reason, Column) else F.lit(reason)
+            return F.struct(
+                F.lit("unknown").alias("status"),
+                F.lit(None).cast("int").alias("max_deficit"),
+                F.array().cast(GAP_DETAIL).alias("details"),
+                why.alias("reason"),
+            )
+
+        deepest = F.coalesce(F.array_max(F.transform(x["d"], lambda d: d["deficit"])), F.lit(0))
+        known = F.struct(
+            F.when(F.size(x["d"]) == 0, F.lit("pass")).otherwise(F.lit("fail")).alias("status"),
+            deepest.alias("max_deficit"),
+            x["d"].alias("details"),
+            F.lit(None).cast("string").alias("reason"),
+        )
+        missing = F.concat(F.lit("缺少"), F.get(names, x["missing"]["k"]), F.lit("成绩"))
+        return (
+            F.when(~x["any_req"], unknown("无科目要求"))
+            .when(x["scored"], unknown("包含级分要求（需核对）"))
+            .when(x["no_option"], unknown("缺少可判定成绩"))
+            .when(x["missing"].isNotNull(), unknown(missing))
+            .otherwise(known)
+        )
+
+    return let(let(let(_prepared(reqs, groups, profile), tested), collected), verdict)
 
 
 def evaluate_rows(
@@ -142,55 +292,8 @@ def evaluate_rows(
     include_unknown: bool = False,
     out: str = "match",
 ) -> DataFrame:
-    """struct(status, fit, reason) per row; smaller fit is closer (Q2-Q4)."""
-    step = _prepare(df, reqs, groups, profile)
-
-    def slack(k: Column) -> Column:
-        rr, ur = F.get("_rr", k), F.get("_ur", k)
-        return F.when(ur >= rr, ur - rr)
-
-    step = step.withColumn(
-        "_ge",
-        F.transform(
-            "_t",
-            lambda t: F.struct(
-                F.array_min(F.transform(t, slack)).alias("best"),
-                F.exists(t, lambda k: F.get("_rr", k).isNotNull() & F.get("_ur", k).isNotNull()).alias("given"),
-            ),
-        ),
-    ).withColumn("_and", F.transform(_rest(), lambda k: F.struct(k.alias("k"), F.get("_ur", k).isNull().alias("missing"), slack(k).alias("slack"))))
-    bad_group = F.get(F.filter("_ge", lambda g: g["best"].isNull()), F.lit(0))
-    bad_and = F.get(F.filter("_and", lambda a: a["slack"].isNull()), F.lit(0))
-    any_req = F.exists("_has", lambda x: x)
-    scored = F.exists("_ms", lambda x: x)
-    unk = F.lit(include_unknown)
-    missing_reason = F.concat(F.lit("缺少"), F.get(F.array(*[F.lit(k) for k in KEYS]), bad_and["k"]), F.lit("成绩"))
-    status = (
-        F.when(~any_req | scored, F.lit("unknown"))
-        .when(bad_group.isNotNull(), F.when(unk & ~bad_group["given"], F.lit("unknown")).otherwise(F.lit("fail")))
-        .when(bad_and.isNotNull(), F.when(unk & bad_and["missing"], F.lit("unknown")).otherwise(F.lit("fail")))
-        .otherwise(F.lit("pass"))
-    )
-    reason = (
-        F.when(~any_req, F.lit("无科目要求"))
-        .when(scored, F.lit("包含级分要求（需核对）"))
-        .when(
-            bad_group.isNotNull(),
-            F.when(unk & ~bad_group["given"], F.lit("缺少可判定成绩")).otherwise(F.lit("未满足任一条件")),
-        )
-        .when(bad_and.isNotNull(), F.when(bad_and["missing"], missing_reason).otherwise(F.lit("科目未达标")))
-    )
-    total = F.aggregate("_ge", F.lit(0), lambda s, g: s + F.coalesce(g["best"], F.lit(0))) + F.aggregate(
-        "_and", F.lit(0), lambda s, a: s + F.coalesce(a["slack"], F.lit(0))
-    )
-    step = step.withColumn("_status", status).withColumn("_reason", reason)
-    fit = F.when(F.col("_status") == "pass", total)
-    return step.withColumn(
-        out, F.struct(F.col("_status").alias("status"), fit.alias("fit"), F.col("_reason").alias("reason"))
-    ).drop(*_WORK, "_ge", "_and", "_status", "_reason")
-
-
-GAP_DETAIL = "array<struct<kind:string,key:string,required:int,user:int,deficit:int>>"
+    """E2 as a column of the rows."""
+    return df.withColumn(out, match_of(F.col(reqs), F.col(groups) if groups else None, profile, include_unknown))
 
 
 def gap_rows(
@@ -200,58 +303,8 @@ def gap_rows(
     groups: str | None = "choice_groups",
     out: str = "gap",
 ) -> DataFrame:
-    """struct(status, max_deficit, details, reason): what a failing row is short of."""
-    step = _prepare(df, reqs, groups, profile)
-    names = F.array(*[F.lit(k) for k in KEYS])
-
-    def option(k: Column, i: Column) -> Column:
-        rr, ur = F.get("_rr", k), F.get("_ur", k)
-        return F.when(
-            rr.isNotNull() & ur.isNotNull(),
-            F.struct(
-                F.greatest(F.lit(0), rr - ur).alias("deficit"), i.alias("i"), k.alias("k"), rr.alias("rr"), ur.alias("ur")
-            ),
-        )
-
-    def detail(kind: str, x: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            F.get(names, x["k"]).alias("key"),
-            x["rr"].alias("required"),
-            x["ur"].alias("user"),
-            x["deficit"].alias("deficit"),
-        )
-
-    step = step.withColumn("_best", F.transform("_t", lambda t: F.array_min(F.transform(t, option)))).withColumn(
-        "_and", F.transform(_rest(), lambda k, i: F.struct(k.alias("k"), option(k, i).alias("o")))
-    )
-    no_option = F.exists("_best", lambda b: b.isNull())
-    missing = F.get(F.filter("_and", lambda a: a["o"].isNull()), F.lit(0))
-    any_req, scored = F.exists("_has", lambda x: x), F.exists("_ms", lambda x: x)
-    details = F.concat(
-        F.transform(F.filter("_best", lambda b: b["deficit"] > 0), lambda b: detail("or", b)),
-        F.transform(
-            F.filter(F.transform("_and", lambda a: a["o"]), lambda o: o["deficit"] > 0), lambda o: detail("and", o)
-        ),
-    )
-    step = step.withColumn("_d", details)
-    unknown = ~any_req | scored | no_option | missing.isNotNull()
-    status = F.when(unknown, F.lit("unknown")).when(F.size("_d") == 0, F.lit("pass")).otherwise(F.lit("fail"))
-    reason = (
-        F.when(~any_req, F.lit("无科目要求"))
-        .when(scored, F.lit("包含级分要求（需核对）"))
-        .when(no_option, F.lit("缺少可判定成绩"))
-        .when(missing.isNotNull(), F.concat(F.lit("缺少"), F.get(names, missing["k"]), F.lit("成绩")))
-    )
-    step = step.withColumn("_status", status).withColumn("_reason", reason)
-    deepest = F.when(~unknown, F.coalesce(F.array_max(F.transform("_d", lambda d: d["deficit"])), F.lit(0)))
-    shown = F.when(unknown, F.array().cast(GAP_DETAIL)).otherwise(F.col("_d").cast(GAP_DETAIL))
-    return step.withColumn(
-        out,
-        F.struct(
-            F.col("_status").alias("status"), deepest.alias("max_deficit"), shown.alias("details"), F.col("_reason").alias("reason")
-        ),
-    ).drop(*_WORK, "_best", "_and", "_d", "_status", "_reason")
+    """E3 as a column of the rows."""
+    return df.withColumn(out, gap_of(F.col(reqs), F.col(groups) if groups else None, profile))
 
 
 # ---- programme side -------------------------------------------------------------
@@ -269,29 +322,34 @@ def profile_map(values: Mapping[str, object]) -> Column:
 
 def standard_test(req_std: Column, user_std: Column, user_score: Column, ranks: Mapping[str, int] = V.STANDARD_RANK) -> Column:
     """E5: struct(ok, unknown, reason) of one standard, ordinal or numeric (Q5)."""
-    word = normalise_word(req_std)
-    digits = blank_to_null(F.regexp_extract(text(req_std), r"(\d{1,2})", 1))
-    need = digits.cast("double")
-    score = js_number(user_score)
-    rank = lookup(word, ranks)
-    have_word = normalise_word(user_std)
-    have = lookup(have_word, ranks)
+    inputs = F.struct(
+        normalise_word(req_std).alias("word"),
+        blank_to_null(F.regexp_extract(text(req_std), r"(\d{1,2})", 1)).cast("double").alias("need"),
+        js_number(user_score).alias("score"),
+        normalise_word(user_std).alias("have_word"),
+    )
 
     def result(ok: bool | Column, unknown: bool, reason: Column | None) -> Column:
         ok = ok if isinstance(ok, Column) else F.lit(ok)
         why = F.lit(None).cast("string") if reason is None else reason
         return F.struct(ok.alias("ok"), F.lit(unknown).alias("unknown"), why.alias("reason"))
 
-    low = F.concat(F.lit("级分不足("), number_text(score), F.lit("<"), number_text(need), F.lit(")"))
-    return (
-        F.when(word == "", result(True, False, None))
-        .when(need.isNotNull() & score.isNull(), result(False, True, F.lit("缺少级分")))
-        .when(need.isNotNull(), result(score >= need, False, F.when(score < need, low)))
-        .when(rank.isNull(), result(True, True, F.lit("要求解析失败")))
-        .when(have.isNull(), result(False, True, F.lit("缺少五标")))
-        .when(have < rank, result(False, False, F.concat(F.lit("未达标("), have_word, F.lit("<"), word, F.lit(")"))))
-        .otherwise(result(True, False, None))
-    )
+    def test(x: Column) -> Column:
+        word, need, score, have_word = x["word"], x["need"], x["score"], x["have_word"]
+        rank, have = lookup(word, ranks), lookup(have_word, ranks)
+        low = F.concat(F.lit("级分不足("), number_text(score), F.lit("<"), number_text(need), F.lit(")"))
+        short = F.concat(F.lit("未达标("), have_word, F.lit("<"), word, F.lit(")"))
+        return (
+            F.when(word == "", result(True, False, None))
+            .when(need.isNotNull() & score.isNull(), result(False, True, F.lit("缺少级分")))
+            .when(need.isNotNull(), result(score >= need, False, F.when(score < need, low)))
+            .when(rank.isNull(), result(True, True, F.lit("要求解析失败")))
+            .when(have.isNull(), result(False, True, F.lit("缺少五标")))
+            .when(have < rank, result(False, False, short))
+            .otherwise(result(True, False, None))
+        )
+
+    return let(inputs, test)
 
 
 def requirement_test(entries: Column, stds: Column, scores: Column, ranks: Mapping[str, int] = V.STANDARD_RANK) -> Column:
@@ -309,6 +367,10 @@ def requirement_test(entries: Column, stds: Column, scores: Column, ranks: Mappi
         ),
     )
     tested = F.coalesce(tested, F.array().cast("array<struct<subject:string,r:struct<ok:boolean,unknown:boolean,reason:string>>>"))
+    return let(tested, _summary)
+
+
+def _summary(tested: Column) -> Column:
     failed = F.get(F.filter(tested, lambda t: ~t["r"]["ok"]), F.lit(0))
     unknown = F.exists(tested, lambda t: t["r"]["unknown"])
     why = F.concat(failed["subject"], F.coalesce(F.concat(F.lit("："), failed["r"]["reason"]), F.lit("")))
@@ -328,7 +390,10 @@ def map_entries_of(requirements: Column | str) -> Column:
 
 def tie_item_value(item: Column, scores: Column, pct: Column) -> Column:
     """struct(num, txt) the candidate brings for a tie-break item; null when unknown."""
-    s = strip(text(item))
+    return let(strip(text(item)), lambda s: _tie_value(s, scores, pct))
+
+
+def _tie_value(s: Column, scores: Column, pct: Column) -> Column:
 
     def num(v: Column) -> Column:
         return F.when(v.isNotNull(), F.struct(v.cast("double").alias("num"), F.lit(None).cast("string").alias("txt")))
@@ -386,9 +451,7 @@ def boundary_test(items: Column | str, vec: Column | str, scores: Column, pct: C
         lambda b, i: F.struct(F.coalesce(F.get(c(items), i), F.lit("")).alias("item"), b.alias("b")),
     )
 
-    def step(acc: Column, x: Column) -> Column:
-        item, b = x["item"], x["b"]
-        u = tie_item_value(item, scores, pct)
+    def against(item: Column, b: Column, u: Column) -> Column:
         both = b["num"].isNotNull() & u["num"].isNotNull()
         pct_item = item.contains("百分比") & both
         score_item = contains_any(item, ["級分", "级分", "總和", "总和"]) & both
@@ -400,8 +463,7 @@ def boundary_test(items: Column | str, vec: Column | str, scores: Column, pct: C
         worse = _outcome("fail", F.concat(F.lit("劣于边界："), item))
         open_ = F.lit(None).cast(_OUTCOME)
         return (
-            F.when(acc.isNotNull(), acc)
-            .when(u.isNull(), _outcome("unknown", F.concat(F.lit("缺少比序项："), item)))
+            F.when(u.isNull(), _outcome("unknown", F.concat(F.lit("缺少比序项："), item)))
             .when(pct_item, F.when(u["num"] < b["num"], better).when(u["num"] > b["num"], worse).otherwise(open_))
             .when(score_item, F.when(u["num"] > b["num"], better).when(u["num"] < b["num"], worse).otherwise(open_))
             .when(listen_item, F.when(ur > br, better).when(ur < br, worse).otherwise(open_))
@@ -409,6 +471,11 @@ def boundary_test(items: Column | str, vec: Column | str, scores: Column, pct: C
             .otherwise(open_)
         )
 
+    def step(acc: Column, x: Column) -> Column:
+        item, b = x["item"], x["b"]
+        verdict = let(tie_item_value(item, scores, pct), lambda u: against(item, b, u))
+        return F.when(acc.isNotNull(), acc).otherwise(verdict)
+
     settled = F.aggregate(pairs, F.lit(None).cast(_OUTCOME), step)
     return F.when(limit == 0, _outcome("unknown", F.lit("无有效边界"))).otherwise(
         F.coalesce(settled, _outcome("unknown", F.lit("与边界持平（不确定）")))
@@ -422,8 +489,10 @@ def normal_expression(expr: Column | str) -> Column:
 
 def expression_value(expr: Column | str, scores: Column, blank_is_null: bool = False) -> Column:
     """Candidate total for a combined-subject expression; null when it cannot be read (Q6)."""
-    s = F.upper(normal_expression(expr))
+    return let(F.upper(normal_expression(expr)), lambda s: _expression_total(s, scores, blank_is_null))
+
 
+def _expression_total(s: Column, scores: Column, blank_is_null: bool) -> Column:
     def score(key: str) -> Column:
         raw = F.element_at(scores, F.lit(key))
         value = js_number(raw)
@@ -469,17 +538,19 @@ def sieve_test(orders: Column | str, scores: Column) -> Column:
         )
     )
 
-    def step(acc: Column, r: Column) -> Column:
-        u = expression_value(r["e"], scores)
+    def against(r: Column, u: Column) -> Column:
         return (
-            F.when(acc.isNotNull(), acc)
-            .when((r["e"] == "") | r["need"].isNull(), F.lit(None).cast(_OUTCOME))
+            F.when((r["e"] == "") | r["need"].isNull(), F.lit(None).cast(_OUTCOME))
             .when(u.isNull(), _outcome("unknown", F.concat(F.lit("缺少个申比对项："), r["e"])))
             .when(u > r["need"], _outcome("pass", F.concat(F.lit("优于个申筛选边界："), r["e"])))
             .when(u < r["need"], _outcome("fail", F.concat(F.lit("低于个申筛选边界："), r["e"])))
             .otherwise(F.lit(None).cast(_OUTCOME))
         )
 
+    def step(acc: Column, r: Column) -> Column:
+        verdict = let(expression_value(r["e"], scores), lambda u: against(r, u))
+        return F.when(acc.isNotNull(), acc).otherwise(verdict)
+
     settled = F.aggregate(rows, F.lit(None).cast(_OUTCOME), step)
     return F.when(F.size(rows) == 0, _outcome("unknown", F.lit("无筛选最低级分"))).otherwise(
         F.coalesce(settled, _outcome("unknown", F.lit("与个申边界持平（不确定）")))

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scans import top_per_key
-
 
 def opportunities(
     df: DataFrame,
@@ -30,25 +28,35 @@ def opportunities(
     """E13 over evaluated rows (``match`` from evaluate_rows, ``gap`` from gap_rows).
 
     A transfer row is the institution's best non-science row when nothing on the
-    science side passes; a near miss is its closest failing science-side row. The
-    institution test is an aggregate joined back; both picks are top-1 per key.
+    science side passes; a near miss is its closest failing science-side row. Both
+    picks and the institution test are one aggregate, so rows are evaluated once and
+    each task sends at most two rows per institution.
     """
     gap_limit = max(1, min(3, int(gap_limit or 1)))
+    columns = df.columns
+    # Evaluate once: the flags below must not each repeat the evaluators.
+    rows = df.select(*columns, F.coalesce((F.col(track) == "science") | keyword_hit, F.lit(False)).alias("_sci"))
+    payload = F.struct(*columns)
     m, g = F.col(match), F.col(gap)
-    rows = df.withColumn("_sci", F.coalesce((F.col(track) == "science") | keyword_hit, F.lit(False)))
-    picks = []
+    states = ["pass", "unknown"] if include_unknown else ["pass"]
+    aggs = []
     if transfer:
-        direct = rows.filter((m["status"] == "pass") & F.col("_sci")).select(*school).distinct()
-        states = ["pass", "unknown"] if include_unknown else ["pass"]
-        cand = rows.filter(m["status"].isin(states) & (F.col(track) != "science")).join(direct, list(school), "left_anti")
-        order = [
-            F.when(m["status"] == "pass", 2).otherwise(1).desc(),
-            F.coalesce(m["fit"], F.lit(-1)).desc(),
-            F.col(row_key).asc(),
-        ]
-        picks.append(top_per_key(cand, school, order).withColumn("kind", F.lit("transfer")))
+        order = F.struct(
+            F.when(m["status"] == "pass", 0).otherwise(1).alias("a"),
+            (-F.coalesce(m["fit"], F.lit(-1))).alias("b"),
+            F.col(row_key).alias("c"),
+        )
+        cand = m["status"].isin(states) & (F.col(track) != "science")
+        aggs.append(F.coalesce(F.bool_or((m["status"] == "pass") & F.col("_sci")), F.lit(False)).alias("_direct"))
+        aggs.append(F.min_by(payload, F.when(cand, order)).alias("_transfer"))
     if near_miss:
-        cand = rows.filter(
+        order = F.struct(
+            g["max_deficit"].alias("a"),
+            F.length(F.coalesce(F.col(gap_text), F.lit(""))).alias("b"),
+            F.coalesce(F.col(label), F.lit("")).alias("c"),
+            F.col(row_key).alias("d"),
+        )
+        cand = (
             (m["status"] == "fail")
             & F.col("_sci")
             & (g["status"] == "fail")
@@ -56,15 +64,17 @@ def opportunities(
             & (g["max_deficit"] <= gap_limit)
         )
         if area and hot_areas:
-            cand = cand.filter(F.col(area).isin(list(hot_areas)))
-        order = [
-            g["max_deficit"].asc(),
-            F.length(F.coalesce(F.col(gap_text), F.lit(""))).asc(),
-            F.coalesce(F.col(label), F.lit("")).asc(),
-            F.col(row_key).asc(),
-        ]
-        picks.append(top_per_key(cand, school, order).withColumn("kind", F.lit("nearmiss")))
-    out = picks[0]
-    for more in picks[1:]:
-        out = out.unionByName(more)
-    return out.drop("_sci")
+            cand = cand & F.col(area).isin(list(hot_areas))
+        aggs.append(F.min_by(payload, F.when(cand, order)).alias("_near"))
+    best = rows.groupBy(*school).agg(*aggs)
+    found = []
+    if transfer:
+        pick = F.when(~F.col("_direct"), F.col("_transfer"))
+        found.append(F.struct(F.lit("transfer").alias("kind"), pick.alias("row")))
+    if near_miss:
+        found.append(F.struct(F.lit("nearmiss").alias("kind"), F.col("_near").alias("row")))
+    return (
+        best.select(F.explode(F.array(*found)).alias("_f"))
+        .filter(F.col("_f.row").isNotNull())
+        .select("_f.row.*", "_f.kind")
+    )

@@ -19,7 +19,7 @@ def merge_years(first: Column | str, second: Column | str) -> Column:
     """Sorted distinct years; entries that are not all digits go."""
     empty = F.array().cast("array<string>")
     both = F.concat(F.coalesce(c(first), empty), F.coalesce(c(second), empty))
-    digits = F.filter(F.transform(both, F.trim), lambda y: y.rlike("^[0-9]+$"))
+    digits = F.filter(F.transform(both, lambda y: F.trim(y)), lambda y: y.rlike("^[0-9]+$"))
     return F.array_sort(F.array_distinct(F.transform(digits, lambda y: y.cast("int"))))
 
 

@@ -1 +1,768 @@
-"""Plans."""
+"""Filters, counts, orders, scans and reports over the star tables and events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import values
+from ..functions.expr import alternation, text
+from ..operators import bands, filters, majors, ordering, records, scans, stats
+from ..session import table
+from . import query
+from .lookups import event_records
+
+# ---- scans ------------------------------------------------------------------------------------
+
+
+@query(
+    "gap_clusters",
+    """
+with v as (select user_id, value, count(*) as n from events group by 1, 2),
+g as (select *, case when value - lag(value) over (partition by user_id order by value) > 0.5 then 1 else 0 end as brk from v),
+i as (select *, sum(brk) over (partition by user_id order by value) as island from g)
+select user_id, cast(island as bigint) as island, min(value) as start, max(value) as "end", cast(sum(n) as bigint) as n,
+  round(sum(value * n) / sum(n), 4) as mean
+from i group by 1, 2
+""",
+)
+def gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of close values per user, in slices of 64 so no user is one window."""
+    ev = table(spark, sf_dir, "events").select("user_id", "value")
+    out = scans.gap_clusters(ev, ["user_id"], "value", 0.5, width=64)
+    return out.withColumn("mean", F.round("mean", 4))
+
+
+_SPANS = """
+s as (
+  select user_id, cast(floor(epoch(ts)) as bigint) as start, max(cast(floor(epoch(ts)) as bigint) + cast(floor(value * 60) as bigint)) as fin,
+    count(*) as n from events group by 1, 2)
+"""
+
+
+@query(
+    "coalesce_intervals",
+    f"""
+with {_SPANS},
+f as (select *, case when start > max(fin) over (partition by user_id order by start
+        rows between unbounded preceding and 1 preceding) + 600 then 1 else 0 end as brk from s),
+i as (select *, sum(brk) over (partition by user_id order by start) as island from f)
+select user_id, cast(island as bigint) as island, min(start) as start, max(fin) as "end", cast(sum(n) as bigint) as n
+from i group by 1, 2
+""",
+)
+def coalesce_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activity spans merged with ten minutes of slack, in day slices."""
+    ev = table(spark, sf_dir, "events")
+    start = F.unix_seconds("ts")
+    rows = ev.select("user_id", start.alias("start"), (start + F.floor(F.col("value") * 60)).alias("end"))
+    return scans.coalesce_intervals(rows, ["user_id"], "start", "end", 600, width=86400)
+
+
+@query(
+    "fragment_runs",
+    """
+with t as (select conv_id, turn, role, length(text) < 400 as frag from conversations),
+b as (select *, sum(case when frag then 0 else 1 end) over (partition by conv_id order by turn) as isl from t),
+f as (select *, turn - min(turn) over (partition by conv_id, isl) as off from b where frag)
+select conv_id, min(turn) as first_pos, count(*) as pieces, string_agg(role, '' order by turn) as joined
+from f group by conv_id, isl, off // 6 having count(*) >= 2
+""",
+)
+def fragment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of short turns joined, six at most, two at least."""
+    conv = table(spark, sf_dir, "conversations")
+    return scans.fragment_runs(conv, ["conv_id"], "turn", "role", F.length("text") < 400)
+
+
+@query(
+    "section_cut_rows",
+    """
+with h as (select user_id, min(event_id) as h from events where event_type = 'signup' group by 1),
+c as (select user_id, min(event_id) as c from events join h using (user_id)
+      where event_type = 'error' and value > 20 and event_id > h group by 1)
+select user_id, count(*) as kept, max(event_id) as last_event from events left join c using (user_id)
+where c is null or event_id < c group by 1
+""",
+)
+def section_cut_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W14 over rows: two pre-aggregated positions per user, no window."""
+    ev = table(spark, sf_dir, "events")
+    kept = scans.section_cut(
+        ev,
+        ["user_id"],
+        "event_id",
+        F.col("event_type") == "signup",
+        (F.col("event_type") == "error") & (F.col("value") > 20),
+    )
+    return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"), F.max("event_id").alias("last_event"))
+
+
+@query(
+    "band_join",
+    """
+with w as (
+  select user_id, value as y, case when x >= 0 and x < 21600 then 0 when x >= 21600 and x < 43200 then 1
+      when x >= 43200 and x < 64800 then 2 end as col, x
+  from (select *, cast(floor(epoch(ts)) as bigint) % 86400 as x from events where event_type <> 'purchase'))
+select a.user_id, a.y as anchor_y, w.col, cast(count(*) as bigint) as n_words, cast(min(w.x) as bigint) as first_x
+from (select distinct user_id, value as y from events where event_type = 'purchase') a
+join w on a.user_id = w.user_id and w.y between a.y - 0.25 and a.y + 0.25 and w.col is not null
+group by 1, 2, 3
+""",
+)
+def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words within a band of each anchor line, counted per column; copies folded first."""
+    ev = table(spark, sf_dir, "events")
+    second = F.unix_seconds("ts") % 86400
+    words = ev.filter("event_type <> 'purchase'").select("user_id", F.col("value").alias("word_y"), second.alias("x"))
+    anchors = ev.filter("event_type = 'purchase'").select("user_id", F.col("value").alias("anchor_y"))
+    out = bands.band_counts(anchors, words, ["user_id"], "anchor_y", "word_y", "x", 0.25, [0, 21600, 43200, 64800])
+    return out
+
+
+@query(
+    "anchor_dedupe",
+    None,
+)
+def anchor_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chained top-left pick per (page, code); an ordered fold, so no SQL."""
+    ev = table(spark, sf_dir, "events")
+    rows = ev.select(
+        F.date_format("ts", "yyyy-MM-dd").alias("page"),
+        F.col("user_id").alias("code"),
+        F.floor("value").cast("double").alias("y0"),
+        (F.unix_seconds("ts") % 3600).cast("double").alias("x0"),
+        F.col("value").alias("yc"),
+    )
+    return bands.dedupe_anchors(rows, ["page"], "code")
+
+
+@query(
+    "cell_parse",
+    """
+with r as (
+  select event_id, case cast(json_extract(props, '$.k') as int) % 6
+      when 0 then event_type || cast(event_id as varchar) || '+'
+      when 1 then '國文 ' || cast(event_id % 100 as varchar)
+      when 2 then event_type || '巧' when 3 then '—' when 4 then '（a）12' || event_type else cast(event_id as varchar) end as raw
+  from events),
+n as (select event_id, replace(regexp_replace(raw, '\\s+', '', 'g'), '—', '-') as raw from r),
+m as (select *, regexp_extract_all(raw, '(\\d{1,3})', 1) as nums, length(regexp_extract(raw, '(\\D*)$', 1)) as tail from n),
+p as (
+  select event_id, raw,
+    case when len(nums) > 0 then substr(raw, 1, length(raw) - tail - length(nums[len(nums)]))
+         when raw like '%巧' then substr(raw, 1, length(raw) - 1) end as expr,
+    case when len(nums) > 0 then cast(nums[len(nums)] as integer) when raw like '%巧' then 15 end as min_score
+  from m)
+select event_id, case when keep then raw end as raw, case when keep then translate(expr, '（）', '()') end as expr,
+  case when keep then min_score end as min_score
+from (select *, coalesce(raw <> '-' and expr <> '', false) as keep from p)
+""",
+)
+def cell_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last number, expression before it, misread fifteens (Q13)."""
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int") % 6
+    num = F.col("event_id").cast("string")
+    raw = (
+        F.when(k == 0, F.concat("event_type", num, F.lit("+")))
+        .when(k == 1, F.concat(F.lit("國文 "), (F.col("event_id") % 100).cast("string")))
+        .when(k == 2, F.concat("event_type", F.lit("巧")))
+        .when(k == 3, F.lit("—"))
+        .when(k == 4, F.concat(F.lit("（a）12"), F.col("event_type")))
+        .otherwise(num)
+    )
+    cell = ev.select("event_id", raw.alias("raw")).select("event_id", bands.cell_parse("raw").alias("p"))
+    return cell.select("event_id", "p.raw", "p.expr", "p.min_score")
+
+
+# ---- counts -------------------------------------------------------------------------------------
+
+
+@query(
+    "status_totals",
+    """
+select t.event_type, (select count(*) from events e where e.event_type = t.event_type) as n
+from (values ('view'), ('purchase'), ('error'), ('refund')) t(event_type)
+""",
+)
+def status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: fixed categories, zero where none."""
+    return stats.count_by(table(spark, sf_dir, "events"), "event_type", ["view", "purchase", "error", "refund"])
+
+
+@query(
+    "low_quality_count",
+    "select count(*) filter (url like '%.net/%' or url like '%blog.%') as weak, count(*) as pages from pages",
+)
+def low_quality_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows on weak hosts."""
+    from ..functions.urls import low_quality
+
+    return table(spark, sf_dir, "pages").agg(
+        F.count_if(low_quality("url", (".net", "blog."))).alias("weak"), F.count(F.lit(1)).alias("pages")
+    )
+
+
+@query(
+    "group_best",
+    """
+select o_custkey, min(cast(substr(o_orderpriority, 1, 1) as integer)) filter (o_orderstatus = 'O') as best_fit,
+  cast(max(case o_orderstatus when 'O' then 3 when 'P' then 2 else 1 end) as integer) as status_rank, count(*) as row_span
+from orders group by 1
+""",
+)
+def group_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4, W11."""
+    o = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "O", "pass").when(F.col("o_orderstatus") == "P", "unknown").otherwise("fail")
+    return stats.group_best(o, ["o_custkey"], status, F.substring("o_orderpriority", 1, 1).cast("int"))
+
+
+@query(
+    "row_span",
+    """select p_partkey, p_brand, row_span from part join (select p_brand, count(*) as row_span from part group by 1) using (p_brand)""",
+)
+def row_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W11 on every row."""
+    return stats.row_span(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand")
+
+
+@query(
+    "source_summary",
+    """
+with s as (
+  select year(o_orderdate) as year, o_custkey, count(*) filter (o_orderstatus = 'O') as row_count,
+    count(*) filter (o_orderpriority = '5-LOW') as error_count from orders group by 1, 2)
+select cast(year as integer) as year, o_custkey, row_count, error_count,
+  case when row_count > 0 then 'success' when error_count > 0 then 'failed' else 'empty' end as status from s
+""",
+)
+def source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State per source."""
+    o = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    return stats.source_summary(o, ["year", "o_custkey"], F.col("o_orderstatus") == "O", F.col("o_orderpriority") == "5-LOW")
+
+
+@query(
+    "change_count",
+    """
+with e as (select event_type, cast(json_extract(props, '$.k') as int) as k from events)
+select count(*) filter (k % 3 = 0 or event_type = 'error') as changed,
+  count(*) filter (event_type = 'error' and k % 7 <> 0) as appeared from e
+""",
+)
+def change_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: records that differ after normalisation, and those in which a token appeared."""
+    ev = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("k")
+    token = F.when(k % 7 == 0, "任一").otherwise("")
+    before = F.struct(F.col("event_type").alias("t"), k.alias("k"), token.alias("s"))
+    after = F.struct(
+        F.col("event_type").alias("t"),
+        F.when(k % 3 == 0, k + 1).otherwise(k).alias("k"),
+        F.when(F.col("event_type") == "error", F.concat(F.lit("任一+"), token)).otherwise(token).alias("s"),
+    )
+    rows = ev.select(records.canonical_json(before).alias("b"), records.canonical_json(after).alias("a"))
+    return stats.change_report(rows, F.col("b"), F.col("a"), "任一")
+
+
+@query(
+    "size_report",
+    """
+with s as (
+  select user_id, count(distinct event_type) filter (day(ts) <= 5) as before, count(distinct event_type) as after,
+    bool_or(value > 120) as err from events group by 1)
+select count(*) as processed, count(*) filter (not err and after > before) as updated,
+  count(*) filter (not err and after > 0) as present_after, count(*) filter (err) as errors from s
+""",
+)
+def size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12."""
+    ev = table(spark, sf_dir, "events")
+    per = ev.groupBy("user_id", "event_type").agg(
+        F.bool_or(F.dayofmonth("ts") <= 5).alias("early"), F.max("value").alias("v")
+    )
+    sizes = per.groupBy("user_id").agg(
+        F.count_if("early").alias("before"), F.count(F.lit(1)).alias("after"), (F.max("v") > 120).alias("err")
+    )
+    return stats.size_report(sizes, F.col("before"), F.col("after"), F.col("err"))
+
+
+@query(
+    "facets",
+    """
+with w as (select distinct unnest(string_split(p_name, ' ')) as value from part),
+r as (select value, case when value like '%e%' then length(value) end as rank from w)
+select value, row_number() over (order by coalesce(rank, 1e9), value) as position from r
+""",
+)
+def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values in facet order."""
+    words = stats.facet(table(spark, sf_dir, "part"), F.explode(F.split("p_name", " ")))
+    rank = F.when(F.col("value").contains("e"), F.length("value"))
+    return scans.global_rank(words, ordering.facet_order(rank, "value"), "position").select("value", "position")
+
+
+@query(
+    "active_columns",
+    """
+select true as has_brand, false as has_blank, max(case when p_size > 100 then 1 else 0 end) = 1 as has_large,
+  bool_or(p_type = 'PROMO') as has_promo from part
+""",
+)
+def active_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which columns hold a value anywhere."""
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("brand"),
+        F.lit(None).cast("string").alias("blank"),
+        F.when(F.col("p_size") > 100, 1).alias("large"),
+        F.when(F.col("p_type") == "PROMO", 1).alias("promo"),
+    )
+    return part.agg(*[F.max(F.col(x).isNotNull()).alias(f"has_{x}") for x in filters_columns()])
+
+
+def filters_columns() -> list[str]:
+    return ["brand", "blank", "large", "promo"]
+
+
+# ---- filters and projections ----------------------------------------------------------------------
+
+
+@query(
+    "filter_conjunction",
+    """
+select c_custkey, c_name, n_name, c_mktsegment from customer join nation on n_nationkey = c_nationkey
+where c_mktsegment in ('BUILDING', 'MACHINERY') and n_regionkey = 2 and c_acctbal > 0 and lower(c_name) like '%er#0000%'
+  and lower(c_custkey || ' ' || n_name || ' ' || c_mktsegment) like '%1%'
+""",
+)
+def filter_conjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optional predicates; what can be pushed reaches the scan."""
+    cust = table(spark, sf_dir, "customer")
+    nation = table(spark, sf_dir, "nation")
+    joined = cust.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rule = filters.all_of(
+        filters.in_if("c_mktsegment", ["BUILDING", "MACHINERY"]),
+        filters.equals_if("n_regionkey", 2),
+        filters.equals_if("n_name", None),
+        filters.recognised_if(F.col("c_acctbal") > 0, "yes"),
+        filters.search_if("ER#0000", "c_name"),
+        filters.search_if("1", "c_custkey", "n_name", "c_mktsegment"),
+    )
+    return joined.filter(rule).select("c_custkey", "c_name", "n_name", "c_mktsegment")
+
+
+@query(
+    "search_any",
+    """
+select p_partkey from part
+where lower(p_brand) like '%nd#1%' or p_name like '%gea%' or lower(p_type) like '%gea%' or lower(p_brand) like '%gea%'
+""",
+)
+def search_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, labels or majors hold the query."""
+    part = table(spark, sf_dir, "part")
+    hit = filters.search_any_if("GEA", "p_brand", F.split("p_name", " "), F.array("p_type"))
+    return part.filter(hit | filters.search_any_if("nd#1", "p_brand")).select("p_partkey")
+
+
+@query(
+    "found_and_backfill",
+    """
+select event_id, status = 'success' and k % 2 = 0 as found, k % 2 = 0 as found_export,
+  status = 'success' and k % 2 = 0 and k % 10 >= 5 as to_fill
+from (select event_id, cast(json_extract(props, '$.k') as int) as k,
+  case when event_type in ('view', 'purchase') then 'success' when event_type = 'error' then 'failed' else 'not_found' end as status
+  from events)
+""",
+)
+def found_and_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7, P12."""
+    rec = event_records(spark, sf_dir)
+    lists = F.when(F.col("k") % 10 < 5, F.array(F.lit("a")))
+    return rec.select(
+        "event_id",
+        filters.found("status", "has_req").alias("found"),
+        filters.found(None, "has_req").alias("found_export"),
+        filters.backfill("status", "has_req", lists, True).alias("to_fill"),
+    )
+
+
+@query(
+    "export_projection",
+    """
+select o_orderkey as school_name, coalesce(case when o_orderstatus <> 'P' then o_orderstatus end, '') as area,
+  coalesce(case when o_totalprice > 250000 then true end, false) as taiwan_recognized, o_orderpriority as confidence
+from orders where o_orderstatus <> 'F'
+""",
+)
+def export_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found records with defaults for missing fields."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.filter(filters.found(None, F.col("o_orderstatus") != "F"))
+    return rows.select(
+        F.col("o_orderkey").alias("school_name"),
+        text(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))).alias("area"),
+        F.coalesce(F.when(F.col("o_totalprice") > 250000, True), F.lit(False)).alias("taiwan_recognized"),
+        F.col("o_orderpriority").alias("confidence"),
+    )
+
+
+@query(
+    "work_list",
+    """
+select o_orderkey, o_orderstatus from orders where o_orderstatus in ('F', 'P') order by o_orderkey limit 100
+""",
+)
+def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State set in key order with a limit (the limit is the feature)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return filters.work_list(o, "o_orderstatus", ["F", "P"], "o_orderkey", 100)
+
+
+@query(
+    "coerce_rows",
+    """
+with e as (select event_id, event_type, value, cast(json_extract(props, '$.k') as int) as k from events)
+select event_id,
+  case k % 4 when 0 then lpad(cast(k as varchar), 5, '0') when 1 then 'p-' || lpad(cast(k as varchar), 5, '0') || ' x'
+    when 2 then 'abc' end as program_code,
+  case k % 5 when 0 then null when 1 then k when 2 then k else null end as quota,
+  case when k % 2 = 0 then 2 else 1 end as round,
+  case k % 3 when 0 then value when 1 then null else value end as school_rank_percent,
+  case k % 6 when 0 then '顶标' when 1 then '后标' when 2 then '均标' end as chinese_std,
+  case when k between 1 and 15 then k end as chinese_score,
+  case k % 3 when 0 then 'n' || k end as notes
+from e
+""",
+)
+def coerce_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X19, SF22, SF23: texts brought to codes, whole numbers, percents, standards and ranges."""
+    rec = event_records(spark, sf_dir)
+    k, five = F.col("k"), F.lpad(F.col("k").cast("string"), 5, "0")
+    raw = rec.select(
+        "event_id",
+        F.when(k % 4 == 0, five)
+        .when(k % 4 == 1, F.concat(F.lit(" p-"), five, F.lit(" x")))
+        .when(k % 4 == 2, "abc")
+        .otherwise("   ")
+        .alias("program_code"),
+        F.when(k % 5 == 1, k.cast("string")).when(k % 5 == 2, F.concat(k.cast("string"), F.lit(".7"))).when(k % 5 == 3, "x").alias("quota"),
+        F.when(k % 2 == 0, " 2 ").otherwise("7").alias("round"),
+        F.when(k % 3 == 0, F.concat(F.col("value").cast("string"), F.lit("%"))).when(k % 3 == 1, "無").otherwise(F.col("value").cast("string")).alias("school_rank_percent"),
+        F.when(k % 6 == 0, "頂標").when(k % 6 == 1, " 後標 ").when(k % 6 == 2, "均标").otherwise("A").alias("chinese_std"),
+        k.cast("string").alias("chinese_score"),
+        F.when(k % 3 == 0, F.concat(F.lit(" n"), k.cast("string"))).otherwise(" ").alias("notes"),
+    )
+    out = values.coerce_rows(raw, keys=("chinese",))
+    return out.select(
+        "event_id", "program_code", "quota", "round", "school_rank_percent", "chinese_std", "chinese_score", "notes"
+    )
+
+
+@query(
+    "value_tokens",
+    """
+with o as (select o_orderkey, o_orderdate, o_totalprice, cast(substr(o_orderpriority, 1, 1) as int) as p, o_orderstatus as st from orders)
+select o_orderkey,
+  case p when 1 then p * 1.5 when 2 then cast(o_orderkey as double) when 3 then o_totalprice end as num,
+  case p when 5 then st end as txt,
+  case when st = 'F' then cast(o_orderdate as date) when st = 'O' then cast(date_trunc('month', o_orderdate) + interval 1 month + interval 1 day as date) end as due,
+  case when p = 1 then 1.5 when p = 4 then null when p = 2 and o_orderkey <= 100 then cast(o_orderkey as double)
+       when p = 3 and o_totalprice <= 100 then o_totalprice end as pct
+from o
+""",
+)
+def value_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SF23-SF25: cell tokens, input percents, deadlines with roll-over (day 33 of a month is in the next)."""
+    o = table(spark, sf_dir, "orders")
+    p, st = F.substring("o_orderpriority", 1, 1).cast("int"), F.col("o_orderstatus")
+    tok = F.when(p == 1, "1.5%").when(p == 2, F.col("o_orderkey").cast("string")).when(p == 3, F.format_string("%.2f", "o_totalprice")).when(p == 4, " -- ").otherwise(st)
+    days = F.dayofmonth(F.last_day("o_orderdate")) + 2
+    due = F.when(st == "F", F.concat(F.lit("截止 "), F.date_format("o_orderdate", "yyyy年M月d"), F.lit("日"))).when(
+        st == "O", F.concat(F.date_format("o_orderdate", "yyyy/M/"), days.cast("string"))
+    ).otherwise("待定")
+    rows = o.select("o_orderkey", tok.alias("tok"), due.alias("due_text"))
+    rows = rows.withColumn("v", values.value_token("tok"))
+    return rows.select(
+        "o_orderkey",
+        F.col("v.num").alias("num"),
+        F.col("v.txt").alias("txt"),
+        values.deadline("due_text").alias("due"),
+        values.percent_in_range(F.replace("tok", F.lit("%"), F.lit(""))).alias("pct"),
+    )
+
+
+# ---- reports and orders ----------------------------------------------------------------------------
+
+
+@query(
+    "unresolved_report",
+    """
+with e as (select event_id, user_id, event_type, value, cast(json_extract(props, '$.k') as int) as k from events),
+r as (
+  select event_id, case when event_type = 'error' and k % 3 = 0 then 'not_found' when event_type = 'error' then 'failed'
+      when event_type = 'click' then 'not_found' else 'success' end as status,
+    event_type = 'error' and k % 3 = 0 as changed,
+    cast(floor(value * 100) as integer) as len, k
+  from e),
+u as (
+  select *, case when changed then case when k % 2 = 0 then '内容过短或未命中2026台湾学测简章正文' else 'old 内容过短或未命中2026台湾学测简章正文' end
+    else case when k % 2 = 0 then '' else 'old' end end as notes,
+    case when k % 5 = 2 then 'yes' else 'no' end as weak
+  from r where status <> 'success')
+select event_id, status, notes, weak, len,
+  row_number() over (order by case status when 'failed' then 0 else 1 end, len desc, event_id) as position from u
+""",
+)
+def unresolved_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unresolved records in report order."""
+    rec = event_records(spark, sf_dir)
+    k = F.col("k")
+    failed = F.col("event_type") == "error"
+    ext = F.struct(
+        F.lit(True).alias("found"),
+        F.when(failed & (k % 3 == 0), "返回内容过短").when(failed, "timeout").alias("error"),
+        F.when(k % 2 == 0, " ").otherwise("old ").alias("notes"),
+    )
+    results = rec.select(
+        F.col("event_id").alias("school_id"),
+        F.lit("").alias("school_name"),
+        F.when(failed, "failed").when(F.col("event_type") == "click", "not_found").otherwise("success").alias("status"),
+        "source",
+        F.col("url").alias("source_url"),
+        F.col("len").cast("int").alias("raw_text_length"),
+        F.lit(None).cast("string").alias("error"),
+        ext.alias("extraction"),
+    )
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    rows = records.unresolved_rows(records.recategorise(results), users)
+    ranked = scans.global_rank(rows, ordering.unresolved_order(), "position")
+    return ranked.select(
+        F.col("school_id").alias("event_id"),
+        "status",
+        F.trim("notes").alias("notes"),
+        F.col("low_quality_host").alias("weak"),
+        F.col("raw_text_length").alias("len"),
+        "position",
+    )
+
+
+@query(
+    "longest_rows",
+    "select doc_id, n_chars from documents order by n_chars desc, doc_id limit 80",
+)
+def longest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top 80 by length (the limit is the feature)."""
+    return ordering.longest(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 80)
+
+
+@query(
+    "multi_mode_sort",
+    """
+with b as (
+  select o_orderkey, o_orderstatus as st, o_totalprice as price, cast(substr(o_orderpriority, 1, 1) as int) as p, o_orderdate
+  from orders),
+k as (
+  select *, case p when 1 then 4 when 2 then 3 when 3 then 2 else 1 end as tier,
+    case p when 1 then 3 when 5 then 1 else 2 end as conf, case st when 'F' then 3 when 'O' then 2 else 1 end as sr,
+    case when st = 'F' then cast(floor(price / 1000) as int) end as fit,
+    case when p < 5 then cast(o_orderdate as date) end as due from b)
+select o_orderkey,
+  row_number() over (order by sr desc, coalesce(fit, 10000), tier desc, conf desc, due nulls last, o_orderkey) as by_fit,
+  row_number() over (order by sr desc, due nulls last, coalesce(fit, 10000), tier desc, o_orderkey) as by_deadline,
+  row_number() over (order by tier desc, conf desc, due nulls last, o_orderkey) as no_profile
+from k
+""",
+)
+def multi_mode_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4, SF4: institution order in three modes, as positions."""
+    o = table(spark, sf_dir, "orders")
+    p, st = F.substring("o_orderpriority", 1, 1).cast("int"), F.col("o_orderstatus")
+    rows = o.select(
+        "o_orderkey",
+        F.get(F.array(*[F.lit(t) for t in ("985", "211", "双一流", "非双一流", "?")]), p - 1).alias("tier"),
+        F.when(p == 1, "high").when(p == 5, "low").otherwise("medium").alias("confidence"),
+        F.when(st == "F", 3).when(st == "O", 2).otherwise(1).alias("status_rank"),
+        F.when(st == "F", F.floor(F.col("o_totalprice") / 1000).cast("int")).alias("best_fit"),
+        F.when(p < 5, F.col("o_orderdate").cast("date")).alias("deadline"),
+        F.lit("").alias("school_name"),
+    )
+    tail = F.col("o_orderkey").asc()
+    out = scans.global_rank(rows, [*ordering.institution_order("fit", True), tail], "by_fit")
+    out = scans.global_rank(out, [*ordering.institution_order("deadline", True), tail], "by_deadline")
+    out = scans.global_rank(out, [*ordering.institution_order("fit", False), tail], "no_profile")
+    return out.select("o_orderkey", "by_fit", "by_deadline", "no_profile")
+
+
+@query(
+    "rows_in_group",
+    """
+select o_custkey, o_orderkey from (
+  select *, row_number() over (partition by o_custkey order by case o_orderstatus when 'O' then 3 when 'P' then 2 else 1 end desc,
+    case when o_orderstatus = 'O' then cast(floor(o_totalprice / 100) as int) else 10000 end, o_orderpriority, o_orderkey) as rn
+  from orders) where rn <= 3
+""",
+)
+def rows_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: first three rows of each institution in row order (top-k per key)."""
+    o = table(spark, sf_dir, "orders")
+    st = F.col("o_orderstatus")
+    rows = o.select(
+        "o_custkey",
+        "o_orderkey",
+        F.when(st == "O", "pass").when(st == "P", "unknown").otherwise("fail").alias("status"),
+        F.when(st == "O", F.floor(F.col("o_totalprice") / 100).cast("int")).alias("fit"),
+        F.col("o_orderpriority").alias("label"),
+    )
+    return scans.top_per_key(rows, ["o_custkey"], [*ordering.row_order(True), F.col("o_orderkey").asc()], 3).select(
+        "o_custkey", "o_orderkey"
+    )
+
+
+@query(
+    "program_sort_hard",
+    """
+with b as (
+  select p_partkey, p_brand, p_name, p_size, case p_type when 'PROMO' then 'oppty' when 'SMALL' then 'star_good'
+      when 'LARGE' then 'star_edge' else 'incomplete' end as bucket,
+    case when p_size % 2 = 0 then 100 else 0 end + (p_size % 4) * 10 - p_size % 3 as hard,
+    case when p_size % 5 > 0 then p_size % 5 end as school_rank from part)
+select p_partkey, row_number() over (order by case bucket when 'oppty' then 0 when 'star_good' then 1 when 'star_edge' then 2 else 4 end,
+  hard desc, coalesce(school_rank, 1e9), p_brand || ' ' || p_name, p_partkey) as position from b
+""",
+)
+def program_sort_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T6 in its "hard" mode."""
+    part = table(spark, sf_dir, "part")
+    s = F.col("p_size")
+    rows = part.select(
+        "p_partkey",
+        "p_brand",
+        "p_name",
+        F.when(F.col("p_type") == "PROMO", "oppty").when(F.col("p_type") == "SMALL", "star_good").when(F.col("p_type") == "LARGE", "star_edge").otherwise("incomplete").alias("bucket"),
+        ordering.hard_score(F.when(s % 2 == 0, "fail").otherwise("pass"), s % 4, s % 3).alias("hard_score"),
+        F.when(s % 5 > 0, s % 5).alias("school_rank"),
+        F.lit(0.0).alias("slack"),
+    )
+    order = ordering.program_order("applyHard", school="p_brand", program="p_name")
+    return scans.global_rank(rows, [*order, F.col("p_partkey").asc()], "position").select("p_partkey", "position")
+
+
+# ---- nested records --------------------------------------------------------------------------------
+
+
+_RECORDS = """
+d as (
+  select l_orderkey, l_linenumber, l_partkey, l_returnflag, min(l_quantity) as q from lineitem
+  where l_returnflag <> 'R' group by all)
+"""
+
+
+def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as result records with their lines as department rows."""
+    orders = table(spark, sf_dir, "orders")
+    li = table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'")
+    none = "struct<standard:string,min_score:int>"
+    word = F.when(F.col("l_returnflag") == "A", "均标")
+    subj = F.struct(
+        F.when(word.isNotNull(), F.struct(word.alias("standard"), F.lit(None).cast("int").alias("min_score"))).alias("chinese"),
+        *[F.lit(None).cast(none).alias(k) for k in ("english", "math_a", "math_b", "social", "science")],
+    )
+    dept = F.struct(
+        F.col("l_linenumber").alias("o1"),
+        F.col("l_partkey").alias("o2"),
+        F.when(F.col("l_linenumber") % 3 > 0, F.concat(F.lit("dept"), F.col("l_partkey").cast("string"))).otherwise("").alias("department"),
+        subj.alias("subjects"),
+        F.when(F.col("l_linenumber") % 2 == 0, "note").alias("notes"),
+        F.array().cast("array<string>").alias("majors"),
+    )
+    lines = li.dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"]).groupBy("l_orderkey").agg(
+        F.transform(
+            F.sort_array(F.collect_list(dept)),
+            lambda x: F.struct(*[x[n].alias(n) for n in ("department", "subjects", "notes", "majors")]),
+        ).alias("department_requirements")
+    )
+    gen_std = F.when(F.col("o_orderpriority") == "1-URGENT", "前标")
+    general = F.struct(
+        *[
+            F.struct((gen_std if k in ("chinese", "english") else F.lit(None).cast("string")).alias("standard"), F.lit(None).cast("int").alias("min_score")).alias(k)
+            for k in ("chinese", "english", "math_a", "math_b", "social", "science")
+        ]
+    )
+    ext = F.struct(
+        (F.col("o_orderstatus") != "P").alias("found"),
+        F.lit("2026-05-01").alias("application_deadline"),
+        general.alias("general_requirements"),
+        F.col("department_requirements"),
+        F.array(F.lit("c1"), F.lit("c2"), F.lit("c3")).alias("other_conditions"),
+        F.lit(None).cast("string").alias("notes"),
+        F.lit("high").alias("confidence"),
+        F.array().cast("array<string>").alias("majors"),
+    )
+    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return joined.select(
+        F.col("o_orderkey").alias("school_id"),
+        F.lit("s").alias("school_name"),
+        F.lit("a").alias("area"),
+        F.lit("t").alias("type"),
+        F.when(F.col("o_orderstatus") == "O", "211").alias("tier"),
+        F.lit(True).alias("taiwan_recognized"),
+        F.lit("see https://x.org/a). ").alias("source_url"),
+        F.lit("success").alias("status"),
+        ext.alias("extraction"),
+    )
+
+
+@query(
+    "record_rows",
+    f"""
+with {_RECORDS},
+n as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, case l_returnflag when 'A' then 1 else 2 end) - 1 as idx from
+  (select distinct l_orderkey, l_linenumber, l_partkey, l_returnflag from d))
+select o_orderkey as school_id, cast(coalesce(idx, 0) as integer) as idx,
+  case when l_linenumber % 3 > 0 then 'dept' || l_partkey else '全部' end as label,
+  coalesce(case o_orderstatus when 'O' then '211' end, '非双一流') as tier, 'https://x.org/a' as source_url,
+  coalesce(case when l_returnflag = 'A' then '均标' end, case when o_orderpriority = '1-URGENT' then '前标' end, '-') as chinese,
+  case when o_orderpriority = '1-URGENT' then '前标' else '-' end as english,
+  case when coalesce(idx, 0) = 0 then 'c1；c2' else '' end || case when coalesce(idx, 0) = 0 and l_linenumber % 2 = 0 then '；' else '' end
+    || case when l_linenumber % 2 = 0 then 'note' else '' end as other_text
+from orders left join n on l_orderkey = o_orderkey where o_orderstatus <> 'P'
+""",
+)
+def record_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X21, E1, SF18, SF27, W10: department rows of found records, one "all" row when none."""
+    rows = records.evaluation_rows(order_records(spark, sf_dir))
+    from ..functions.standards import format_requirement
+
+    return rows.select(
+        "school_id",
+        "idx",
+        "label",
+        "tier",
+        "source_url",
+        F.coalesce(format_requirement(F.col("reqs.chinese")), F.lit("-")).alias("chinese"),
+        F.coalesce(format_requirement(F.col("reqs.english")), F.lit("-")).alias("english"),
+        "other_text",
+    )
+
+
+@query(
+    "export_rows",
+    f"""
+with {_RECORDS},
+n as (select distinct l_orderkey, l_linenumber, l_partkey, l_returnflag from d)
+select o_orderkey as school_id, case when l_linenumber % 3 > 0 then 'dept' || l_partkey else '全部' end as label,
+  coalesce(case when l_returnflag = 'A' then '均标' end, case when o_orderpriority = '1-URGENT' then '前标' end, '-') as chinese,
+  case when l_linenumber % 2 = 0 then 'note; ' else '' end || 'c1; c2; c3' as other_conditions
+from orders left join n on l_orderkey = o_orderkey where o_orderstatus <> 'P'
+""",
+)
+def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat export rows."""
+    rec = order_records(spark, sf_dir).withColumn("school_name", F.col("school_id"))
+    return records.export_rows(records.export_record(rec)).select(
+        F.col("school_name").alias("school_id"), "label", "chinese", "other_conditions"
+    )
