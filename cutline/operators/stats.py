@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import c
+from ..functions.expr import c, let
 from .scans import global_rank, top_per_key
 
 
@@ -55,6 +55,35 @@ def cutoff_stats(df: DataFrame, keys: Sequence[str], year: str, cutoff: str, yea
     )
 
 
+def sorted_median(values: Column) -> Column:
+    """Median of a short array; nulls are skipped, an empty array gives null."""
+
+    def middle(a: Column) -> Column:
+        n = F.size(a)
+        half = F.floor((n - 1) / 2).cast("int")
+        return F.when(n > 0, (F.get(a, half) + F.get(a, F.floor(n / 2).cast("int"))) / 2)
+
+    return let(F.array_sort(F.array_compact(values)), middle)
+
+
+def cutoff_frame(df: DataFrame, keys: Sequence[str], year: Column | str, cutoff: Column, years: Sequence[int]) -> DataFrame:
+    """A5 over a fixed set of years: ``cutoff`` is folded per year as conditional minima.
+
+    One shuffle with map-side combine: the years are columns, not rows, until the
+    aggregate is done.
+    """
+    y = c(year)
+    named = {int(v): f"y{int(v)}" for v in years}
+    per_year = df.groupBy(*keys).agg(*[F.round(F.min(F.when(y == v, cutoff)), 4).alias(n) for v, n in named.items()])
+    values = F.array(*[F.col(n) for n in named.values()])
+    return (
+        per_year.withColumn("median_cutoff", sorted_median(values))
+        .withColumn("max_cutoff", F.array_max(values))
+        .withColumn("n_years", F.size(F.array_compact(values)).cast("bigint"))
+        .filter(F.col("n_years") > 0)
+    )
+
+
 def selectivity(df: DataFrame, school: str, median: str = "median_cutoff", most: int = 10) -> DataFrame:
     """Median of the ``most`` smallest programme medians of each institution."""
     top = top_per_key(df.filter(F.col(median).isNotNull()), [school], [F.col(median).asc()], most)

@@ -25,18 +25,18 @@ def yearly_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_shipdate", "l_discount")
     years = latest_years(li, F.year("l_shipdate"))
     # A range on the date column reaches the parquet scan; year(...) alone would not.
-    recent = li.filter(F.col("l_shipdate") >= F.lit(f"{years[0]}-01-01").cast("timestamp"))
+    recent = li.filter(F.col("l_shipdate") >= F.lit(f"{years[0]}-01-01").cast("timestamp_ntz"))
     return recent.groupBy("l_suppkey", "l_partkey", F.year("l_shipdate").alias("year")).agg(
         F.round(F.min("l_discount") * 100, 4).alias("cutoff")
     )
 
 
 def program_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return yearly_cutoffs(spark, sf_dir).groupBy("l_suppkey", "l_partkey").agg(
-        F.median("cutoff").alias("median_cutoff"),
-        F.max("cutoff").alias("max_cutoff"),
-        F.count(F.lit(1)).alias("n_years"),
-    )
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_shipdate", "l_discount")
+    years = latest_years(li, F.year("l_shipdate"))
+    recent = li.filter(F.col("l_shipdate") >= F.lit(f"{years[0]}-01-01").cast("timestamp_ntz"))
+    framed = stats.cutoff_frame(recent, ["l_suppkey", "l_partkey"], F.year("l_shipdate"), F.col("l_discount") * 100, years)
+    return framed.select("l_suppkey", "l_partkey", "median_cutoff", "max_cutoff", "n_years")
 
 
 _MEDIANS = """
@@ -212,7 +212,7 @@ t as (
 def sieve_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]:
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     years = latest_years(orders, F.year("o_orderdate"))
-    recent = orders.filter(F.col("o_orderdate") >= F.lit(f"{years[0]}-01-01").cast("timestamp"))
+    recent = orders.filter(F.col("o_orderdate") >= F.lit(f"{years[0]}-01-01").cast("timestamp_ntz"))
     per_year = recent.groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(
         (F.floor(F.max("o_totalprice")) % 31).cast("int").alias("need1"),
         (F.floor(F.min("o_totalprice")) % 28).cast("int").alias("need2"),
@@ -399,7 +399,7 @@ def compose_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(code, F.lit("2")).alias("program_code"),
         F.lit(None).cast("array<struct<subject:string,standard:string,multiplier:string>>").alias("stage1"),
     )
-    recent = li.filter(F.col("l_shipdate") >= F.lit(f"{years[0]}-01-01").cast("timestamp"))
+    recent = li.filter(F.col("l_shipdate") >= F.lit(f"{years[0]}-01-01").cast("timestamp_ntz"))
     year = F.year("l_shipdate").alias("year")
     star = recent.filter("l_returnflag <> 'R'").groupBy(F.col("l_partkey").cast("string").alias("program_code"), year).agg(
         F.min("l_discount").alias("cutoff")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..functions.expr import alternation, text
-from ..operators import bands, filters, majors, ordering, records, scans, stats
-from ..session import table
+from ..functions.expr import text
+from ..operators import bands, filters, ordering, records, scans, stats
+from ..session import epoch_seconds, table
 from . import query
 from .lookups import event_records
 
@@ -54,7 +54,7 @@ from i group by 1, 2
 def coalesce_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activity spans merged with ten minutes of slack, in day slices."""
     ev = table(spark, sf_dir, "events")
-    start = F.unix_seconds("ts")
+    start = epoch_seconds("ts")
     rows = ev.select("user_id", start.alias("start"), (start + F.floor(F.col("value") * 60)).alias("end"))
     return scans.coalesce_intervals(rows, ["user_id"], "start", "end", 600, width=86400)
 
@@ -114,7 +114,7 @@ group by 1, 2, 3
 def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words within a band of each anchor line, counted per column; copies folded first."""
     ev = table(spark, sf_dir, "events")
-    second = F.unix_seconds("ts") % 86400
+    second = epoch_seconds("ts") % 86400
     words = ev.filter("event_type <> 'purchase'").select("user_id", F.col("value").alias("word_y"), second.alias("x"))
     anchors = ev.filter("event_type = 'purchase'").select("user_id", F.col("value").alias("anchor_y"))
     out = bands.band_counts(anchors, words, ["user_id"], "anchor_y", "word_y", "x", 0.25, [0, 21600, 43200, 64800])
@@ -123,16 +123,24 @@ def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "anchor_dedupe",
-    None,
+    """
+with r as (
+  select cast(cast(ts as date) as varchar) as page, user_id as code, cast(floor(value) as double) as y0,
+    cast(cast(floor(epoch(ts)) as bigint) % 3600 as double) as x0, value as yc from events),
+f as (select page, code, y0, min(x0) as x0, arg_min(yc, x0) as yc from r group by 1, 2, 3),
+l as (select page, code, list(struct_pack(y0 := y0, x0 := x0, yc := yc) order by y0, x0) as ws from f group by 1, 2),
+p as (select page, code, list_reduce(ws, lambda a, w: case when abs(w.y0 - a.y0) <= 3 and w.x0 < a.x0 then w else a end) as w from l)
+select page, code, w.y0 as y0, w.x0 as x0, w.yc as yc from p
+""",
 )
 def anchor_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chained top-left pick per (page, code); an ordered fold, so no SQL."""
+    """Chained top-left pick per (page, code)."""
     ev = table(spark, sf_dir, "events")
     rows = ev.select(
-        F.date_format("ts", "yyyy-MM-dd").alias("page"),
+        F.col("ts").cast("date").cast("string").alias("page"),
         F.col("user_id").alias("code"),
         F.floor("value").cast("double").alias("y0"),
-        (F.unix_seconds("ts") % 3600).cast("double").alias("x0"),
+        (epoch_seconds("ts") % 3600).cast("double").alias("x0"),
         F.col("value").alias("yc"),
     )
     return bands.dedupe_anchors(rows, ["page"], "code")

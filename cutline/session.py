@@ -60,3 +60,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def epoch_seconds(col: str):
+    """Whole seconds since 1970 of a zone-less timestamp column, whatever the session time zone."""
+    from pyspark.sql import functions as F
+
+    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {col})")
