@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import vocab as V
-from ..functions.expr import blank_to_null, c, contains_any, strip, text
+from ..functions.expr import blank_to_null, c, contains_any, let, strip, text
 from ..functions.urls import host, image_candidates, resolve_url
 from ..functions.values import code_token
 from .scans import top_per_key
@@ -61,25 +61,35 @@ def _element(html: Column, opening: str) -> Column:
 
     The closing tag is found by counting nested tags of the same name.
     """
-    head = F.regexp_extract(html, opening, 0)
-    name = F.lower(F.regexp_extract(head, r"<(\w+)", 1))
-    rest = html.substr(F.locate(head, html) + F.length(head), F.length(html))
-    pieces = F.regexp_extract_all(rest, F.concat(F.lit("(?is)(.*?</?"), name, F.lit(r"\b[^>]*>)")), F.lit(1))
+    parts = F.struct(
+        F.lower(F.regexp_extract(F.regexp_extract(html, opening, 0), r"<(\w+)", 1)).alias("name"),
+        F.regexp_extract(html, opening + "(.*)$", 1).alias("rest"),
+    )
     state = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("close"))
 
     def walk(acc: Column, piece: Column) -> Column:
+        def moved(tag: Column) -> Column:
+            depth = acc["depth"] + F.when(tag.startswith("</"), -1).otherwise(1)
+            return F.struct(
+                depth.cast("int").alias("depth"),
+                (acc["n"] + F.length(piece)).cast("int").alias("n"),
+                F.when(depth == 0, F.length(tag)).otherwise(0).cast("int").alias("close"),
+            )
+
         tag = F.regexp_extract(piece, r"(?s)(</?\w+\b[^>]*>)$", 1)
-        depth = acc["depth"] + F.when(tag.startswith("</"), -1).otherwise(1)
-        moved = F.struct(
-            depth.cast("int").alias("depth"),
-            (acc["n"] + F.length(piece)).cast("int").alias("n"),
-            F.when(depth == 0, F.length(tag)).otherwise(0).cast("int").alias("close"),
+        return F.when(acc["depth"] == 0, acc).otherwise(let(tag, moved))
+
+    def inside(x: Column) -> Column:
+        pieces = F.regexp_extract_all(
+            x["rest"], F.concat(F.lit("(?is)(.*?</?"), x["name"], F.lit(r"\b[^>]*>)")), F.lit(1)
+        )
+        cut = let(
+            F.aggregate(pieces, state, walk),
+            lambda end: F.when(end["depth"] == 0, x["rest"].substr(F.lit(1), end["n"] - end["close"])).otherwise(x["rest"]),
         )
-        return F.when(acc["depth"] == 0, acc).otherwise(moved)
+        return F.when(x["name"] != "", cut)
 
-    end = F.aggregate(pieces, state, walk)
-    inside = F.when(end["depth"] == 0, rest.substr(F.lit(1), end["n"] - end["close"])).otherwise(rest)
-    return F.when(head != "", inside)
+    return let(parts, inside)
 
 
 def _opening(selector: str) -> str:

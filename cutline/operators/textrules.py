@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.expr import alternation, blank_to_null, count_words, no_space, parens, strip, text
+from ..functions.expr import alternation, blank_to_null, count_words, let, no_space, parens, strip, text
 from ..functions.standards import detect_standard, extraction_has_requirements
 from ..functions.text import MATH_PAIR, choice_subjects, has_choice
 
@@ -87,13 +87,28 @@ def _suffix_standard(phrase: Column, standards: Sequence[str]) -> Column:
 def listed_standards(subjects: Column, value: Column, vocab: RuleVocabulary = DEFAULT) -> Column:
     """The last "A, B reach X" phrase per subject overwrites standard and score."""
     phrases = F.regexp_extract_all(value, F.lit(vocab.list_pattern()), F.lit(0))
-    fields = []
-    for key in KEYS:
-        words = _words_of(vocab, key)
-        last = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(phrases, lambda p: _hit(p, words))), -1)
-        std = _suffix_standard(last, vocab.standards)
-        fields.append(F.when(last.isNotNull(), _pick(std, F.lit(None))).otherwise(subjects[key]).alias(key))
-    return F.struct(*fields)
+    start = F.array(F.lit(None).cast("string"))
+
+    def last_of(ph: Column) -> Column:
+        return F.struct(
+            *[F.element_at(F.concat(start, F.filter(ph, _naming(_words_of(vocab, k)))), -1).alias(k) for k in KEYS]
+        )
+
+    def overwritten(last: Column) -> Column:
+        return F.struct(
+            *[
+                F.when(last[k].isNotNull(), _pick(_suffix_standard(last[k], vocab.standards), F.lit(None)))
+                .otherwise(subjects[k])
+                .alias(k)
+                for k in KEYS
+            ]
+        )
+
+    return let(let(phrases, last_of), overwritten)
+
+
+def _naming(words: Sequence[str]):
+    return lambda p: _hit(p, words)
 
 
 def _raise(cur: Column, std: Column, vocab: RuleVocabulary) -> Column:
@@ -112,31 +127,43 @@ def choice_matches(value: Column, vocab: RuleVocabulary = DEFAULT) -> Column:
 def choice_standards(subjects: Column, context: Column, vocab: RuleVocabulary = DEFAULT) -> Column:
     """Any-of standards from phrases; from the whole context when no phrase applies;
     a lone maths standard is copied to its pair."""
-    matches = F.filter(choice_matches(no_space(context), vocab), lambda m: F.size(m["keys"]) > 0)
-    applied = F.size(matches) > 0
-    keys = vocab.detect(context)
-    first = F.coalesce(*[blank_to_null(subjects[k]["standard"]) for k in KEYS])
-    std = strip(F.coalesce(vocab.detect_standard(context), first))
     prefix = vocab.any_prefix
-    base = F.when(std.startswith(prefix), std.substr(len(prefix) + 1, 1 << 20)).otherwise(std)
-    usable = std.isNotNull() & vocab.has_choice(context)
-    standards = {}
-    for key in KEYS:
-        cur = subjects[key]["standard"]
-        folded = F.aggregate(
-            matches,
-            cur.cast("string"),
-            lambda acc, m: F.when(F.array_contains(m["keys"], key), _raise(acc, m["std"], vocab)).otherwise(acc),
-        )
-        loose = F.when(usable & F.array_contains(keys, key), _raise(cur, base, vocab)).otherwise(cur)
-        standards[key] = F.when(applied, folded).otherwise(loose)
-    out = {k: _pick(standards[k], subjects[k]["min_score"]) for k in KEYS}
-    if vocab.pair_pattern:
-        both = context.rlike(vocab.pair_pattern) & vocab.has_choice(context)
-        ma, mb = blank_to_null(standards["math_a"]), blank_to_null(standards["math_b"])
-        out["math_a"] = F.when(both & ma.isNull() & mb.isNotNull(), _pick(mb, F.lit(None))).otherwise(out["math_a"])
-        out["math_b"] = F.when(both & mb.isNull() & ma.isNotNull(), _pick(ma, F.lit(None))).otherwise(out["math_b"])
-    return F.struct(*[out[k].alias(k) for k in KEYS])
+    first = F.coalesce(*[blank_to_null(subjects[k]["standard"]) for k in KEYS])
+    facts = F.struct(
+        F.filter(choice_matches(no_space(context), vocab), lambda m: F.size(m["keys"]) > 0).alias("matches"),
+        vocab.detect(context).alias("keys"),
+        strip(F.coalesce(vocab.detect_standard(context), first)).alias("std"),
+        vocab.has_choice(context).alias("choice"),
+    )
+
+    def folded(x: Column) -> Column:
+        std = x["std"]
+        base = F.when(std.startswith(prefix), std.substr(len(prefix) + 1, 1 << 20)).otherwise(std)
+        fields = []
+        for key in KEYS:
+            cur = subjects[key]["standard"].cast("string")
+            by_phrase = F.aggregate(x["matches"], cur, _fold_phrase(key, vocab))
+            loose = F.when(
+                std.isNotNull() & x["choice"] & F.array_contains(x["keys"], key), _raise(cur, base, vocab)
+            ).otherwise(cur)
+            fields.append(F.when(F.size(x["matches"]) > 0, by_phrase).otherwise(loose).alias(key))
+        return F.struct(*fields, x["choice"].alias("choice"))
+
+    def paired(x: Column) -> Column:
+        out = {k: _pick(x[k], subjects[k]["min_score"]) for k in KEYS}
+        if vocab.pair_pattern:
+            both = x["choice"] & context.rlike(vocab.pair_pattern)
+            ma, mb = blank_to_null(x["math_a"]), blank_to_null(x["math_b"])
+            copy = {"math_a": (ma.isNull() & mb.isNotNull(), mb), "math_b": (mb.isNull() & ma.isNotNull(), ma)}
+            for key, (lone, std) in copy.items():
+                out[key] = F.when(both & lone, _pick(std, F.lit(None))).otherwise(out[key])
+        return F.struct(*[out[k].alias(k) for k in KEYS])
+
+    return let(let(facts, folded), paired)
+
+
+def _fold_phrase(key: str, vocab: RuleVocabulary):
+    return lambda acc, m: F.when(F.array_contains(m["keys"], key), _raise(acc, m["std"], vocab)).otherwise(acc)
 
 
 def minimum_scores(subjects: Column, value: Column, vocab: RuleVocabulary = DEFAULT) -> Column:
@@ -147,13 +174,19 @@ def minimum_scores(subjects: Column, value: Column, vocab: RuleVocabulary = DEFA
         numbers = F.regexp_extract_all(value, F.lit(pattern), F.lit(2))
         pairs.append(F.zip_with(names, numbers, lambda a, b: F.struct(a.alias("w"), b.cast("int").alias("n"))))
     usable = F.filter(F.concat(*pairs), lambda p: p["n"].between(1, 15))
-    fields = []
-    for key in KEYS:
-        words = _words_of(vocab, key)
-        mine = F.filter(usable, lambda p: p["w"].isin(words))
-        last = F.get(mine, F.size(mine) - 1)["n"]
-        fields.append(_pick(subjects[key]["standard"], F.coalesce(last, subjects[key]["min_score"])).alias(key))
-    return F.struct(*fields)
+
+    def scored(found: Column) -> Column:
+        fields = []
+        for key in KEYS:
+            last = let(F.filter(found, _worded(_words_of(vocab, key))), lambda m: F.get(m, F.size(m) - 1)["n"])
+            fields.append(_pick(subjects[key]["standard"], F.coalesce(last, subjects[key]["min_score"])).alias(key))
+        return F.struct(*fields)
+
+    return let(usable, scored)
+
+
+def _worded(words: Sequence[str]):
+    return lambda p: p["w"].isin(words)
 
 
 def empty_subjects() -> Column:

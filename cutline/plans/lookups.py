@@ -36,8 +36,11 @@ qual as (
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_records_of(table(spark, sf_dir, "events"))
+
+
+def event_records_of(ev: DataFrame) -> DataFrame:
     """Events as harvested result versions: state, confidence, source and length per version."""
-    ev = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     rec = ev.select("event_id", "user_id", "event_type", "value", k.alias("k"))
     k, kind = F.col("k"), F.col("event_type")

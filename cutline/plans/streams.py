@@ -1 +1,71 @@
-"""Plans."""
+"""Streaming forms over the event files, drained with ``availableNow``."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import table
+from ..streaming import VersionedState, keep_best_stream, read_stream, sessions, status_counts, stream_dir
+from . import query
+from .lookups import KEEP_BEST_SQL, event_order, event_records_of
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return read_stream(spark, sf_dir, schema, "events.parquet")
+
+
+def _drain(df: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run the stream to its end into parquet versions and return the last one."""
+    spark = df.sparkSession
+    state = VersionedState(spark, f"{folder}/out")
+    q = (
+        df.writeStream.outputMode(mode)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .foreachBatch(lambda batch, i: state.write(batch, i))
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return state.latest()
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return stream_dir(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@query("stream_status", "select event_type, count(*) as n from events group by 1")
+def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2."""
+    return _drain(status_counts(_events(spark, sf_dir), "event_type"), "complete", _folder(spark, "status"))
+
+
+@query("stream_keep_best", KEEP_BEST_SQL)
+def stream_keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1: incremental keep-best equals the batch result."""
+    folder = _folder(spark, "best")
+    state = VersionedState(spark, f"{folder}/state")
+    stream = event_records_of(_events(spark, sf_dir))
+    q = keep_best_stream(stream, state, ["user_id"], event_order(), f"{folder}/checkpoint")
+    q.awaitTermination()
+    return state.latest().select("user_id", "event_id", "status")
+
+
+@query(
+    "stream_sessions",
+    """
+with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) > interval 90 minutes then 1 else 0 end as brk from events),
+i as (select *, sum(brk) over (partition by user_id order by ts, event_id) as isl from g)
+select user_id, cast(floor(epoch(min(ts))) as bigint) as start_s, count(*) as n from i group by user_id, isl
+""",
+)
+def session_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST3 in batch form over the same definition the stream uses: session windows per user."""
+    ev = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = sessions(ev, ["user_id"], "ts", "90 minutes")
+    shift = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(start as timestamp_ntz))")
+    return out.select("user_id", shift.alias("start_s"), "n")
+

@@ -442,7 +442,7 @@ l as (select doc_id, string_split(regexp_replace(s, '^\\(?[一二三四五六七
 u as (select doc_id, trim(unnest(l), E' \\t\\n\\r') as tok, generate_subscripts(l, 1) as i from l),
 f as (select doc_id, tok, min(i) as i from u where tok <> '' group by 1, 2),
 r as (select *, row_number() over (partition by doc_id order by i) as rn from f)
-select doc_id, count(*) as n_tokens, sum(length(tok)) as chars, max(tok) filter (rn = 1) as first_token
+select doc_id, count(*) as n_tokens, cast(sum(length(tok)) as bigint) as chars, max(tok) filter (rn = 1) as first_token
 from r group by 1
 """,
 )
