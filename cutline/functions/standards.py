@@ -13,15 +13,39 @@ def parse_standard(std: Column | str, ranks: dict[str, int] = V.STANDARD_RANK) -
     """SF1: struct(rank, any, base) of a requirement standard such as ``任一均标以上``."""
 
     def parse(raw: Column) -> Column:
+        # The patterns only run on the few values that need them.
+        body = (
+            F.when(raw.startswith("任一"), raw.substr(3, 1 << 20))
+            .when(raw.startswith("任何一"), F.regexp_replace(raw, "^任何一(?:科|門|门|項|项)?", ""))
+            .otherwise(raw)
+        )
         is_any = raw.startswith("任一") | raw.startswith("任何一")
-        body = F.regexp_replace(raw, "^(?:任一|任何一(?:科|門|门|項|项)?)", "")
-        base = strip(F.regexp_replace(body, "(级以上|級以上|以上)$", ""))
-        return F.struct(is_any.alias("any"), base.alias("base"))
+        return F.struct(is_any.alias("any"), body.alias("body"))
+
+    def bare(x: Column) -> Column:
+        base = F.when(x["body"].endswith("以上"), strip(F.regexp_replace(x["body"], "(级以上|級以上|以上)$", "")))
+        return F.struct(x["any"].alias("any"), F.coalesce(base, strip(x["body"])).alias("base"))
 
     def ranked(x: Column) -> Column:
         return F.struct(lookup(x["base"], ranks).alias("rank"), x["any"].alias("any"), x["base"].alias("base"))
 
-    return let(let(strip(text(std)), parse), ranked)
+    # The usual spellings are looked up; only unusual ones are taken apart.
+    pairs = []
+    for word, rank in ranks.items():
+        for prefix in ("", "任一"):
+            for suffix in ("", "以上", "级以上"):
+                known = F.struct(
+                    F.lit(rank).alias("rank"), F.lit(prefix != "").alias("any"), F.lit(word).alias("base")
+                )
+                pairs += [F.lit(prefix + word + suffix), known]
+    usual = F.create_map(*pairs)
+    absent = F.struct(F.lit(None).cast("int").alias("rank"), F.lit(False).alias("any"), F.lit("").alias("base"))
+
+    def read(raw: Column) -> Column:
+        unusual = let(let(let(raw, parse), bare), ranked)
+        return F.when(raw == "", absent).otherwise(F.coalesce(F.element_at(usual, raw), unusual))
+
+    return let(strip(text(std)), read)
 
 
 def standard_rank(std: Column | str) -> Column:

@@ -166,7 +166,7 @@ def _resolved(b: Column, h: Column) -> Column:
     joined = F.concat(folder, h)
     tidy = F.regexp_replace(joined, r"/\./", "/")
     for _ in range(4):
-        tidy = F.regexp_replace(tidy, r"(://[^/]+(?:/[^/?#]+)*?)/(?!\.\.)[^/?#]+/\.\./", "$1/")
+        tidy = F.regexp_replace(tidy, r"(?<!/)/(?!\.\./)[^/?#]+/\.\./", "/")
     return (
         F.when(h == "", b)
         .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)

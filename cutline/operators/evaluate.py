@@ -78,7 +78,7 @@ def merge_groups(*lists: Column) -> Column:
 
 
 def user_ranks(profile: Mapping[str, str] | Column | str) -> Column:
-    """Candidate standards to ranks in subject order; null where none is given."""
+    """Candidate standards (a dict or a struct column) to ranks in subject order; null where none is given."""
     if isinstance(profile, Mapping):
         ranks = [V.STANDARD_RANK.get((profile.get(k) or "").strip()) for k in KEYS]
         return F.array(*[F.lit(r).cast("int") for r in ranks])
@@ -94,17 +94,18 @@ def _index_groups(groups: Column | None) -> Column:
     return F.transform(named, lambda g: F.transform(g, lambda k: lookup(k, index)))
 
 
-def _prepared(reqs: Column, groups: Column | None, profile) -> Column:
-    """Struct of ranks in subject order and the any-of targets as 0-based indexes.
+def prepare(reqs: Column, groups: Column | None) -> Column:
+    """Requirement row as small integers, without the candidate: ranks in subject order,
+    any-of targets and the remaining subjects as 0-based indexes.
 
-    Steps are bound with ``let`` instead of helper columns: a filter on the result is
-    pushed below the projection, and helper columns would multiply there.
+    Compute it on the requirement table before candidates are joined. Steps are bound
+    with ``let`` instead of helper columns: a filter on a result is pushed below the
+    projection, and helper columns would multiply there.
     """
     base = F.struct(
         F.transform(F.array(*[reqs[k]["standard"] for k in KEYS]), lambda s: parse_standard(s)).alias("p"),
         F.array(*[F.coalesce(is_present(reqs[k]), F.lit(False)) for k in KEYS]).alias("has"),
         F.array(*[F.coalesce(reqs[k]["min_score"], F.lit(0)) != 0 for k in KEYS]).alias("ms"),
-        user_ranks(profile).alias("ur"),
         _index_groups(groups).alias("g"),
     )
 
@@ -125,7 +126,6 @@ def _prepared(reqs: Column, groups: Column | None, profile) -> Column:
             x["has"].alias("has"),
             F.exists(x["has"], lambda h: h).alias("any_req"),
             F.exists(x["ms"], lambda h: h).alias("scored"),
-            x["ur"].alias("ur"),
             F.concat(x["g"], added).alias("g"),
         )
 
@@ -133,7 +133,7 @@ def _prepared(reqs: Column, groups: Column | None, profile) -> Column:
         targets = F.filter(
             F.transform(x["g"], lambda g: F.filter(g, lambda k: F.get(x["has"], k))), lambda t: F.size(t) > 0
         )
-        return F.struct(*[x[n].alias(n) for n in ("rr", "any_req", "scored", "ur", "has")], targets.alias("t"))
+        return F.struct(*[x[n].alias(n) for n in ("rr", "any_req", "scored", "has")], targets.alias("t"))
 
     def with_rest(x: Column) -> Column:
         """Subjects outside every group that carry a readable standard, in subject order."""
@@ -144,13 +144,18 @@ def _prepared(reqs: Column, groups: Column | None, profile) -> Column:
             & F.get(x["rr"], k).isNotNull()
             & ~F.coalesce(F.array_contains(used, k), F.lit(False)),
         )
-        return F.struct(*[x[n].alias(n) for n in ("rr", "any_req", "scored", "ur", "t")], rest.alias("rest"))
+        return F.struct(*[x[n].alias(n) for n in ("rr", "any_req", "scored", "t")], rest.alias("rest"))
 
     return let(let(let(base, with_pair), with_targets), with_rest)
 
 
-def match_of(reqs: Column, groups: Column | None, profile, include_unknown: bool = False) -> Column:
-    """struct(status, fit, reason) of a requirement row; smaller fit is closer (Q2-Q4)."""
+def _meet(prepared: Column, ranks: Column) -> Column:
+    return F.struct(*[prepared[n].alias(n) for n in ("rr", "any_req", "scored", "t", "rest")], ranks.alias("ur"))
+
+
+def match_of(prepared: Column, ranks: Column, include_unknown: bool = False) -> Column:
+    """struct(status, fit, reason) of a prepared row and a candidate's ranks; smaller fit
+    is closer (Q2-Q4)."""
     unk = F.lit(include_unknown)
     names = F.array(*[F.lit(k) for k in KEYS])
 
@@ -206,13 +211,13 @@ def match_of(reqs: Column, groups: Column | None, profile, include_unknown: bool
             .otherwise(passed)
         )
 
-    return let(let(let(_prepared(reqs, groups, profile), tested), first_bad), verdict)
+    return let(let(let(let(prepared, lambda p: _meet(p, ranks)), tested), first_bad), verdict)
 
 
 GAP_DETAIL = "array<struct<kind:string,key:string,required:int,user:int,deficit:int>>"
 
 
-def gap_of(reqs: Column, groups: Column | None, profile) -> Column:
+def gap_of(prepared: Column, ranks: Column) -> Column:
     """struct(status, max_deficit, details, reason): what a failing row is short of."""
     names = F.array(*[F.lit(k) for k in KEYS])
 
@@ -281,7 +286,7 @@ def gap_of(reqs: Column, groups: Column | None, profile) -> Column:
             .otherwise(known)
         )
 
-    return let(let(let(_prepared(reqs, groups, profile), tested), collected), verdict)
+    return let(let(let(let(prepared, lambda p: _meet(p, ranks)), tested), collected), verdict)
 
 
 def evaluate_rows(
@@ -293,7 +298,8 @@ def evaluate_rows(
     out: str = "match",
 ) -> DataFrame:
     """E2 as a column of the rows."""
-    return df.withColumn(out, match_of(F.col(reqs), F.col(groups) if groups else None, profile, include_unknown))
+    prepared = prepare(F.col(reqs), F.col(groups) if groups else None)
+    return df.withColumn(out, match_of(prepared, user_ranks(profile), include_unknown))
 
 
 def gap_rows(
@@ -304,7 +310,8 @@ def gap_rows(
     out: str = "gap",
 ) -> DataFrame:
     """E3 as a column of the rows."""
-    return df.withColumn(out, gap_of(F.col(reqs), F.col(groups) if groups else None, profile))
+    prepared = prepare(F.col(reqs), F.col(groups) if groups else None)
+    return df.withColumn(out, gap_of(prepared, user_ranks(profile)))
 
 
 # ---- programme side -------------------------------------------------------------

@@ -44,7 +44,9 @@ class RuleVocabulary:
 
     def list_pattern(self) -> str:
         s = alternation(self.subjects)
-        return f"(?:{s})(?:{self.joins}(?:{s}))*{self.reach}(?:{alternation(self.standards)})"
+        # The possessive loop keeps no backtracking state, so a long list in a junk text
+        # cannot exhaust the stack; nothing is lost because no list item starts like ``reach``.
+        return f"(?:{s})(?:{self.joins}(?:{s}))*+{self.reach}(?:{alternation(self.standards)})"
 
     def choice_pattern(self) -> str:
         return (
@@ -168,11 +170,21 @@ def _fold_phrase(key: str, vocab: RuleVocabulary):
 
 def minimum_scores(subjects: Column, value: Column, vocab: RuleVocabulary = DEFAULT) -> Column:
     """Scores 1-15; the second, wider pattern runs after the first, later matches win (Q12)."""
-    pairs = []
-    for pattern in vocab.score_patterns():
-        names = F.regexp_extract_all(value, F.lit(pattern), F.lit(1))
-        numbers = F.regexp_extract_all(value, F.lit(pattern), F.lit(2))
-        pairs.append(F.zip_with(names, numbers, lambda a, b: F.struct(a.alias("w"), b.cast("int").alias("n"))))
+    s, unit = alternation(vocab.subjects), vocab.unit
+    close, wide = vocab.score_patterns()
+    # Past the last number no match can end; without that tail every scan is linear.
+    upto = F.regexp_extract(value, f"(?s)^(.*[0-9]{unit})", 1)
+
+    def pairs_of(source: Column, pattern: str, tail: str) -> Column:
+        return F.transform(
+            F.regexp_extract_all(source, F.lit(pattern), F.lit(0)),
+            lambda m: F.struct(
+                F.regexp_extract(m, f"^({s})", 1).alias("w"),
+                F.regexp_extract(m, f"([0-9]{{1,2}}){tail}$", 1).cast("int").alias("n"),
+            ),
+        )
+
+    pairs = [pairs_of(value, close, vocab.unit_full), pairs_of(upto, wide, unit)]
     usable = F.filter(F.concat(*pairs), lambda p: p["n"].between(1, 15))
 
     def scored(found: Column) -> Column:

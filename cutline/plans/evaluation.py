@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import standards, vocab as V
 from ..functions.expr import array_of
 from ..operators import evaluate, filters, stats
-from ..session import table
+from ..session import spread_table, table
 from . import query
 
 KEYS = V.SUBJECT_KEYS
@@ -25,7 +25,7 @@ def word(rank: Column) -> Column:
 
 def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirement rows out of ``part``: E1 inheritance, any-of prefixes and some score requirements."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    part = spread_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     key = F.col("p_partkey")
     row_std, row_score, gen_std = {}, {}, {}
     for i, (k, m) in enumerate(zip(KEYS, FACTORS), start=1):
@@ -210,16 +210,14 @@ def eval_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("o_custkey", "l_partkey")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    # Requirement rows are parsed once per row, not once per application.
+    rows = part_rows(spark, sf_dir)
+    prepared = evaluate.prepare(F.col("reqs"), F.col("choice_groups"))
+    rows = rows.select("p_partkey", prepared.alias("prepared"))
     cust = F.col("o_custkey")
-    user = F.struct(
-        *[
-            word(F.nullif(((cust * m) % 6).cast("int"), F.lit(0))).alias(k)
-            for k, m in zip(KEYS, FACTORS)
-        ]
-    )
-    rows = part_rows(spark, sf_dir).select("p_partkey", "reqs", "choice_groups")
-    joined = pairs.withColumn("user", user).join(rows, F.col("l_partkey") == F.col("p_partkey"))
-    done = evaluate.evaluate_rows(joined, "user", include_unknown=True)
+    ranks = F.array(*[F.nullif(((cust * m) % 6).cast("int"), F.lit(0)) for m in FACTORS])
+    joined = pairs.join(rows, F.col("l_partkey") == F.col("p_partkey"))
+    done = joined.withColumn("match", evaluate.match_of(F.col("prepared"), ranks, include_unknown=True))
     s = F.col("match.status")
     return done.groupBy("o_custkey").agg(
         F.min(F.when(s == "pass", F.col("match.fit"))).alias("best_fit"),

@@ -9,7 +9,7 @@ from ..functions import text as T, urls
 from ..functions.expr import array_of, count_words
 from ..operators import filters, labels, majors, matching, pages, scans, textrules
 from ..operators.textrules import RuleVocabulary
-from ..session import table
+from ..session import spread_table, table
 from . import query
 
 # ---- keywords and evidence ----------------------------------------------------------------
@@ -29,7 +29,7 @@ from documents
 )
 def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E14, J15, SF13 over whole texts."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     groups = {"a": ["DE", "src1"], "b": ["x"]}
     return docs.select(
         "doc_id",
@@ -60,7 +60,7 @@ from s
 def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P15, P16, X17, X27."""
     signals = ["The", "and", "que", "die", "los"]
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     quality = table(spark, sf_dir, "labels").select("doc_id", "quality")
     rows = docs.join(quality, "doc_id", "left").withColumn("good", F.coalesce(F.col("quality") == 1, F.lit(False)))
     hits = count_words(F.regexp_replace("text", r"(?U)\s+", ""), signals)
@@ -111,7 +111,7 @@ select doc_id, item_id from d join b on (length(n) >= 4 and contains(t, n)) or (
 )
 def contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J8, SF15, SF16: which names occur in which texts; the strategy follows the checked size of the names."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.match_text("text").alias("t"))
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", T.match_text("text").alias("t"))
     names = table(spark, sf_dir, "benchmark").select("item_id", "text")
     aliases = names.select("item_id", F.explode(T.name_aliases("text")).alias("alias"))
     return matching.contains_join(docs, "doc_id", "t", aliases, "item_id", "alias")
@@ -130,7 +130,7 @@ from h
 )
 def domain_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J9, SF17: hosts equal to, below or above an authority domain, by two equi-joins."""
-    p = table(spark, sf_dir, "pages").select("page_id", "url", urls.host("url").alias("host"))
+    p = spread_table(spark, sf_dir, "pages").select("page_id", "url", urls.host("url").alias("host"))
     domains = p.filter(F.col("url").startswith("https://www.") | F.col("url").startswith("https://blog.")).select(
         urls.host("url", drop_www=True).alias("domain")
     )
@@ -156,7 +156,7 @@ from e
 )
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, JVM-side."""
-    return pages.page_text(table(spark, sf_dir, "pages"), "html", "main_text").select("page_id", "main_text")
+    return pages.page_text(spread_table(spark, sf_dir, "pages"), "html", "main_text").select("page_id", "main_text")
 
 
 _LINKS = """
@@ -201,7 +201,7 @@ select page_id, link_url, cast(score as integer) as score from (
 )
 def page_links_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X3, T3, SF20: links by additive score, best three of each page."""
-    links = pages.anchors(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    links = pages.anchors(spread_table(spark, sf_dir, "pages"), "page_id", "url", "html")
     scored = pages.scored_links(links, "page_id", LINK_RULES, F.col("link_text").contains("o"), threshold=3, top=3)
     return scored.select("page_id", "link_url", "score")
 
@@ -216,7 +216,7 @@ select page_id, min(pos) as pos, link_url from k group by 1, 3
 )
 def page_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attachment or keyword links, each URL once per page."""
-    links = pages.anchors(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    links = pages.anchors(spread_table(spark, sf_dir, "pages"), "page_id", "url", "html")
     kept = pages.attachment_links(links, "page_id", ["La"], [".doc"], ["th"])
     return kept.select("page_id", F.col("pos").cast("bigint").alias("pos"), "link_url")
 
@@ -231,7 +231,7 @@ where lower(regexp_extract(u, '^https?://([^/?#]*)', 1)) <> ''
 )
 def authority_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X25."""
-    p = table(spark, sf_dir, "pages")
+    p = spread_table(spark, sf_dir, "pages")
     return pages.authority_domains(p, F.concat("html", F.lit(" "), "url"))
 
 
@@ -253,7 +253,7 @@ from b
 )
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P14, SF17, SF21, SF32, SF33."""
-    p = table(spark, sf_dir, "pages").withColumn("k", F.col("page_id") % 4).withColumn("id", F.md5("url"))
+    p = spread_table(spark, sf_dir, "pages").withColumn("k", F.col("page_id") % 4).withColumn("id", F.md5("url"))
     k, url = F.col("k"), F.col("url")
     mixed = (
         F.when(k == 0, F.concat(F.lit(" 官网（"), url, F.lit(' "')))
@@ -285,7 +285,7 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("url_unwrap", "select page_id, url as target, case when page_id % 3 = 0 then 'https://x.org/ck/a?u=1' else url end as second from pages")
 def url_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF19: redirect links built from every page URL and taken apart again."""
-    p = table(spark, sf_dir, "pages")
+    p = spread_table(spark, sf_dir, "pages")
     b64 = F.rtrim(F.translate(F.base64(F.encode("url", "utf-8")), "+/\r\n", "-_"))
     b64 = F.regexp_replace(b64, "=+$", "")
     head = F.lit("https://www.bing.com/ck/a?!&p=1&u=")
@@ -401,7 +401,7 @@ select doc_id, {shown} as subjects from d
 @query("text_rules", _rule_sql())
 def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X13-X15, SF2, SF6: the rule chain over whole documents with a Latin vocabulary."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("none", textrules.empty_subjects())
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("none", textrules.empty_subjects())
     out = textrules.rule_subjects(docs, "none", "text", "subjects", LATIN_VOCABULARY)
     parts = []
     for key in LATIN.values():
@@ -427,7 +427,7 @@ def context_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         "国文任一；社会、自然择一；自然或社会之一",
         "国文与英文均需达标",
     ]
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     tail = F.get(array_of(tails), (F.col("doc_id") % 5).cast("int"))
     groups = docs.select("doc_id", T.context_groups(F.concat("text", tail)).alias("g"))
     shown = F.array_join(F.transform("g", lambda g: F.array_join(g, "+")), "|")
@@ -448,7 +448,7 @@ from r group by 1
 )
 def token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF9, W8: list tokens of whole documents, first occurrences."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.split_tokens("text").alias("toks"))
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", T.split_tokens("text").alias("toks"))
     rows = docs.withColumn("toks", F.array_distinct("toks")).filter(F.size("toks") > 0)
     total = F.aggregate("toks", F.lit(0).cast("bigint"), lambda a, t: a + F.length(t))
     return rows.select(
@@ -461,7 +461,7 @@ def major_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X8 over whole documents with a Latin vocabulary: windows after hint lines, section
     stops, fragment joining, ordered unique names with a cap. Checked against a plain
     Python walk in the tests."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", "text")
     lists = latin_majors(docs)
     return lists.select("doc_id", F.size("majors").alias("n"), F.array_join("majors", ",").alias("majors"))
 
@@ -498,7 +498,7 @@ from c
 )
 def section_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W14 inside every document: lines up to the first stop line after a hit line."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
     kept = scans.cut_lines(
         F.col("ls"), lambda x: x.contains("the"), lambda x: (F.length(x) < 200) & x.contains("ed")
     )
@@ -515,7 +515,7 @@ select page_id, case when page_id % 2 = 0 then url else 'none' end as first_url
 )
 def first_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF18."""
-    p = table(spark, sf_dir, "pages")
+    p = spread_table(spark, sf_dir, "pages")
     mixed = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" 见 "), "url", F.lit("）. ").substr(2, 1), F.lit("; more"))).otherwise(" none ")
     return p.select("page_id", T.first_url(mixed).alias("first_url"))
 
@@ -552,9 +552,9 @@ from x
 )
 def label_sync_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authority texts and domains to labels of every institution."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     bench = table(spark, sf_dir, "benchmark")
-    p = table(spark, sf_dir, "pages")
+    p = spread_table(spark, sf_dir, "pages")
     schools = bench.join(p.select(F.col("page_id").alias("item_id"), "url"), "item_id", "left").select(
         "item_id",
         F.col("text").alias("name"),
