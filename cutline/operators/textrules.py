@@ -88,6 +88,10 @@ def _suffix_standard(phrase: Column, standards: Sequence[str]) -> Column:
 
 def listed_standards(subjects: Column, value: Column, vocab: RuleVocabulary = DEFAULT) -> Column:
     """The last "A, B reach X" phrase per subject overwrites standard and score."""
+    return let(F.struct(subjects.alias("s"), value.alias("v")), lambda x: _listed(x["s"], x["v"], vocab))
+
+
+def _listed(subjects: Column, value: Column, vocab: RuleVocabulary) -> Column:
     phrases = F.regexp_extract_all(value, F.lit(vocab.list_pattern()), F.lit(0))
     start = F.array(F.lit(None).cast("string"))
 
@@ -129,6 +133,10 @@ def choice_matches(value: Column, vocab: RuleVocabulary = DEFAULT) -> Column:
 def choice_standards(subjects: Column, context: Column, vocab: RuleVocabulary = DEFAULT) -> Column:
     """Any-of standards from phrases; from the whole context when no phrase applies;
     a lone maths standard is copied to its pair."""
+    return let(F.struct(subjects.alias("s"), context.alias("c")), lambda x: _chosen(x["s"], x["c"], vocab))
+
+
+def _chosen(subjects: Column, context: Column, vocab: RuleVocabulary) -> Column:
     prefix = vocab.any_prefix
     first = F.coalesce(*[blank_to_null(subjects[k]["standard"]) for k in KEYS])
     facts = F.struct(
@@ -170,6 +178,10 @@ def _fold_phrase(key: str, vocab: RuleVocabulary):
 
 def minimum_scores(subjects: Column, value: Column, vocab: RuleVocabulary = DEFAULT) -> Column:
     """Scores 1-15; the second, wider pattern runs after the first, later matches win (Q12)."""
+    return let(F.struct(subjects.alias("s"), value.alias("v")), lambda x: _scored(x["s"], x["v"], vocab))
+
+
+def _scored(subjects: Column, value: Column, vocab: RuleVocabulary) -> Column:
     s, unit = alternation(vocab.subjects), vocab.unit
     close, wide = vocab.score_patterns()
     # Past the last number no match can end; without that tail every scan is linear.
@@ -343,27 +355,20 @@ def normalise_record(df, raw: str, out: str):
     context = F.concat_ws(" ", text(r["notes"]), F.array_join(F.coalesce(r["other_conditions"], empty), " "))
     general = choice_standards(ensure_subjects(r["general_requirements"]), context)
 
+    extras = ("math_requirement", "other_requirement", "requirement")
+
     def dept(d: Column) -> Column:
-        row_context = F.concat_ws(
-            " ",
-            text(d["subjects"]),
-            text(d["level"]),
-            text(d["notes"]),
-            text(d["standard"]),
-            d["math_requirement"],
-            d["other_requirement"],
-            d["requirement"],
-        )
+        parts = [text(d[n]) for n in ("subjects", "level", "notes", "standard")] + [d[n] for n in extras]
+        return let(F.concat_ws(" ", *parts), lambda row_context: in_context(d, row_context))
+
+    def in_context(d: Column, row_context: Column) -> Column:
         is_object = F.ltrim(text(d["subjects"])).startswith("{")
-        parsed = F.from_json(d["subjects"], SUBJECT_SCHEMA)
-        plain_text = d["subjects"].isNotNull() & ~is_object & ~text(d["subjects"]).isin("null")
-        std = detect_standard(row_context)
-        named = _named_subjects(empty_subjects(), choice_subjects(row_context, False), _any_if(std, row_context))
-        for extra in ("math_requirement", "other_requirement", "requirement"):
-            value = d[extra]
-            keys = F.when(value.isNotNull(), choice_subjects(value, False)).otherwise(empty)
-            named = _named_subjects(named, keys, _any_if(F.coalesce(detect_standard(value), std), value))
-        start = F.when(is_object, ensure_subjects(parsed)).when(plain_text, named).otherwise(empty_subjects())
+        plain_text = d["subjects"].isNotNull() & ~is_object & (d["subjects"] != "null")
+        start = (
+            F.when(is_object, ensure_subjects(F.from_json(d["subjects"], SUBJECT_SCHEMA)))
+            .when(plain_text, let(detect_standard(row_context), lambda std: named(d, row_context, std)))
+            .otherwise(empty_subjects())
+        )
         return F.struct(
             d["department"].alias("department"),
             choice_standards(start, row_context).alias("subjects"),
@@ -371,6 +376,15 @@ def normalise_record(df, raw: str, out: str):
             d["majors"].alias("majors"),
         )
 
+    def named(d: Column, row_context: Column, std: Column) -> Column:
+        """Subjects named in the row text, then those of the extra fields, later ones winning."""
+        steps = [F.struct(choice_subjects(row_context, False).alias("keys"), _any_if(std, row_context).alias("std"))]
+        for extra in extras:
+            keys = F.when(d[extra].isNotNull(), choice_subjects(d[extra], False)).otherwise(empty)
+            value = _any_if(F.coalesce(detect_standard(d[extra]), std), F.coalesce(d[extra], F.lit("")))
+            steps.append(F.struct(keys.alias("keys"), value.alias("std")))
+        return let(F.array(*steps), _last_named)
+
     depts = F.coalesce(F.transform(F.filter(r["department_requirements"], lambda d: d.isNotNull()), dept), F.array())
     return df.withColumn(
         out,
@@ -394,10 +408,11 @@ def _any_if(std: Column, context: Column) -> Column:
     return F.when(has_choice(context), F.concat(F.lit("任一"), strip(std))).otherwise(std)
 
 
-def _named_subjects(subjects: Column, keys: Column, std: Column) -> Column:
-    return F.struct(
-        *[
-            F.when(F.array_contains(keys, k), _pick(std, F.lit(None))).otherwise(subjects[k]).alias(k)
-            for k in KEYS
-        ]
-    )
+def _last_named(steps: Column) -> Column:
+    """The last step that names a subject gives its standard."""
+
+    def of(key: str) -> Column:
+        hits = F.filter(steps, lambda st: F.array_contains(st["keys"], key))
+        return _pick(let(hits, lambda h: F.get(h, F.size(h) - 1)["std"]), F.lit(None))
+
+    return F.struct(*[of(k).alias(k) for k in KEYS])
