@@ -331,47 +331,30 @@ def catalog_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "zip_lists",
     """
-with l as (
-  select o_custkey, list(o_orderpriority order by o_orderkey) as a,
-    list(o_orderstatus order by o_orderkey) filter (o_orderstatus <> 'P') as b
-  from orders group by 1)
-select o_custkey, cast(least(len(a), coalesce(len(b), 0)) as integer) as n_inner, cast(len(a) as integer) as n_left,
-  a[1] || '=' || b[1] as first_pair,
-  a[len(a)] || '=' || coalesce(case when len(b) >= len(a) then b[len(a)] end, 'none') as last_left
+with l as (select conv_id, turn, string_split(text, ' ') as a, string_split(text, '. ') as b from conversations)
+select conv_id, turn, cast(least(len(a), len(b)) as integer) as n_inner, cast(len(a) as integer) as n_left,
+  a[1] || '=' || b[1] as first_pair, a[len(a)] || '=' || coalesce(case when len(b) >= len(a) then b[len(a)] end, 'none') as last_left
 from l
 """,
 )
 def zip_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairing by position, truncating and padding.
-
-    A customer's orders are the positions of one list here; the lists are built with an
-    ordered aggregate because the operator works on list cells.
-    """
-    orders = table(spark, sf_dir, "orders")
-    pair = F.struct("o_orderkey", "o_orderpriority")
-    state = F.when(F.col("o_orderstatus") != "P", F.struct("o_orderkey", "o_orderstatus"))
-    rows = orders.groupBy("o_custkey").agg(
-        F.transform(F.sort_array(F.collect_list(pair)), lambda x: x["o_orderpriority"]).alias("a"),
-        F.transform(F.sort_array(F.collect_list(state)), lambda x: x["o_orderstatus"]).alias("b"),
-    )
-    inner = lookup.zip_inner("a", "b")
-    left = lookup.zip_left("a", "b")
-    rows = rows.select("o_custkey", "a", "b", inner.alias("i"), left.alias("l"))
+    """Pairing by position, truncating and padding, inside each row."""
+    conv = table(spark, sf_dir, "conversations")
+    rows = conv.select("conv_id", "turn", F.split("text", " ").alias("a"), F.split("text", r"\. ").alias("b"))
+    inner, left = lookup.zip_inner("a", "b"), lookup.zip_left("a", "b")
+    rows = rows.select("conv_id", "turn", inner.alias("i"), left.alias("l"))
     last = F.element_at("l", -1)
+    first_name, second_name = rows.schema["l"].dataType.elementType.fieldNames()
     return rows.select(
-        "o_custkey",
+        "conv_id",
+        "turn",
         F.size("i").alias("n_inner"),
         F.size("l").alias("n_left"),
         F.concat(F.get("i", F.lit(0))["a"], F.lit("="), F.get("i", F.lit(0))["b"]).alias("first_pair"),
-        F.concat(last[last_name(rows, 0)], F.lit("="), F.coalesce(last[last_name(rows, 1)], F.lit("none"))).alias("last_left"),
+        F.concat(last[first_name], F.lit("="), F.coalesce(last[second_name], F.lit("none"))).alias("last_left"),
     )
 
 
-def last_name(rows: DataFrame, i: int) -> str:
-    """Field names of a zipped list."""
-    return rows.schema["l"].dataType.elementType.fieldNames()[i]
-
-
 # ---- sets -----------------------------------------------------------------------------------
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..functions.expr import text
+from ..functions.standards import format_requirement
 from ..operators import bands, filters, ordering, records, scans, stats
-from ..session import epoch_seconds, table
+from ..session import epoch_seconds, spread_table, table
 from . import query
 from .lookups import event_records
 
@@ -663,60 +664,61 @@ def program_sort_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RECORDS = """
-d as (
-  select l_orderkey, l_linenumber, l_partkey, l_returnflag, min(l_quantity) as q from lineitem
-  where l_returnflag <> 'R' group by all)
+r as (select doc_id, lang, source, string_split(text, chr(10)) as ls from documents where n_chars % 5 <> 0),
+n as (
+  select doc_id, lang, source, unnest(ls) as line, generate_subscripts(ls, 1) - 1 as idx from r where source <> 'src3'
+  union all select doc_id, lang, source, null, null from r where source = 'src3'),
+w as (select *, case when contains(line, 'the') then '均标' end as own, case when lang = 'en' then '前标' end as gen from n)
 """
 
 
-def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as result records with their lines as department rows."""
-    orders = table(spark, sf_dir, "orders")
-    li = table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'")
-    none = "struct<standard:string,min_score:int>"
-    word = F.when(F.col("l_returnflag") == "A", "均标")
-    subj = F.struct(
-        F.when(word.isNotNull(), F.struct(word.alias("standard"), F.lit(None).cast("int").alias("min_score"))).alias("chinese"),
-        *[F.lit(None).cast(none).alias(k) for k in ("english", "math_a", "math_b", "social", "science")],
-    )
-    dept = F.struct(
-        F.col("l_linenumber").alias("o1"),
-        F.col("l_partkey").alias("o2"),
-        F.when(F.col("l_linenumber") % 3 > 0, F.concat(F.lit("dept"), F.col("l_partkey").cast("string"))).otherwise("").alias("department"),
-        subj.alias("subjects"),
-        F.when(F.col("l_linenumber") % 2 == 0, "note").alias("notes"),
-        F.array().cast("array<string>").alias("majors"),
-    )
-    lines = li.dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"]).groupBy("l_orderkey").agg(
-        F.transform(
-            F.sort_array(F.collect_list(dept)),
-            lambda x: F.struct(*[x[n].alias(n) for n in ("department", "subjects", "notes", "majors")]),
-        ).alias("department_requirements")
-    )
-    gen_std = F.when(F.col("o_orderpriority") == "1-URGENT", "前标")
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as result records: the lines of a text are its department rows, so the
+    nested list is built inside the row."""
+    docs = spread_table(spark, sf_dir, "documents")
+    none = F.struct(F.lit(None).cast("string").alias("standard"), F.lit(None).cast("int").alias("min_score"))
+    keys = ("chinese", "english", "math_a", "math_b", "social", "science")
+    absent = F.lit(None).cast("struct<standard:string,min_score:int>")
+
+    def dept(line):
+        own = F.struct(F.lit("均标").alias("standard"), F.lit(None).cast("int").alias("min_score"))
+        subjects = F.struct(
+            F.when(line.contains("the"), own).otherwise(absent).alias("chinese"), *[absent.alias(k) for k in keys[1:]]
+        )
+        return F.struct(
+            F.when(F.length(line) % 3 > 0, line).otherwise("").alias("department"),
+            subjects.alias("subjects"),
+            F.when(F.length(line) % 2 == 0, "note").alias("notes"),
+            F.array().cast("array<string>").alias("majors"),
+        )
+
     general = F.struct(
         *[
-            F.struct((gen_std if k in ("chinese", "english") else F.lit(None).cast("string")).alias("standard"), F.lit(None).cast("int").alias("min_score")).alias(k)
-            for k in ("chinese", "english", "math_a", "math_b", "social", "science")
+            (
+                F.struct(F.when(F.col("lang") == "en", "前标").alias("standard"), F.lit(None).cast("int").alias("min_score"))
+                if k in ("chinese", "english")
+                else none
+            ).alias(k)
+            for k in keys
         ]
     )
+    depts = F.transform(F.split("text", "\n"), dept)
     ext = F.struct(
-        (F.col("o_orderstatus") != "P").alias("found"),
+        (F.col("n_chars") % 5 != 0).alias("found"),
         F.lit("2026-05-01").alias("application_deadline"),
         general.alias("general_requirements"),
-        F.col("department_requirements"),
+        F.when(F.col("source") != "src3", depts).alias("department_requirements"),
         F.array(F.lit("c1"), F.lit("c2"), F.lit("c3")).alias("other_conditions"),
         F.lit(None).cast("string").alias("notes"),
         F.lit("high").alias("confidence"),
         F.array().cast("array<string>").alias("majors"),
     )
-    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return joined.select(
-        F.col("o_orderkey").alias("school_id"),
+    return docs.select(
+        F.col("doc_id").alias("school_id"),
         F.lit("s").alias("school_name"),
         F.lit("a").alias("area"),
         F.lit("t").alias("type"),
-        F.when(F.col("o_orderstatus") == "O", "211").alias("tier"),
+        F.when(F.col("lang") == "de", "211").alias("tier"),
         F.lit(True).alias("taiwan_recognized"),
         F.lit("see https://x.org/a). ").alias("source_url"),
         F.lit("success").alias("status"),
@@ -727,24 +729,19 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "record_rows",
     f"""
-with {_RECORDS},
-n as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, case l_returnflag when 'A' then 1 else 2 end) - 1 as idx from
-  (select distinct l_orderkey, l_linenumber, l_partkey, l_returnflag from d))
-select o_orderkey as school_id, cast(coalesce(idx, 0) as integer) as idx,
-  case when l_linenumber % 3 > 0 then 'dept' || l_partkey else '全部' end as label,
-  coalesce(case o_orderstatus when 'O' then '211' end, '非双一流') as tier, 'https://x.org/a' as source_url,
-  coalesce(case when l_returnflag = 'A' then '均标' end, case when o_orderpriority = '1-URGENT' then '前标' end, '-') as chinese,
-  case when o_orderpriority = '1-URGENT' then '前标' else '-' end as english,
-  case when coalesce(idx, 0) = 0 then 'c1；c2' else '' end || case when coalesce(idx, 0) = 0 and l_linenumber % 2 = 0 then '；' else '' end
-    || case when l_linenumber % 2 = 0 then 'note' else '' end as other_text
-from orders left join n on l_orderkey = o_orderkey where o_orderstatus <> 'P'
+with {_RECORDS}
+select doc_id as school_id, cast(coalesce(idx, 0) as integer) as idx,
+  case when line is not null and length(line) % 3 > 0 then line else '全部' end as label,
+  case when lang = 'de' then '211' else '非双一流' end as tier, 'https://x.org/a' as source_url,
+  coalesce(own, gen, '-') as chinese, coalesce(gen, '-') as english,
+  case when coalesce(idx, 0) = 0 then 'c1；c2' else '' end || case when coalesce(idx, 0) = 0 and length(line) % 2 = 0 then '；' else '' end
+    || case when length(line) % 2 = 0 then 'note' else '' end as other_text
+from w
 """,
 )
 def record_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X21, E1, SF18, SF27, W10: department rows of found records, one "all" row when none."""
-    rows = records.evaluation_rows(order_records(spark, sf_dir))
-    from ..functions.standards import format_requirement
-
+    rows = records.evaluation_rows(document_records(spark, sf_dir))
     return rows.select(
         "school_id",
         "idx",
@@ -760,17 +757,33 @@ def record_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "export_rows",
     f"""
-with {_RECORDS},
-n as (select distinct l_orderkey, l_linenumber, l_partkey, l_returnflag from d)
-select o_orderkey as school_id, case when l_linenumber % 3 > 0 then 'dept' || l_partkey else '全部' end as label,
-  coalesce(case when l_returnflag = 'A' then '均标' end, case when o_orderpriority = '1-URGENT' then '前标' end, '-') as chinese,
-  case when l_linenumber % 2 = 0 then 'note; ' else '' end || 'c1; c2; c3' as other_conditions
-from orders left join n on l_orderkey = o_orderkey where o_orderstatus <> 'P'
+with {_RECORDS}
+select doc_id as school_id, case when line is not null and length(line) % 3 > 0 then line else '全部' end as label,
+  coalesce(own, gen, '-') as chinese, case when length(line) % 2 = 0 then 'note; ' else '' end || 'c1; c2; c3' as other_conditions
+from w
 """,
 )
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat export rows."""
-    rec = order_records(spark, sf_dir).withColumn("school_name", F.col("school_id"))
+    rec = document_records(spark, sf_dir).withColumn("school_name", F.col("school_id"))
     return records.export_rows(records.export_record(rec)).select(
         F.col("school_name").alias("school_id"), "label", "chinese", "other_conditions"
     )
+
+
+@query(
+    "detail_rows",
+    f"""
+with {_RECORDS}, c as (select doc_id, count(*) as n from w group by 1)
+select doc_id as school_id, cast(coalesce(idx, 0) as integer) as idx, coalesce(own, gen, '-') as chinese,
+  case when coalesce(idx, 0) = 0 then 'c1; c2' || case when length(line) % 2 = 0 then '; note' else '' end
+    else case when length(line) % 2 = 0 then 'note' else '' end end as other_conditions,
+  case when coalesce(idx, 0) = 0 then cast(n as integer) else 0 end as row_span
+from w join c using (doc_id)
+""",
+)
+def detail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X22 in its listing form, W10, W11: the row span comes from the list size, without a window."""
+    return records.detail_rows(document_records(spark, sf_dir)).select(
+        "school_id", "idx", "chinese", "other_conditions", "row_span"
+    )
