@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,27 +76,79 @@ def _automaton_join(texts, text_id, text_col, aliases, alias_id, alias_col) -> D
     return texts.select(text_id, text_col).mapInPandas(scan, schema).distinct()
 
 
-def _grams(col: Column, q: int) -> Column:
-    """All overlapping grams of ``q`` characters, read in one pass."""
-    return F.array_distinct(F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
+# Aliases of at least this many characters are found by window minima of their grams,
+# about one gram in 25; shorter ones by all their grams.
+LONG_ALIAS, LONG_GRAM = 64, 16
+
+
+def _gram_keys(df: DataFrame, key: str, value: str, q: int) -> DataFrame:
+    """(key, gram hash) for all overlapping grams of ``q`` characters, read in one JVM pass."""
+    grams = F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1))
+    hashes = F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
+    return df.select(key, F.explode(hashes).alias("gram"))
+
+
+def _window_keys(df: DataFrame, key: str, value: str, q: int, span: int) -> DataFrame:
+    """(key, gram hash) for the smallest gram hash of every window of ``span`` characters.
+
+    A text that contains an alias of ``span`` characters or more contains its windows,
+    so it selects the same minima; far fewer keys than all grams are shuffled.
+    """
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, gram bigint"
+
+    def minima(text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        n = len(codes) - q + 1
+        if n < span - q + 1:
+            return np.empty(0, dtype=np.int64)
+        h = np.zeros(n, dtype=np.uint64)
+        for j in range(q):
+            h = h * np.uint64(1099511628211) + codes[j : n + j]
+        h ^= h >> np.uint64(33)
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(33)
+        windows = np.lib.stride_tricks.sliding_window_view(h, span - q + 1)
+        return np.unique(windows.min(axis=1)).view(np.int64)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(k, minima(v)) for k, v in zip(batch[key], batch[value]) if v]
+            keys = np.repeat(np.array([k for k, _ in found], dtype=batch[key].dtype), [len(m) for _, m in found])
+            grams = np.concatenate([m for _, m in found]) if found else np.empty(0, dtype=np.int64)
+            yield pd.DataFrame({key: keys, "gram": grams})
+
+    return df.select(key, value).mapInPandas(scan, schema)
 
 
 def _gram_join(texts, text_id, text_col, aliases, alias_id, alias_col, shortest: int, longest: int) -> DataFrame:
-    """Each alias is looked up by its rarest gram, then tested on the text itself."""
-    edges = sorted({shortest, *[e for e in (8, 24) if shortest < e <= longest]}) + [longest + 1]
+    """Each alias is looked up by its rarest key in the texts, then tested on the text itself."""
+    edges = sorted({shortest, *[e for e in (8, 24, LONG_ALIAS) if shortest < e <= longest]}) + [longest + 1]
     out = None
     for q, upper in zip(edges, edges[1:]):
         part = aliases.filter(F.length(alias_col).between(q, upper - 1))
-        alias_grams = part.select(alias_id, alias_col, F.explode(_grams(F.col(alias_col), q)).alias("gram"))
-        text_grams = texts.select(text_id, F.explode(_grams(F.col(text_col), q)).alias("gram"))
-        wanted = alias_grams.select("gram").distinct()
-        freq = text_grams.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
-        # An alias with a gram no text holds cannot match: its inner join row is missing.
-        scored = alias_grams.join(freq, "gram", "left").groupBy(alias_id, alias_col).agg(
-            F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "gram")).alias("_a")
+        numbered = part.select(alias_id, alias_col, F.xxhash64(alias_id, alias_col).alias("_alias"))
+
+        def keys(df: DataFrame, key: str, value: str) -> DataFrame:
+            if q >= LONG_ALIAS:
+                return _window_keys(df, key, value, LONG_GRAM, q)
+            return _gram_keys(df, key, value, q)
+
+        alias_keys = keys(numbered, "_alias", alias_col)
+        text_keys = keys(texts, text_id, text_col)
+        freq = (
+            text_keys.join(alias_keys.select("gram").distinct(), "gram", "left_semi")
+            .groupBy("gram")
+            .agg(F.count(F.lit(1)).alias("_df"))
+        )
+        # An alias with a key no text holds cannot occur: its rarest count is 0.
+        anchors = (
+            alias_keys.join(freq, "gram", "left")
+            .groupBy("_alias")
+            .agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "gram")).alias("_a"))
+            .filter("_a.df > 0")
+            .select("_alias", F.col("_a.gram").alias("gram"))
         )
-        anchors = scored.filter("_a.df > 0").select(alias_id, alias_col, F.col("_a.gram").alias("gram"))
-        pairs = text_grams.join(anchors, "gram").select(text_id, alias_id, alias_col)
+        pairs = text_keys.join(anchors, "gram").join(numbered, "_alias").select(text_id, alias_id, alias_col)
         hits = pairs.join(texts.select(text_id, text_col), text_id).filter(F.col(text_col).contains(F.col(alias_col)))
         hits = hits.select(text_id, alias_id)
         out = hits if out is None else out.unionByName(hits)

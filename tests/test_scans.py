@@ -123,6 +123,19 @@ def test_contains_join_strategies_agree(spark):
     assert {tuple(r) for r in grams.collect()} == want
 
 
+def test_contains_join_long_aliases(spark):
+    rnd = random.Random(12)
+    pool = ["".join(rnd.choices("abcdé中", k=rnd.randint(60, 200))) for _ in range(30)]
+    texts = [(i, "".join(rnd.choices("abcdé中", k=300)) + rnd.choice(pool) + "zz" + rnd.choice(pool)[:90]) for i in range(60)]
+    texts.append((60, pool[0]))
+    aliases = list(enumerate(pool)) + [(99, "x" * 70)]
+    want = {(i, j) for i, x in texts for j, y in aliases if y in x}
+    t = spark.createDataFrame(texts, "tid int, t string")
+    a = spark.createDataFrame(aliases, "aid int, a string")
+    got = matching.contains_join(t, "tid", "t", a, "aid", "a", max_aliases=0)
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_domain_join_equals_the_pairwise_test(spark):
     rnd = random.Random(7)
     parts = ["a", "b", "cn", "edu", "x"]
