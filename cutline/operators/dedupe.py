@@ -173,6 +173,10 @@ def most_orders(orders: str = "min_orders", source: str = "source_no") -> list[C
 
 def first_occurrences(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
     """Each value once per key, with its smallest position; folded map-side."""
+    if len(order) == 1:  # a plain minimum is a hash aggregate; a struct needs a sort
+        return df.groupBy(*keys, value).agg(F.min(order[0]).alias("_min")).select(
+            *keys, value, F.struct(F.col("_min").alias("o0")).alias("_first")
+        )
     names = [f"o{i}" for i in range(len(order))]
     position = F.struct(*[F.col(o).alias(n) for o, n in zip(order, names)])
     return df.groupBy(*keys, value).agg(F.min(position).alias("_first"))

@@ -81,19 +81,28 @@ def gap_islands(
     """
     width = width or max(tol, 1e-9) * 4096
     points = df.groupBy(*keys, axis).agg(F.count(F.lit(1)).alias("n"))
+    value = F.col(axis).cast("double")
     sliced = _sliced(points, axis, width)
     w_local = Window.partitionBy(*keys, "_slice").orderBy(axis)
-    inner = sliced.withColumn("_prev", F.lag(axis).over(w_local))
-    lasts = sliced.groupBy(*keys, "_slice").agg(F.max(axis).alias("_last"))
+    broken = F.coalesce((value - F.lag(value).over(w_local) > tol).cast("int"), F.lit(0))
+    inner = sliced.withColumn("_new", broken).withColumn("_run", F.sum("_new").over(w_local))
+    # One row per slice: its ends and its inner breaks. The break between two slices is
+    # found from their ends, so the points are read once for the rows and once for this.
+    ends = inner.groupBy(*keys, "_slice").agg(
+        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_new").alias("_s")
+    )
     w_slice = Window.partitionBy(*keys).orderBy("_slice")
-    befores = lasts.select(*keys, "_slice", F.lag("_last").over(w_slice).alias("_before"))
-    gap = F.col(axis).cast("double") - F.coalesce("_prev", "_before").cast("double")
-    flagged = (
-        inner.join(befores, [*keys, "_slice"])
-        .withColumn("_new", F.coalesce((gap > tol).cast("int"), F.lit(0)))
-        .drop("_prev", "_before")
+    edge = F.coalesce((F.col("_lo") - F.lag("_hi").over(w_slice) > tol).cast("int"), F.lit(0))
+    carried = ends.withColumn("_edge", edge).select(
+        *keys,
+        "_slice",
+        (F.sum(F.col("_edge") + F.col("_s")).over(w_slice.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias("_off"),
+    )
+    return (
+        inner.join(carried, [*keys, "_slice"])
+        .withColumn(island, F.col("_run") + F.col("_off"))
+        .drop("_run", "_off", "_new", "_slice")
     )
-    return _number_islands(flagged, keys, axis, "_new", island)
 
 
 def gap_clusters(df: DataFrame, keys: Sequence[str], axis: str, tol: float, width: float | None = None) -> DataFrame:
@@ -128,6 +137,8 @@ def coalesce_intervals(
     flagged = inner.join(carried, [*keys, "_slice"]).withColumn(
         "_new", F.coalesce((F.col(start) > reach + F.lit(slack)).cast("int"), F.lit(0))
     )
+    # Numbering reads the flags twice; written once, the spans are not shuffled again.
+    flagged = cut_lineage(flagged.drop("_reach", "_before"))
     numbered = _number_islands(flagged, keys, start, "_new", "island")
     return numbered.groupBy(*keys, "island").agg(
         F.min(start).alias("start"), F.max(end).alias("end"), F.sum("n").alias("n")
