@@ -256,8 +256,13 @@ def custom_keywords(value: Column | str) -> Column:
     clean = F.filter(
         F.transform(words, lambda w: strip(F.regexp_replace(w, r"[，,;；/\\|｜]+", ""))), lambda w: w != ""
     )
-    folded = F.transform(clean, F.lower)
-    return F.filter(clean, lambda w, i: F.array_position(folded, F.lower(w)) == i + 1)
+
+    def firsts(x: Column) -> Column:
+        return F.filter(x["clean"], lambda w, i: F.array_position(x["folded"], F.get(x["folded"], i)) == i + 1)
+
+    return let(
+        let(clean, lambda k: F.struct(k.alias("clean"), F.transform(k, lambda w: F.lower(w)).alias("folded"))), firsts
+    )
 
 
 def first_url(value: Column | str) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.expr import c
 from ..functions.text import keyword_hit
@@ -57,23 +58,24 @@ def _automaton_join(texts, text_id, text_col, aliases, alias_id, alias_col) -> D
     if not words:
         return texts.sparkSession.createDataFrame([], schema)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = [to_arrow_type(texts.schema[text_id].dataType), to_arrow_type(aliases.schema[alias_id].dataType)]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = ahocorasick.Automaton()
         for word, ids in shared.value.items():
             machine.add_word(word, ids)
         machine.make_automaton()
         for batch in batches:
             keys, hits = [], []
-            for key, value in zip(batch[text_id], batch[text_col]):
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if value:
                     ids = {i for _, group in machine.iter(value) for i in group}
                     keys.extend([key] * len(ids))
                     hits.extend(ids)
-            yield pd.DataFrame({text_id: keys, alias_id: hits}).astype(
-                {text_id: batch[text_id].dtype}
-            )
+            columns = [pa.array(keys, types[0]), pa.array(hits, types[1])]
+            yield pa.RecordBatch.from_arrays(columns, names=[text_id, alias_id])
 
-    return texts.select(text_id, text_col).mapInPandas(scan, schema).distinct()
+    return texts.select(text_id, text_col).mapInArrow(scan, schema).distinct()
 
 
 # Aliases of at least this many characters are found by window minima of their grams,
@@ -110,14 +112,15 @@ def _window_keys(df: DataFrame, key: str, value: str, q: int, span: int) -> Data
         windows = np.lib.stride_tricks.sliding_window_view(h, span - q + 1)
         return np.unique(windows.min(axis=1)).view(np.int64)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(k, minima(v)) for k, v in zip(batch[key], batch[value]) if v]
-            keys = np.repeat(np.array([k for k, _ in found], dtype=batch[key].dtype), [len(m) for _, m in found])
-            grams = np.concatenate([m for _, m in found]) if found else np.empty(0, dtype=np.int64)
-            yield pd.DataFrame({key: keys, "gram": grams})
+            found = [minima(v or "") for v in batch.column(1).to_pylist()]
+            rows = np.repeat(np.arange(len(found)), [len(m) for m in found])
+            grams = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+            columns = [batch.column(0).take(pa.array(rows)), pa.array(grams, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "gram"])
 
-    return df.select(key, value).mapInPandas(scan, schema)
+    return df.select(key, value).mapInArrow(scan, schema)
 
 
 def _gram_join(texts, text_id, text_col, aliases, alias_id, alias_col, shortest: int, longest: int) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
 from ..session import cut_lineage
 
 
@@ -216,8 +217,12 @@ def cut_lines(lines: Column, hit, stop) -> Column:
 
     Lines of one document already sit in one row, so no rows are exploded or shuffled.
     """
-    at = F.transform(lines, lambda x, i: F.when(hit(x), i))
-    first_hit = F.array_min(at)
-    stops = F.transform(lines, lambda x, i: F.when(stop(x) & (i > first_hit), i))
-    cut = F.array_min(stops)
-    return F.slice(lines, F.lit(1), F.coalesce(cut, F.size(lines)))
+    def cut(ls: Column) -> Column:
+        first_hit = F.array_min(F.transform(ls, lambda x, i: F.when(hit(x), i)))
+        return let(first_hit, lambda h: after(ls, h))
+
+    def after(ls: Column, h: Column) -> Column:
+        stops = F.transform(ls, lambda x, i: F.when((i > h) & stop(x), i))
+        return F.slice(ls, F.lit(1), F.coalesce(F.array_min(stops), F.size(ls)))
+
+    return let(lines, cut)
