@@ -93,10 +93,16 @@ def number_text(col: Column) -> Column:
     return F.when(col == F.floor(col), col.cast("bigint").cast("string")).otherwise(col.cast("string"))
 
 
+def number(value: Column) -> Column:
+    """Decimal text to double, anything else to null. A plain cast would also take Java
+    forms such as ``1d`` and ``nan``."""
+    return F.when(value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), value.try_cast("double"))
+
+
 def js_number(col: Column | str) -> Column:
     """Text to number where blank or missing counts as 0 and junk is null (Q5, Q6)."""
     value = strip(text(col))
-    return F.when(value == "", F.lit(0.0)).otherwise(value.try_cast("double"))
+    return F.when(value == "", F.lit(0.0)).otherwise(number(value))
 
 
 def first_group(col: Column, patterns: Iterable[str], group: int = 1) -> Column:

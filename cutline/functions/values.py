@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as V
-from .expr import blank_to_null, c, strip, text
+from .expr import blank_to_null, number, strip, text
 from .standards import normalise_word_strict
 
 
@@ -19,12 +19,12 @@ def code_token(value: Column | str, digits: int) -> Column:
 
 def percent(value: Column | str) -> Column:
     """SF23: number with an optional percent sign."""
-    return blank_to_null(F.replace(strip(text(value)), F.lit("%"), F.lit(""))).try_cast("double")
+    return number(F.replace(strip(text(value)), F.lit("%"), F.lit("")))
 
 
 def percent_in_range(value: Column | str) -> Column:
     """SF23: input form, blank or outside 0-100 is null."""
-    v = blank_to_null(strip(text(value))).try_cast("double")
+    v = number(strip(text(value)))
     return F.when(v.between(0, 100), v)
 
 
@@ -32,7 +32,7 @@ def value_token(tok: Column | str) -> Column:
     """SF24: struct(num, txt) of a cell, null for blanks and dashes."""
     s = strip(text(tok))
     body = s.substr(F.lit(1), F.length(s) - 1)
-    num = F.when(s.endswith("%"), body.try_cast("double")).when(s.rlike(r"^\d+(\.\d+)?$"), s.try_cast("double"))
+    num = F.when(s.endswith("%"), number(body)).when(s.rlike(r"^\d+(\.\d+)?$"), s.try_cast("double"))
     return F.when(
         ~s.isin("", "--", "-", "無", "无"),
         F.struct(num.alias("num"), F.when(num.isNull(), s).alias("txt")),
@@ -50,9 +50,8 @@ def deadline(value: Column | str) -> Column:
 
 def to_int(value: Column | str) -> Column:
     """Whole number of a number or text, fractions of texts cut."""
-    return F.floor(F.abs(strip(text(value)).try_cast("double"))).cast("int") * F.signum(
-        strip(text(value)).try_cast("double")
-    ).cast("int")
+    v = number(strip(text(value)))
+    return (F.floor(F.abs(v)) * F.signum(v).cast("int")).try_cast("int")
 
 
 def coerce_rows(df: DataFrame, keys=tuple(V.SUBJECT_KEYS)) -> DataFrame:

@@ -20,7 +20,7 @@ def merge_years(first: Column | str, second: Column | str) -> Column:
     empty = F.array().cast("array<string>")
     both = F.concat(F.coalesce(c(first), empty), F.coalesce(c(second), empty))
     digits = F.filter(F.transform(both, lambda y: F.trim(y)), lambda y: y.rlike("^[0-9]+$"))
-    return F.array_sort(F.array_distinct(F.transform(digits, lambda y: y.cast("int"))))
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(digits, lambda y: y.try_cast("int")))))
 
 
 def append_sources(frames: list[DataFrame]) -> DataFrame:

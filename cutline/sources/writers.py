@@ -64,9 +64,10 @@ def retry_summary(unresolved: DataFrame, results: DataFrame, samples: int = 80)
         ).alias("not_found_samples")
     )
     weak = missing.agg(F.count_if(F.col("low_quality_host") == "yes").alias("low_quality_not_found_count"))
-    one = counts.join(listed.withColumn("_j", F.lit(1)), F.lit(1) == F.col("_j")).drop("_j")
-    one = one.join(weak.withColumn("_j", F.lit(1)), F.lit(1) == F.col("_j")).drop("_j")
-    return one.select(F.to_json(F.struct("status", "not_found_samples", "low_quality_not_found_count")).alias("value"))
+    parts = counts.unionByName(listed, True).unionByName(weak, True)
+    names = ["status", "not_found_samples", "low_quality_not_found_count"]
+    one = parts.agg(*[F.first(n, ignorenulls=True).alias(n) for n in names])
+    return one.select(F.to_json(F.struct(*names)).alias("value"))
 
 
 def write_json_rows(df: DataFrame, path: str) -> None:

@@ -149,3 +149,21 @@ def test_domain_root(value):
     assert value(lambda: urls.domain_root(F.lit("zsb.pku.edu.cn:80"))) == "pku.edu.cn"
     assert value(lambda: urls.domain_root(F.lit("www.mit.edu"))) == "mit.edu"
     assert value(lambda: urls.domain_root(F.lit("localhost"))) == "localhost"
+
+
+def test_numbers_take_plain_decimals_only(spark):
+    rows = [("12.7",), (" -3 ",), ("1d",), ("nan",), ("99999999999",), ("",), ("5%",)]
+    df = spark.createDataFrame(rows, ["v"]).select("v", values.to_int("v").alias("i"), values.percent("v").alias("p"))
+    got = {r["v"]: (r["i"], r["p"]) for r in df.collect()}
+    assert got == {
+        "12.7": (12, 12.7), " -3 ": (-3, -3.0), "1d": (None, None), "nan": (None, None),
+        "99999999999": (None, 99999999999.0), "": (None, None), "5%": (None, 5.0),
+    }
+
+
+def test_display_forms(value):
+    req = F.create_map(F.lit("國文"), F.lit("均標"), F.lit("英文"), F.lit("--"), F.lit("自然"), F.lit("頂標"))
+    assert value(lambda: standards.format_requirement_map(req)) == "國文 均標；自然 頂標"
+    assert value(lambda: standards.format_requirement_map(F.create_map(F.lit("x"), F.lit("y")))) == "无明确检定"
+    row = lambda a, b: F.struct(F.lit(a).alias("subject"), F.lit(b).alias("standard"))
+    assert value(lambda: standards.format_stage_list(F.array(row("國文", " 均標"), row("英文", "-")))) == "國文 均標"
