@@ -63,9 +63,9 @@ select user_id, cast(floor(epoch(min(ts))) as bigint) as start_s, count(*) as n
 """,
 )
 def session_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST3 in batch form over the same definition the stream uses: session windows per user."""
+    """ST3 in batch form: the sessions the stream gives, from sliced gap clusters."""
     ev = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    out = sessions(ev, ["user_id"], "ts", "90 minutes")
+    out = sessions(ev, ["user_id"], "ts", 90 * 60)
     shift = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(start as timestamp_ntz))")
     return out.select("user_id", shift.alias("start_s"), "n")
 

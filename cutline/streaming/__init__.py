@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import keep_best
+from ..operators.scans import gap_clusters
 from ..session import shared_dir
 
 
@@ -77,11 +78,27 @@ def status_counts(stream: DataFrame, status: str) -> DataFrame:
     return stream.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
 
 
-def sessions(events: DataFrame, keys: Sequence[str], ts: str, gap: str, watermark: str | None = None) -> DataFrame:
-    """ST3: gap clusters on event time; events exactly one gap apart stay together."""
+def sessions(events: DataFrame, keys: Sequence[str], ts: str, gap_seconds: int, watermark: str | None = None) -> DataFrame:
+    """ST3: gap clusters on event time; events exactly one gap apart stay together.
+
+    A stream uses session windows with a watermark; set
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` to merge a
+    hot key's sessions before its shuffle. A batch uses the sliced gap clusters, so a
+    key that holds most of the rows is still spread over tasks.
+    """
     if events.isStreaming:
-        events = events.withWatermark(ts, watermark or gap)
-    w = F.session_window(ts, gap)
-    return events.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(
-        *keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"
+        gap = f"{gap_seconds} seconds"
+        w = F.session_window(ts, gap)
+        marked = events.withWatermark(ts, watermark or gap)
+        return marked.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(
+            *keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"
+        )
+    micros = 1_000_000
+    points = events.select(*keys, F.unix_micros(ts).alias("_us"))
+    found = gap_clusters(points, keys, "_us", gap_seconds * micros, width=86_400 * micros)
+    return found.select(
+        *keys,
+        F.timestamp_micros("start").alias("start"),
+        F.timestamp_micros(F.col("end") + gap_seconds * micros).alias("end"),
+        "n",
     )

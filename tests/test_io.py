@@ -150,13 +150,13 @@ def test_session_stream_matches_batch(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     q = (
-        sessions(source, ["k"], "ts", "1 minute").writeStream.outputMode("append").format("memory").queryName("sess")
+        sessions(source, ["k"], "ts", 60).writeStream.outputMode("append").format("memory").queryName("sess")
         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    batch = {(r["k"], r["n"], str(r["start"])) for r in sessions(df, ["k"], "ts", "1 minute").collect()}
-    got = {(r["k"], r["n"], str(r["start"])) for r in spark.table("sess").collect()}
-    assert {n for k, n, _ in batch if k == 1} == {3, 1}
+    batch = {(r["k"], r["n"], str(r["start"]), str(r["end"])) for r in sessions(df, ["k"], "ts", 60).collect()}
+    got = {(r["k"], r["n"], str(r["start"]), str(r["end"])) for r in spark.table("sess").collect()}
+    assert {n for k, n, *_ in batch if k == 1} == {3, 1}
     # The newest session stays open until the watermark passes it; all others are out.
     assert got == {b for b in batch if b[0] != 9}
 
