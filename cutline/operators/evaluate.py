@@ -314,6 +314,23 @@ def gap_rows(
     return df.withColumn(out, gap_of(prepared, user_ranks(profile)))
 
 
+def match_and_gap(
+    df: DataFrame,
+    profile: Mapping[str, str] | Column | str,
+    reqs: str = "reqs",
+    groups: str | None = "choice_groups",
+    include_unknown: bool = False,
+) -> DataFrame:
+    """E2 and E3 together; the row is prepared once for both."""
+    step = df.withColumn("_prepared", prepare(F.col(reqs), F.col(groups) if groups else None))
+    ranks = user_ranks(profile)
+    return (
+        step.withColumn("match", match_of(F.col("_prepared"), ranks, include_unknown))
+        .withColumn("gap", gap_of(F.col("_prepared"), ranks))
+        .drop("_prepared")
+    )
+
+
 # ---- programme side -------------------------------------------------------------
 
 

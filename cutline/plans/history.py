@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..operators import dedupe, evaluate, filters, lookup, ordering, scans, stats
-from ..session import cut_lineage, table
+from ..session import cut_lineage, spread_table, table
 from . import query
 
 # The candidate's percentile used by the cutoff queries.
@@ -176,7 +176,7 @@ from v
 )
 def boundary_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One projection over the fact rows."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread_table(spark, sf_dir, "lineitem")
 
     def num(col):
         return F.when(col.isNotNull(), F.struct(col.cast("double").alias("num"), F.lit(None).cast("string").alias("txt")))

@@ -41,8 +41,7 @@ picks as (
 
 def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part_rows(spark, sf_dir)
-    rows = evaluate.evaluate_rows(rows, PROFILE, include_unknown=True)
-    rows = evaluate.gap_rows(rows, PROFILE).withColumn("gap_text", format_gap("gap.details"))
+    rows = evaluate.match_and_gap(rows, PROFILE, include_unknown=True).withColumn("gap_text", format_gap("gap.details"))
     track = F.when(F.col("p_type").isin("PROMO", "LARGE"), "science").when(F.col("p_type") == "SMALL", "mixed").otherwise("arts")
     return opportunity.opportunities(
         rows.withColumn("track", track),
