@@ -456,11 +456,57 @@ def token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("major_lists")
+_LINES = """list_filter(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)),
+    lambda x: trim(x, E' \\t\\n\\r')), lambda x: x <> '')"""
+
+
+@query(
+    "major_lists",
+    f"""
+with l as (
+  select doc_id, length(text) as chars, len({_LINES}) as n, unnest({_LINES}) as line, generate_subscripts({_LINES}, 1) - 1 as pos
+  from documents),
+m as (select *, contains(line, 'the') as h, bool_or(contains(line, 'the')) over (partition by doc_id) as a from l),
+p as (
+  select *, max(case when h then pos end) over (partition by doc_id order by pos) as last,
+    max(case when h then pos end) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding) as prev,
+    min(case when h then pos end) over (partition by doc_id order by pos rows between 1 following and unbounded following) as nxt
+  from m where a or chars < 1500),
+w as (
+  select *, sum(case when h and (prev is null or pos > least(prev + 220, n) + 10) then 1 else 0 end)
+      over (partition by doc_id order by pos) as win from p),
+f as (
+  select *, contains(line, 'with') as hd, string_split(line, ' ') as toks from w
+  where case when a then last is not null and (pos < least(last + 220, n) or coalesce(nxt <= least(last + 220, n) + 10, false))
+        else pos < 220 end),
+g as (
+  select *, min(case when hd or len(list_filter(toks, lambda t: not regexp_full_match(t, '[0-9]+'))) > 0 then pos end)
+      over (partition by doc_id, win) as hit from f),
+k as (
+  select *, min(case when contains(line, 'and') and regexp_matches(line, '^[A-M]') and pos > hit then pos end)
+      over (partition by doc_id, win) as cut from g),
+t as (
+  select doc_id, win, pos, hd, unnest(case when hd then [''] else toks end) as raw,
+    generate_subscripts(case when hd then [''] else toks end, 1) as tp
+  from k where cut is null or pos < cut),
+c as (select *, regexp_replace(raw, '[.,;]+$', '') as name, hd or regexp_full_match(raw, '[0-9]+') as brk from t),
+e as (
+  select *, not brk and length(name) >= 9 as ok, not brk and length(name) = 2 as frag,
+    row_number() over (partition by doc_id, win order by pos, tp) as seq from c),
+i as (select *, sum(case when frag then 0 else 1 end) over (partition by doc_id, win order by seq) as isl from e),
+r as (select *, seq - min(seq) over (partition by doc_id, win, isl) as off from i where frag),
+j as (
+  select doc_id, win, min(seq) as seq, regexp_replace(string_agg(name, '' order by seq), '[.,;]+$', '') as name
+  from r group by doc_id, win, isl, off // 6 having count(*) >= 2),
+v as (select doc_id, win, seq, name from e where ok union all select doc_id, win, seq, name from j where length(name) >= 9),
+u as (select doc_id, name, min(win * 100000000 + seq) as o from v group by 1, 2),
+x as (select *, row_number() over (partition by doc_id order by o) as rn from u)
+select doc_id, cast(count(*) as integer) as n, string_agg(name, ',' order by rn) as majors from x where rn <= 400 group by 1
+""",
+)
 def major_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X8 over whole documents with a Latin vocabulary: windows after hint lines, section
-    stops, fragment joining, ordered unique names with a cap. Checked against a plain
-    Python walk in the tests."""
+    stops, fragment joining, ordered unique names with a cap."""
     docs = spread_table(spark, sf_dir, "documents").select("doc_id", "text")
     lists = latin_majors(docs)
     return lists.select("doc_id", F.size("majors").alias("n"), F.array_join("majors", ",").alias("majors"))
