@@ -41,14 +41,20 @@ class PpmModel:
 
 def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> DataFrame:
     """Up to ``per_language`` whole texts of each language, those with the smallest hash of their id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    return (
-        labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-        .filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .withColumn("rn", F.row_number().over(order))
-        .filter(F.col("rn") <= per_language)
-        .select("lang", F.lower("text").alias("text"))
-    )
+    rows = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    picked = top_hashes(rows.select("lang", "id"), per_language).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= per_language)
+    # As many ids as training texts, which the driver is to hold: small enough to broadcast.
+    return rows.join(F.broadcast(picked.drop("rn")), ["lang", "id"], "left_semi").select("lang", F.lower("text").alias("text"))
+
+
+def top_hashes(rows: DataFrame, per_language: int) -> DataFrame:
+    """Candidates for each language's smallest hashes: those of 64 slices of its rows, so that no
+    task ranks more than a slice."""
+    order = Window.partitionBy("lang", "slice").orderBy(F.xxhash64("id"), "id")
+    sliced = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("rn", F.row_number().over(order))
+    return sliced.filter(F.col("rn") <= max(1, per_language // 16)).drop("slice", "rn")
 
 
 def _padded(data: np.ndarray, offsets: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontam, langid, mixing, neardup, toxicity
+from . import ann, decontam, htmltext, langid, licences, lm, mixing, neardup, toolcalls, toxicity
 from .frames import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,91 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, fold(F.col("doc_id"), 3) != 1)
     found = langid.identify(docs.select("doc_id", "text"), "text", model)
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_projection_forest")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op5_deleted_interpolation")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    held = F.pmod(F.floor(text_crc / 5), F.lit(10)) == 0
+    fold_col = F.when(text_crc % 5 == 1, 0).when(held, 2).otherwise(1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("fold", fold_col)
+    scored = lm.score(docs, "fold")
+    return scored.select(
+        F.col("id").alias("doc_id"), (F.col("fold") == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+@query("op8_licence_digests", licences.scan_sql())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known_digests(spark))
+
+
+CALLS_SQL = r"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(min(text), '') AS text FROM conversations
+                     WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn, role),
+calls AS (SELECT conv_id, 'call-' || turn AS call_id, min(turn) AS turn, min(text) AS text, 'call-' || (turn - 2) AS parent, length(min(text)) % 3 AS tool
+          FROM t WHERE role = 'user' GROUP BY conv_id, turn),
+answers AS (SELECT conv_id, 'call-' || (turn - 1) AS call_id, min(text) AS content FROM t WHERE role = 'assistant' GROUP BY conv_id, turn),
+args AS (SELECT *, CASE tool WHEN 0 THEN 'search' WHEN 1 THEN 'translate' ELSE 'plan' END AS name,
+                length(text) AS n, CAST(length(text) AS VARCHAR) AS ns FROM calls),
+made AS (SELECT *,
+    CASE WHEN n % 7 = 0 THEN 'many' ELSE ns END AS lim,
+    CASE tool WHEN 0 THEN '"limit":' || CASE WHEN n % 7 = 0 THEN '"many"' ELSE ns END || ',"query":' || CAST(to_json(text) AS VARCHAR)
+              WHEN 1 THEN '"text":' || CAST(to_json(text) AS VARCHAR) || CASE WHEN n % 4 = 0 THEN '' ELSE ',"to":"en"' END
+              ELSE '"brief":' || CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END || ',"note":' || CAST(to_json(text) AS VARCHAR) END AS args,
+    CASE tool WHEN 0 THEN CASE WHEN n % 7 = 0 THEN 'type:limit' ELSE '' END
+              WHEN 1 THEN CASE WHEN n % 4 = 0 THEN 'missing:to' ELSE '' END
+              ELSE 'unknown:note' END AS errors FROM args),
+deep AS (SELECT c.conv_id, c.call_id, CAST(0 AS BIGINT) AS depth FROM calls c
+         WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.call_id = c.parent)
+         UNION ALL SELECT c.conv_id, c.call_id, d.depth + 1 FROM calls c JOIN deep d ON c.conv_id = d.conv_id AND c.parent = d.call_id),
+placed AS (SELECT m.*, depth, row_number() OVER (PARTITION BY m.conv_id ORDER BY depth, turn, m.call_id) AS position
+           FROM made m JOIN deep USING (conv_id, call_id))
+SELECT coalesce(p.conv_id, a.conv_id) AS conv_id, coalesce(p.call_id, a.call_id) AS call_id, name,
+       CASE WHEN p.call_id IS NULL THEN 'orphan' WHEN a.call_id IS NULL THEN 'pending' ELSE 'linked' END AS status,
+       depth, position, errors,
+       '{"arguments":{' || args || '},"id":"' || p.call_id || '","name":"' || name || '","result":' || coalesce(CAST(to_json(a.content) AS VARCHAR), 'null') || '}' AS json
+FROM placed p FULL JOIN answers a ON p.conv_id = a.conv_id AND p.call_id = a.call_id
+"""
+
+TOOLS = [
+    ("search", "limit", "integer", True), ("search", "query", "string", True), ("translate", "text", "string", True),
+    ("translate", "to", "string", True), ("plan", "brief", "boolean", True),
+]
+
+
+@query("op9_tool_calls", CALLS_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn is a call of a tool that its length picks, built on the user's turn before; the next assistant turn answers it."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.length("text")
+
+    def arguments(*pairs: tuple[str, object]) -> Column:
+        return F.create_map(*[x if not isinstance(x, str) else F.lit(x) for pair in pairs for x in pair])
+
+    search = arguments(("limit", F.when(n % 7 == 0, "many").otherwise(n.cast("string"))), ("query", F.col("text")))
+    translate = F.when(n % 4 == 0, arguments(("text", F.col("text")))).otherwise(arguments(("text", F.col("text")), ("to", "en")))
+    plan = arguments(("brief", F.when(n % 2 == 0, "true").otherwise("false")), ("note", F.col("text")))
+    user = turns.filter("role = 'user' and turn is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    calls = user.select(
+        "conv_id",
+        F.concat(F.lit("call-"), F.col("turn").cast("string")).alias("call_id"),
+        "turn",
+        F.when(n % 3 == 0, "search").when(n % 3 == 1, "translate").otherwise("plan").alias("name"),
+        F.when(n % 3 == 0, search).when(n % 3 == 1, translate).otherwise(plan).alias("arguments"),
+        F.concat(F.lit("call-"), (F.col("turn") - 2).cast("string")).alias("parent"),
+    )
+    assistant = turns.filter("role = 'assistant' and turn is not null")
+    results = assistant.select("conv_id", F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")).alias("call_id"), "turn", F.col("text").alias("content"))
+    return toolcalls.link(calls, results, spark.createDataFrame(TOOLS, "name string, field string, type string, required boolean"))
+
+
+@query("op10_page_trees")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.extract(pages, htmltext.fit(pages)).select("page_id", "url", "text", "n_chars")

@@ -180,16 +180,19 @@ def _raw(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Train on labelled rows that ``train_rows`` (over the column ``id_col``) marks.
 
-    The sample takes the rows of each label with the smallest hash of their id, weighted by what
-    they stand for. Three tenths of it calibrate, the rest grow the trees.
+    The sample takes the rows of each label with the smallest hash of their id (of each of 64
+    slices of the ids at first), weighted by what they stand for. Three tenths of it calibrate, the rest grow the trees.
     """
     usable = labels.filter(train_rows).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y")).filter("y in (0, 1)")
     totals = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = totals.get(1.0, 0) / max(1, sum(totals.values()))
     if len(totals) < 2:
         return ToxicityModel([], None, None, prior)
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
-    picked = usable.withColumn("rn", rank).filter(F.col("rn") <= sample_rows // 2).drop("rn")
+    # Candidates first come from 64 slices of the ids, so that no task ranks all rows of a label.
+    by_hash = [F.xxhash64("id"), F.col("id")]
+    sliced = usable.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64)))
+    sliced = sliced.withColumn("rn", F.row_number().over(Window.partitionBy("y", "slice").orderBy(*by_hash))).filter(F.col("rn") <= max(1, sample_rows // 32))
+    picked = sliced.withColumn("rn", F.row_number().over(Window.partitionBy("y").orderBy(*by_hash))).filter(F.col("rn") <= sample_rows // 2).drop("rn", "slice")
     weight = F.when(F.col("y") == 1, totals[1.0] / min(totals[1.0], sample_rows // 2)).otherwise(totals[0.0] / min(totals[0.0], sample_rows // 2))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     # The picked rows are ids and labels, at most sample_rows of them, so they may be broadcast.
