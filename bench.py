@@ -32,6 +32,7 @@ def main() -> None:
         "cutline-bench",
         f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus,
+        spark__cutline__textPartitions=cpus,  # the texts are one row group at these sizes
         spark__driver__memory="12g",
         spark__ui__showConsoleProgress="false",
         spark__sql__dataFrameQueryContext__enabled="false",

@@ -77,18 +77,24 @@ def keep_best_results(df: DataFrame, key: str = "school_id", arrival: str = "arr
     """W1 with J12 over result records: the best version per key, its major lists
     completed from the other versions, best version first.
 
-    The union of lists is an aggregate of minimum positions per (key, value); the
+    Only other versions that have an extraction give; a lone record stays untouched. The
+    union of their lists is an aggregate of minimum positions per (key, value); the
     version's place in the order is part of the position, so no window spans a key.
     """
+    from ..functions.text import merge_lists
+
     ranked = df.withColumn("_ord", F.struct(*_ascending(arrival)))
     best = keep_best(ranked, [key], [F.col("_ord").asc()])
+    winners = best.select(key, F.col("_ord").alias("_win"))
+    others = ranked.join(winners, key).filter((F.col("_ord") != F.col("_win")) & F.col("extraction").isNotNull())
+    given = others.select(key).distinct().withColumn("_given", F.lit(True))
     general = (
-        ranked.select(key, "_ord", F.posexplode(F.col("extraction.majors")).alias("_pos", "_val"))
+        others.select(key, "_ord", F.posexplode(F.col("extraction.majors")).alias("_pos", "_val"))
         .withColumn("_val", strip("_val"))
         .filter("_val <> ''")
     )
     majors = first_occurrence_lists(general, [key], "_val", ["_ord", "_pos"], cap, "_majors")
-    depts = ranked.select(
+    depts = others.select(
         key, "_ord", F.posexplode("extraction.department_requirements").alias("_dpos", "_d")
     ).select(key, "_ord", "_dpos", strip(text("_d.department")).alias("_label"), F.col("_d.majors").alias("_m"))
     firsts = depts.groupBy(key, "_ord", "_label").agg(F.min_by("_m", "_dpos").alias("_m")).filter("_label <> ''")
@@ -107,19 +113,18 @@ def keep_best_results(df: DataFrame, key: str = "school_id", arrival: str = "arr
         .groupBy(key)
         .agg(F.map_from_entries(F.collect_list(F.struct("_label", "_dm"))).alias("_donors"))
     )
-    from ..functions.text import merge_lists
 
     def patched(d: Column) -> Column:
         extra = F.element_at(F.col("_donors"), strip(text(d["department"])))
         merged = merge_lists(d["majors"], extra, dept_cap)
-        return d.withField("majors", F.when(F.size(merged) > 0, merged).otherwise(d["majors"]))
+        return d.withField("majors", F.when(extra.isNotNull() & (F.size(merged) > 0), merged).otherwise(d["majors"]))
 
     ext = F.col("extraction")
-    ext = F.when(
-        F.col("_majors").isNotNull(), ext.withField("majors", F.col("_majors"))
-    ).otherwise(ext)
+    merged = merge_lists(ext["majors"], F.col("_majors"), cap)
+    ext = F.when(F.col("_given") & (F.size(merged) > 0), ext.withField("majors", merged)).otherwise(ext)
     return (
-        best.join(majors, key, "left")
+        best.join(given, key, "left")
+        .join(majors, key, "left")
         .join(donor_map, key, "left")
         .withColumn("extraction", ext)
         .withColumn(
@@ -131,7 +136,7 @@ def keep_best_results(df: DataFrame, key: str = "school_id", arrival: str = "arr
                 ),
             ).otherwise(F.col("extraction")),
         )
-        .drop("_ord", "_majors", "_donors")
+        .drop("_ord", "_given", "_majors", "_donors")
     )
 
 

@@ -80,8 +80,7 @@ def merge_groups(*lists: Column) -> Column:
 def user_ranks(profile: Mapping[str, str] | Column | str) -> Column:
     """Candidate standards (a dict or a struct column) to ranks in subject order; null where none is given."""
     if isinstance(profile, Mapping):
-        ranks = [V.STANDARD_RANK.get((profile.get(k) or "").strip()) for k in KEYS]
-        return F.array(*[F.lit(r).cast("int") for r in ranks])
+        return F.array(*[parse_standard(F.lit(profile.get(k)).cast("string"))["rank"] for k in KEYS])
     col = c(profile)
     return F.transform(F.array(*[col[k] for k in KEYS]), lambda s: parse_standard(s)["rank"])
 

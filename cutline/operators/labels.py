@@ -19,10 +19,15 @@ TIERS = ["985", "211", "双一流", "非双一流"]
 def authority_sets(
     schools: DataFrame, name: str, texts: DataFrame, set_name: str, value: str, aliases: Column | None = None
 ) -> DataFrame:
-    """(set_name, name) pairs found in the authority texts of each set."""
-    prepared = texts.select(set_name, match_text(value).alias("_text"))
-    matched = names_in_texts(prepared, set_name, "_text", schools.select(name).distinct(), name, name_aliases(name) if aliases is None else aliases)
-    return matched.distinct()
+    """(set_name, name) pairs found in the authority texts of each set.
+
+    Texts are matched under an id of their own and collapse to their sets afterwards, so
+    a set with many texts is no hot key and no candidate meets the other texts of its set.
+    """
+    prepared = texts.select(set_name, match_text(value).alias("_text")).withColumn("_tid", F.xxhash64("_text"))
+    once = prepared.select("_tid", "_text").dropDuplicates(["_tid", "_text"])
+    matched = names_in_texts(once, "_tid", "_text", schools.select(name).distinct(), name, name_aliases(name) if aliases is None else aliases)
+    return matched.join(prepared.select("_tid", set_name).distinct(), "_tid").select(set_name, name).distinct()
 
 
 def label_schools(
@@ -58,6 +63,9 @@ def label_schools(
     return step.drop("_host", "_dom", "_listed", "_in0", "_in1", "_in2", "local_tier")
 
 
-def tier_report(schools: DataFrame) -> DataFrame:
-    """A2: institutions per tier, zero-filled."""
-    return count_by(schools, "tier", TIERS)
+def tier_report(schools: DataFrame, recognised: str = "taiwan_recognized") -> DataFrame:
+    """A2: institutions per tier, zero-filled, and those of them that are recognised, with a row ``total``."""
+    found = schools.filter(F.coalesce(F.col(recognised), F.lit(False)))
+    per_tier = count_by(schools, "tier", TIERS).join(count_by(found, "tier", TIERS).withColumnRenamed("n", "recognised"), "tier")
+    total = schools.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col(recognised), F.lit(False))).alias("recognised"))
+    return per_tier.unionByName(total.withColumn("tier", F.lit("total")))

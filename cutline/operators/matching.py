@@ -16,7 +16,7 @@ from ..functions.urls import dot_suffixes
 
 # Bounds under which the alias table travels to every task as one automaton.
 MAX_BROADCAST_ALIASES = 50_000
-MAX_BROADCAST_CHARS = 8_000_000
+MAX_BROADCAST_CHARS = 1_000_000
 
 
 def contains_join(
@@ -31,6 +31,7 @@ def contains_join(
 ) -> DataFrame:
     """Distinct (text id, alias id) pairs where the alias occurs in the text.
 
+    Text ids must be unique, or rows that share one count as one text in parts.
     Up to the bounds the aliases become one automaton and every text is read once;
     beyond them the join runs on grams and nothing is collected. Both are exact.
     """

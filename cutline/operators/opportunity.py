@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def opportunities(
     df: DataFrame,
     school: Sequence[str],
-    row_key: str,
+    position: str,
     label: str,
     track: str,
     keyword_hit: Column,
@@ -24,13 +24,16 @@ def opportunities(
     include_unknown: bool = False,
     transfer: bool = True,
     near_miss: bool = True,
+    target: Column | None = None,
 ) -> DataFrame:
     """E13 over evaluated rows (``match`` from evaluate_rows, ``gap`` from gap_rows).
 
     A transfer row is the institution's best non-science row when nothing on the
     science side passes; a near miss is its closest failing science-side row. Both
     picks and the institution test are one aggregate, so rows are evaluated once and
-    each task sends at most two rows per institution.
+    each task sends at most two rows per institution. ``position`` is the row's place as a
+    number: the first of equal rows wins. With ``target`` (J15 over a row's own majors and
+    label), institutions of which no row hits it give nothing.
     """
     gap_limit = max(1, min(3, int(gap_limit or 1)))
     columns = df.columns
@@ -39,12 +42,12 @@ def opportunities(
     payload = F.struct(*columns)
     m, g = F.col(match), F.col(gap)
     states = ["pass", "unknown"] if include_unknown else ["pass"]
-    aggs = []
+    aggs = [] if target is None else [F.coalesce(F.bool_or(target), F.lit(False)).alias("_target")]
     if transfer:
         order = F.struct(
             F.when(m["status"] == "pass", 0).otherwise(1).alias("a"),
             (-F.coalesce(m["fit"], F.lit(-1))).alias("b"),
-            F.col(row_key).alias("c"),
+            F.col(position).alias("c"),
         )
         cand = m["status"].isin(states) & (F.col(track) != "science")
         aggs.append(F.coalesce(F.bool_or((m["status"] == "pass") & F.col("_sci")), F.lit(False)).alias("_direct"))
@@ -54,7 +57,7 @@ def opportunities(
             g["max_deficit"].alias("a"),
             F.length(F.coalesce(F.col(gap_text), F.lit(""))).alias("b"),
             F.coalesce(F.col(label), F.lit("")).alias("c"),
-            F.col(row_key).alias("d"),
+            F.col(position).alias("d"),
         )
         cand = (
             (m["status"] == "fail")
@@ -67,6 +70,8 @@ def opportunities(
             cand = cand & F.col(area).isin(list(hot_areas))
         aggs.append(F.min_by(payload, F.when(cand, order)).alias("_near"))
     best = rows.groupBy(*school).agg(*aggs)
+    if target is not None:
+        best = best.filter("_target")
     found = []
     if transfer:
         pick = F.when(~F.col("_direct"), F.col("_transfer"))

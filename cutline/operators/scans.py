@@ -167,14 +167,15 @@ def fragment_runs(
 
     Returns one row per joined run: keys, first position, pieces, text. Runs shorter
     than ``min_run`` give no row. Each output group holds at most ``max_run`` pieces.
+    Positions may have gaps: pieces are counted by their rank, a running count in slices.
     """
-    islands = run_islands(df.withColumn("_frag", is_fragment), keys, pos, ~F.col("_frag"))
+    ranked = run_islands(df.withColumn("_frag", is_fragment), keys, pos, F.lit(True)).withColumnRenamed("island", "_rank")
+    islands = run_islands(ranked, keys, "_rank", ~F.col("_frag"))
     frags = islands.filter("_frag")
-    # Position inside the run: the run's first position comes from an aggregate, and
-    # positions are consecutive inside a run because any other row starts a new island.
-    firsts = frags.groupBy(*keys, "island").agg(F.min(pos).alias("_first"))
+    # Ranks are consecutive inside a run, because any other row starts a new island.
+    firsts = frags.groupBy(*keys, "island").agg(F.min("_rank").alias("_first"))
     placed = frags.join(firsts, [*keys, "island"]).withColumn(
-        "_chunk", F.floor((F.col(pos) - F.col("_first")) / F.lit(max_run))
+        "_chunk", F.floor((F.col("_rank") - F.col("_first")) / F.lit(max_run))
     )
     return (
         placed.groupBy(*keys, "island", "_chunk")

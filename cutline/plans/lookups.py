@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import merge_lists
 from ..operators import dedupe, lookup, scans, sets, stats
+from ..operators import labels as label_ops
 from ..session import table
 from . import query
 
@@ -79,6 +80,54 @@ def keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.keep_best(event_records(spark, sf_dir), ["user_id"], event_order()).select("user_id", "event_id", "status")
 
 
+@query(
+    "keep_best_lists",
+    """
+with v as (select o_custkey as k, row_number() over (partition by o_custkey order by cast(floor(o_totalprice / 1000) as int) desc, o_orderkey) as rn,
+    o_orderkey % 2 as label, o_orderpriority as p, o_orderstatus as s from orders),
+c as (select k, count(*) as n from v group by 1),
+vals as (select k, rn * 10 as pl, p as val from v union all select k, rn * 10 + 1, s from v),
+firsts as (select k, val, min(pl) as pl from vals group by 1, 2),
+general as (select k, string_agg(val, '|' order by pl) as g from firsts group by 1),
+w as (select * from v where rn = 1),
+dvals as (select v.k, v.p as val, min(v.rn) as pl from v join w on v.k = w.k and v.label = w.label group by 1, 2),
+dept as (select k, string_agg(val, '|' order by pl) as d from dvals group by 1)
+select w.k as o_custkey, case when n = 1 then ' ' || w.p || '|' || w.s || '|' || w.s else g end as majors, d as dept_majors
+from w join c using (k) join general using (k) join dept using (k)
+""",
+)
+def keep_best_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 with J12: the winner's lists completed from the other versions; a lone record stays as it is."""
+    none = F.struct(F.lit(None).cast("string").alias("standard"), F.lit(None).cast("int").alias("min_score"))
+    subjects = F.struct(*[none.alias(s) for s in ("chinese", "english", "math_a", "math_b", "social", "science")])
+    dept = F.struct(
+        F.concat(F.lit(" d"), (F.col("o_orderkey") % 2).cast("string")).alias("department"),
+        subjects.alias("subjects"),
+        F.array("o_orderpriority").alias("majors"),
+    )
+    extraction = F.struct(
+        F.lit("high").alias("confidence"),
+        F.array(F.concat(F.lit(" "), "o_orderpriority"), "o_orderstatus", "o_orderstatus").alias("majors"),
+        subjects.alias("general_requirements"),
+        F.array(dept).alias("department_requirements"),
+    )
+    versions = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("school_id"),
+        F.col("o_orderkey").alias("arrival"),
+        F.lit("success").alias("status"),
+        F.lit("official").alias("source"),
+        F.lit("").alias("source_url"),
+        F.floor(F.col("o_totalprice") / 1000).cast("int").alias("raw_text_length"),
+        extraction.alias("extraction"),
+    )
+    best = dedupe.keep_best_results(versions)
+    return best.select(
+        F.col("school_id").alias("o_custkey"),
+        F.array_join("extraction.majors", "|").alias("majors"),
+        F.array_join(F.get("extraction.department_requirements", F.lit(0))["majors"], "|").alias("dept_majors"),
+    )
+
+
 @query(
     "source_quality",
     f"with {_EVENT} select event_id, cast(quality as integer) as quality from qual",
@@ -268,17 +317,19 @@ def label_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "tier_report",
     f"""
-with d as (select case when sn < 4 then '985' when sn < 9 then '211' when sn < 12 then '双一流' else '非双一流' end as tier
-  from (select cast(substr(source, 4) as int) as sn from documents))
-select t.tier, (select count(*) from d where d.tier = t.tier) as n
+with d as (select case when sn < 4 then '985' when sn < 9 then '211' when sn < 12 then '双一流' else '非双一流' end as tier, lang = 'en' as rec
+  from (select cast(substr(source, 4) as int) as sn, lang from documents))
+select t.tier, (select count(*) from d where d.tier = t.tier) as n, (select count(*) from d where d.tier = t.tier and rec) as recognised
 from (values ('985'), ('211'), ('双一流'), ('非双一流')) t(tier)
+union all select 'total', count(*), count(*) filter (rec) from d
 """,
 )
 def tier_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2."""
     n = F.substring("source", 4, 10).cast("int")
     tier = F.when(n < 4, "985").when(n < 9, "211").when(n < 12, "双一流").otherwise("非双一流")
-    return stats.count_by(table(spark, sf_dir, "documents").select(tier.alias("tier")), "tier", ["985", "211", "双一流", "非双一流"])
+    schools = table(spark, sf_dir, "documents").select(tier.alias("tier"), (F.col("lang") == "en").alias("taiwan_recognized"))
+    return label_ops.tier_report(schools)
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.standards import format_gap
 from ..functions.text import flex_signals, keyword_hit, other_text, row_track
 from ..operators import evaluate, opportunity, sets, stats
+from ..operators.matching import target_hit
 from ..session import table
 from . import query
 from .evaluation import EVAL, PROFILE, part_rows
@@ -18,23 +19,24 @@ _PICKS = (
     EVAL
     + """,
 rws as (
-  select v.*, p.p_brand, p.p_name, p.p_type,
+  select v.*, p.p_brand || '/' || p_size % 10 as inst, p.p_name, p.p_type,
     case when p_type in ('PROMO', 'LARGE') then 'science' when p_type = 'SMALL' then 'mixed' else 'arts' end as track,
     contains(lower(p_name), 'gear') or contains(lower(p_name), 'ring') as hit
   from verdict v join part p using (p_partkey)),
-direct as (select distinct p_brand from rws where status = 'pass' and (track = 'science' or hit)),
+target as (select distinct inst from rws where hit),
+direct as (select distinct inst from rws where status = 'pass' and (track = 'science' or hit)),
 tr as (
-  select *, row_number() over (partition by p_brand order by case status when 'pass' then 2 else 1 end desc,
+  select *, row_number() over (partition by inst order by case status when 'pass' then 2 else 1 end desc,
     case when status = 'pass' then fit0 else -1 end desc, p_partkey) as rn
-  from rws where status in ('pass', 'unknown') and track <> 'science' and p_brand not in (select p_brand from direct)),
+  from rws where status in ('pass', 'unknown') and track <> 'science' and inst not in (select inst from direct) and inst in (select inst from target)),
 nm as (
-  select *, row_number() over (partition by p_brand order by gap0, label_len, p_name, p_partkey) as rn
-  from rws where status = 'fail' and (track = 'science' or hit) and gap_status = 'fail' and gap_n <= 1 and gap0 <= 2),
+  select *, row_number() over (partition by inst order by gap0, label_len, p_name, p_partkey) as rn
+  from rws where status = 'fail' and (track = 'science' or hit) and gap_status = 'fail' and gap_n <= 1 and gap0 <= 2 and inst in (select inst from target)),
 picks as (
-  select p_brand, p_partkey, 'transfer' as kind, status, case when status = 'pass' then fit0 end as fit, cast(null as integer) as gap
+  select inst, p_partkey, 'transfer' as kind, status, case when status = 'pass' then fit0 end as fit, cast(null as integer) as gap
   from tr where rn = 1
   union all
-  select p_brand, p_partkey, 'nearmiss', status, null, gap0 from nm where rn = 1)
+  select inst, p_partkey, 'nearmiss', status, null, gap0 from nm where rn = 1)
 """
 )
 
@@ -44,14 +46,15 @@ def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evaluate.match_and_gap(rows, PROFILE, include_unknown=True).withColumn("gap_text", format_gap("gap.details"))
     track = F.when(F.col("p_type").isin("PROMO", "LARGE"), "science").when(F.col("p_type") == "SMALL", "mixed").otherwise("arts")
     return opportunity.opportunities(
-        rows.withColumn("track", track),
-        ["p_brand"],
+        rows.withColumns({"track": track, "inst": F.concat_ws("/", "p_brand", (F.col("p_size") % 10).cast("string"))}),
+        ["inst"],
         "p_partkey",
         "p_name",
         "track",
         keyword_hit("p_name", KEYWORDS),
         gap_limit=2,
         include_unknown=True,
+        target=target_hit(F.array("p_name"), F.array("p_type"), KEYWORDS),
     )
 
 
@@ -60,7 +63,7 @@ def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transfer and one near-miss row per institution at most."""
     rows = picks(spark, sf_dir)
     return rows.select(
-        "p_brand",
+        "inst",
         "p_partkey",
         "kind",
         F.col("match.status").alias("status"),
@@ -73,7 +76,7 @@ def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     "oppty_meta",
     _PICKS
     + """
-select p_brand,
+select inst,
   cast(min(case when kind = 'transfer' then case status when 'pass' then fit else 500 end else 10000 + gap * 100 end) as double)
     as score,
   min(gap) as best_gap, bool_or(kind = 'transfer') as has_transfer, bool_or(kind = 'nearmiss') as has_nearmiss
@@ -81,18 +84,18 @@ from picks group by 1""",
 )
 def oppty_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A15."""
-    return stats.opportunity_meta(opportunities(spark, sf_dir), ["p_brand"], "kind", "status", "fit", "gap")
+    return stats.opportunity_meta(opportunities(spark, sf_dir), ["inst"], "kind", "status", "fit", "gap")
 
 
 @query(
     "oppty_counts",
     _PICKS
-    + """ select count(distinct p_brand) filter (kind = 'transfer') as transfer_schools,
-  count(distinct p_brand) filter (kind = 'nearmiss') as nearmiss_schools from picks""",
+    + """ select count(distinct inst) filter (kind = 'transfer') as transfer_schools,
+  count(distinct inst) filter (kind = 'nearmiss') as nearmiss_schools from picks""",
 )
 def oppty_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A17."""
-    return stats.kind_counts(opportunities(spark, sf_dir), "p_brand", "kind")
+    return stats.kind_counts(opportunities(spark, sf_dir), "inst", "kind")
 
 
 @query(

@@ -8,18 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from ..streaming import VersionedState, keep_best_stream, read_stream, sessions, status_counts, stream_dir
-from . import query
+from ..streaming import BucketedState, VersionedState, keep_best_stream, read_stream, sessions, status_counts, stream_dir
+from . import SQL, query
 from .lookups import KEEP_BEST_SQL, event_order, event_records_of
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    return read_stream(spark, sf_dir, schema, "events.parquet")
+BATCHES = 3
+
+
+def _events(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The events as a stream of several files, one per micro-batch."""
+    events = table(spark, sf_dir, "events")
+    events.repartition(BATCHES, "event_id").write.parquet(f"{folder}/input")
+    return read_stream(spark, f"{folder}/input", events.schema, max_files=1)
 
 
 def _drain(df: DataFrame, mode: str, folder: str) -> DataFrame:
-    """Run the stream to its end into parquet versions and return the last one."""
+    """Run the stream to its end into parquet versions and return the last one (no input: no row)."""
     spark = df.sparkSession
     state = VersionedState(spark, f"{folder}/out")
     q = (
@@ -30,7 +35,8 @@ def _drain(df: DataFrame, mode: str, folder: str) -> DataFrame:
         .start()
     )
     q.awaitTermination()
-    return state.latest()
+    latest = state.latest()
+    return spark.createDataFrame([], df.schema) if latest is None else latest
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -40,18 +46,21 @@ def _folder(spark: SparkSession, name: str) -> str:
 @query("stream_status", "select event_type, count(*) as n from events group by 1")
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST2."""
-    return _drain(status_counts(_events(spark, sf_dir), "event_type"), "complete", _folder(spark, "status"))
+    folder = _folder(spark, "status")
+    return _drain(status_counts(_events(spark, sf_dir, folder), "event_type"), "complete", folder)
 
 
 @query("stream_keep_best", KEEP_BEST_SQL)
 def stream_keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST1: incremental keep-best equals the batch result."""
+    """ST1: incremental keep-best over several batches equals the batch result."""
     folder = _folder(spark, "best")
-    state = VersionedState(spark, f"{folder}/state")
-    stream = event_records_of(_events(spark, sf_dir))
+    state = BucketedState(spark, f"{folder}/state", ["user_id"])
+    stream = event_records_of(_events(spark, sf_dir, folder))
     q = keep_best_stream(stream, state, ["user_id"], event_order(), f"{folder}/checkpoint")
     q.awaitTermination()
-    return state.latest().select("user_id", "event_id", "status")
+    latest = state.latest()
+    latest = spark.createDataFrame([], stream.schema) if latest is None else latest
+    return latest.select("user_id", "event_id", "status")
 
 
 @query(
@@ -62,10 +71,21 @@ i as (select *, sum(brk) over (partition by user_id order by ts, event_id) as is
 select user_id, cast(floor(epoch(min(ts))) as bigint) as start_s, count(*) as n from i group by user_id, isl
 """,
 )
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST3: event-time sessions of a stream, drained; its files are in no order of time, so the watermark waits."""
+    folder = _folder(spark, "sessions")
+    ev = _events(spark, sf_dir, folder).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return _session_rows(_drain(sessions(ev, ["user_id"], "ts", 90 * 60, watermark="3650 days"), "complete", folder))
+
+
+@query("session_clusters", SQL["stream_sessions"])
 def session_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST3 in batch form: the sessions the stream gives, from sliced gap clusters."""
     ev = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    out = sessions(ev, ["user_id"], "ts", 90 * 60)
+    return _session_rows(sessions(ev, ["user_id"], "ts", 90 * 60))
+
+
+def _session_rows(out: DataFrame) -> DataFrame:
     shift = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(start as timestamp_ntz))")
     return out.select("user_id", shift.alias("start_s"), "n")
 

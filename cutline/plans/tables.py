@@ -63,17 +63,17 @@ def coalesce_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "fragment_runs",
     """
-with t as (select conv_id, turn, role, length(text) < 400 as frag from conversations),
-b as (select *, sum(case when frag then 0 else 1 end) over (partition by conv_id order by turn) as isl from t),
-f as (select *, turn - min(turn) over (partition by conv_id, isl) as off from b where frag)
-select conv_id, min(turn) as first_pos, count(*) as pieces, string_agg(role, '' order by turn) as joined
-from f group by conv_id, isl, off // 6 having count(*) >= 2
+with t as (select user_id, event_id, event_type, value < 60 as frag from events),
+b as (select *, sum(case when frag then 0 else 1 end) over (partition by user_id order by event_id) as isl from t),
+f as (select *, row_number() over (partition by user_id, isl order by event_id) - 1 as off from b where frag)
+select user_id, min(event_id) as first_pos, count(*) as pieces, string_agg(event_type, '' order by event_id) as joined
+from f group by user_id, isl, off // 6 having count(*) >= 2
 """,
 )
 def fragment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of short turns joined, six at most, two at least."""
-    conv = table(spark, sf_dir, "conversations")
-    return scans.fragment_runs(conv, ["conv_id"], "turn", "role", F.length("text") < 400)
+    """Runs of small events joined, six at most, two at least; a user's event ids have gaps."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    return scans.fragment_runs(events, ["user_id"], "event_id", "event_type", F.col("value") < 60)
 
 
 @query(
@@ -317,23 +317,19 @@ def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "active_columns",
     """
-select true as has_brand, false as has_blank, max(case when p_size > 100 then 1 else 0 end) = 1 as has_large,
-  bool_or(p_type = 'PROMO') as has_promo from part
+select p_partkey, p_brand as brand, case when p_type = 'PROMO' then 1 end as promo from part
 """,
 )
 def active_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which columns hold a value anywhere."""
+    """The columns that hold a value anywhere, for every row; ``blank`` and ``large`` hold none."""
     part = table(spark, sf_dir, "part").select(
+        "p_partkey",
         F.col("p_brand").alias("brand"),
         F.lit(None).cast("string").alias("blank"),
         F.when(F.col("p_size") > 100, 1).alias("large"),
         F.when(F.col("p_type") == "PROMO", 1).alias("promo"),
     )
-    return part.agg(*[F.max(F.col(x).isNotNull()).alias(f"has_{x}") for x in filters_columns()])
-
-
-def filters_columns() -> list[str]:
-    return ["brand", "blank", "large", "promo"]
+    return filters.select_active(part, ["p_partkey"], ["brand", "blank", "large", "promo"])
 
 
 # ---- filters and projections ----------------------------------------------------------------------
@@ -609,14 +605,14 @@ def multi_mode_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "rows_in_group",
     """
-select o_custkey, o_orderkey from (
-  select *, row_number() over (partition by o_custkey order by case o_orderstatus when 'O' then 3 when 'P' then 2 else 1 end desc,
-    case when o_orderstatus = 'O' then cast(floor(o_totalprice / 100) as int) else 10000 end, o_orderpriority, o_orderkey) as rn
-  from orders) where rn <= 3
+select o_custkey, o_orderkey, row_number() over (partition by o_custkey
+    order by case o_orderstatus when 'O' then 3 when 'P' then 2 else 1 end desc,
+    case when o_orderstatus = 'O' then cast(floor(o_totalprice / 100) as int) else 10000 end, o_orderpriority, o_orderkey) as position
+from orders
 """,
 )
 def rows_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T5: first three rows of each institution in row order (top-k per key)."""
+    """T5: the place of every row inside its institution, from one range-partitioned sort."""
     o = table(spark, sf_dir, "orders")
     st = F.col("o_orderstatus")
     rows = o.select(
@@ -626,9 +622,9 @@ def rows_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(st == "O", F.floor(F.col("o_totalprice") / 100).cast("int")).alias("fit"),
         F.col("o_orderpriority").alias("label"),
     )
-    return scans.top_per_key(rows, ["o_custkey"], [*ordering.row_order(True), F.col("o_orderkey").asc()], 3).select(
-        "o_custkey", "o_orderkey"
-    )
+    ranked = scans.global_rank(rows, [F.col("o_custkey"), *ordering.row_order(True), F.col("o_orderkey").asc()])
+    first = ranked.groupBy("o_custkey").agg(F.min("rank").alias("first"))
+    return ranked.join(first, "o_custkey").select("o_custkey", "o_orderkey", (F.col("rank") - F.col("first") + 1).alias("position"))
 
 
 @query(

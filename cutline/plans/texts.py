@@ -10,7 +10,7 @@ from ..functions.expr import array_of, count_words
 from ..operators import filters, labels, majors, matching, pages, scans, textrules
 from ..operators.textrules import RuleVocabulary
 from ..session import spread_table, table
-from . import query
+from . import SQL, query
 
 # ---- keywords and evidence ----------------------------------------------------------------
 
@@ -117,6 +117,14 @@ def contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.contains_join(docs, "doc_id", "t", aliases, "item_id", "alias")
 
 
+@query("contains_join_grams", SQL["contains_join"])
+def contains_join_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8 by the way that names beyond the bound take: grams, whatever their number."""
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", T.match_text("text").alias("t"))
+    aliases = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.name_aliases("text")).alias("alias"))
+    return matching.contains_join(docs, "doc_id", "t", aliases, "item_id", "alias", max_aliases=0)
+
+
 @query(
     "domain_join",
     """
@@ -576,14 +584,14 @@ with school as (
   select b.item_id, text as name, url, case when item_id % 4 = 0 then '双一流建设' else '' end as type
   from benchmark b left join pages on page_id = item_id),
 n as (select item_id, {_NORM.format(x='name')} as n from school),
-d as (select lang, {_NORM.format(x='text')} as t from documents where lang in ('en', 'de', 'fr')),
+d as (select case lang when 'en' then 'en' when 'de' then 'de' else 'other' end as lang, {_NORM.format(x='text')} as t from documents),
 m as (
   select distinct item_id, lang from n join d
     on contains(t, n) or (length(regexp_replace(n, '\\([^)]*\\)', '', 'g')) >= 4 and contains(t, regexp_replace(n, '\\([^)]*\\)', '', 'g')))),
-f as (select item_id, bool_or(lang = 'en') as i985, bool_or(lang = 'de') as i211, bool_or(lang = 'fr') as isyl from m group by 1),
+f as (select item_id, bool_or(lang = 'en') as i985, bool_or(lang = 'de') as i211, bool_or(lang = 'other') as isyl from m group by 1),
 h as (select item_id, nullif(regexp_replace(split_part(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), ':', 1), '^www\\.', ''), '') as host from school),
 dom as (select distinct regexp_replace(split_part(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), ':', 1), '^www\\.', '') as d
-        from pages where url like 'https://%'),
+        from pages),
 x as (
   select s.item_id, coalesce(i985, false) as a, coalesce(i211, false) as b, coalesce(isyl, false) as c,
     s.item_id % 7 = 0 as loc, s.type like '%双一流%' as typed, s.item_id % 5 = 0 as listed,
@@ -607,13 +615,12 @@ def label_sync_full(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("item_id") % 4 == 0, "双一流建设").otherwise("").alias("type"),
         F.col("url").alias("zsjz_url"),
     )
-    names = {"en": "985", "de": "211", "fr": "双一流"}
-    set_name = F.when(F.col("lang") == "en", names["en"]).when(F.col("lang") == "de", names["de"]).when(F.col("lang") == "fr", names["fr"])
-    texts = docs.select(set_name.alias("set_name"), "text").filter("set_name is not null")
+    set_name = F.when(F.col("lang") == "en", "985").when(F.col("lang") == "de", "211").otherwise("双一流")
+    texts = docs.select(set_name.alias("set_name"), "text")
     matched = labels.authority_sets(schools, "name", texts, "set_name", "text")
     reference = schools.filter("item_id % 7 = 0").select("name", F.lit("211").alias("set_name"), F.lit(2).alias("precedence"))
     recognised = schools.filter("item_id % 5 = 0").select("name")
-    domain_texts = p.filter("url like 'https://%'").select("url")
+    domain_texts = p.select("url")
     out = labels.label_schools(schools, matched, domain_texts, "url", reference, recognised)
     return out.select("item_id", "tier", "tier_source", "taiwan_recognized", "taiwan_source")
 

@@ -62,21 +62,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-SMALL_BYTES_PER_CORE = 32 * 1024 * 1024
-
-
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose rows cost much CPU each, such as whole texts.
 
-    A small file is one row group and would be one task, so it is dealt out over the
-    cores. Anything larger already has more splits than cores and is read as it is: no
-    shuffle moves the texts.
+    It is read as it is, so no shuffle moves the texts. A caller whose table is one row group,
+    and so one task, asks for a number of partitions by ``spark.cutline.textPartitions``.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{name}.parquet"))
-    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    cores = spark.sparkContext.defaultParallelism
+    wanted = spark.conf.get("spark.cutline.textPartitions", None)
     df = table(spark, sf_dir, name)
-    return df.repartition(cores) if size < SMALL_BYTES_PER_CORE * cores else df
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def epoch_seconds(col: str):

@@ -227,3 +227,28 @@ def test_major_lists_equal_the_walk(spark, sf):
     want = {r["doc_id"]: walk(r["text"]) for r in docs.collect()}
     got = {r["doc_id"]: r["majors"] for r in latin_majors(docs).collect()}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_bucketed_state_over_batches(spark, tmp_path):
+    from cutline.streaming import BucketedState
+
+    schema = "k long, n long"
+    want = {}
+    for i in range(4):
+        rows = [(k, (k * 7 + i * 5) % 11) for k in range(i * 3, i * 3 + 9)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        for k, n in rows:
+            want[k] = max(n, want.get(k, -1))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    state = BucketedState(spark, str(tmp_path / "state"), ["k"], buckets=8)
+    keep_best_stream(source, state, ["k"], [F.col("n").desc()], str(tmp_path / "cp")).awaitTermination()
+    assert {r["k"]: r["n"] for r in state.latest().collect()} == want
+    assert all(len(v) <= 2 for v in state._held().values())
+
+
+def test_streams_without_input(spark, tmp_path):
+    from cutline.plans import streams
+
+    (tmp_path / "in").mkdir()
+    source = read_stream(spark, str(tmp_path / "in"), "event_type string")
+    assert streams._drain(status_counts(source, "event_type"), "complete", str(tmp_path / "out")).count() == 0

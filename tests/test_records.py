@@ -88,6 +88,15 @@ def test_keep_best_completes_lists(spark):
     assert got["2"]["extraction"]["confidence"] == "low"
 
 
+def test_a_lone_record_keeps_its_lists(spark):
+    lone = rec("1", majors_=[" m1", " m1"], depts=[("A", None, ["x"]), ("A", None, ["y"])])
+    other = rec("2", majors_=["a"], depts=[("A", None, ["x"]), ("A", None, ["y"])])
+    df = result(spark, [lone, other, rec("2", conf="low", depts=[("A", None, ["z"])])])
+    got = {r["school_id"]: r["extraction"] for r in dedupe.keep_best_results(df.withColumn("arrival", F.monotonically_increasing_id())).collect()}
+    assert got["1"]["majors"] == [" m1", " m1"] and [d["majors"] for d in got["1"]["department_requirements"]] == [["x"], ["y"]]
+    assert [d["majors"] for d in got["2"]["department_requirements"]] == [["x", "z"], ["y", "z"]]
+
+
 def test_recategorise_and_reports(spark):
     df = result(
         spark,

@@ -170,3 +170,9 @@ def test_major_filter_never_empties_an_institution(spark):
     df = spark.createDataFrame(rows, "s string, rm array<string>, sm array<string>")
     got = sets.major_filter(df, "s", "rm", "sm", ["m"]).collect()
     assert sorted((r["s"], r["mapping_unknown"]) for r in got) == [("a", True), ("a", True), ("b", False)]
+
+
+def test_fragments_with_gaps_in_their_positions_join(spark):
+    df = spark.createDataFrame([("k", p, str(p)) for p in (0, 10, 20, 31, 47, 58, 66, 90)], "key string, pos long, value string")
+    rows = scans.fragment_runs(df, ["key"], "pos", "value", F.lit(True)).orderBy("first_pos").collect()
+    assert [(r["first_pos"], r["pieces"], r["joined"]) for r in rows] == [(0, 6, "01020314758"), (66, 2, "6690")]
