@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from . import wordhash
 from .frames import written
 
-CHUNK = 2_000_000
+CHUNK = 700_000
+SLICE = 2 << 20
 RANGE_TOKENS = 1_000_000
 BUCKETS = 48
 """Context-frequency buckets: powers of two."""
@@ -50,12 +51,12 @@ _CHUNK_SCHEMA = "chunk bigint, held boolean, ids array<bigint>, folds array<int>
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Byte planes of 64-bit values: planes of zeros compress away."""
-    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Byte planes of whole numbers: planes of zeros compress away."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
 
 
 def _unpack(data: bytes, kind: type = np.int64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _chunk_row(parts: list[tuple], number: int, held: bool) -> pa.RecordBatch:
@@ -68,7 +69,7 @@ def _chunk_row(parts: list[tuple], number: int, held: bool) -> pa.RecordBatch:
         pa.array([folds.astype(np.int32)], pa.list_(pa.int32())),
         pa.array([sizes], pa.list_(pa.int64())),
         pa.array([vocab.tobytes()], pa.binary()),
-        pa.array([words.astype(np.int32).tobytes()], pa.binary()),
+        pa.array([_pack(words.astype(np.int32))], pa.binary()),
     ]
     return pa.RecordBatch.from_arrays(arrays, names=["chunk", "held", "ids", "folds", "sizes", "vocab", "words"])
 
@@ -81,9 +82,9 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[bool, list] = {False: [], True: []}
-        number = TaskContext.get().partitionId() << 32
+        number = {False: TaskContext.get().partitionId() << 32, True: (TaskContext.get().partitionId() << 32) + 1}  # odd: held out
         for batch in batches:
-            for part in wordhash.slices(batch, "text"):
+            for part in wordhash.slices(batch, "text", SLICE):
                 hashes, offsets = wordhash.words(part.column(1))
                 folds = part.column(2).to_numpy()
                 sizes = np.diff(offsets)
@@ -94,19 +95,19 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
                     if rows.any():
                         waiting[held].append((part.column(0).filter(pa.array(rows)).to_pylist(), folds[rows], sizes[rows] + 1, everything[of_token == held]))
                     if sum(len(p[3]) for p in waiting[held]) >= size:
-                        yield _chunk_row(waiting[held], number, held)
-                        waiting[held], number = [], number + 1
+                        yield _chunk_row(waiting[held], number[held], held)
+                        waiting[held] = []
+                        number[held] += 2
         for held, parts in waiting.items():
             if parts:
-                yield _chunk_row(parts, number, held)
-                number += 1
+                yield _chunk_row(parts, number[held], held)
 
     return docs.mapInArrow(cut, _CHUNK_SCHEMA)
 
 
 def _tokens(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A chunk's vocabulary, word numbers, pair keys, text offsets and folds per text."""
-    vocab, words = np.frombuffer(row.vocab, np.uint64), np.frombuffer(row.words, np.int32)
+    vocab, words = np.frombuffer(row.vocab, np.uint64), _unpack(row.words, np.int32)
     offsets = np.concatenate([[0], np.cumsum(np.asarray(row.sizes, np.int64))]).astype(np.int64)
     before = np.empty(len(words), np.uint64)
     before[1:] = vocab[words[:-1]]
@@ -247,7 +248,7 @@ def score(docs: DataFrame, fold: str, id_col: str = "doc_id", text_col: str = "t
     answers = answers.filter("chunk is not null").select("chunk", "kind", "range", "kept", "train")
 
     held = cut.filter("held")
-    of_held = answers.join(held.select("chunk"), "chunk", "left_semi")
+    of_held = answers.filter("chunk % 2 = 1")
     seen = _histogram(held, of_held, n_kept, v_kept, texts[1]).collect()
     weights = learn_weights([(r["bucket"], r["bin"], r["n"]) for r in seen])
 
