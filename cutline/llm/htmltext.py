@@ -32,8 +32,9 @@ from pyspark.sql import types as T
 from .frames import without
 
 SAMPLE_PAGES = 300
-TREES = 20
-DEPTH = 4
+TREES = 30
+DEPTH = 5
+LAYOUTS = 3
 SEED = 11
 
 # Elements by role.
@@ -60,7 +61,9 @@ TOKENS = (
     ("comment", "comments", "reply", "replies", "disqus", "respond", "discussion", "reactions"),
     ("form", "login", "search", "contact", "share", "sharing", "social", "tags", "meta", "author", "byline"),
 )
-_MAIN, _BOILER = 0, range(1, 9)
+CONTROLS = frozenset("button label input textarea".split())
+_BOILER = range(1, 9)
+_BOILER_TOKENS = frozenset(t for k in _BOILER for t in TOKENS[k])
 
 
 @dataclass
@@ -74,18 +77,22 @@ class Node:
 
 
 class _Tree(HTMLParser):
-    """Elements in page order and (node, text) pieces; unclosed and misnested tags end with their parent."""
+    """Nodes in page order and (node, text, in a link) pieces; unclosed and misnested tags end with their parent.
+
+    Nodes are blocks, silent elements, form controls and inline elements that bear a token of a
+    boilerplate group; the text of other inline elements belongs to the node around them.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("", frozenset(), -1, 0)]
-        self.pieces: list[tuple[int, str]] = []
-        self.open = [0]
+        self.pieces: list[tuple[int, str, bool]] = []
+        self.open = [("", 0)]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         closes = CLOSES.get(tag, {"p"} if tag in BLOCK and tag not in VOID else ())
         for at in range(len(self.open) - 1, 0, -1):
-            name = self.nodes[self.open[at]].tag
+            name = self.open[at][0]
             if name in closes:
                 del self.open[at:]
                 break
@@ -93,24 +100,26 @@ class _Tree(HTMLParser):
                 break
         values = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "data-main"))
         tokens = frozenset(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", values).lower()))
-        parent = self.open[-1]
-        self.nodes.append(Node(tag, tokens, parent, self.nodes[parent].depth + 1))
-        self.nodes[parent].children.append(len(self.nodes) - 1)
+        node = parent = self.open[-1][1]
+        if tag in BLOCK or tag in SILENT or tag in CONTROLS or not tokens.isdisjoint(_BOILER_TOKENS):
+            node = len(self.nodes)
+            self.nodes.append(Node(tag, tokens, parent, self.nodes[parent].depth + 1))
+            self.nodes[parent].children.append(node)
         if tag in BLOCK:
-            self.pieces.append((len(self.nodes) - 1, " "))
+            self.pieces.append((node, " ", False))
         if tag not in VOID:
-            self.open.append(len(self.nodes) - 1)
+            self.open.append((tag, node))
 
     def handle_endtag(self, tag: str) -> None:
         for at in range(len(self.open) - 1, 0, -1):
-            if self.nodes[self.open[at]].tag == tag:
+            if self.open[at][0] == tag:
                 if tag in BLOCK:
-                    self.pieces.append((self.open[at], " "))
+                    self.pieces.append((self.open[at][1], " ", False))
                 del self.open[at:]
                 return
 
     def handle_data(self, data: str) -> None:
-        self.pieces.append((self.open[-1], data))
+        self.pieces.append((self.open[-1][1], data, any(name == "a" for name, _ in self.open)))
 
 
 def parse(html: str | None) -> _Tree:
@@ -130,17 +139,15 @@ def features(tree: _Tree) -> np.ndarray:
     """One row of ``FEATURES`` per node; subtree sums run from the last node up, as children follow parents."""
     n = len(tree.nodes)
     chars, linked, marks, blocks, words = np.zeros((5, n))
-    in_link = np.zeros(n, dtype=bool)
     silent = np.zeros(n, dtype=bool)
     for i, node in enumerate(tree.nodes):
-        in_link[i] = node.tag == "a" or (node.parent >= 0 and in_link[node.parent])
         silent[i] = node.tag in SILENT or (node.parent >= 0 and silent[node.parent])
         blocks[i] = node.tag in BLOCK
-    for i, text in tree.pieces:
+    for i, text, in_link in tree.pieces:
         if not silent[i]:
             size = len(text.strip())
             chars[i] += size
-            linked[i] += size * in_link[i]
+            linked[i] += size * in_link
             marks[i] += sum(text.count(c) for c in ".,;:!?")
             words[i] += len(text.split())
     for i in range(n - 1, 0, -1):
@@ -234,7 +241,7 @@ def _laid_out(texts: list[str], links: list[str], rng: random.Random) -> str:
         inner.insert(rng.randint(0, len(inner)), f"<ul><li>{some(9)}</li><li>{some(12)}</li></ul>")
     if rng.random() < 0.3:
         inner.append(after.pop(1))
-    body = f"<h1>{some(6)}</h1>" + "".join(inner)
+    body = f"<h1>{some(rng.randint(1, 9))}</h1>" + "".join(inner)
     tag = rng.choice(["article", "main", "div", "div", "section"])
     kept = f'<{tag} {name(0) if rng.random() < 0.7 else ""} data-main="keptmain">{body}</{tag}>'
     picked = [x for x in before if rng.random() < 0.6], [x for x in after if rng.random() < 0.6]
@@ -250,15 +257,12 @@ def training_rows(pages: list[str], seed: int = SEED) -> list[tuple[list[float],
         tree = parse(html)
         marked = labels(tree)
         texts: dict[int, str] = {}
-        for i, text in tree.pieces:
+        for i, text, _ in tree.pieces:
             if marked[i] == 1:
-                block = i
-                while tree.nodes[block].parent > 0 and tree.nodes[block].tag not in BLOCK:
-                    block = tree.nodes[block].parent
-                texts[block] = texts.get(block, "") + text
-        links = [t for i, t in tree.pieces if tree.nodes[i].tag == "a"][:20]
+                texts[i] = texts.get(i, "") + text
+        links = [t for _, t, in_link in tree.pieces if in_link][:20]
         kept = [t.strip().replace("<", "&lt;") for t in texts.values() if t.strip()][:40]
-        for layout in [tree, *([parse(_laid_out(kept or ["text"], links, rng)) for _ in range(2)])]:
+        for layout in [tree, *([parse(_laid_out(kept or ["text"], links, rng)) for _ in range(LAYOUTS)])]:
             x, y = features(layout), labels(layout)
             rows += [(x[i].tolist(), float(y[i])) for i in range(1, len(y)) if y[i] >= 0]
     return rows
@@ -344,7 +348,7 @@ def decode(tree: _Tree, probability: np.ndarray) -> np.ndarray:
 def main_text(html: str | None, forest: Forest) -> str:
     tree = parse(html)
     kept = decode(tree, forest.probability(features(tree)))
-    return " ".join("".join(text if kept[i] else " " for i, text in tree.pieces).split())
+    return " ".join("".join(text if kept[i] else " " for i, text, _ in tree.pieces).split())
 
 
 def extract(pages: DataFrame, forest: Forest, html_col: str = "html", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import without, written
+from .frames import written
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -108,8 +108,9 @@ def mix(
     """
     names = ["size", "source_size", "target", "taken"]
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))).cast("binary"))
-    narrow = docs.withColumns({"_s": F.col(f"`{source_col}`"), "_size": word_count(F.col(f"`{text_col}`")), "_key": digest})
-    rows = written(without(narrow, [*names, text_col]), "mix-sizes")
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*names, text_col.lower()}]).alias("_row")
+    size = word_count(F.col(f"`{text_col}`")).alias("_size")
+    rows = written(docs.select(kept, F.col(f"`{source_col}`").alias("_s"), size, digest.alias("_key")), "mix-sizes")
     sizes = rows.groupBy(F.col("_s").alias("source")).agg(F.sum("_size").alias("source_size"))
     sources = source_targets(sizes, weights, budget, most)
     sources = sources.withColumn("shards", F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_size") / shard_words) + 1).cast("bigint"))
@@ -131,5 +132,4 @@ def mix(
     rounds = F.floor(words / F.greatest(F.col("_words"), F.lit(1)))
     overlap = F.greatest(F.lit(0), F.least(F.col("_end"), rest) - (F.col("_end") - F.col("_size")))
     placed = placed.withColumn("taken", (rounds * F.col("_size") + overlap).cast("bigint")).withColumn("size", F.col("_size"))
-    kept = [f"`{c}`" for c in docs.columns if c.lower() not in {*names, text_col.lower()}]
-    return placed.select(*kept, *names)
+    return placed.select("_row.*", *names)

@@ -61,7 +61,7 @@ def test_language_lengths_are_a_distribution():
 
 
 def test_toxicity(spark, docs, none):
-    lines = [(i, prose(i) + (" you stupid idiot moron " if i % 3 == 0 else " plain end ")) for i in range(200)]
+    lines = [(i, prose(i, 10 + i * 7 % 180) + (" you stupid idiot moron " if i % 3 == 0 else " plain end ")) for i in range(200)]
     train = spark.createDataFrame(lines, "doc_id long, text string")
     labels = train.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("toxic"))
     labels = labels.union(spark.createDataFrame([(9999, None), (None, 1)], "doc_id long, toxic int"))
