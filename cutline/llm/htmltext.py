@@ -31,10 +31,10 @@ from pyspark.sql import types as T
 
 from .frames import without
 
-SAMPLE_PAGES = 300
-TREES = 30
-DEPTH = 5
-LAYOUTS = 3
+SAMPLE_PAGES = 120
+TREES = 25
+DEPTH = 4
+LAYOUTS = 2
 SEED = 11
 
 # Elements by role.
@@ -261,7 +261,7 @@ def training_rows(pages: list[str], seed: int = SEED) -> list[tuple[list[float],
             if marked[i] == 1:
                 texts[i] = texts.get(i, "") + text
         links = [t for _, t, in_link in tree.pieces if in_link][:20]
-        kept = [t.strip().replace("<", "&lt;") for t in texts.values() if t.strip()][:40]
+        kept = [t.strip().replace("<", "&lt;") for t in texts.values() if t.strip()][:15]
         for layout in [tree, *([parse(_laid_out(kept or ["text"], links, rng)) for _ in range(LAYOUTS)])]:
             x, y = features(layout), labels(layout)
             rows += [(x[i].tolist(), float(y[i])) for i in range(1, len(y)) if y[i] >= 0]
