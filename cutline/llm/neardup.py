@@ -178,6 +178,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wi
     return sets.join(wanted, "id", "left_semi")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The ids that stand in pairs; each side is made distinct first, so an id with many pairs is one row."""
+    return pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The (a, b) pairs whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
@@ -292,12 +297,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     stars = buckets.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     near = written(_estimated(stars, regs, similarity), "pairs")
-    ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = _ends(near)
     first = written(_confirmed(near, full_sets(docs, ends, id_col, text_col, width), similarity), "links")
     labels = components(first)
 
     rest = written(_cross_pairs(buckets.select("h", "band", "id"), labels, regs, similarity), "pairs")
-    ends = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = _ends(rest)
     second = written(_confirmed(rest, full_sets(docs, ends, id_col, text_col, width), similarity), "links")
 
     same = members.filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
