@@ -158,8 +158,8 @@ def test_label_sync(spark):
         "2": ("211", "online_moe_211", False, "online_tw_moe_domain"),
         "3": ("985", "fallback_local", True, "fallback_local"),
     }
-    counts = {r["tier"]: r["n"] for r in labels.tier_report(out).collect()}
-    assert counts == {"985": 2, "211": 1, "双一流": 0, "非双一流": 0}
+    counts = {r["tier"]: (r["n"], r["recognised"]) for r in labels.tier_report(out).collect()}
+    assert counts == {"985": (2, 2), "211": (1, 0), "双一流": (0, 0), "非双一流": (0, 0), "total": (3, 2)}
 
 
 def test_donor_lists(spark):
