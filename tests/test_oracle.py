@@ -22,7 +22,7 @@ def test_query(name, spark, sf, con):
         assert QUERIES[name](spark, sf).count() > 0
 
 
-def test_entry_is_lazy_and_stable(spark):
+def test_entry_is_stable(spark):
     df = contract.entry(spark)
     assert df.columns[:2] == ["l_suppkey", "l_partkey"]
     assert df.count() > 0
