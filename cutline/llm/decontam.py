@@ -1,14 +1,17 @@
 """Benchmark decontamination by spaced seeds.
 
-Tokens are runs of letters and digits of the lower-cased text. A seed is the hash of the tokens
+Tokens are runs of letters and digits of the lower-cased text; in scripts written without spaces
+each letter is one. A seed is the hash of the tokens
 that a fixed mask keeps of a run (``1``: kept, ``0``: ignored), so a substituted token breaks
 only the seeds that keep it. Seeds of the benchmark and of every document position are joined,
 and every hit is verified: of the windows of ``WINDOW`` tokens that contain it, the best must
 agree in ``AGREE`` of its positions.
 
 Items shorter than the window are one window themselves; items shorter than the masks (but of
-``SHORT`` tokens or more) are seeded by their first ``SHORT`` tokens. Items under ``SHORT``
-tokens are too short to tell a leak from chance and match nothing.
+``SHORT`` tokens or more) are seeded by their first ``SHORT`` tokens less any one of them. At
+every length the masks together ignore each set of changed tokens that ``AGREE`` allows, so no
+leak goes unseen. Items under ``SHORT`` tokens are too short to tell a leak from chance and
+match nothing.
 
 All of it is DataFrame operations. Document positions are tested against a bit filter of fixed
 size before anything is shuffled, so only likely hits reach the join.
@@ -21,9 +24,18 @@ from pyspark.sql import functions as F
 
 from .frames import bit_filter, bit_test, once
 
-MASKS = ("1110010101", "1101100011", "1011001101")
-"""Weight 6 of span 10: each ignores four positions, and no two the same four."""
+MASKS = ("1110010101", "1101100011", "1011001101", "1000111011", "0011110110", "1101011100", "0111011001", "0110101110", "0101111010")
+"""Weight 6 of span 10: for any two of the ten positions, one mask ignores both."""
+FULL = 4
+"""Of a window of ``WINDOW`` tokens, the first four masks ignore any two in one of its places."""
 SHORT = 5
+SHORT_MASKS = tuple("1" * k + "0" + "1" * (SHORT - 1 - k) for k in range(SHORT))
+UNSPACED = (
+    r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF"
+    r"\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
+)
+"""Thai, Lao, Burmese, Khmer, kana and Han."""
+TOKEN = rf"[\p{{L}}\p{{N}}&&[^{UNSPACED}]]+|[\p{{L}}\p{{N}}]"
 WINDOW = 13
 AGREE = 0.8
 SPAN = len(MASKS[0])
@@ -32,15 +44,22 @@ _BEFORE = WINDOW - SPAN
 
 def token_hashes(text: Column) -> Column:
     """64-bit hashes of a text's tokens, in order (null: none)."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0)
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
-def _seed(tokens: str, position: Column, mask: str, number: int) -> Column:
-    """Hash of the kept tokens from ``position`` on, null where the mask does not fit."""
-    kept = [F.get(tokens, (position + k).cast("int")) for k, c in enumerate(mask) if c == "1"]
-    fits = F.get(tokens, (position + len(mask) - 1).cast("int")).isNotNull()
-    return F.when(fits, F.xxhash64(F.lit(number), *kept))
+def _run(tokens: str, position: str) -> list[Column]:
+    """Columns x0, x1, ... of the tokens from ``position`` on, null outside of the text.
+
+    Bound once, so that the many masks do not repeat the look-ups in the generated code.
+    """
+    return [F.get(tokens, (F.col(position) + k).cast("int")).alias(f"x{k}") for k in range(SPAN)]
+
+
+def _seed(mask: str, number: int) -> Column:
+    """Hash of the tokens of a run that the mask keeps, null where the mask does not fit."""
+    kept = [F.col(f"x{k}") for k, c in enumerate(mask) if c == "1"]
+    return F.when(F.col(f"x{len(mask) - 1}").isNotNull(), F.xxhash64(F.lit(number), *kept))
 
 
 def _around(tokens: str, position: str) -> Column:
@@ -54,10 +73,11 @@ def item_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = items.select(F.col(f"`{id_col}`").alias("item_id"), token_hashes(F.col(f"`{text_col}`")).alias("t"))
     rows = rows.withColumn("n", F.size("t")).filter(F.col("n") >= SHORT)
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    long = [F.when(F.col("n") >= SPAN, _seed("t", F.col("q"), mask, i)) for i, mask in enumerate(MASKS)]
-    short = F.when((F.col("n") < SPAN) & (F.col("q") == 0), _seed("t", F.col("q"), "1" * SHORT, len(MASKS)))
-    return rows.select(
-        "item_id", "n", "q", F.least("n", F.lit(WINDOW)).alias("window"), _around("t", "q").alias("item_around"), F.explode(F.array(*long, short)).alias("seed")
+    fits = [(F.col("n") >= SPAN) & ((F.col("n") < WINDOW) | F.lit(i < FULL)) for i in range(len(MASKS))]
+    fits += [(F.col("n") < SPAN) & (F.col("q") == 0)] * SHORT
+    seeds = [F.when(fit, _seed(mask, i)) for i, (fit, mask) in enumerate(zip(fits, MASKS + SHORT_MASKS, strict=True))]
+    return rows.select("item_id", "t", "n", "q", *_run("t", "q")).select(
+        "item_id", "n", "q", F.least("n", F.lit(WINDOW)).alias("window"), _around("t", "q").alias("item_around"), F.explode(F.array(*seeds)).alias("seed")
     ).filter(F.col("seed").isNotNull())
 
 
@@ -88,10 +108,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """
     seeds = item_seeds(items, item_id_col, item_text_col)
     bits = bit_filter(seeds, "seed")
-    masks = [*MASKS, "1" * SHORT]
+    masks = MASKS + SHORT_MASKS
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), once(token_hashes(F.col(f"`{text_col}`"))).alias("t"))
     rows = rows.filter(F.size("t") >= SHORT).select("doc_id", "t", F.explode(F.sequence(F.lit(0), F.size("t") - SHORT)).alias("p"))
-    rows = rows.select("doc_id", "t", "p", F.explode(F.array(*[_seed("t", F.col("p"), mask, i) for i, mask in enumerate(masks)])).alias("seed"))
+    rows = rows.select("doc_id", "t", "p", *_run("t", "p"))
+    rows = rows.select("doc_id", "t", "p", F.explode(F.array(*[_seed(mask, i) for i, mask in enumerate(masks)])).alias("seed"))
     rows = rows.filter(bit_test(bits, F.col("seed"))).select("doc_id", F.size("t").alias("m"), "p", _around("t", "p").alias("doc_around"), "seed")
     hits = rows.join(seeds, "seed")
     best, equal = _agreement()

@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, per operator and stage."""
 
+import math
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +109,24 @@ def test_any_two_substitutions_are_seen(a):
         assert hit, (a, b)
 
 
+def test_every_allowed_change_is_seen_at_every_length(spark):
+    items, rows = [], []
+    for n in range(decontam.SHORT, decontam.WINDOW + 1):
+        words = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        changes = n - math.ceil(n * decontam.AGREE)
+        rows += [(n, " ".join("other" if k in lost else w for k, w in enumerate(words)), changes) for lost in combinations(range(n), changes)]
+    rows = [(i, *row) for i, row in enumerate(rows)]
+    found = decontam.leaks(spark.createDataFrame(rows, "doc_id long, n long, text string, changes long"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r) for r in found.collect()} == {(i, n, n - changes, n) for i, n, _, changes in rows}
+
+
+def test_leaks_in_scripts_without_spaces(spark):
+    items = spark.createDataFrame([(1, "北京大学的录取分数线是多少")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "请问北京大学的录取位数线是多少呢"), (2, "请问上海交通大学在哪里")], "doc_id long, text string")
+    assert [tuple(r) for r in decontam.leaks(docs, items).collect()] == [(1, 1, 12, 13)]
+
+
 def test_mix(spark, docs, none):
     rows = mixing.mix(clash(docs, "taken", "shards")).collect()
     assert len(rows) == docs.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
