@@ -154,6 +154,7 @@ def features(tree: _Tree) -> np.ndarray:
         parent = tree.nodes[i].parent
         for sums in (chars, linked, marks, blocks, words):
             sums[parent] += sums[i]
+    ahead = np.cumsum(chars) - chars
     out = np.zeros((n, len(FEATURES)))
     g, t = len(GROUPS), len(TOKENS)
     for i, node in enumerate(tree.nodes):
@@ -174,7 +175,7 @@ def features(tree: _Tree) -> np.ndarray:
         row[-7], row[-6] = chars[i] / total, np.log1p(chars[i])
         row[-5], row[-4] = linked[i] / max(1.0, chars[i]), marks[i] / max(1.0, words[i])
         row[-3], row[-2] = np.log1p(blocks[i]), words[i] / max(1.0, blocks[i])
-        row[-1] = chars[:i].sum() / max(1.0, chars.sum()) if n < 2000 else i / n
+    out[:, -1] = ahead / max(1.0, chars.sum())
     return out
 
 

@@ -301,6 +301,15 @@ def test_pages(spark, sf):
         assert r["text"] == " ".join(unescape(re.sub(r"</?(p|br|h1)>", " ", body).replace("<b>", "").replace("</b>", "")).split())
 
 
+@pytest.mark.parametrize("items", [50, 1997, 1998, 6000])
+def test_head_share_is_of_characters_on_pages_of_every_size(items):
+    tree = htmltext.parse("<body><p>" + "long " * 500 + "</p>" + "<p>x</p>" * items + "</body>")
+    chars = [items + 2499] * 2 + [2499] + [1] * items
+    assert len(tree.nodes) == len(chars)
+    got = htmltext.features(tree)[:, htmltext.FEATURES.index("head_share")]
+    assert got.tolist() == [sum(chars[:i]) / sum(chars) for i in range(len(chars))]
+
+
 def test_decoding_is_optimal():
     import itertools
 
