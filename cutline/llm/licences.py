@@ -4,15 +4,24 @@ A text and each of its lines are normalised (case, copyright lines, punctuation,
 spellings, white space) and hashed; the digests are joined with those of known licence texts and
 notices. Only entire texts and entire lines match, so a mention inside a sentence does not.
 DataFrame operations only. The known table is small and fixed, so Spark broadcasts it by itself.
+
+Whole texts lie in ``licence_texts.jsonl``; each counts with and without its appendix, short ones
+also after the usual title lines and wrapped at the usual widths.
 """
 
 from __future__ import annotations
 
+import json
+import pkgutil
+import re
+import textwrap
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Public licence texts (without copyright lines) and notices in common use.
-KNOWN = (
+NOTICES = (
     (
         "MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
@@ -83,6 +92,47 @@ SAME = (("licence", "license"), ("sub-license", "sublicense"), ("non-infringemen
 COPYRIGHT = r"(^|\n)[ \t]*(?:copyright|\(c\)|©)[^\n]*"
 
 
+# Lines that stand above short texts.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+    "Unlicense": ("Unlicense", "The Unlicense"),
+}
+RESERVED = "All rights reserved."
+WIDTHS = range(60, 101)
+
+
+def _wrapped(text: str) -> list[str]:
+    """The text and its forms at each width that differ: a line that a wrap begins with
+    "copyright" is lost as a copyright line is."""
+
+    def at(width: int) -> str:
+        return "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in re.split(r"\n\s*\n", text))
+
+    forms = {" ".join(re.sub(COPYRIGHT, "\n", form.lower()).split()): form for form in [*map(at, WIDTHS), text]}
+    return list(forms.values())
+
+
+def _whole() -> list[tuple[str, str]]:
+    """(licence, text) of every form of the whole texts."""
+    texts = [json.loads(line) for line in pkgutil.get_data(__package__, "licence_texts.jsonl").decode().splitlines()]
+    texts += [{"licence": a, "text": b, "tail": ""} for a, b in NOTICES if a == "Zlib"]
+    out = []
+    for x in texts:
+        titles = ("", *TITLES.get(x["licence"], ()))
+        bodies = _wrapped(x["text"]) if len(titles) > 1 else [x["text"]]
+        reserved = ("", RESERVED) if len(titles) > 1 else ("",)
+        for title, right, body, tail in product(titles, reserved, bodies, dict.fromkeys(("", x["tail"]))):
+            out.append((x["licence"], "\n\n".join(part for part in (title, right, body, tail) if part)))
+    return out
+
+
+KNOWN = (*NOTICES, *_whole())
+
+
 def canonical(text: Column) -> Column:
     """The text in lower case, without copyright lines, in equal spellings, letters and digits only."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT, "\n")

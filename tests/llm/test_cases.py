@@ -1,6 +1,9 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, per operator and stage."""
 
+import json
 import math
+import pkgutil
+import textwrap
 from itertools import combinations
 
 import pytest
@@ -247,6 +250,24 @@ def test_licences(spark, docs, none):
     assert licences.scan(none, licences.known_digests(spark)).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    texts = {}
+    for row in map(json.loads, pkgutil.get_data("cutline.llm", "licence_texts.jsonl").decode().splitlines()):
+        texts[row["licence"]] = f"{row['text']}\n\n{row['tail']}"
+    assert {"BSD-3-Clause", "Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "Unlicense"} < set(texts)
+    isc, bsd = texts["ISC"], texts["BSD-3-Clause"]
+    wrapped = "\n\n".join(textwrap.fill(p, 72) for p in isc.split("\n\n"))
+    assert "\ncopyright notice" in wrapped
+    rows = list(texts.items()) + [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 Someone\n\n" + texts["MIT"]),
+        ("ISC", "ISC License\n\nCopyright (c) 2020 Someone\n\n" + wrapped),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + bsd.replace(", ", ",\n")),
+    ]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    found = {(r["doc_id"], r["licence"]) for r in licences.scan(docs, licences.known_digests(spark)).filter("whole_text").collect()}
+    assert found == {(i, licence) for i, (licence, _) in enumerate(rows)}
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
         [
