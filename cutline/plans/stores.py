@@ -13,18 +13,24 @@ from ..session import shared_dir, table
 from ..sources import readers, writers
 from . import query
 
-SHARDS = 16
+SHARD_ROWS = 10_000
+"""Rows of one document, about: a document is one string when written and one task when read."""
+LEAST_SHARDS = 16
 
 
 def _folder(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def _write_shards(rows: DataFrame, key: str, document, path: str) -> str:
-    """One document per shard of keys, each in its own file; ``document`` makes it from the shard's rows."""
-    shard = F.pmod(F.xxhash64(key), F.lit(SHARDS)).alias("shard")
-    docs = rows.withColumn("shard", shard).groupBy("shard").agg(document.alias("value"))
-    docs.repartition(SHARDS, "shard").write.partitionBy("shard").text(path)
+def _sharded(rows: DataFrame, key: str, source: DataFrame) -> DataFrame:
+    """``rows`` dealt by key over as many shards as the rows of ``source`` ask for, with the number of the shard."""
+    shards = max(LEAST_SHARDS, -(-source.count() // SHARD_ROWS))
+    return rows.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards))).repartition(shards, "shard")
+
+
+def _write_shards(rows: DataFrame, document, path: str) -> str:
+    """One document per shard, each in its own file; ``document`` makes it from the shard's rows."""
+    rows.groupBy("shard").agg(document.alias("value")).write.partitionBy("shard").text(path)
     return path
 
 
@@ -46,7 +52,30 @@ def region_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     regions = rows.groupBy("r_regionkey", "r_name").agg(F.collect_list(school).alias("schools"))
     one = F.to_json(F.struct(F.collect_list(F.struct(F.col("r_name").alias("areaName"), "schools")).alias("data")))
-    return readers.read_regions(spark, _write_shards(regions, "r_regionkey", one, _folder(spark, "regions")))
+    return readers.read_regions(spark, _write_shards(_sharded(regions, "r_regionkey", regions), one, _folder(spark, "regions")))
+
+
+@query(
+    "region_supplier_store",
+    """
+select cast(s_suppkey as varchar) as id, lpad(cast(n_nationkey as varchar), 3, '0') as code, s_name as name,
+  case when s_suppkey % 2 = 0 then 'x' else '' end as type, r_name as area, 'http://h/' || s_suppkey as zsjz_url
+from supplier join nation on s_nationkey = n_nationkey join region on r_regionkey = n_regionkey
+""",
+)
+def region_supplier_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of any number of institutions; a region lies in as many documents as it needs."""
+    key = F.col("s_suppkey").cast("string")
+    school = F.struct(
+        key.alias("id"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("code"), F.col("s_name").alias("name"),
+        F.when(F.col("s_suppkey") % 2 == 0, "x").alias("yxtx"), F.concat(F.lit("http://h/"), key).alias("zsjz"),
+    )
+    supplier = table(spark, sf_dir, "supplier")
+    rows = supplier.join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = rows.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    regions = _sharded(rows, "s_suppkey", supplier).groupBy("shard", "r_regionkey", "r_name").agg(F.collect_list(school).alias("schools"))
+    one = F.to_json(F.struct(F.collect_list(F.struct(F.col("r_name").alias("areaName"), "schools")).alias("data")))
+    return readers.read_regions(spark, _write_shards(regions, one, _folder(spark, "regions")))
 
 
 @query(
@@ -60,7 +89,8 @@ def institution_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_name").alias("name"),
         F.col("s_nationkey").cast("string").alias("area"),
     )
-    path = _write_shards(table(spark, sf_dir, "supplier"), "s_suppkey", F.to_json(F.collect_list(row)), _folder(spark, "institutions"))
+    supplier = table(spark, sf_dir, "supplier")
+    path = _write_shards(_sharded(supplier, "s_suppkey", supplier), F.to_json(F.collect_list(row)), _folder(spark, "institutions"))
     return readers.read_institutions(spark, path).select("id", "name", "area")
 
 
@@ -81,7 +111,8 @@ def result_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     entries = F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey").cast("string"), value)))
     document = F.to_json(F.struct(F.lit("x").alias("last_updated"), entries.alias("schools")))
-    store = readers.read_results(spark, _write_shards(table(spark, sf_dir, "customer"), "c_custkey", document, _folder(spark, "results")))
+    customer = table(spark, sf_dir, "customer")
+    store = readers.read_results(spark, _write_shards(_sharded(customer, "c_custkey", customer), document, _folder(spark, "results")))
     version = _folder(spark, "version")
     writers.write_store(store, version)
     again = readers.read_table(spark, version)
@@ -110,7 +141,7 @@ def program_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = writers.program_documents(base, star, taken)
     pair = F.concat(F.lit('"'), "program_code", F.lit('":'), "document")
     whole = F.concat(F.lit('{"programs":{'), F.array_join(F.collect_list(pair), ","), F.lit("}}"))
-    store = readers.read_programs(spark, _write_shards(documents, "program_code", whole, _folder(spark, "programs")))
+    store = readers.read_programs(spark, _write_shards(_sharded(documents, "program_code", part), whole, _folder(spark, "programs")))
     return readers.history_long(store, "star_history").select("program_code", "apply_code", "year", "page", "kind")
 
 

@@ -252,3 +252,12 @@ def test_streams_without_input(spark, tmp_path):
     (tmp_path / "in").mkdir()
     source = read_stream(spark, str(tmp_path / "in"), "event_type string")
     assert streams._drain(status_counts(source, "event_type"), "complete", str(tmp_path / "out")).count() == 0
+
+
+def test_documents_of_a_store_stay_small(spark, tmp_path):
+    from cutline.plans import stores
+
+    rows = spark.range(400_000)
+    path = stores._write_shards(stores._sharded(rows, "id", rows), F.to_json(F.collect_list("id")), str(tmp_path / "store"))
+    sizes = [r["n"] for r in spark.read.text(path).select(F.json_array_length("value").alias("n")).collect()]
+    assert sum(sizes) == 400_000 and max(sizes) < 1.1 * stores.SHARD_ROWS
