@@ -276,14 +276,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     A text of fewer than ``width`` words is one shingle of all of them; null texts and texts
     without words have no shingle and link with nothing. Ids are whole numbers; a null id
-    stands alone with a null component. Rows that share an id and a set count as one document.
+    stands alone with a null component. Rows that share an id and a set count as one document;
+    an id with several sets links with whatever one of them is near to.
     """
     sigs = written(signatures(docs, id_col, text_col, width, similarity), "signatures")
     usable = sigs.filter((F.col("n") > 0) & F.col("id").isNotNull())
     keys = ["n", "set_hash", "set_hash2"]
     classes = written(usable.groupBy(*keys).agg(F.min("id").alias("rep")), "classes")
     members = usable.join(classes, keys).select("id", "rep", "n")
-    regs = written(usable.select("id", *keys, "regs", "bands").join(classes, keys).filter("id = rep").select("id", "n", "regs", "bands").dropDuplicates(["id", "n"]), "registers")
+    one = usable.select("id", *keys, "regs", "bands").join(classes, keys).filter("id = rep").dropDuplicates(["id", *keys])
+    regs = written(one.select("id", "n", "regs", "bands"), "registers")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -91,6 +91,14 @@ def test_near_duplicates(docs, none):
     assert kept.columns == docs.columns
 
 
+def test_near_duplicates_of_each_text_of_a_shared_id(spark):
+    texts = [prose(1), prose(2)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0].rsplit(" ", 1)[0] + " end"), (3, texts[1].rsplit(" ", 1)[0] + " end")]
+    linked = neardup.link(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len({r["n_shingles"] for r in linked.collect()}) == 1
+    assert {(r["id"], r["component_id"]) for r in linked.collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_leaks(spark, docs, none):
     item = " ".join(prose(1).split()[5:30])
     changed = item.split()
