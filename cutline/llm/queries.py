@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, decontam, htmltext, langid, licences, lm, mixing, neardup, toolcalls, toxicity
+from . import ann, decontam, htmltext, langid, licences, lm, mixing, neardup, negatives, packing, spelling, toolcalls, toxicity
 from .frames import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +199,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return htmltext.extract(pages, htmltext.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
+@query("op11_genetic_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), path("byte_bpe_50k.json"))
+
+
+@query("op12_hard_negatives")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"), every=97)
