@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from public_tokenizers import path
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from cutline.llm import packing
 
@@ -15,10 +16,11 @@ SCHEMA = "doc_id long, text string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
 
 
-def own_ids(text):
-    from tokenizers import Tokenizer
+WHOLE = Tokenizer.from_file(TOKENIZER)
+
 
-    return [*Tokenizer.from_file(TOKENIZER).encode(text or "", add_special_tokens=False).ids, 2]
+def own_ids(text):
+    return [*WHOLE.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def crc(ids):
