@@ -20,12 +20,14 @@ tokenizer cuts anyway. Repeated rows and ids are documents of their own; an empt
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,7 +48,6 @@ GENERATIONS = 10
 ELITES = 2
 SLICE = 1 << 20
 """Characters of a text that are tokenised at once."""
-CACHE_BYTES = 160 << 20
 BROADCAST_ROWS = 100_000
 
 Bin = tuple[tuple[int, int], ...]
@@ -58,68 +59,59 @@ BREAK = re.compile(r" (?=\S)(?<=\S )")
 """A single space between other characters: byte-level pre-tokenizers always begin a token there."""
 
 
+ODD = re.compile(r"\S{400,}|\s{400,}|<\|")
+"""Long runs, whose cost grows with their square in the rank engine, and special tokens."""
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """A tokenizer file; optionally the same vocabulary as ranks, with its pattern, which is faster to apply."""
+
+    tokenizer: str
+    ranks: str | None = None
+    pattern: str | None = None
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers; each word's ids are looked up once while there is room for them."""
+    """Ids of texts as little-endian 32-bit integers, those that ``tokenizers`` gives."""
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: Vocabulary):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.held = 0
-
-    def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        own = [e.ids for e in found]
-        ids = np.fromiter(chain.from_iterable(own), "<u4").tobytes()
-        at = 0
-        for word, n in zip(words, map(len, own), strict=True):
-            self.words[word] = ids[at : at + 4 * n]
-            at += 4 * n
-        self.held += 150 * len(words) + len(ids) + sum(map(len, words))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.held > CACHE_BYTES:
-            self.words, self.held = {}, 0
-        split = []
-        for text in texts:
-            first, *rest = BREAK.split(text)
-            split.append([first, *[" " + w for w in rest]])
-        known = self.words
-        if missing := {w for words in split for w in words if w not in known}:
-            self._learn(list(missing))
-        return [b"".join([known[w] for w in words]) for words in split]
+        self.tokenizer = Tokenizer.from_file(vocabulary.tokenizer)
+        self.fast = None
+        if vocabulary.ranks:
+            import tiktoken
+
+            with open(vocabulary.ranks, "rb") as lines:
+                ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str) -> bytes:
+        if self.fast and not ODD.search(text):
+            return array("I", self.fast.encode_ordinary(text)).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str) -> Encoder:
-    """One encoder a worker process: later tasks find the words that earlier ones looked up."""
-    return Encoder(path)
-
-
-def slices(texts: Iterator[str]) -> Iterator[tuple[list[str], list[int]]]:
-    """Parts of texts, about ``SLICE`` characters at once, with the number of the text that each belongs to."""
-    parts, owners, size = [], [], 0
-    for number, text in enumerate(texts):
-        at = 0
-        while at < len(text) or not text:
-            cut = BREAK.search(text, at + SLICE) if len(text) - at > SLICE else None
-            end = cut.start() if cut else len(text)
-            parts.append(text[at:end])
-            owners.append(number)
-            size += end - at
-            if size >= SLICE:
-                yield parts, owners
-                parts, owners, size = [], [], 0
-            at = end
-            if not text:
-                break
-    if parts:
-        yield parts, owners
+def encoder_of(vocabulary: Vocabulary) -> Encoder:
+    """One encoder a worker process."""
+    return Encoder(vocabulary)
+
 
+def whole(encoder: Encoder, text: str) -> bytes:
+    """Ids of a whole text, taken in slices where a token begins anyway."""
+    out, at = [], 0
+    while at < len(text):
+        cut = BREAK.search(text, at + SLICE) if len(text) - at > SLICE else None
+        end = cut.start() if cut else len(text)
+        out.append(encoder(text[at:end]))
+        at = end
+    return b"".join(out)
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+
+def pieces(docs: DataFrame, vocabulary: Vocabulary, end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Per piece: the id, piece, start, length, ids_crc32, a number of its own (``uid``) and, if asked for, ``ids``."""
     columns = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     id_type = columns.schema["id"].dataType
@@ -128,20 +120,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAP
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
     last = np.asarray([end_id], "<u4").tobytes()
 
-    def whole(encoder: Encoder, texts: pa.Array) -> Iterator[tuple[int, bytes]]:
-        """The number and all ids of each text of a batch."""
-        current, found = 0, []
-        for parts, owners in slices(t.as_py() for t in texts):
-            for owner, ids in zip(owners, encoder(parts), strict=True):
-                if owner != current:
-                    yield current, b"".join([*found, last])
-                    current, found = owner, []
-                found.append(ids)
-        if len(texts):
-            yield current, b"".join([*found, last])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer)
+        encoder = encoder_of(vocabulary)
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows: list[tuple] = []
@@ -151,7 +131,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAP
                 types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
                 return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(v, t) for v, t in zip(rest, types, strict=True)]], names=[n for n, _ in fields])
 
-            for at, ids in whole(encoder, batch.column(1)):
+            for at, text in enumerate(batch.column(1)):
+                ids = whole(encoder, text.as_py()) + last
                 n = len(ids) // 4
                 ends = [n] if n <= capacity else [*range(n % capacity or capacity, n, capacity), n]
                 start = 0
@@ -384,7 +365,7 @@ def search(spark, pool: dict[int, int], capacity: int = CAPACITY, islands: int =
         order = Window.partitionBy("island").orderBy("bins", "waste", "packing")
         elite = state.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= ELITES).drop("r")
         moved = elite.withColumn("island", (F.col("island") + 1) % islands)
-        state = written(state.unionByName(moved).groupBy("island").applyInPandas(evolve, schema), "packing-epoch")
+        state = written(state.unionByName(moved).repartition(islands, "island").groupBy("island").applyInPandas(evolve, schema), "packing-epoch")
     return unflat(state.orderBy("bins", "waste", "packing").first()["packing"])
 
 
@@ -415,10 +396,10 @@ def ranked(cut: DataFrame, counts: DataFrame) -> DataFrame:
     return found.withColumn("rank", F.col("_start") + F.col("_own")).drop("_l", "_b", "_start", "_own", "_bucket")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: Vocabulary, end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id and offset; with ``ids`` (bytes) if asked for."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids), "packing-pieces")
+    cut = written(pieces(docs, vocabulary, end_id, capacity, id_col, text_col, with_ids), "packing-pieces")
     counts = written(cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "packing-lengths")
     pool = {int(r["length"]): int(r["n"]) for r in counts.collect()}  # one row per length, at most ``capacity``
     rows = places(search(spark, pool, capacity))

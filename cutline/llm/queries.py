@@ -203,9 +203,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op11_genetic_packing")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from public_tokenizers import path
+    from public_tokenizers import PATTERN, path
 
-    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), path("byte_bpe_50k.json"))
+    vocabulary = packing.Vocabulary(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
 
 
 @query("op12_hard_negatives")

@@ -5,13 +5,15 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from public_tokenizers import path
+from public_tokenizers import PATTERN, path
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cutline.llm import packing
 
 TOKENIZER = path("byte_bpe_50k.json")
+VOCABULARY = packing.Vocabulary(TOKENIZER, path("byte_bpe_50k.tiktoken"), PATTERN)
+PLAIN = packing.Vocabulary(TOKENIZER)
 SCHEMA = "doc_id long, text string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
 
@@ -69,24 +71,38 @@ def held_to_rules(docs, rows, capacity):
 @pytest.mark.parametrize("capacity", [1024, 16])
 def test_pieces_and_places(docs, capacity):
     clashing = docs.withColumns({"length": F.lit("old"), "sequence_id": F.lit(1), "uid": F.lit(2)})
-    rows = packing.pack(clashing, TOKENIZER, capacity=capacity).collect()
+    rows = packing.pack(clashing, VOCABULARY, capacity=capacity).collect()
     bins = held_to_rules(docs, rows, capacity)
     assert bins <= -(-sum(r["length"] for r in rows) // capacity) + 2
 
 
+def test_ranks_and_tokenizer_give_the_same_ids(spark, sf):
+    encoders = [packing.Encoder(VOCABULARY), packing.Encoder(PLAIN)]
+    for text in [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + ["a" * 5000 + " b", " " * 900 + "x", "it's we'll\u3000x\u00a0y\x1cz"]:
+        for encoder in encoders:
+            assert packing.whole(encoder, text or "") == np.asarray(own_ids(text)[:-1], "<u4").tobytes()
+
+
+def test_long_texts_are_cut_where_tokens_begin(monkeypatch):
+    text = "word  two spaces\n line, it's <|endoftext|> and\tmore 12 words" * 40
+    monkeypatch.setattr(packing, "SLICE", 7)
+    for vocabulary in (VOCABULARY, PLAIN):
+        assert packing.whole(packing.Encoder(vocabulary), text) == np.asarray(own_ids(text)[:-1], "<u4").tobytes()
+
+
 def test_empty_table_and_columns(spark, docs):
-    packed = packing.pack(docs.limit(0), TOKENIZER)
+    packed = packing.pack(docs.limit(0), PLAIN)
     assert packed.count() == 0
     assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
 def test_copies_and_equal_lengths(spark):
     docs = spark.range(3000).select((F.col("id") % 7).alias("doc_id"), F.lit("the same words").alias("text"))
-    assert held_to_rules(docs, packing.pack(docs, TOKENIZER, capacity=10).collect(), 10) == 1500
+    assert held_to_rules(docs, packing.pack(docs, VOCABULARY, capacity=10).collect(), 10) == 1500
 
 
 def test_whole_sequences(docs):
-    packed = packing.pack(docs, TOKENIZER, with_ids=True)
+    packed = packing.pack(docs, VOCABULARY, with_ids=True)
     rows = {r["sequence_id"]: np.frombuffer(r["ids"], "<u4") for r in packing.sequences(packed).collect()}
     for r in packed.collect():
         own = rows[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
