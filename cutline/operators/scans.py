@@ -125,9 +125,14 @@ def coalesce_intervals(
     end: str,
     slack: float,
     width: float,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Merge intervals whose start is at most ``slack`` past the furthest end so far."""
-    spans = df.groupBy(*keys, start).agg(F.max(end).alias(end), F.count(F.lit(1)).alias("n"))
+    """Merge intervals whose start is at most ``slack`` past the furthest end so far.
+
+    ``n`` is the number of intervals, or the sum of their ``weight``.
+    """
+    count = F.sum(weight) if weight else F.count(F.lit(1))
+    spans = df.groupBy(*keys, start).agg(F.max(end).alias(end), count.alias("n"))
     before = Window.partitionBy(*keys, "_slice").orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
     sliced = _sliced(spans, start, width)
     inner = sliced.withColumn("_reach", F.max(end).over(before))

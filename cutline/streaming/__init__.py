@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedupe import keep_best
 from ..operators.scans import gap_clusters
 from ..session import shared_dir
+from .event_time import EventTimeClusters
+from .state import SortedRuns
+from .versions import VersionedState
+
+__all__ = ["EventTimeClusters", "SortedRuns", "VersionedState", "keep_best_stream", "read_stream", "sessions", "status_counts", "stream_dir"]
 
 
 def stream_dir(spark: SparkSession, name: str) -> str:
@@ -26,110 +30,13 @@ def read_stream(spark: SparkSession, path: str, schema, pattern: str | None = No
     return reader.parquet(path)
 
 
-class VersionedState:
-    """Keep-best state as numbered parquet versions, one per micro-batch.
-
-    A batch reads the newest version below its own number and writes its own, so a
-    replayed batch overwrites what its first run left behind and nothing is applied twice.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _versions(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return []
-        names = [s.getPath() for s in fs.listStatus(hadoop)]
-        done = []
-        for p in names:
-            name = p.getName()
-            marker = self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")
-            if name.startswith("v=") and fs.exists(marker):
-                done.append(int(name[2:]))
-        return sorted(done)
-
-    def latest(self, below: int | None = None) -> DataFrame | None:
-        versions = [v for v in self._versions() if below is None or v < below]
-        return self.spark.read.parquet(f"{self.path}/v={versions[-1]}") if versions else None
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-
-
-class BucketedState(VersionedState):
-    """Keep-best state in hash buckets of its keys: a batch reads and writes only the buckets it touches.
-
-    Version ``v`` holds the buckets that batch ``v`` touched, and a bucket's state is its newest
-    version. Versions that a replay can no longer ask for are deleted.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 64):
-        super().__init__(spark, path)
-        self.bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
-
-    def _held(self) -> dict[int, list[int]]:
-        """Ascending versions of every bucket."""
-        held: dict[int, list[int]] = {}
-        for version in self._versions():
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={version}")
-            for status in folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder):
-                name = status.getPath().getName()
-                if name.startswith("_bucket="):
-                    held.setdefault(int(name[len("_bucket=") :]), []).append(version)
-        return held
-
-    def latest(self, below: int | None = None, only: set[int] | None = None) -> DataFrame | None:
-        newest = {b: [v for v in vs if below is None or v < below] for b, vs in self._held().items() if only is None or b in only}
-        paths = [f"{self.path}/v={vs[-1]}/_bucket={b}" for b, vs in sorted(newest.items()) if vs]
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def touched(self, batch: DataFrame) -> set[int]:
-        return {r["b"] for r in batch.select(self.bucket.alias("b")).distinct().collect()}  # bounded by the bucket count
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.withColumn("_bucket", self.bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/v={version}")
-
-    def prune(self, before: int) -> None:
-        """Delete versions older than the newest one below ``before``, bucket by bucket."""
-        for bucket, versions in self._held().items():
-            for version in [v for v in versions if v < before][:-1]:
-                old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={version}/_bucket={bucket}")
-                old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
-
-
-def keep_best_stream(
-    stream: DataFrame,
-    state: VersionedState,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    checkpoint: str,
-    best: Callable[[DataFrame], DataFrame] | None = None,
-):
+def keep_best_stream(stream: DataFrame, state: SortedRuns, checkpoint: str):
     """ST1: best record per key over everything seen; arrival order does not matter.
 
-    ``best`` replaces the plain pick, for example ``dedupe.keep_best_results`` where the lists of
-    the other versions complete the winner's. With a ``BucketedState`` a batch costs the buckets
-    that it touches, not the whole store.
+    Each micro-batch appends its own best rows to ``state`` (see ``SortedRuns``), so it costs what
+    the batch costs, not what the store has grown to.
     """
-    pick = best or (lambda df: keep_best(df, keys, order))
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        if isinstance(state, BucketedState):
-            state.prune(batch_id)
-            known = state.latest(below=batch_id, only=state.touched(batch))
-        else:
-            known = state.latest(below=batch_id)
-        merged = batch if known is None else known.unionByName(batch)
-        state.write(pick(merged), batch_id)
-
-    return (
-        stream.writeStream.foreachBatch(upsert)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return stream.writeStream.foreachBatch(state.append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def status_counts(stream: DataFrame, status: str) -> DataFrame:

@@ -10,7 +10,7 @@ from cutline.operators import dedupe, lookup, records
 from cutline.plans.texts import latin_majors
 from cutline.session import shared_dir
 from cutline.sources import readers, writers
-from cutline.streaming import VersionedState, keep_best_stream, read_stream, sessions, status_counts
+from cutline.streaming import EventTimeClusters, SortedRuns, keep_best_stream, read_stream, sessions, status_counts
 
 
 def dump(path, doc):
@@ -122,15 +122,15 @@ def test_keep_best_stream_over_batches_equals_one_batch(spark, tmp_path):
     for b in range(3):
         spark.createDataFrame(rows[b::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     order = [F.col("q").desc(), F.col("i").asc()]
-    state = VersionedState(spark, str(tmp_path / "state"))
+    state = SortedRuns(spark, str(tmp_path / "state"), ["k"], order)
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    keep_best_stream(source, state, ["k"], order, str(tmp_path / "cp")).awaitTermination()
-    want = dedupe.keep_best(spark.createDataFrame(rows, schema), ["k"], order)
-    assert sorted(map(tuple, state.latest().collect())) == sorted(map(tuple, want.collect()))
-    # A replayed batch starts from the version before it and writes the same result again.
-    before = sorted(map(tuple, state.latest().collect()))
-    state.write(dedupe.keep_best(state.latest(below=2).unionByName(spark.createDataFrame(rows, schema)), ["k"], order), 2)
-    assert sorted(map(tuple, state.latest().collect())) == before
+    keep_best_stream(source, state, str(tmp_path / "cp")).awaitTermination()
+    want = sorted(map(tuple, dedupe.keep_best(spark.createDataFrame(rows, schema), ["k"], order).collect()))
+    assert sorted(map(tuple, state.read().collect())) == want
+    # A replayed batch writes its own run anew; rows that came before are not applied twice.
+    state.append(spark.createDataFrame(rows[2::3], schema), 2)
+    assert sorted(map(tuple, state.read().collect())) == want
+    assert sorted(map(tuple, state.lookup(spark.createDataFrame([(0,), (3,), (99,)], "k int")).collect())) == [w for w in want if w[0] in (0, 3)]
 
 
 def test_status_counts_stream(spark, sf, tmp_path):
@@ -229,21 +229,79 @@ def test_major_lists_equal_the_walk(spark, sf):
     assert got == {k: v for k, v in want.items() if v}
 
 
-def test_bucketed_state_over_batches(spark, tmp_path):
-    from cutline.streaming import BucketedState
-
-    schema = "k long, n long"
-    want = {}
+def test_bytes_written_follow_the_batch_not_the_state(spark, tmp_path):
+    """40 batches of as many new keys each: late batches write what early ones wrote, merges add a few times that in all."""
+    state = SortedRuns(spark, str(tmp_path / "state"), ["k"], [F.col("n").desc()], least_bytes=8192)
+    seen, written = set(), []
+    for i in range(40):
+        batch = spark.range(i * 400, i * 400 + 400, 1, 2).select(F.col("id").alias("k"), (F.col("id") * 7 % 11).alias("n"), F.md5(F.col("id").cast("string")).alias("text"))
+        state.append(batch, i)
+        new = [r for r in state.runs() if (r.first, r.last) not in seen]
+        seen |= {(r.first, r.last) for r in new}
+        written.append((next(r.size for r in new if r.first == r.last == i), sum(r.size for r in new if r.first != r.last)))
+    own, merged = [w[0] for w in written], [w[1] for w in written]
+    assert max(own) < 1.2 * min(own)
+    assert sum(merged) < 4 * sum(own)
+    assert sum(1 for m in merged[20:] if m) <= 10  # most batches merge nothing
+    assert len(state.current()) <= 12
+    assert state.read().count() == 16_000
+
+
+def test_buckets_split_by_bytes(spark, tmp_path):
+    state = SortedRuns(spark, str(tmp_path / "state"), ["k"], [F.col("n").desc()], fanout=2, bucket_bytes=20_000, least_bytes=1)
     for i in range(4):
-        rows = [(k, (k * 7 + i * 5) % 11) for k in range(i * 3, i * 3 + 9)]
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
-        for k, n in rows:
-            want[k] = max(n, want.get(k, -1))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    state = BucketedState(spark, str(tmp_path / "state"), ["k"], buckets=8)
-    keep_best_stream(source, state, ["k"], [F.col("n").desc()], str(tmp_path / "cp")).awaitTermination()
-    assert {r["k"]: r["n"] for r in state.latest().collect()} == want
-    assert all(len(v) <= 2 for v in state._held().values())
+        state.append(spark.range(i * 500, i * 500 + 1000).select(F.col("id").alias("k"), F.lit(i).alias("n"), F.md5(F.col("id").cast("string")).alias("text")), i)
+    runs = state.current()
+    files = [len(list((tmp_path / "state" / r.name).glob("part-*.parquet"))) for r in runs]
+    assert max(files) == -(-sum(r.size for r in state.runs() if r.last < 3) // 20_000) or max(files) >= 3
+    found = {r["k"]: r["n"] for r in state.read().collect()}
+    assert found == {k: min(3, k // 500) for k in range(2500)}
+
+
+def test_runs_that_keep_every_row(spark, tmp_path):
+    """With a rule of its own the state keeps the losers, so the result is that of all rows together."""
+    rows = [(k, n, f"v{n}") for k in range(5) for n in range(9)]
+    rule = lambda df: df.groupBy("k").agg(F.max("n").alias("n"), F.sort_array(F.collect_set("v")).alias("v"))
+    state = SortedRuns(spark, str(tmp_path / "state"), ["k"], [], best=rule, fanout=2, least_bytes=1)
+    assert state.read() is None and state.lookup(spark.createDataFrame([(1,)], "k long")) is None
+    for i in range(5):
+        state.append(spark.createDataFrame(rows[i::5], "k long, n long, v string"), i)
+    want = sorted(map(tuple, rule(spark.createDataFrame(rows, "k long, n long, v string")).collect()))
+    assert sorted(map(tuple, state.read().collect())) == want
+
+
+def _stamped(spark, rows):
+    return spark.createDataFrame(rows, "k int, s long").select("k", F.timestamp_seconds("s").alias("ts"))
+
+
+def test_event_time_clusters_evict_and_set_late_rows_aside(spark, tmp_path):
+    clusters = EventTimeClusters(spark, str(tmp_path / "state"), ["k"], "ts", 60 * 10**6, 120 * 10**6, slice_us=100 * 10**6)
+    kept, late, open_rows, newest = [], [], [], None
+    for i in range(12):
+        base = i * 1000
+        rows = [(k, base + k * 7 + 50 * j) for k in range(4) for j in range(15) if (k + j) % 5]
+        rows += [(9, base + 3)] * 40 + ([(1, base - 900), (None, base), (2, None)] if i else [])
+        for row in rows:
+            (late if row[1] is None or (newest is not None and row[1] < newest - 120) else kept).append(row)
+        newest = max(s for _, s in rows if s is not None)
+        clusters.add(_stamped(spark, rows), i)
+        if i == 5:  # a replay of the batch
+            clusters.add(_stamped(spark, rows), i)
+        open_rows.append(clusters.open.latest().count())
+    assert clusters.watermark() == (newest - 120) * 10**6
+    assert max(open_rows[3:]) <= max(open_rows[:3])  # bounded however long the stream
+    assert len(clusters.open.versions()) <= 3
+    found = clusters.closed.all().unionByName(clusters.open.latest())
+    got = sorted(((-1 if r["k"] is None else r["k"]), r["start"] // 10**6, r["end"] // 10**6, r["n"]) for r in found.collect())
+    want = []
+    for k in {r[0] for r in kept}:
+        times = sorted(s for q, s in kept if q == k)
+        runs = [[times[0]]]
+        for t in times[1:]:
+            runs[-1].append(t) if t - runs[-1][-1] <= 60 else runs.append([t])
+        want += [(-1 if k is None else k, r[0], r[-1], len(r)) for r in runs]
+    assert got == sorted(want)
+    assert clusters.late.all().count() == len(late) and clusters.closed.all().filter(F.col("end") + 60 * 10**6 >= clusters.watermark()).count() == 0
 
 
 def test_streams_without_input(spark, tmp_path):
