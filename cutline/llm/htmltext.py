@@ -236,8 +236,10 @@ def _laid_out(texts: list[str], links: list[str], rng: random.Random) -> str:
         out("form", f"<p>{some(6)}</p><textarea></textarea>", 8), out("div", menu(), 8),
     ]
     inner = [f"<p>{t}</p>" if rng.random() < 0.9 else f"<div>{t}</div>" for t in texts]
-    if rng.random() < 0.5:
-        inner.insert(rng.randint(0, len(inner)), out("div", some(rng.randint(3, 20)), rng.choice([5, 4, 8])))
+    for _ in range(rng.choice([0, 0, 1, 1, 2])):  # surroundings stand inside the article as often as beside it
+        kind = rng.choice([5, 5, 4, 8, 6])
+        inside = {4: lambda: menu() if rng.random() < 0.5 else paragraphs(2), 6: lambda: f"<p>{some(15)}</p>", 8: lambda: f"<p>{some(6)}</p>"}
+        inner.insert(rng.randint(0, len(inner)), out("div", inside.get(kind, lambda: some(rng.randint(2, 20)))(), kind))
     if rng.random() < 0.3:
         inner.insert(rng.randint(0, len(inner)), f"<ul><li>{some(9)}</li><li>{some(12)}</li></ul>")
     if rng.random() < 0.3:
@@ -319,7 +321,10 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
     sample = pages.select(F.col(f"`{id_col}`").alias("id"), html.alias("html")).join(F.broadcast(picked), "id").filter("html is not null")
     chosen = sorted({r["html"] for r in sample.select("html").collect()}) or ["<article><p>text</p></article>"]
     rows = training_rows(chosen)
-    frame = pages.sparkSession.createDataFrame(rows, "x array<double>, y double").repartition(4).withColumn("x", array_to_vector("x")).persist()
+    # Partitions and their order follow from the rows alone, so the trees are the same on every cluster.
+    numbered = [(i, i % 4, x, y) for i, (x, y) in enumerate(rows)]
+    frame = pages.sparkSession.createDataFrame(numbered, "i long, part long, x array<double>, y double").repartition(4, "part").sortWithinPartitions("i")
+    frame = frame.select(array_to_vector("x").alias("x"), "y").persist()
     try:
         model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED).fit(frame)
     finally:
