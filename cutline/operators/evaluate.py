@@ -17,6 +17,7 @@ from ..functions.expr import blank_to_null, c, contains_any, js_number, let, loo
 from ..functions.standards import is_present, listening_rank, normalise_word, parse_standard, subject_key
 from ..functions.text import distinct_groups
 from ..functions.values import percent_in_range
+from . import packed
 
 KEYS = V.SUBJECT_KEYS
 EMPTY_REQ = "struct<standard:string,min_score:int>"
@@ -90,7 +91,8 @@ def _index_groups(groups: Column | None) -> Column:
         return F.array().cast("array<array<int>>")
     index = {k: i for i, k in enumerate(KEYS)}
     named = F.coalesce(groups, F.array().cast("array<array<string>>"))
-    return F.transform(named, lambda g: F.transform(g, lambda k: lookup(k, index)))
+    # A name that is no subject must not make the tests on the group null.
+    return F.transform(named, lambda g: F.array_compact(F.transform(g, lambda k: lookup(k, index))))
 
 
 def prepare(reqs: Column, groups: Column | None) -> Column:
@@ -290,44 +292,40 @@ def gap_of(prepared: Column, ranks: Column) -> Column:
 
 def evaluate_rows(
     df: DataFrame,
-    profile: Mapping[str, str] | Column | str,
+    profile: Mapping[str, str] | str,
     reqs: str = "reqs",
-    groups: str | None = "choice_groups",
+    groups: str | object | None = "choice_groups",
     include_unknown: bool = False,
     out: str = "match",
 ) -> DataFrame:
-    """E2 as a column of the rows."""
-    prepared = prepare(F.col(reqs), F.col(groups) if groups else None)
-    return df.withColumn(out, match_of(prepared, user_ranks(profile), include_unknown))
+    """E2 as a column of the rows, by packed integers. ``groups`` is a column, ``packed.ANY_OF`` or None."""
+    rows, ranks = packed.with_ranks(packed.pack(df, reqs, groups), profile)
+    return packed.match(rows, ranks, packed.slots_of(groups), include_unknown, out=out).drop("_packed", "_ranks")
 
 
 def gap_rows(
     df: DataFrame,
-    profile: Mapping[str, str] | Column | str,
+    profile: Mapping[str, str] | str,
     reqs: str = "reqs",
-    groups: str | None = "choice_groups",
+    groups: str | object | None = "choice_groups",
     out: str = "gap",
 ) -> DataFrame:
-    """E3 as a column of the rows."""
-    prepared = prepare(F.col(reqs), F.col(groups) if groups else None)
-    return df.withColumn(out, gap_of(prepared, user_ranks(profile)))
+    """E3 as a column of the rows, by packed integers."""
+    rows, ranks = packed.with_ranks(packed.pack(df, reqs, groups), profile)
+    return packed.gap(rows, ranks, packed.slots_of(groups), out=out).drop("_packed", "_ranks")
 
 
 def match_and_gap(
     df: DataFrame,
-    profile: Mapping[str, str] | Column | str,
+    profile: Mapping[str, str] | str,
     reqs: str = "reqs",
-    groups: str | None = "choice_groups",
+    groups: str | object | None = "choice_groups",
     include_unknown: bool = False,
 ) -> DataFrame:
-    """E2 and E3 together; the row is prepared once for both."""
-    step = df.withColumn("_prepared", prepare(F.col(reqs), F.col(groups) if groups else None))
-    ranks = user_ranks(profile)
-    return (
-        step.withColumn("match", match_of(F.col("_prepared"), ranks, include_unknown))
-        .withColumn("gap", gap_of(F.col("_prepared"), ranks))
-        .drop("_prepared")
-    )
+    """E2 and E3 together; the row is packed once for both."""
+    rows, ranks = packed.with_ranks(packed.pack(df, reqs, groups), profile)
+    slots = packed.slots_of(groups)
+    return packed.gap(packed.match(rows, ranks, slots, include_unknown), ranks, slots).drop("_packed", "_ranks")
 
 
 # ---- programme side -------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import standards, vocab as V
 from ..functions.expr import array_of
-from ..operators import evaluate, filters, stats
+from ..operators import evaluate, filters, packed, stats
 from ..session import spread_table, table
 from . import query
 
@@ -38,8 +38,7 @@ def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part.withColumn("row", evaluate.requirement_struct(row_std, row_score)).withColumn(
         "general", evaluate.requirement_struct(gen_std)
     )
-    rows = rows.withColumn("reqs", evaluate.inherit(F.col("general"), F.col("row"))).drop("row", "general")
-    return rows.withColumn("choice_groups", evaluate.merge_groups(evaluate.any_of_groups(F.col("reqs"))))
+    return rows.withColumn("reqs", evaluate.inherit(F.col("general"), F.col("row"))).drop("row", "general")
 
 
 def user_case(ranks=RANKS) -> str:
@@ -127,7 +126,7 @@ EVAL = f"with {_REQS}, one as (select p_partkey, p_partkey as pid from part), {e
 )
 def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row against one candidate; a pure projection of the scan."""
-    rows = evaluate.evaluate_rows(part_rows(spark, sf_dir), PROFILE, include_unknown=True)
+    rows = evaluate.evaluate_rows(part_rows(spark, sf_dir), PROFILE, groups=packed.ANY_OF, include_unknown=True)
     return rows.select("p_partkey", "match.status", "match.fit")
 
 
@@ -139,7 +138,7 @@ def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E3, SF26: how far each row is from being met."""
-    rows = evaluate.gap_rows(part_rows(spark, sf_dir), PROFILE)
+    rows = evaluate.gap_rows(part_rows(spark, sf_dir), PROFILE, groups=packed.ANY_OF)
     index = {k: str(i) for i, k in enumerate(KEYS, 1)}
     from ..functions.expr import lookup
 
@@ -160,7 +159,7 @@ def gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def row_keep_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keep rule in three settings."""
-    rows = evaluate.evaluate_rows(part_rows(spark, sf_dir), PROFILE, include_unknown=True)
+    rows = evaluate.evaluate_rows(part_rows(spark, sf_dir), PROFILE, groups=packed.ANY_OF, include_unknown=True)
     s = F.col("match.status")
     return rows.select(
         "p_partkey",
@@ -178,7 +177,7 @@ def row_keep_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def match_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3."""
-    rows = evaluate.evaluate_rows(part_rows(spark, sf_dir), PROFILE, include_unknown=True)
+    rows = evaluate.evaluate_rows(part_rows(spark, sf_dir), PROFILE, groups=packed.ANY_OF, include_unknown=True)
     return stats.match_totals(rows, F.col("match.status"))
 
 
@@ -210,14 +209,11 @@ def eval_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("o_custkey", "l_partkey")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # Requirement rows are parsed once per row, not once per application.
-    rows = part_rows(spark, sf_dir)
-    prepared = evaluate.prepare(F.col("reqs"), F.col("choice_groups"))
-    rows = rows.select("p_partkey", prepared.alias("prepared"))
-    cust = F.col("o_custkey")
-    ranks = F.array(*[F.nullif(((cust * m) % 6).cast("int"), F.lit(0)) for m in FACTORS])
+    # Requirement rows are packed once per row, not once per application.
+    rows = packed.pack(part_rows(spark, sf_dir), groups=packed.ANY_OF).select("p_partkey", "_packed")
     joined = pairs.join(rows, F.col("l_partkey") == F.col("p_partkey"))
-    done = joined.withColumn("match", evaluate.match_of(F.col("prepared"), ranks, include_unknown=True))
+    ranks = " | ".join(f"shiftleft(cast((o_custkey * {m}) % 6 as int), {3 * k})" for k, m in enumerate(FACTORS))
+    done = packed.match(joined, ranks, packed.slots_of(packed.ANY_OF), include_unknown=True)
     s = F.col("match.status")
     return done.groupBy("o_custkey").agg(
         F.min(F.when(s == "pass", F.col("match.fit"))).alias("best_fit"),
@@ -239,7 +235,8 @@ def choice_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.expr import lookup
 
     index = {k: str(i) for i, k in enumerate(KEYS, 1)}
-    rows = part_rows(spark, sf_dir).filter(F.size("choice_groups") > 0)
+    rows = part_rows(spark, sf_dir)
+    rows = rows.withColumn("choice_groups", evaluate.merge_groups(evaluate.any_of_groups(F.col("reqs")))).filter(F.size("choice_groups") > 0)
     shown = F.transform("choice_groups", lambda g: F.array_join(F.transform(g, lambda k: lookup(k, index)), "+"))
     return rows.select("p_partkey", F.size("choice_groups").alias("n_groups"), F.array_join(shown, "|").alias("groups"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.standards import format_gap
 from ..functions.text import flex_signals, keyword_hit, other_text, row_track
-from ..operators import evaluate, opportunity, sets, stats
+from ..operators import evaluate, opportunity, packed, sets, stats
 from ..operators.matching import target_hit
 from ..session import table
 from . import query
@@ -43,7 +43,7 @@ picks as (
 
 def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part_rows(spark, sf_dir)
-    rows = evaluate.match_and_gap(rows, PROFILE, include_unknown=True).withColumn("gap_text", format_gap("gap.details"))
+    rows = evaluate.match_and_gap(rows, PROFILE, groups=packed.ANY_OF, include_unknown=True).withColumn("gap_text", format_gap("gap.details"))
     track = F.when(F.col("p_type").isin("PROMO", "LARGE"), "science").when(F.col("p_type") == "SMALL", "mixed").otherwise("arts")
     return opportunity.opportunities(
         rows.withColumns({"track": track, "inst": F.concat_ws("/", "p_brand", (F.col("p_size") % 10).cast("string"))}),

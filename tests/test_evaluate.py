@@ -1,10 +1,12 @@
 """Evaluator traps: score requirements, any-of groups, blanks, boundaries."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from cutline.functions import standards, vocab as V
-from cutline.operators import evaluate
+from cutline.operators import evaluate, packed
 
 KEYS = V.SUBJECT_KEYS
 
@@ -154,3 +156,57 @@ def test_expression_value_counts_blanks_as_zero(value):
     assert run("文") == 12
     assert run("APCS") is None
     assert run("體育") is None
+
+
+# ---- packed rows against the expressions ------------------------------------------------------
+
+WORDS = [None, "", "底标", "后标", "均标", "前标", "顶标", "任一均标", "任一 前标以上", "任何一科底标", "任何一均标級以上", "前标级以上", "看情况", "- ", "任一", " 顶标\u3000"]
+
+
+def _random_rows(spark, n=400):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(n):
+        stds = [rnd.choice(WORDS) for _ in KEYS]
+        if i % 3 == 0:
+            stds[3] = stds[2]
+        scores = [rnd.choice([None, None, None, 0, 0, 12]) if i % 4 == 0 else None for _ in KEYS]
+        groups = [rnd.sample(KEYS + ["listen"], rnd.randint(1, 4)) + rnd.choice([[], [KEYS[0]]]) for _ in range(rnd.randint(0, 4))]
+        user = [rnd.choice([None, "底标", "均标", "前标以上", "顶标", "?"]) for _ in KEYS]
+        rows.append((i, stds, scores, rnd.choice([groups, groups, None]), user))
+    df = spark.createDataFrame(rows, "i int, stds array<string>, scores array<int>, choice_groups array<array<string>>, user array<string>")
+    reqs = evaluate.requirement_struct({k: F.col("stds")[j] for j, k in enumerate(KEYS)}, {k: F.col("scores")[j] for j, k in enumerate(KEYS)})
+    profile = F.struct(*[F.col("user")[j].alias(k) for j, k in enumerate(KEYS)])
+    return df.select("i", reqs.alias("reqs"), "choice_groups", profile.alias("profile"))
+
+
+@pytest.mark.parametrize("groups", ["choice_groups", None, "any_of"])
+def test_packed_rows_equal_the_expressions(spark, groups):
+    rows = _random_rows(spark)
+    rows.persist()
+    given = {"choice_groups": F.col("choice_groups"), "any_of": evaluate.any_of_groups(F.col("reqs")), None: None}[groups]
+    of = packed.ANY_OF if groups == "any_of" else groups
+    prepared = rows.withColumn("p", evaluate.prepare(F.col("reqs"), given)).withColumn("u", evaluate.user_ranks("profile"))
+    for unknown in (False, True):
+        want = {r["i"]: (r["m"], r["g"]) for r in prepared.select("i", evaluate.match_of(F.col("p"), F.col("u"), unknown).alias("m"), evaluate.gap_of(F.col("p"), F.col("u")).alias("g")).collect()}
+        got = {r["i"]: (r["match"], r["gap"]) for r in evaluate.match_and_gap(rows, "profile", groups=of, include_unknown=unknown).collect()}
+        assert got == want
+    one = {"chinese": "均标", "english": "任一前标以上", "math_b": " 底标 ", "social": "?"}
+    ranked = prepared.select("i", evaluate.match_of(F.col("p"), evaluate.user_ranks(one)).alias("m"), evaluate.gap_of(F.col("p"), evaluate.user_ranks(one)).alias("g"))
+    assert {r["i"]: r["match"] for r in evaluate.evaluate_rows(rows, one, groups=of).collect()} == {r["i"]: r["m"] for r in ranked.collect()}
+    assert {r["i"]: r["gap"] for r in evaluate.gap_rows(rows, one, groups=of).collect()} == {r["i"]: r["g"] for r in ranked.collect()}
+
+
+def test_packed_plan_has_no_lambda_and_repeats_no_step(spark):
+    reqs = evaluate.requirement_struct({k: F.col("id").cast("string") for k in KEYS})
+    rows = evaluate.evaluate_rows(spark.range(10).select("id", reqs.alias("reqs")), {"chinese": "均标"}, groups=packed.ANY_OF)
+    plan = rows.filter("match.status = 'pass'")._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "Exchange" not in plan
+    assert plan.count("regexp_extract") == len(KEYS)  # a filter on the result copies nothing
+
+
+def test_more_groups_than_fit_stop_the_query(spark):
+    reqs = evaluate.requirement_struct({k: F.lit("均标") for k in KEYS})
+    rows = spark.range(1).select(reqs.alias("reqs"), F.array_repeat(F.array(F.lit("chinese")), 9).alias("choice_groups"))
+    with pytest.raises(Exception, match="choice groups"):
+        evaluate.evaluate_rows(rows, {}).collect()
