@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import no_space, parens, strip, text
@@ -62,21 +63,47 @@ def band_counts(
     tol: float,
     bounds: Sequence[float],
 ) -> DataFrame:
-    """J13 counted per (anchor line, column).
+    """J13 counted per (anchor line, column), without making a pair.
 
-    Copies are folded before the join: anchors to distinct lines, words to one row
-    per (line, column) with its count, so the pairs are between distinct lines only.
+    The axis is cut into slices as wide as a band. A band then is the end of one slice and the
+    beginning of the next, so each anchor line reads two running values: the words of its first
+    slice from its lower end on, and those of the second up to its upper end. Copies are folded
+    first, words to one row per (line, column). Rows whose key or place is null meet nothing.
     """
-    lines = anchors.select(*keys, anchor_y).distinct()
+    placed = [F.col(k).isNotNull() for k in keys]
+    lines = anchors.select(*keys, F.col(anchor_y).alias("_line")).filter(reduce(lambda x, y: x & y, placed, F.col("_line").isNotNull())).distinct()
     idx = column_index(F.col(word_x), F.array(*[F.lit(float(b)) for b in bounds]))
     cells = (
         words.withColumn("col", idx)
-        .filter(F.col("col").isNotNull())
-        .groupBy(*keys, word_y, "col")
+        .filter(reduce(lambda x, y: x & y, placed, F.col("col").isNotNull() & F.col(word_y).isNotNull()))
+        .groupBy(*keys, F.col(word_y).cast("double").alias("_y"), "col")
         .agg(F.count(F.lit(1)).alias("_n"), F.min(word_x).alias("_x"))
     )
-    pairs = band_join(lines, cells, keys, anchor_y, word_y, tol)
-    return pairs.groupBy(*keys, anchor_y, "col").agg(F.sum("_n").alias("n_words"), F.min("_x").alias("first_x"))
+    if tol <= 0:
+        exact = lines.join(cells.withColumnRenamed("_y", "_line"), [*keys, "_line"])
+        return exact.select(*keys, F.col("_line").alias(anchor_y), "col", F.col("_n").alias("n_words"), F.col("_x").alias("first_x"))
+    size, middle = F.lit(2.0 * tol), F.col("_line").cast("double")
+    first = F.floor((middle - tol) / size)
+    columns = F.sequence(F.lit(0), F.lit(len(bounds) - 2))
+    ends = F.array(
+        F.struct(F.lit(True).alias("_from"), (middle - tol).alias("_y"), first.alias("_slice")),
+        F.struct(F.lit(False).alias("_from"), (middle + tol).alias("_y"), (first + 1).alias("_slice")),
+    )
+    asked = lines.withColumn("col", F.explode(columns)).select(*keys, "_line", "col", F.explode(ends).alias("_e")).select(*keys, "_line", "col", "_e.*")
+    rows = asked.unionByName(cells.withColumn("_slice", F.floor(F.col("_y") / size)), allowMissingColumns=True)
+    group = Window.partitionBy(*keys, "col", "_slice")
+    up, down = group.orderBy("_y"), group.orderBy(F.desc("_y"))  # running values; rows of one place count together
+    running = rows.select(
+        *keys, "_line", "col", "_from",
+        F.sum("_n").over(up).alias("_n_up"), F.min("_x").over(up).alias("_x_up"),
+        F.sum("_n").over(down).alias("_n_down"), F.min("_x").over(down).alias("_x_down"),
+    ).filter("_line is not null")
+    part = running.select(
+        *keys, F.col("_line").alias(anchor_y), "col",
+        F.when(F.col("_from"), F.col("_n_down")).otherwise(F.col("_n_up")).alias("_n"),
+        F.when(F.col("_from"), F.col("_x_down")).otherwise(F.col("_x_up")).alias("_x"),
+    ).filter("_n is not null")
+    return part.groupBy(*keys, anchor_y, "col").agg(F.sum("_n").alias("n_words"), F.min("_x").alias("first_x"))
 
 
 def dedupe_anchors(words: DataFrame, keys: Sequence[str], code: str, tol: float = 3.0) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import top_per_key
+
 
 def opportunities(
     df: DataFrame,
@@ -29,57 +32,41 @@ def opportunities(
     """E13 over evaluated rows (``match`` from evaluate_rows, ``gap`` from gap_rows).
 
     A transfer row is the institution's best non-science row when nothing on the
-    science side passes; a near miss is its closest failing science-side row. Both
-    picks and the institution test are one aggregate, so rows are evaluated once and
-    each task sends at most two rows per institution. ``position`` is the row's place as a
-    number: the first of equal rows wins. With ``target`` (J15 over a row's own majors and
-    label), institutions of which no row hits it give nothing.
+    science side passes; a near miss is its closest failing science-side row. Both orders are
+    packed into numbers, so one hash aggregate finds every institution's best number of each
+    kind and tests the institution; the rows that have it are joined back and ties fall to the
+    label and ``position``, the row's place as a number. With ``target`` (J15 over a row's own
+    majors and label), institutions of which no row hits it give nothing.
     """
     gap_limit = max(1, min(3, int(gap_limit or 1)))
     columns = df.columns
-    # Evaluate once: the flags below must not each repeat the evaluators.
-    rows = df.select(*columns, F.coalesce((F.col(track) == "science") | keyword_hit, F.lit(False)).alias("_sci"))
-    payload = F.struct(*columns)
     m, g = F.col(match), F.col(gap)
+    science = F.coalesce((F.col(track) == "science") | keyword_hit, F.lit(False))
     states = ["pass", "unknown"] if include_unknown else ["pass"]
-    aggs = [] if target is None else [F.coalesce(F.bool_or(target), F.lit(False)).alias("_target")]
+    no = F.lit(None).cast("bigint")
+    to, near = no, no
     if transfer:
-        order = F.struct(
-            F.when(m["status"] == "pass", 0).otherwise(1).alias("a"),
-            (-F.coalesce(m["fit"], F.lit(-1))).alias("b"),
-            F.col(position).alias("c"),
-        )
-        cand = m["status"].isin(states) & (F.col(track) != "science")
-        aggs.append(F.coalesce(F.bool_or((m["status"] == "pass") & F.col("_sci")), F.lit(False)).alias("_direct"))
-        aggs.append(F.min_by(payload, F.when(cand, order)).alias("_transfer"))
+        worse = F.when(m["status"] == "pass", 0).otherwise(1).cast("bigint")
+        packed = worse * (1 << 40) + (1 << 32) - F.coalesce(m["fit"], F.lit(-1)).cast("bigint")
+        to = F.when(m["status"].isin(states) & (F.col(track) != "science"), packed)
     if near_miss:
-        order = F.struct(
-            g["max_deficit"].alias("a"),
-            F.length(F.coalesce(F.col(gap_text), F.lit(""))).alias("b"),
-            F.coalesce(F.col(label), F.lit("")).alias("c"),
-            F.col(position).alias("d"),
-        )
-        cand = (
-            (m["status"] == "fail")
-            & F.col("_sci")
-            & (g["status"] == "fail")
-            & (F.size(g["details"]) <= 1)
-            & (g["max_deficit"] <= gap_limit)
-        )
+        cand = (m["status"] == "fail") & (g["status"] == "fail") & (F.size(g["details"]) <= 1) & (g["max_deficit"] <= gap_limit)
         if area and hot_areas:
             cand = cand & F.col(area).isin(list(hot_areas))
-        aggs.append(F.min_by(payload, F.when(cand, order)).alias("_near"))
-    best = rows.groupBy(*school).agg(*aggs)
-    if target is not None:
-        best = best.filter("_target")
-    found = []
-    if transfer:
-        pick = F.when(~F.col("_direct"), F.col("_transfer"))
-        found.append(F.struct(F.lit("transfer").alias("kind"), pick.alias("row")))
-    if near_miss:
-        found.append(F.struct(F.lit("nearmiss").alias("kind"), F.col("_near").alias("row")))
-    return (
-        best.select(F.explode(F.array(*found)).alias("_f"))
-        .filter(F.col("_f.row").isNotNull())
-        .select("_f.row.*", "_f.kind")
-    )
+        packed = g["max_deficit"].cast("bigint") * (1 << 32) + F.length(F.coalesce(F.col(gap_text), F.lit("")))
+        near = F.when(cand & science, packed)
+    rows = df.select(
+        *columns, to.alias("_to"), near.alias("_near"), ((m["status"] == "pass") & science).alias("_direct"),
+        (F.lit(True) if target is None else target).alias("_target"),
+    )
+    best = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(school)]).agg(
+        F.min("_to").alias("_best_to"), F.min("_near").alias("_best_near"),
+        F.coalesce(F.bool_or("_direct"), F.lit(False)).alias("_any_direct"), F.coalesce(F.bool_or("_target"), F.lit(False)).alias("_any_target"),
+    ).filter("_any_target")
+    same = reduce(lambda x, y: x & y, [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(school)])
+    won = rows.filter("_to is not null or _near is not null").join(best, same)
+    is_to = ~F.col("_any_direct") & (F.col("_to") == F.col("_best_to"))
+    kinds = F.array_compact(F.array(F.when(is_to, F.lit("transfer")), F.when(F.col("_near") == F.col("_best_near"), F.lit("nearmiss"))))
+    tied = won.select(*columns, F.explode(kinds).alias("kind"))
+    order = [F.when(F.col("kind") == "nearmiss", F.coalesce(F.col(label), F.lit(""))), F.col(position)]
+    return top_per_key(tied, [*school, "kind"], order, 1)

@@ -176,3 +176,49 @@ def test_fragments_with_gaps_in_their_positions_join(spark):
     df = spark.createDataFrame([("k", p, str(p)) for p in (0, 10, 20, 31, 47, 58, 66, 90)], "key string, pos long, value string")
     rows = scans.fragment_runs(df, ["key"], "pos", "value", F.lit(True)).orderBy("first_pos").collect()
     assert [(r["first_pos"], r["pieces"], r["joined"]) for r in rows] == [(0, 6, "01020314758"), (66, 2, "6690")]
+
+
+def _brute_counts(anchors, words, tol, bounds):
+    want = {}
+    for g, ay in set(anchors):
+        if g is None or ay is None:
+            continue
+        for h, wy, x in words:
+            col = next((i for i in range(len(bounds) - 1) if bounds[i] <= x < bounds[i + 1]), None)
+            if h == g and wy is not None and col is not None and ay - tol <= wy <= ay + tol:
+                n, first = want.get((g, ay, col), (0, x))
+                want[g, ay, col] = (n + 1, min(first, x))
+    return {(*k, *v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("tol", [0.0, 0.5, 3.0])
+def test_band_counts_equal_the_pairs(spark, tol):
+    rnd = random.Random(int(tol * 2))
+    anchors = [(rnd.choice([1, 2, None]), rnd.choice([rnd.randint(-9, 30) / 4, 2.0, None])) for _ in range(60)]
+    words = [(rnd.choice([1, 2, None]), rnd.choice([rnd.randint(-9, 30) / 4, None]), float(rnd.randint(-5, 40))) for _ in range(300)]
+    words += [(1, 2.0, 7.0)] * 50
+    bounds = [0.0, 10.0, 20.0, 35.0]
+    left = spark.createDataFrame(anchors, "g int, ay double")
+    right = spark.createDataFrame(words, "g int, wy double, x double")
+    found = bands.band_counts(left, right, ["g"], "ay", "wy", "x", tol, bounds).collect()
+    assert {(r["g"], r["ay"], r["col"], r["n_words"], r["first_x"]) for r in found} == _brute_counts(anchors, words, tol, bounds)
+    assert len(found) == len({(r["g"], r["ay"], r["col"]) for r in found})
+
+
+def test_band_counts_of_a_dense_band_make_no_pairs(spark):
+    """10,000 lines and 10,000 words within one band: each line reads two running values."""
+    n = 10_000
+    left = spark.range(n).select(F.lit(1).alias("g"), (F.col("id") / n).alias("ay"))
+    right = spark.range(n).select(F.lit(1).alias("g"), (F.col("id") / n).alias("wy"), F.lit(5.0).alias("x"))
+    counted = bands.band_counts(left, right, ["g"], "ay", "wy", "x", 1.0, [0.0, 10.0])
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert counted.agg(F.count(F.lit(1)).alias("lines"), F.min("n_words").alias("low")).first() == (n, n)
+
+
+def test_opportunities_aggregate_without_a_sort(spark, sf):
+    from cutline.plans.opportunities import picks
+
+    rows = picks(spark, sf)
+    rows.collect()
+    assert "SortAggregate" not in rows._jdf.queryExecution().executedPlan().toString()
