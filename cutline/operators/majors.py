@@ -1,17 +1,17 @@
 """Major lists from text, labels and records.
 
-One document is one cell, so the line windows below are bounded by a single text.
+One document is one cell: its lists are read inside its row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.expr import c, contains_any, strip, text
+from ..functions.expr import c, contains_any, let, strip, text
 from ..functions.text import (
     clean_majors,
     display_key,
@@ -24,58 +24,32 @@ from ..functions.text import (
     normalise_major,
     split_tokens,
 )
-from .dedupe import first_occurrence_lists
-from .scans import fragment_runs
 
 HEADING = r"^(?:[一二三四五六七八九十]+|[0-9]{1,2})[、.．)]|^[（(](?:[一二三四五六七八九十]+|[0-9]{1,2})[）)]"
 SENTENCE = r"招生专业(?:及计划|及招生计划|目录)?\s*[:：]\s*([^。\n]{2,200})"
 
 
-def document_lines(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Stripped non-blank lines with their position and the line count of the document."""
-    lines = F.filter(
-        F.transform(F.split(F.replace(text(value), F.lit("\r\n"), F.lit("\n")), "\n"), strip), lambda x: x != ""
-    )
-    return df.select(key, F.length(text(value)).alias("_chars"), lines.alias("_l")).select(
-        key, "_chars", F.size("_l").alias("_n"), F.posexplode("_l").alias("pos", "line")
-    )
+MARK = "\x01"
+"""Parts the tokens of a text; a text's own U+0001 counts as a space."""
 
 
-def list_windows(lines: DataFrame, key: str, hint: Column, span: int = 220, slack: int = 10, short: int = 1500) -> DataFrame:
-    """W6 on hint lines: window id per line; documents without a hint are read when short."""
-    w = Window.partitionBy(key).orderBy("pos")
-    upto, before, after = (
-        w.rowsBetween(Window.unboundedPreceding, 0),
-        w.rowsBetween(Window.unboundedPreceding, -1),
-        w.rowsBetween(1, Window.unboundedFollowing),
-    )
-    whole = Window.partitionBy(key)
-    marked = (
-        lines.withColumn("_hint", hint)
-        .withColumn("_any", F.bool_or("_hint").over(whole))
-        .filter(F.col("_any") | (F.col("_chars") < short))
-    )
-    at = F.when(F.col("_hint"), F.col("pos"))
-    placed = (
-        marked.withColumn("_last", F.max(at).over(upto))
-        .withColumn("_prev", F.max(at).over(before))
-        .withColumn("_next", F.min(at).over(after))
-    )
+def _bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``value`` as a column that later steps read: the output of a generator is not computed again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
-    def end(start: Column) -> Column:
-        return F.least(start + span, F.col("_n"))
-
-    fresh = F.col("_hint") & (F.col("_prev").isNull() | (F.col("pos") > end(F.col("_prev")) + slack))
-    inside = F.when(
-        F.col("_any"),
-        F.col("_last").isNotNull()
-        & ((F.col("pos") < end(F.col("_last"))) | F.coalesce(F.col("_next") <= end(F.col("_last")) + slack, F.lit(False))),
-    ).otherwise(F.col("pos") < span)
-    return (
-        placed.withColumn("_win", F.sum(fresh.cast("int")).over(upto))
-        .filter(inside)
-        .drop("_hint", "_any", "_last", "_prev", "_next")
-    )
+
+def _spans(hints: Column, n: Column, chars: Column, span: int, slack: int, short: int) -> Column:
+    """W6 on hint lines: array of (start, end). Texts without a hint are read from the start when short."""
+
+    def end(at: Column) -> Column:
+        return F.least(at + span, n)
+
+    last = F.size(hints) - 1
+    starts = F.filter(hints, lambda at, i: (i == 0) | (at > end(F.get(hints, i - 1)) + slack))
+    ends = F.filter(hints, lambda at, i: (i == last) | (F.get(hints, i + 1) > end(at) + slack))
+    found = F.transform(starts, lambda at, i: F.struct(at.alias("start"), end(F.get(ends, i)).alias("end")))
+    head = F.array(F.struct(F.lit(0).alias("start"), F.least(F.lit(span), n).alias("end")))
+    return F.when(last >= 0, found).when(chars < short, head).otherwise(F.slice(head, 1, 0))
 
 
 def majors_from_text(
@@ -95,53 +69,62 @@ def majors_from_text(
     plausible: Callable[[Column], Column] = is_major,
     fragment: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """One row per document with its ordered unique major list (documents without one give no row)."""
+    """One row per text with its ordered unique major list (texts without one give no row).
+
+    A text is read inside its row: no line or token becomes a row of its own, so nothing is
+    shuffled. The tokens of a span of lines are written one after another, each behind a mark and
+    its kind (a name, a fragment, a break), and one pattern reads names and runs of two to six
+    fragments from left to right, which is linear in the text.
+    """
     fragment = fragment or (
         lambda s: (F.length(s) == 2) & (han_count(s) == 2) & ~contains_any(s, V.FRAGMENT_STOPS)
     )
-    lines = list_windows(document_lines(df, key, value), key, contains_any("line", hints))
-    toks = F.transform(tokens(F.col("line")), lambda t: F.struct(t.alias("raw"), normalise(t).alias("name")))
-    lines = lines.withColumn("_header", contains_any("line", headers)).withColumn("_toks", toks)
-    wide = Window.partitionBy(key, "_win")
-    hit = F.col("_header") | F.exists("_toks", lambda t: ~t["raw"].rlike(number_token))
-    stop = contains_any("line", stops) & F.col("line").rlike(heading)
-    lines = (
-        lines.withColumn("_hit", F.min(F.when(hit, F.col("pos"))).over(wide))
-        .withColumn("_cut", F.min(F.when(stop & (F.col("pos") > F.col("_hit")), F.col("pos"))).over(wide))
-        .filter(F.col("_cut").isNull() | (F.col("pos") < F.col("_cut")))
-    )
-    # A header line is one breaking token.
-    pieces = F.when(
-        F.col("_header"), F.array(F.struct(F.lit("").alias("raw"), F.lit("").alias("name")))
-    ).otherwise(F.col("_toks"))
-    rows = lines.select(key, "_win", "pos", "_header", F.posexplode(pieces).alias("_tp", "_t")).select(
-        key, "_win", "pos", "_tp", F.col("_header").alias("_brk"), "_t.raw", "_t.name"
-    )
-    rows = rows.withColumn("_num", F.col("raw").rlike(number_token)).withColumn(
-        "_ok", ~F.col("_brk") & ~F.col("_num") & plausible(F.col("name"))
-    )
-    rows = rows.withColumn(
-        "_frag", ~F.col("_brk") & ~F.col("_num") & ~F.col("_ok") & fragment(F.col("name"))
-    ).withColumn("_seq", F.row_number().over(Window.partitionBy(key, "_win").orderBy("pos", "_tp")))
-    direct = rows.filter("_ok").select(key, F.lit(0).alias("_part"), "_win", "_seq", "name")
-    joined = (
-        fragment_runs(rows, [key, "_win"], "_seq", "name", F.col("_frag"))
-        .select(key, F.lit(0).alias("_part"), "_win", F.col("first_pos").alias("_seq"), normalise(F.col("joined")).alias("name"))
-        .filter(plausible(F.col("name")))
-    )
-    found = direct.unionByName(joined)
+
+    def line_of(line: Column) -> Column:
+        toks = F.transform(tokens(line), lambda t: F.struct(t.rlike(number_token).alias("num"), normalise(t).alias("name")))
+        stop = contains_any(line, stops) & line.rlike(heading)
+        return F.struct(contains_any(line, headers).alias("header"), stop.alias("stop"), toks.alias("toks"))
+
+    def marked(line: Column) -> Column:
+        def token(t: Column) -> Column:
+            kind = F.when(t["num"], "B").when(plausible(t["name"]), "N").when(fragment(t["name"]), "F").otherwise("B")
+            return F.concat(F.lit(MARK), kind, t["name"])
+
+        return F.when(line["header"], F.lit(MARK + "B")).otherwise(F.array_join(F.transform(line["toks"], token), ""))
+
+    def before_stop(lines: Column) -> Column:
+        """Lines up to the first stop line after a line with content."""
+        content = F.array_position(F.transform(lines, lambda x: x["header"] | F.exists(x["toks"], lambda t: ~t["num"])), True)
+
+        def cut(hit: Column) -> Column:
+            stop = F.array_position(F.transform(lines, lambda x, i: (hit > 0) & (i + 1 > hit) & x["stop"]), True)
+            return F.when(stop > 0, F.slice(lines, F.lit(1), stop.cast("int") - 1)).otherwise(lines)
+
+        return let(content, cut)
+
+    def read(lines: Column) -> Column:
+        """The marked tokens of one span; nothing runs on from one span into the next."""
+        return F.concat(F.array_join(F.transform(let(lines, before_stop), marked), ""), F.lit(MARK + "B"))
+
+    def name_of(found: Column) -> Column:
+        run = normalise(F.replace(found, F.lit(MARK + "F"), F.lit("")))
+        return F.when(found.startswith(MARK + "N"), F.substring(found, 3, 1 << 30)).otherwise(let(run, lambda x: F.when(plausible(x), x)))
+
+    docs = df.select(key, F.length(text(value)).alias("_chars"), text(value).alias("_text"))
+    docs = _bound(docs, "_lines", F.filter(F.transform(F.split(F.translate(F.replace("_text", F.lit("\r\n"), F.lit("\n")), MARK, " "), "\n"), strip), lambda x: x != ""))
+    docs = _bound(docs, "_hints", F.array_compact(F.transform("_lines", lambda x, i: F.when(contains_any(x, hints), i))))
+    docs = _bound(docs, "_spans", _spans(F.col("_hints"), F.size("_lines"), F.col("_chars"), 220, 10, 1500))
+    inside = F.transform("_spans", lambda s: read(F.transform(F.slice("_lines", s["start"] + 1, s["end"] - s["start"]), line_of)))
+    docs = _bound(docs, "_marked", F.array_join(inside, ""))
+    runs = F.regexp_extract_all("_marked", F.lit(f"{MARK}N[^{MARK}]*|(?:{MARK}F[^{MARK}]*){{2,6}}"), F.lit(0))
+    names = F.array_compact(F.transform(runs, name_of))
     if sentence:
-        chunks = F.slice(F.regexp_extract_all(text(value), F.lit(sentence), F.lit(1)), 1, 20)
-        hinted = contains_any(text(value), hints) | (F.length(text(value)) < 1500)
-        names = F.transform(F.flatten(F.transform(chunks, tokens)), normalise)
-        extra = (
-            df.filter(hinted)
-            .select(key, F.posexplode(names).alias("_seq", "name"))
-            .filter(plausible(F.col("name")))
-            .select(key, F.lit(1).alias("_part"), F.lit(0).cast("bigint").alias("_win"), "_seq", "name")
-        )
-        found = found.withColumn("_win", F.col("_win").cast("bigint")).unionByName(extra)
-    return first_occurrence_lists(found, [key], "name", ["_part", "_win", "_seq"], limit, out)
+        chunks = F.slice(F.regexp_extract_all("_text", F.lit(sentence), F.lit(1)), 1, 20)
+        hinted = contains_any("_text", hints) | (F.col("_chars") < 1500)
+        extra = F.filter(F.transform(F.flatten(F.transform(chunks, tokens)), normalise), plausible)
+        names = F.concat(names, F.when(hinted, extra).otherwise(F.array().cast("array<string>")))
+    docs = _bound(docs, out, F.slice(F.array_distinct(names), 1, limit))
+    return docs.filter(F.size(out) > 0).select(key, out)
 
 
 def row_majors(row: Column | str, label: Column | str, school: Column | str) -> Column:
