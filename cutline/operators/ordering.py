@@ -58,6 +58,31 @@ def institution_order(
     return [*head, *keys, *tail]
 
 
+def institution_keys(
+    mode: str,
+    scored: bool,
+    opportunity: bool = False,
+    tier: Column | str = "tier",
+    confidence: Column | str = "confidence",
+    status_rank: Column | str = "status_rank",
+    fit: Column | str = "best_fit",
+    score: Column | str = "oppty_score",
+    deadline: Column | str = "deadline",
+) -> list[Column]:
+    """T4 as numbers to be sorted upwards, as many in every mode, so that one sort can serve all
+    modes (``scans.ranks_by_mode``). The name comes after them."""
+    by_tier, by_conf = -tier_rank(tier), -confidence_rank(confidence)
+    by_date = F.coalesce(F.unix_date(c(deadline)).cast("double"), F.lit(FAR))
+    if not scored:
+        keys = [by_tier, by_conf, by_date]
+    else:
+        by_value = F.coalesce(c(score), F.lit(FAR)) if opportunity else F.coalesce(c(fit), F.lit(10_000))
+        head = [] if opportunity else [-c(status_rank)]
+        ordered = {"fit": [by_value, by_tier, by_conf], "tier": [by_tier, by_value, by_conf], "deadline": [by_date, by_value, by_tier]}
+        keys = [*head, *ordered.get(mode, []), by_date]
+    return [*[k.cast("double") for k in keys], *[F.lit(0.0)] * (5 - len(keys))]
+
+
 def row_order(scored: bool, status: Column | str = "status", fit: Column | str = "fit", label: Column | str = "label") -> list[Column]:
     """T5: rows inside an institution."""
     by_label = text(label).asc()

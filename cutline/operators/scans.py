@@ -8,7 +8,7 @@ not depend on the slice width; it only bounds the rows of one window group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +39,26 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
     )
 
 
+def ranks_by_mode(df: DataFrame, keys: Sequence[str], modes: Mapping[str, Sequence[Column]], tail: Sequence[Column]) -> DataFrame:
+    """T4: 1-based positions of every row in several orders, from one global sort.
+
+    ``keys`` identify a row; ``modes`` give as many ascending sort keys of the same types each, and
+    ``tail`` follows in all of them. Each row is sorted once per mode with its sort keys alone; no
+    other column takes part. Every mode has the same number of rows, so positions are ranks less
+    those of the modes before.
+    """
+    names = list(modes)
+    per_mode = [F.struct(F.lit(i).alias("_mode"), *[k.alias(f"_s{j}") for j, k in enumerate(modes[m])]) for i, m in enumerate(names)]
+    tails = [t.alias(f"_t{j}") for j, t in enumerate(tail)]
+    rows = df.select(*keys, *tails, F.explode(F.array(*per_mode)).alias("_m")).select(*keys, *[f"_t{j}" for j in range(len(tails))], "_m.*")
+    width = len(modes[names[0]])
+    order = [F.col("_mode"), *[F.col(f"_s{j}") for j in range(width)], *[F.col(f"_t{j}") for j in range(len(tails))]]
+    ranked = global_rank(rows, order, "_rank")
+    n = ranked.filter("_mode = 0").count()
+    places = [F.max(F.when(F.col("_mode") == i, F.col("_rank") - i * n)).alias(name) for i, name in enumerate(names)]
+    return ranked.groupBy(*keys).agg(*places)
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
     """First ``k`` rows per key. Spark limits each key before the shuffle (WindowGroupLimit)."""
     w = Window.partitionBy(*keys).orderBy(*order)

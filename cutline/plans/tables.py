@@ -578,12 +578,13 @@ k as (
 select o_orderkey,
   row_number() over (order by sr desc, coalesce(fit, 10000), tier desc, conf desc, due nulls last, o_orderkey) as by_fit,
   row_number() over (order by sr desc, due nulls last, coalesce(fit, 10000), tier desc, o_orderkey) as by_deadline,
+  row_number() over (order by sr desc, tier desc, coalesce(fit, 10000), conf desc, due nulls last, o_orderkey) as by_tier,
   row_number() over (order by tier desc, conf desc, due nulls last, o_orderkey) as no_profile
 from k
 """,
 )
 def multi_mode_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4, SF4: institution order in three modes, as positions."""
+    """T4, SF4: institution order in its four modes, as positions."""
     o = table(spark, sf_dir, "orders")
     p, st = F.substring("o_orderpriority", 1, 1).cast("int"), F.col("o_orderstatus")
     rows = o.select(
@@ -595,11 +596,9 @@ def multi_mode_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(p < 5, F.col("o_orderdate").cast("date")).alias("deadline"),
         F.lit("").alias("school_name"),
     )
-    tail = F.col("o_orderkey").asc()
-    out = scans.global_rank(rows, [*ordering.institution_order("fit", True), tail], "by_fit")
-    out = scans.global_rank(out, [*ordering.institution_order("deadline", True), tail], "by_deadline")
-    out = scans.global_rank(out, [*ordering.institution_order("fit", False), tail], "no_profile")
-    return out.select("o_orderkey", "by_fit", "by_deadline", "no_profile")
+    modes = {f"by_{mode}": ordering.institution_keys(mode, True) for mode in ("fit", "deadline", "tier")}
+    modes["no_profile"] = ordering.institution_keys("fit", False)
+    return scans.ranks_by_mode(rows, ["o_orderkey"], modes, [F.col("school_name"), F.col("o_orderkey")])
 
 
 @query(

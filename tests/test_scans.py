@@ -222,3 +222,23 @@ def test_opportunities_aggregate_without_a_sort(spark, sf):
     rows = picks(spark, sf)
     rows.collect()
     assert "SortAggregate" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_of_all_modes_equal_each_order(spark):
+    """One sort over all modes gives what sorting by each order gives, opportunity modes included."""
+    from cutline.operators import ordering
+
+    rnd = random.Random(3)
+    rows = [
+        (i, rnd.choice(["985", "211", "双一流", "?", None]), rnd.choice(["high", "low", "none", None]), rnd.randint(1, 3), rnd.choice([None, 0, 3, 9]),
+         rnd.choice([None, 0.5, 2.5]), rnd.choice([None, "2026-01-05", "2025-12-31"]), rnd.choice(["a", "b", None]))
+        for i in range(300)
+    ]
+    schema = "i long, tier string, confidence string, status_rank int, best_fit int, oppty_score double, d string, school_name string"
+    df = spark.createDataFrame(rows, schema).withColumn("deadline", F.col("d").cast("date")).repartition(5)
+    kinds = [(m, True, o) for m in ("fit", "tier", "deadline", "other") for o in (False, True)] + [("fit", False, False)]
+    modes = {f"m{j}": ordering.institution_keys(*kind) for j, kind in enumerate(kinds)}
+    got = {r["i"]: r for r in scans.ranks_by_mode(df, ["i"], modes, [F.coalesce("school_name", F.lit("")), F.col("i")]).collect()}
+    for j, kind in enumerate(kinds):
+        want = [r["i"] for r in df.orderBy(*ordering.institution_order(*kind), "i").collect()]
+        assert [got[i][f"m{j}"] for i in want] == list(range(1, 301)), kind
