@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values
@@ -99,6 +99,94 @@ def section_cut_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"), F.max("event_id").alias("last_event"))
 
 
+# Events as word boxes: a user is a page, the hour is the height, the type and the id say which word stands where.
+_HOUR = "cast(floor((epoch(ts) - 1704067200) / 3600) as double)"
+_HISTORY_WORDS = {
+    "purchase": ("lpad(cast(event_id % 100000 as string), 5, '0')", "100 + event_id / 16777216"),
+    "click": ("'label'", "600 + event_id % 50 + event_id / 16777216"),
+    "view": ("case when event_id % 7 = 0 then '--' else cast(event_id % 20 as string) end", "690 + event_id % 69 + event_id / 16777216"),
+    "signup": ("concat(cast(event_id % 90 as string), '%')", "770 + event_id % 49 + event_id / 16777216"),
+}
+_SIEVE_WORDS = {
+    "purchase": ("lpad(cast(event_id as string), 6, '0')", "5 + event_id / 16777216"),
+    "view": ("concat('國', cast(event_id % 15 as string))", "110 + event_id % 7 * 50 + event_id / 16777216"),
+    "click": ("'英'", "110 + event_id % 7 * 50 + event_id / 16777216"),
+    "signup": ("concat('數', cast(event_id % 9 as string))", "110 + event_id % 7 * 50 + event_id / 16777216"),
+    "error": ("'*'", "110 + event_id % 7 * 50 + event_id / 16777216"),
+}
+SIEVE_BOUNDS = [100.0 + 50 * i for i in range(8)]
+
+
+def _of_type(words: dict[str, tuple[str, str]], part: int) -> str:
+    return "case event_type " + " ".join(f"when '{kind}' then {word[part]}" for kind, word in words.items()) + " end"
+
+
+def _boxes(spark: SparkSession, sf_dir: str, words: dict[str, tuple[str, str]]) -> DataFrame:
+    ev = table(spark, sf_dir, "events").filter(F.col("event_type").isin(list(words)))
+    hour = F.floor((epoch_seconds("ts") - 1704067200) / 3600).cast("double")
+    return ev.select("user_id", F.expr(_of_type(words, 0)).alias("text"), F.expr(_of_type(words, 1)).cast("double").alias("x0"), hour.alias("y0"))
+
+
+def _boxes_sql(words: dict[str, tuple[str, str]]) -> str:
+    return f"select user_id, event_id, event_type as kind, {_of_type(words, 0)} as text, {_of_type(words, 1)} as x, {_HOUR} as y from events"
+
+
+@query(
+    "history_boxes",
+    f"""
+with b as ({_boxes_sql(_HISTORY_WORDS)}),
+near as (
+  select c.user_id, c.event_id, c.text as code, c.y as code_y, l.y
+  from b c join b l on c.user_id = l.user_id and l.y between c.y - 40 and c.y + 40 where c.kind = 'purchase' and l.kind = 'click'),
+g as (select *, case when y - lag(y) over (partition by event_id order by y) > 1.2 then 1 else 0 end as brk from near),
+i as (select *, sum(brk) over (partition by event_id order by y) as isl from g),
+lines as (select user_id, event_id, code, code_y, sum(y) / count(*) as line_y from i group by user_id, event_id, code, code_y, isl),
+vals as (
+  select n.event_id, n.line_y, arg_min(v.text, v.x) filter (v.kind = 'view') as t1, arg_min(v.text, v.x) filter (v.kind = 'signup') as t2
+  from lines n join b v on n.user_id = v.user_id and v.y between n.line_y - 2 and n.line_y + 2 group by 1, 2),
+shown as (
+  select n.*, coalesce(nullif(t1, '--'), '-') as s1, coalesce(replace(t2, '%', ''), '-') as s2
+  from lines n left join vals using (event_id, line_y))
+select user_id, code as program_code, substr(code, 1, 3) as school_code, code_y as pos,
+  string_agg(s1, ',' order by line_y) as round1, string_agg(s2, ',' order by line_y) as round2
+from shown group by user_id, event_id, code, code_y
+""",
+)
+def history_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cutoff vectors of history pages, from codes, label lines near them and the first value of each line."""
+    entries = bands.history_entries(_boxes(spark, sf_dir, _HISTORY_WORDS), ["user_id"])
+
+    def shown(values: str) -> Column:
+        return F.array_join(F.transform(values, lambda v: F.coalesce(v["num"].cast("bigint").cast("string"), v["txt"], F.lit("-"))), ",")
+
+    return entries.select("user_id", "program_code", "school_code", "pos", shown("round1").alias("round1"), shown("round2").alias("round2"))
+
+
+@query(
+    "sieve_boxes",
+    f"""
+with b as ({_boxes_sql(_SIEVE_WORDS)}),
+w as (select *, event_id % 7 as col from b where kind <> 'purchase'),
+cells as (
+  select c.user_id, c.text as code, w.col, string_agg(w.text, '' order by w.y, w.x) as cell
+  from b c join w on c.user_id = w.user_id and w.y between c.y - 14 and c.y + 14 where c.kind = 'purchase' group by 1, 2, 3),
+p as (
+  select *, regexp_extract(cell, '^(.*[^0-9])[0-9]+[^0-9]*$', 1) as expr, regexp_extract(cell, '([0-9]+)[^0-9]*$', 1) as score from cells)
+select user_id, code as apply_code,
+  coalesce(string_agg((col + 1) || ':' || expr || ':' || score, '|' order by col) filter (col < 6 and expr <> ''), '') as min_orders,
+  coalesce(bool_or(col = 6 and contains(cell, '*')), false) as oversubscribe
+from p group by 1, 2
+""",
+)
+def sieve_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Screening minima per programme code, from words in bands and columns."""
+    words = _boxes(spark, sf_dir, _SIEVE_WORDS).select("user_id", "text", F.col("x0").alias("x"), F.col("y0").alias("y"), F.lit(0.0).alias("w"), F.lit(0.0).alias("h"))
+    bounds = words.select("user_id").distinct().withColumn("bounds", F.array(*[F.lit(b) for b in SIEVE_BOUNDS]))
+    rows = bands.sieve_rows(words, bounds, ["user_id"])
+    orders = F.transform("min_orders", lambda o: F.concat_ws(":", o["order"].cast("string"), o["expr"], o["min_score"].cast("string")))
+    return rows.select("user_id", "apply_code", F.array_join(orders, "|").alias("min_orders"), "oversubscribe")
+
+
 @query(
     "band_join",
     """
