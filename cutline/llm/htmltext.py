@@ -19,6 +19,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -62,7 +63,11 @@ TOKENS = (
     ("form", "login", "search", "contact", "share", "sharing", "social", "tags", "meta", "author", "byline"),
 )
 CONTROLS = frozenset("button label input textarea".split())
+_MARKS = re.compile("[.,;:!?]")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
+_WORD = re.compile(r"[a-z]+")
 _BOILER = range(1, 9)
+_NO_TOKENS: frozenset = frozenset()
 _BOILER_TOKENS = frozenset(t for k in _BOILER for t in TOKENS[k])
 
 
@@ -98,8 +103,8 @@ class _Tree(HTMLParser):
                 break
             if name in BLOCK and name != "p":
                 break
-        values = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "data-main"))
-        tokens = frozenset(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", values).lower()))
+        values = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "data-main")) if attrs else ""
+        tokens = frozenset(_WORD.findall(_CAMEL.sub(r"\1 \2", values).lower())) if values else _NO_TOKENS
         node = parent = self.open[-1][1]
         if tag in BLOCK or tag in SILENT or tag in CONTROLS or not tokens.isdisjoint(_BOILER_TOKENS):
             node = len(self.nodes)
@@ -135,6 +140,12 @@ FEATURES = (
 )
 
 
+@lru_cache(maxsize=20_000)
+def _own(tag: str, tokens: frozenset) -> np.ndarray:
+    """The features that follow from a node's tag and tokens; pages repeat them often."""
+    return np.array([tag in group for group in GROUPS] + [not tokens.isdisjoint(group) for group in TOKENS], float)
+
+
 def features(tree: _Tree) -> np.ndarray:
     """One row of ``FEATURES`` per node; subtree sums run from the last node up, as children follow parents."""
     n = len(tree.nodes)
@@ -148,7 +159,7 @@ def features(tree: _Tree) -> np.ndarray:
             size = len(text.strip())
             chars[i] += size
             linked[i] += size * in_link
-            marks[i] += sum(text.count(c) for c in ".,;:!?")
+            marks[i] += len(_MARKS.findall(text))
             words[i] += len(text.split())
     for i in range(n - 1, 0, -1):
         parent = tree.nodes[i].parent
@@ -159,10 +170,7 @@ def features(tree: _Tree) -> np.ndarray:
     g, t = len(GROUPS), len(TOKENS)
     for i, node in enumerate(tree.nodes):
         row = out[i]
-        for k, group in enumerate(GROUPS):
-            row[k] = node.tag in group
-        for k, group in enumerate(TOKENS):
-            row[g + k] = not node.tokens.isdisjoint(group)
+        row[: g + t] = _own(node.tag, node.tokens)
         if node.parent >= 0:
             above = out[node.parent]
             row[g + t : g + 2 * t] = np.maximum(above[g + t : g + 2 * t], above[g : g + t])
@@ -283,16 +291,21 @@ class Forest:
     roots: list[int]
     weights: list[float]
 
+    def __post_init__(self) -> None:
+        """A leaf is its own child, so that all trees can go down together, however deep each is."""
+        leaf = self.feature < 0
+        self.asked = np.where(leaf, 0, self.feature)
+        own = np.arange(len(leaf))
+        self.children = np.stack([np.where(leaf, own, self.right), np.where(leaf, own, self.left)], axis=1)
+
     def probability(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for root, weight in zip(self.roots, self.weights, strict=True):
-            at = np.full(len(x), root)
-            while (inner := self.feature[at] >= 0).any():
-                goes = x[rows, np.maximum(self.feature[at], 0)] <= self.threshold[at]
-                at = np.where(inner, np.where(goes, self.left[at], self.right[at]), at)
-            total += weight * self.value[at]
-        return 1 / (1 + np.exp(-2 * total))
+        at = np.tile(np.array(self.roots), (len(x), 1))
+        rows = np.arange(len(x))[:, None]
+        while True:
+            below = self.children[at, (x[rows, self.asked[at]] <= self.threshold[at]).astype(np.int64)]
+            if np.array_equal(below, at):
+                return 1 / (1 + np.exp(-2 * (self.value[at] * np.array(self.weights)).sum(1)))
+            at = below
 
 
 def _arrays(model) -> Forest:
