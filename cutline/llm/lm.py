@@ -21,6 +21,7 @@ training texts count whole; no n-gram is dropped.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ from . import wordhash
 from .frames import written
 
 CHUNK = 700_000
-SLICE = 2 << 20
+SLICE = 1 << 19
 RANGE_TOKENS = 1_000_000
 BUCKETS = 48
 """Context-frequency buckets: powers of two."""
@@ -50,6 +51,14 @@ _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK_SCHEMA = "chunk bigint, held boolean, ids array<bigint>, folds array<int>, sizes array<bigint>, vocab binary, words binary"
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: a worker process outlives its task, and its executor has a limit for all."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Byte planes of whole numbers: planes of zeros compress away."""
     return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
@@ -101,6 +110,7 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
         for held, parts in waiting.items():
             if parts:
                 yield _chunk_row(parts, number[held], held)
+        _give_back()
 
     return docs.mapInArrow(cut, _CHUNK_SCHEMA)
 
@@ -137,6 +147,7 @@ def _asked(chunk_rows: DataFrame, bits: int) -> DataFrame:
                         ],
                         columns=["kind", "range", "chunk", "keys", "kept", "train"],
                     )
+        _give_back()
 
     return chunk_rows.mapInPandas(ask, "kind string, range bigint, chunk bigint, keys binary, kept binary, train binary")
 
@@ -161,6 +172,8 @@ def _answered(asked: DataFrame) -> DataFrame:
         ]
         out.append((kind, place, None, b"", b"", int((totals[0] > 0).sum()), int((totals[1] > 0).sum())))
         out = pd.DataFrame(out, columns=["kind", "range", "chunk", "kept", "train", "v_kept", "v_train"])
+        del keys, unique, number, totals
+        _give_back()
         return out.astype({"chunk": "Int64"})
 
     schema = "kind string, range bigint, chunk bigint, kept binary, train binary, v_kept bigint, v_train bigint"
@@ -272,6 +285,7 @@ def score(docs: DataFrame, fold: str, id_col: str = "doc_id", text_col: str = "t
                     }
                 )
             )
+        _give_back()
         return pd.concat(out)
 
     grouped = cut.groupBy("chunk").cogroup(answers.groupBy("chunk"))
