@@ -320,88 +320,117 @@ def repaired_json(raw: Column | str) -> Column:
     return F.coalesce(parsable(body), parsable(added), parsable(trimmed))
 
 
-RAW_SCHEMA = (
-    "found boolean, year int, application_deadline string, "
-    "general_requirements struct<" + ",".join(f"{k}:struct<standard:string,min_score:int>" for k in KEYS) + ">, "
-    "department_requirements array<struct<department:string,subjects:string,level:string,standard:string,"
-    "math_requirement:string,other_requirement:string,requirement:string,notes:string,majors:array<string>>>, "
-    "other_conditions array<string>, contact string, notes string, confidence string, majors array<string>, error string"
-)
-SUBJECT_SCHEMA = "struct<" + ",".join(f"{k}:struct<standard:string,min_score:int>" for k in KEYS) + ">"
+EXTRA_FIELDS = ("math_requirement", "other_requirement", "requirement")
 
 
 def parse_record(df, raw: str, out: str = "extraction"):
     """Raw text to a normalised record; unreadable text gives a failed one."""
-    step = df.withColumn("_json", repaired_json(raw))
-    step = step.withColumn("_r", F.from_json("_json", RAW_SCHEMA))
-    step = normalise_record(step, "_r", out)
-    bad = F.col("_json").isNull()
-    e = F.col(out)
-    return step.withColumn(
-        out,
-        F.when(
-            bad,
-            e.withField("found", F.lit(False))
-            .withField("error", F.lit("提取结构异常"))
-            .withField("confidence", F.lit("low")),
-        ).otherwise(e),
-    ).drop("_json", "_r")
+    step = df.withColumn("_v", F.try_parse_json(repaired_json(raw)))
+    return normalise_record(step, "_v", out).drop("_v")
 
 
-def normalise_record(df, raw: str, out: str):
-    """Shapes coerced, text subjects turned into maps, any-of context filled in."""
-    r = F.col(raw)
-    empty = F.array().cast("array<string>")
-    context = F.concat_ws(" ", text(r["notes"]), F.array_join(F.coalesce(r["other_conditions"], empty), " "))
-    general = choice_standards(ensure_subjects(r["general_requirements"]), context)
-
-    extras = ("math_requirement", "other_requirement", "requirement")
-
-    def dept(d: Column) -> Column:
-        parts = [text(d[n]) for n in ("subjects", "level", "notes", "standard")] + [d[n] for n in extras]
-        return let(F.concat_ws(" ", *parts), lambda row_context: in_context(d, row_context))
-
-    def in_context(d: Column, row_context: Column) -> Column:
-        is_object = F.ltrim(text(d["subjects"])).startswith("{")
-        plain_text = d["subjects"].isNotNull() & ~is_object & (d["subjects"] != "null")
-        start = (
-            F.when(is_object, ensure_subjects(F.from_json(d["subjects"], SUBJECT_SCHEMA)))
-            .when(plain_text, let(detect_standard(row_context), lambda std: named(d, row_context, std)))
-            .otherwise(empty_subjects())
-        )
-        return F.struct(
-            d["department"].alias("department"),
-            choice_standards(start, row_context).alias("subjects"),
-            F.when(plain_text, F.coalesce(blank_to_null(d["notes"]), d["level"])).otherwise(d["notes"]).alias("notes"),
-            d["majors"].alias("majors"),
-        )
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _is(v: Column, kind: str) -> Column:
+    """The variant is there and of this kind: OBJECT, ARRAY or STRING."""
+    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+
+
+def _get(v: Column, name: str, kind: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", kind)
+
+
+def _items(v: Column, name: str, kind: str) -> Column:
+    """The elements of this kind of a list; a field that is no list has none."""
+    found = F.when(_is(_get(v, name, "variant"), "ARRAY"), _get(v, name, "array<variant>"))
+    return F.coalesce(F.filter(found, lambda x: _is(x, kind)), F.array().cast("array<variant>"))
+
+
+def _strings(v: Column, name: str) -> Column:
+    return F.transform(_items(v, name, "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+
+
+def variant_subjects(v: Column) -> Column:
+    """The six subjects of an object; a missing one, or one that is no object, is empty."""
+    return F.struct(
+        *[
+            F.when(_is(_get(v, k, "variant"), "OBJECT"), _pick(_get(v, f"{k}.standard", "string"), _get(v, f"{k}.min_score", "int")))
+            .otherwise(_pick(F.lit(None), F.lit(None)))
+            .alias(k)
+            for k in KEYS
+        ]
+    )
+
 
-    def named(d: Column, row_context: Column, std: Column) -> Column:
-        """Subjects named in the row text, then those of the extra fields, later ones winning."""
-        steps = [F.struct(choice_subjects(row_context, False).alias("keys"), _any_if(std, row_context).alias("std"))]
-        for extra in extras:
-            keys = F.when(d[extra].isNotNull(), choice_subjects(d[extra], False)).otherwise(empty)
-            value = _any_if(F.coalesce(detect_standard(d[extra]), std), F.coalesce(d[extra], F.lit("")))
-            steps.append(F.struct(keys.alias("keys"), value.alias("std")))
-        return let(F.array(*steps), _last_named)
-
-    depts = F.coalesce(F.transform(F.filter(r["department_requirements"], lambda d: d.isNotNull()), dept), F.array())
-    return df.withColumn(
+def normalise_record(df, raw: str, out: str):
+    """A VARIANT of any shape to a record of fixed shape.
+
+    The kinds decide, not the characters: subjects may be an object, a text or anything else, and each field that is
+    not of its kind is empty. Text subjects become a map, any-of context is filled in. A value that is no object
+    (null, list, text) gives a failed record. Departments that are no objects go. Of ``other_conditions`` and
+    ``majors`` only texts stay. A number where a text belongs is read as its text.
+    """
+    ok = _is(F.col(raw), "OBJECT")
+    step = df.withColumn("_o", F.when(ok, F.col(raw)).otherwise(F.parse_json(F.lit("{}"))))
+    o = F.col("_o")
+    conditions = _strings(o, "other_conditions")
+    context = F.concat_ws(" ", text(_get(o, "notes", "string")), F.array_join(conditions, " "))
+    return step.withColumn(
         out,
         F.struct(
-            r["found"].alias("found"),
-            r["year"].alias("year"),
-            r["application_deadline"].alias("application_deadline"),
-            general.alias("general_requirements"),
-            depts.alias("department_requirements"),
-            r["other_conditions"].alias("other_conditions"),
-            r["contact"].alias("contact"),
-            r["notes"].alias("notes"),
-            r["confidence"].alias("confidence"),
-            r["majors"].alias("majors"),
-            r["error"].alias("error"),
+            F.when(ok, _get(o, "found", "boolean")).otherwise(False).alias("found"),
+            _get(o, "year", "int").alias("year"),
+            _get(o, "application_deadline", "string").alias("application_deadline"),
+            choice_standards(variant_subjects(_get(o, "general_requirements", "variant")), context).alias("general_requirements"),
+            F.transform(_items(o, "department_requirements", "OBJECT"), _department).alias("department_requirements"),
+            conditions.alias("other_conditions"),
+            _get(o, "contact", "string").alias("contact"),
+            _get(o, "notes", "string").alias("notes"),
+            F.when(ok, _get(o, "confidence", "string")).otherwise("low").alias("confidence"),
+            _strings(o, "majors").alias("majors"),
+            F.when(ok, _get(o, "error", "string")).otherwise("提取结构异常").alias("error"),
         ),
+    ).drop("_o")
+
+
+def _department(d: Column) -> Column:
+    parts = [text(_get(d, n, "string")) for n in ("subjects", "level", "notes", "standard")]
+    parts += [_extra(d, n) for n in EXTRA_FIELDS]
+    facts = F.struct(d.alias("d"), F.concat_ws(" ", *parts).alias("context"))
+    return let(facts, lambda x: _shaped(x["d"], x["context"]))
+
+
+def _extra(d: Column, name: str) -> Column:
+    """An extra field counts when it is a text."""
+    return F.when(_is(_get(d, name, "variant"), "STRING"), _get(d, name, "string"))
+
+
+def _shaped(d: Column, context: Column) -> Column:
+    subjects, notes = _get(d, "subjects", "variant"), _get(d, "notes", "string")
+    start = (
+        F.when(_is(subjects, "OBJECT"), variant_subjects(subjects))
+        .when(_is(subjects, "STRING"), let(detect_standard(context), lambda std: _named_subjects(d, context, std)))
+        .otherwise(empty_subjects())
     )
+    return F.struct(
+        _get(d, "department", "string").alias("department"),
+        choice_standards(start, context).alias("subjects"),
+        F.when(_is(subjects, "STRING"), F.coalesce(blank_to_null(notes), _get(d, "level", "string"))).otherwise(notes).alias("notes"),
+        _strings(d, "majors").alias("majors"),
+    )
+
+
+def _named_subjects(d: Column, context: Column, std: Column) -> Column:
+    """Subjects named in the row text, then those of the extra fields, later ones winning."""
+    steps = [F.struct(choice_subjects(context, False).alias("keys"), _any_if(std, context).alias("std"))]
+    for name in EXTRA_FIELDS:
+        extra = _extra(d, name)
+        keys = F.when(extra.isNotNull(), choice_subjects(extra, False)).otherwise(_none())
+        value = _any_if(F.coalesce(detect_standard(extra), std), text(extra))
+        steps.append(F.struct(keys.alias("keys"), value.alias("std")))
+    return let(F.array(*steps), _last_named)
 
 
 def _any_if(std: Column, context: Column) -> Column:

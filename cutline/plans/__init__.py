@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every plan module."""
-    from . import evaluation, history, lookups, majorsets, opportunities, stores, texts, tables, streams  # noqa: F401
+    from . import evaluation, history, lookups, majorsets, opportunities, shapes, stores, texts, tables, streams  # noqa: F401

@@ -33,6 +33,25 @@ def test_context_choice_fills_general(spark):
     assert (got["chinese"]["standard"], got["english"]["standard"], got["social"]["standard"]) == ("任一均标", "任一均标", None)
 
 
+def test_kinds_decide_not_characters(spark):
+    depts = [
+        {"subjects": "{国文", "level": "均标"}, {"subjects": ["英文"], "notes": "x"}, "英文", None, 7,
+        {"subjects": {"english": "前标", "social": {"standard": "后标", "min_score": "12"}}, "notes": 5, "majors": ["甲", 1, None]},
+        {"subjects": None, "requirement": ["国文任一科均标"]},
+    ]
+    raw = {"found": "true", "year": "2026", "general_requirements": "国文", "other_conditions": ["a", {"b": 1}, None], "department_requirements": depts}
+    got = parse(spark, json.dumps(raw, ensure_ascii=False))
+    assert (got["found"], got["year"], got["other_conditions"], got["majors"]) == (True, 2026, ["a"], [])
+    assert all(got["general_requirements"][k]["standard"] is None for k in KEYS)
+    rows = [({k: tuple(v.values()) for k, v in d["subjects"].items() if v["standard"]}, d["notes"], d["majors"]) for d in got["department_requirements"]]
+    assert rows == [({"chinese": ("均标", None)}, "均标", []), ({}, "x", []), ({"social": ("后标", 12)}, "5", ["甲"]), ({}, None, [])]
+
+
+def test_a_list_is_no_record(spark):
+    got = parse(spark, "[1, 2]")
+    assert (got["found"], got["confidence"], got["error"], got["department_requirements"]) == (False, "low", "提取结构异常", [])
+
+
 def test_unreadable_output(spark):
     got = parse(spark, "sorry, nothing")
     assert got["found"] is False and got["confidence"] == "low"
