@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..operators import textrules
-from ..session import table
+from ..operators import refsets, textrules
+from ..session import spread_table, table
 from . import query
 
 # Subject words by event type and standards by the cents of the value; the table's values pick every word.
@@ -160,3 +160,49 @@ def record_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.size(depts) > 0, _written(first["subjects"])).alias("first_subjects"),
         first["notes"].alias("first_notes"),
     )
+
+
+_GROUPS_SQL = """
+with k as (
+  select distinct w as keyword, 'g' || length(w) as group_name
+  from (select unnest(regexp_split_to_array(text, '[^\\p{L}]+')) as w from benchmark) where length(w) >= 9
+), h as (
+  select doc_id, group_name, case when case when regexp_full_match(keyword, '[A-Za-z0-9+_.-]+')
+      then contains(lower(split_part(text, chr(10), 1)), lower(keyword)) else contains(split_part(text, chr(10), 1), keyword) end then 1 else 2 end as p
+  from documents join k on case when regexp_full_match(keyword, '[A-Za-z0-9+_.-]+') then contains(lower(text), lower(keyword)) else contains(text, keyword) end
+)
+"""
+
+
+def _document_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines stand for majors, whole texts for labels; words of the benchmark items are the keywords."""
+    docs = spread_table(spark, sf_dir, "documents")
+    first = docs.select("doc_id", F.substring_index("text", "\n", 1).alias("v"), F.lit(1).alias("precedence"))
+    whole = docs.select("doc_id", F.col("text").alias("v"), F.lit(2).alias("precedence"))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("keyword"))
+    long = words.filter(F.length("keyword") >= 9)
+    groups = long.select(F.concat(F.lit("g"), F.length("keyword").cast("string")).alias("group_name"), "keyword")
+    # No bound on the automaton: the way that a table of any size takes.
+    return refsets.group_hits(first.unionByName(whole), "doc_id", "v", "precedence", groups, max_aliases=0)
+
+
+@query("keyword_groups", _GROUPS_SQL + "select doc_id, group_name, cast(min(p) as integer) as precedence from h group by all")
+def keyword_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of a table of keywords that each document hits, in its first line or elsewhere."""
+    return _document_groups(spark, sf_dir)
+
+
+@query(
+    "keyword_targets",
+    _GROUPS_SQL
+    + """, b as (select doc_id, group_name, min(p) as p from h group by all)
+select d.doc_id, any_value(g.group_name) as target
+from documents d left join (select doc_id, group_name, row_number() over (partition by doc_id order by p, group_name) as n from b) g
+  on g.doc_id = d.doc_id and n = 1
+group by d.doc_id
+""",
+)
+def keyword_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of smallest precedence per document."""
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id")
+    return refsets.targets(docs, "doc_id", _document_groups(spark, sf_dir), "precedence")

@@ -87,6 +87,21 @@ def history_long(programs: DataFrame, column: str) -> DataFrame:
     )
 
 
+KEYWORD_GROUP = "struct<label:string,keywords:array<string>>"
+REFERENCE_SET = "name string, set_name string, precedence int"
+
+
+def read_keyword_groups(spark: SparkSession, path: str) -> DataFrame:
+    """Documents ``{"groups": {id: {"label": …, "keywords": […]}}}`` to (group_name, label, keyword) rows."""
+    rows = _keyed(spark, path, "groups", KEYWORD_GROUP)
+    return rows.select(F.col("key").alias("group_name"), "v.label", F.explode("v.keywords").alias("keyword"))
+
+
+def read_reference_sets(spark: SparkSession, path: str) -> DataFrame:
+    """(name, set_name, precedence) rows, one JSON object a line; rows without a name or a set go."""
+    return spark.read.schema(REFERENCE_SET).json(path).filter("name is not null and set_name is not null")
+
+
 def read_fragments(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """Partitioned fragment folders (year=…/school_code=…), with the file each row came from."""
     return spark.read.schema(schema).json(root).select("*", F.col("_metadata.file_path").alias("fragment"))
