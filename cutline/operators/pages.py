@@ -2,7 +2,8 @@
 
 Pages are parsed with regular expressions on the JVM, one page per cell. The subset:
 elements close explicitly (an unclosed region runs to the end of the page), regions are
-found by tag, class or id, and nested tables are read as one sequence of cells.
+found by tag, class or id, and the rows of distribution tables hold no tables. Detail pages are
+read as grids of cells, with spans and tables inside tables.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions import vocab as V
+from ..functions import grid, vocab as V
 from ..functions.expr import blank_to_null, c, contains_any, let, strip, text
 from ..functions.urls import host, image_candidates, resolve_url
 from ..functions.values import code_token
@@ -262,42 +263,35 @@ def _by_class(html: Column, name: str) -> Column:
     return F.coalesce(F.replace(lines_of(_element(html, _opening("." + name))), F.lit("\n"), F.lit(" ")), F.lit(""))
 
 
-def _first_index(cells: Column, test) -> Column:
-    """0-based index of the first cell that passes, null when none does."""
-    hits = F.filter(F.transform(cells, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
-    return F.get(hits, F.lit(0))
-
-
-def _cell_lines(cells: Column, index: Column) -> Column:
-    cell = F.get(cells, index)
-    return F.coalesce(F.filter(F.split(cell, "\n"), lambda x: x != ""), F.array().cast("array<string>"))
-
-
 def star_details(df: DataFrame, key: str, html: str) -> DataFrame:
-    """Programme page: names, code, subject/standard pairs and ordered tie-break items."""
+    """Programme page: names, code, subject/standard pairs and ordered tie-break items.
+
+    Cells are found by their place (see ``grid_cells``): the standards stand right of the subjects, the group right of
+    its label. A layout table around everything is not mistaken for the cell it holds.
+    """
     cells = F.col("_cells")
-    at = F.col("_at")
     step = (
-        df.withColumn("_cells", cells_of(html))
-        .withColumn("_at", _first_index(cells, lambda x: x.contains("國文") & x.contains("英文") & x.contains("數學")))
+        df.withColumn("_cells", grid.grid_cells(html))
+        .withColumn("_at", grid.first_cell(cells, lambda x: x.contains("國文") & x.contains("英文") & x.contains("數學")))
         .withColumn(
             "_tie",
-            _first_index(cells, lambda x: x.contains("1、") & x.contains("2、") & ~x.contains("分發比序") & x.contains("\n")),
+            grid.first_cell(cells, lambda x: x.contains("1、") & x.contains("2、") & ~x.contains("分發比序") & x.contains("\n")),
         )
-        .withColumn("_grp", _first_index(cells, lambda x: x.contains("學群類別")))
+        .withColumn("_std", grid.right_of(cells, F.col("_at")))
+        .withColumn("_grp", grid.right_of(cells, grid.first_cell(cells, lambda x: x.contains("學群類別"))))
     )
-    subjects, standards = _cell_lines(cells, at), _cell_lines(cells, at + 1)
+    subjects, standards = grid.lines(F.col("_at")), grid.lines(F.col("_std"))
     n = F.least(F.size(subjects), F.size(standards))
     ties = F.filter(
-        F.transform(_cell_lines(cells, F.col("_tie")), lambda x: strip(F.regexp_replace(x, "^[0-9]+、", ""))),
+        F.transform(grid.lines(F.col("_tie")), lambda x: strip(F.regexp_replace(x, "^[0-9]+、", ""))),
         lambda x: x != "",
     )
     return step.select(
         key,
-        F.coalesce(F.get(F.filter(cells, lambda x: x.rlike(r"^\d{5}$")), F.lit(0)), F.lit("")).alias("program_code"),
+        grid.one_line(grid.first_cell(cells, lambda x: x.rlike(r"^\d{5}$"))).alias("program_code"),
         _by_class(text(html), "colname").alias("school_name"),
         _by_class(text(html), "gsdname").alias("program_name"),
-        F.coalesce(F.replace(F.get(cells, F.col("_grp") + 1), F.lit("\n"), F.lit(" ")), F.lit("")).alias("group_name"),
+        grid.one_line(F.col("_grp")).alias("group_name"),
         F.arrays_zip(
             F.slice(subjects, F.lit(1), n).alias("subject"), F.slice(standards, F.lit(1), n).alias("standard")
         ).alias("requirements"),
@@ -306,39 +300,42 @@ def star_details(df: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def apply_details(df: DataFrame, key: str, html: str) -> DataFrame:
-    """Second-route page: stage-one triples (padded with nulls) and the tie-break cell."""
-    cells, at = F.col("_cells"), F.col("_at")
+    """Second-route page: stage-one triples (padded with nulls) and the last cell of the tie-break row."""
+    cells, tie = F.col("_cells"), F.col("_tie")
 
     def subject_cell(x: Column) -> Column:
-        lines = F.split(x, "\n")
+        named = F.split(x, "\n")
         return (
-            F.array_contains(lines, "國文")
-            & F.array_contains(lines, "英文")
-            & (F.size(lines) >= 3)
+            F.array_contains(named, "國文")
+            & F.array_contains(named, "英文")
+            & (F.size(named) >= 3)
             & ~x.contains("篩選")
             & ~x.contains("檢定")
         )
 
-    step = df.withColumn("_cells", cells_of(html)).withColumn("_at", _first_index(cells, subject_cell))
-    subjects = _cell_lines(cells, at)
+    step = (
+        df.withColumn("_cells", grid.grid_cells(html))
+        .withColumn("_at", grid.first_cell(cells, subject_cell))
+        .withColumn("_std", grid.right_of(cells, F.col("_at")))
+        .withColumn("_mul", grid.right_of(cells, F.col("_std")))
+        .withColumn("_tie", grid.first_cell(cells, lambda x: x.contains("同級分") & x.contains("超額篩選")))
+    )
     triple = F.transform(
-        subjects,
+        grid.lines(F.col("_at")),
         lambda s, i: F.struct(
             s.alias("subject"),
-            F.get(_cell_lines(cells, at + 1), i).alias("standard"),
-            F.get(_cell_lines(cells, at + 2), i).alias("multiplier"),
+            F.get(grid.lines(F.col("_std")), i).alias("standard"),
+            F.get(grid.lines(F.col("_mul")), i).alias("multiplier"),
         ),
     )
-    rows = F.regexp_extract_all(text(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), F.lit(1))
-    tie_row = F.get(F.filter(rows, lambda r: r.contains("同級分") & r.contains("超額篩選")), F.lit(0))
-    tie_cells = cells_of(tie_row)
+    row = F.filter(cells, lambda x: (x["grid"] == tie["grid"]) & (x["row"] == tie["row"]))
     return step.select(
         key,
-        F.coalesce(F.get(F.filter(cells, lambda x: x.rlike(r"^\d{6}$")), F.lit(0)), F.lit("")).alias("program_code"),
+        grid.one_line(grid.first_cell(cells, lambda x: x.rlike(r"^\d{6}$"))).alias("program_code"),
         _by_class(text(html), "colname").alias("school_name"),
         _by_class(text(html), "gsdname").alias("program_name"),
         triple.alias("stage1"),
-        F.coalesce(F.replace(F.get(tie_cells, F.size(tie_cells) - 1), F.lit("\n"), F.lit(" ")), F.lit("")).alias("tie_break"),
+        grid.one_line(let(row, lambda r: F.get(r, F.size(r) - 1))).alias("tie_break"),
     )
 
 

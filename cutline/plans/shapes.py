@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vocab as V
-from ..operators import refsets, textrules
+from ..functions import grid, vocab as V
+from ..operators import pages, refsets, textrules
 from ..session import spread_table, table
 from . import query
 
@@ -206,3 +206,63 @@ def keyword_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of smallest precedence per document."""
     docs = spread_table(spark, sf_dir, "documents").select("doc_id")
     return refsets.targets(docs, "doc_id", _document_groups(spark, sf_dir), "precedence")
+
+
+def programme_pages(parts: DataFrame) -> DataFrame:
+    """A programme page per part: a layout table around a table with spans, cells left open in a third of the pages."""
+
+    def joined(*pieces: Column | str) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
+
+    key, size = F.col("p_partkey"), F.col("p_size")
+    end = F.when(key % 3 == 0, "").otherwise("</td>")
+    rows = (size % 3 + 1).cast("string")
+    filler = F.repeat(F.lit("<tr><td>國文</td></tr>"), (size % 3).cast("int"))
+    words = F.split("p_name", " ")
+    standard = [_one_of((size + i) % 5, STANDARDS) for i in range(3)]
+    details = joined(
+        "<table><tr><td colspan=2>校系代碼", end, "<td>", F.lpad((key % 100000).cast("string"), 5, "0"), end, "</tr>",
+        "<tr><td rowspan=2>學群類別", end, "<td rowspan=2>", F.col("p_type"), " <b>", size.cast("string"), "</b>", end, "<td>x", end, "</tr><tr><td>y", end, "</tr>",
+        "<tr><td rowspan=", rows, ">國文<br>英文<br>數學A", end, "<td rowspan=", rows, ">", standard[0], "<br>", standard[1], "<br>", standard[2], end,
+        "<td>1、", F.get(words, F.lit(0)), "<br>2、<i>", F.get(words, F.lit(1)), "</i>", end, "</tr>", filler,
+        "<tr><td rowspan=2>年度", end, "<td colspan=2>名額", end, "</tr><tr><td>一般", end, "<td>外加", end, "</tr>",
+        "<tr><td>115", end, "<td><table><tr><td>甲<td>乙</table>", size.cast("string"), end, "<td>", F.col("p_brand"), end, "</tr></table>",
+    )
+    head = joined('<div class="colname">', F.col("p_brand"), '</div><p class="gsdname">', F.col("p_name"), "</p>")
+    return parts.select("p_partkey", joined(head, "<table><tr><td>選單", end, "<td>", details, end, "</tr></table>").alias("html"))
+
+
+@query(
+    "programme_details",
+    f"""
+with p as (select *, {_list_sql(STANDARDS)} as w from part)
+select p_partkey, lpad(cast(p_partkey % 100000 as varchar), 5, '0') as program_code, p_brand as school_name, p_name as program_name,
+  p_type || ' ' || p_size as group_name,
+  '國文=' || w[p_size % 5 + 1] || ' 英文=' || w[(p_size + 1) % 5 + 1] || ' 數學A=' || w[(p_size + 2) % 5 + 1] as requirements,
+  replace(p_name, ' ', '|') as ties
+from p
+""",
+)
+def programme_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programme pages read by the places of their cells."""
+    rows = pages.star_details(programme_pages(table(spark, sf_dir, "part")), "p_partkey", "html")
+    pairs = F.transform("requirements", lambda r: F.concat(r["subject"], F.lit("="), r["standard"]))
+    return rows.select(
+        "p_partkey", "program_code", "school_name", "program_name", "group_name",
+        F.array_join(pairs, " ").alias("requirements"), F.array_join("tie_break_items", "|").alias("ties"),
+    )
+
+
+@query(
+    "page_grids",
+    "select p_partkey, p_size as general, p_brand as extra, '115' as year, cast(20 + p_size % 3 as integer) as cells, 3 as tables from part",
+)
+def page_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values under their headings, over spans, beside a table inside a cell."""
+    read = programme_pages(table(spark, sf_dir, "part")).withColumn("c", grid.grid_cells("html"))
+    under = {n: grid.below(F.col("c"), grid.first_cell(F.col("c"), lambda x: x == w)) for n, w in (("general", "一般"), ("extra", "外加"), ("year", "年度"))}
+    tables = F.size(F.array_distinct(F.transform("c", lambda x: x["grid"])))
+    return read.select(
+        "p_partkey", under["general"]["text"].cast("int").alias("general"), under["extra"]["text"].alias("extra"), under["year"]["text"].alias("year"),
+        F.size("c").alias("cells"), tables.alias("tables"),
+    )
