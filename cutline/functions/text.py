@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,6 +154,59 @@ def _plausible(s: Column) -> Column:
     return clean & (language | (score >= 3) | applied)
 
 
+@dataclass(frozen=True)
+class NameRule:
+    """A rule of SF11: a pattern on the whole name or on its part before a parenthesis, and what a hit weighs."""
+
+    name: str
+    pattern: str
+    weight: int
+    base: bool = False
+
+
+REJECT = -100
+KEEP = 3
+
+
+def name_rules() -> list[NameRule]:
+    """SF11 as a table, in the order in which a rule gets to decide; the words are the domain's fixed values."""
+    return [
+        NameRule("length", r"(?s)^(?:.?|.{61,})$", REJECT),
+        NameRule("script", "(?s)^[^一-鿿]*[一-鿿]?[^一-鿿]*$", REJECT),
+        NameRule("fragment", f"(?s)^(?!.[学语]$)(?!(?:{alternation(V.TWO_CHAR_MAJORS)})$)..$", REJECT),
+        NameRule("address", "(?i)https?://|www\\.|@", REJECT),
+        NameRule("number", "[0-9]|元", REJECT),
+        NameRule("stop word", alternation(V.MAJOR_STOP_WORDS), REJECT),
+        NameRule("sentence", alternation(V.SENTENCE_MARKS), REJECT),
+        NameRule("subject", f"^(?:{alternation(V.SUBJECT_BASES)})$", REJECT, base=True),
+        NameRule("language", "(?s)^.{0,5}语$", KEEP, base=True),
+        NameRule("suffix", f"(?:{alternation(V.MAJOR_SUFFIXES)})$", KEEP, base=True),
+        NameRule("applied", f"(?s)(?:{alternation(V.APPLIED_WORDS)}).*应用$", KEEP, base=True),
+        NameRule("keyword", alternation(V.MAJOR_KEYWORDS), 1, base=True),
+        NameRule("bracket", r"(?s)\(.*\)|\).*\(", 1),
+    ]
+
+
+def major_verdict(name: Column | str, rules: Sequence[NameRule] | None = None, least: int = KEEP) -> Column:
+    """SF11 with its reason: struct of the normalised ``name``, ``kept``, ``score`` and ``rule``.
+
+    ``score`` sums the weights of all rules that hit, and a name is kept from ``least`` points on. ``rule`` is the first
+    one whose weight alone settles that, or ``weak`` when none does. Null counts as an empty name.
+    """
+    rules = name_rules() if rules is None else rules
+
+    def judged(x: Column) -> Column:
+        hits = [(x["base"] if r.base else x["name"]).rlike(r.pattern) for r in rules]
+        score = F.lit(0)
+        for r, hit in zip(rules, hits):
+            score = score + F.when(hit, r.weight).otherwise(0)
+        settled = [F.when(hit, F.lit(r.name)) for r, hit in zip(rules, hits) if r.weight <= REJECT or r.weight >= least]
+        return F.struct(x["name"].alias("name"), (score >= least).alias("kept"), score.alias("score"), F.coalesce(*settled, F.lit("weak")).alias("rule"))
+
+    parts = let(normalise_major(name), lambda s: F.struct(s.alias("name"), strip(F.substring_index(s, "(", 1)).alias("base")))
+    return let(parts, judged)
+
+
 def display_key(value: Column | str) -> Column:
     """SF10, display form."""
     s = F.translate(parens(no_space(strip(text(value)))), "·•", "")

@@ -60,7 +60,8 @@ def remove_noise(html: Column | str, tags: Sequence[str] = tuple(NOISE_TAGS)) ->
 def _element(html: Column, opening: str) -> Column:
     """Inside of the first element whose opening tag matches; null when there is none.
 
-    The closing tag is found by counting nested tags of the same name.
+    The closing tag is found by counting nested tags of the same name. Each piece begins where the last one ended
+    (``\\G``), so a long tail without such a tag is read once and not from each of its characters.
     """
     parts = F.struct(
         F.lower(F.regexp_extract(F.regexp_extract(html, opening, 0), r"<(\w+)", 1)).alias("name"),
@@ -82,7 +83,7 @@ def _element(html: Column, opening: str) -> Column:
 
     def inside(x: Column) -> Column:
         pieces = F.regexp_extract_all(
-            x["rest"], F.concat(F.lit("(?is)(.*?</?"), x["name"], F.lit(r"\b[^>]*>)")), F.lit(1)
+            x["rest"], F.concat(F.lit(r"(?is)\G(.*?</?"), x["name"], F.lit(r"\b[^>]*>)")), F.lit(1)
         )
         cut = let(
             F.aggregate(pieces, state, walk),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import grid, vocab as V
+from ..functions import grid, text as text_rules, vocab as V
 from ..operators import pages, refsets, textrules
 from ..session import spread_table, table
 from . import query
@@ -266,3 +266,61 @@ def page_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", under["general"]["text"].cast("int").alias("general"), under["extra"]["text"].alias("extra"), under["year"]["text"].alias("year"),
         F.size("c").alias("cells"), tables.alias("tables"),
     )
+
+
+# Parts of names by the words of ``p_name``, and endings by ``p_size``.
+HEADS = {"small": "130203", "blue": "应用", "new": "管理学院", "cold": "", "red": "某某", "large": "国际", "hot": "2", "old": "报名"}
+STEMS = {"ring": "法学", "bolt": "护理", "anvil": "葡萄牙语", "widget": "数据应用", "plate": "国文", "rod": "音乐", "gear": "AI", "gizmo": "计算机"}
+ENDINGS = ["", "（方向）", "5元"]
+
+
+def _case_sql(value: str, words: dict[str, str]) -> str:
+    return f"case {value} " + " ".join(f"when '{k}' then '{v}'" for k, v in words.items()) + " end"
+
+
+def _any(column: str, words) -> str:
+    return "(" + " or ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+def _ends(column: str, words) -> str:
+    return "(" + " or ".join(f"ends_with({column}, '{w}')" for w in words) + ")"
+
+
+def _in(column: str, words) -> str:
+    return f"{column} in (" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+@query(
+    "name_verdicts",
+    f"""
+with r as (
+  select p_partkey, {_case_sql("split_part(p_name, ' ', 1)", HEADS)} || {_case_sql("split_part(p_name, ' ', 2)", STEMS)}
+    || {_list_sql(ENDINGS)}[p_size % 3 + 1] as raw from part
+), u as (
+  select p_partkey, regexp_replace(replace(replace(raw, '（', '('), '）', ')'), '^[0-9]{{4,12}}', '') as s from r
+), n as (
+  select p_partkey, case when contains(s, '学院') and length(split_part(s, '学院', -1)) between 2 and 40 then split_part(s, '学院', -1) else s end as name from u
+), b as (
+  select *, split_part(name, '(', 1) as base, length(name) - length(regexp_replace(name, '[一-鿿]', '', 'g')) as han from n
+), t as (
+  select *, case
+      when length(name) < 2 or length(name) > 60 then 'length' when han < 2 then 'script'
+      when length(name) = 2 and not {_ends("name", ["学", "语"])} and not {_in("name", V.TWO_CHAR_MAJORS)} then 'fragment'
+      when regexp_matches(name, '[0-9]') or contains(name, '元') then 'number' when {_any("name", V.MAJOR_STOP_WORDS)} then 'stop word'
+      when {_any("name", V.SENTENCE_MARKS)} then 'sentence' when {_in("base", V.SUBJECT_BASES)} then 'subject'
+      when ends_with(base, '语') and length(base) <= 6 then 'language' when {_ends("base", V.MAJOR_SUFFIXES)} then 'suffix'
+      when ends_with(base, '应用') and {_any("base", V.APPLIED_WORDS)} then 'applied' else 'weak' end as rule
+  from b
+)
+select p_partkey, name, rule, rule in ('language', 'suffix', 'applied') as kept from t
+""",
+)
+def name_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SF10, SF11: names put together from the words of each part, with the rule that decides each."""
+
+    def mapped(index: int, words: dict[str, str]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), F.get(F.split("p_name", " "), F.lit(index)))
+
+    raw = F.concat(mapped(0, HEADS), mapped(1, STEMS), _one_of(F.col("p_size") % 3, ENDINGS))
+    v = table(spark, sf_dir, "part").select("p_partkey", text_rules.major_verdict(raw).alias("v"))
+    return v.select("p_partkey", "v.name", "v.rule", "v.kept")

@@ -131,3 +131,8 @@ def test_history_entries_and_best(spark):
     assert [v["num"] for v in rows[1]["round1"]] == [5.0, 12.0] and rows[1]["round2"] == [None, None]
     best = dedupe.keep_best(entries, ["program_code"], dedupe.history_order()).collect()
     assert [r["page"] for r in best] == [1]
+
+
+def test_a_long_tail_is_read_once(spark):
+    tail = "x < y " * 60_000
+    assert text_of(spark, f"<article>a<article>b</article></article>{tail}") == "a\nb"

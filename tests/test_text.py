@@ -167,3 +167,17 @@ def test_display_forms(value):
     assert value(lambda: standards.format_requirement_map(F.create_map(F.lit("x"), F.lit("y")))) == "无明确检定"
     row = lambda a, b: F.struct(F.lit(a).alias("subject"), F.lit(b).alias("standard"))
     assert value(lambda: standards.format_stage_list(F.array(row("國文", " 均標"), row("英文", "-")))) == "國文 均標"
+
+
+def test_the_rule_that_decides_a_name(spark):
+    names = [
+        "法学", "AI", "", None, "法", "护理", "音乐", "绘本", "www.法学.cn", "法学2", "五百元法学", "国文", "国文(一)", "葡萄牙语", "130203作曲与作曲技术理论",
+        "数据应用", "某某应用", "管理学院行政管理", "计算机科学与技术(方向)", "报名材料", "我们学习。好", "某某某", "计算机", "计算机(一)", "很长" * 40, "法学?", "x）法学（y",
+    ]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    rows = df.select("n", T.is_major("n").alias("want"), T.major_verdict("n").alias("v")).collect()
+    assert [(r["n"], r["v"]["kept"]) for r in rows] == [(r["n"], r["want"]) for r in rows]
+    rule = {r["n"]: r["v"]["rule"] for r in rows}
+    want = {"AI": "script", "": "length", "法": "length", "绘本": "fragment", "法学2": "number", "国文(一)": "subject", "葡萄牙语": "language", "数据应用": "applied", "某某某": "weak"}
+    assert {n: rule[n] for n in want} == want
+    assert {r["v"]["kept"] for r in rows} == {True, False}
