@@ -233,7 +233,7 @@ def _named_block(rows: DataFrame) -> DataFrame:
 
 
 def star_catalog_rows(df: DataFrame, key: str, html: str, group: str, year: int) -> DataFrame:
-    """X5, link form: codes of detail links with the nearest bold entry before them; the last link wins."""
+    """X5, link form: codes of detail links with the nearest bold entry before them, without names if there is none; the last link wins."""
     part = rf"(?is)(<(?:b|strong)\b[^>]*>.*?</(?:b|strong)\s*>|<a\b[^>]*>)"
     seq = df.select(key, group, F.posexplode(F.regexp_extract_all(text(html), F.lit(part), F.lit(1))).alias("pos", "_b"))
     links = seq.withColumn(
@@ -242,7 +242,9 @@ def star_catalog_rows(df: DataFrame, key: str, html: str, group: str, year: int)
     bold = _named_block(
         seq.filter(F.lower("_b").rlike(r"^<(?:b|strong)\b")).withColumn("_lines", F.split(lines_of(F.col("_b")), "\n"))
     ).select(key, "program_code", F.col("pos").alias("_bpos"), "school_name", "program_name")
-    joined = links.join(bold, [key, "program_code"], "left").filter(F.col("_bpos").isNull() | (F.col("_bpos") < F.col("pos")))
+    joined = links.join(bold, [key, "program_code"], "left")
+    for name in ("school_name", "program_name", "_bpos"):  # an entry after the link is none, the link stays
+        joined = joined.withColumn(name, F.when(F.col("_bpos") < F.col("pos"), F.col(name)))
     last = top_per_key(joined, [key, "program_code"], [F.col("pos").desc(), F.col("_bpos").desc()], 1)
     return last.select(
         key,

@@ -324,3 +324,46 @@ def name_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(mapped(0, HEADS), mapped(1, STEMS), _one_of(F.col("p_size") % 3, ENDINGS))
     v = table(spark, sf_dir, "part").select("p_partkey", text_rules.major_verdict(raw).alias("v"))
     return v.select("p_partkey", "v.name", "v.rule", "v.kept")
+
+
+@query(
+    "page_images",
+    f"""
+with i as (
+  select page_id, unnest([
+    regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/i/table' || page_id || '.png',
+    regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '[^/]*$', '') || 'img/' || page_id % 4 || '.WEBP',
+    'https://cdn.example.org/' || case when page_id % 3 = 0 then 'logo' else 'scan' end || '.jpg'
+  ]) as u, unnest([1, 2, 3]) as n from pages
+)
+select page_id, coalesce(string_agg(u, ' ' order by n) filter (not {_any("lower(u)", V.IMAGE_STOP_WORDS)}), '') as images from i group by page_id
+""",
+)
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image links put around every whole page: absolute, relative, repeated, of other kinds and unwanted."""
+    number = F.col("page_id").cast("string")
+    before = F.concat(F.lit('<img src="/i/table'), number, F.lit('.png"><IMG alt=x SRC=\'img/'), (F.col("page_id") % 4).cast("string"), F.lit(".WEBP'>"))
+    name = F.when(F.col("page_id") % 3 == 0, "logo").otherwise("scan")
+    after = F.concat(F.lit('<img src="x.gif"><img data-id=1><img src=https://cdn.example.org/'), name, F.lit('.jpg ><img src="/i/table'), number, F.lit('.png">'))
+    docs = spread_table(spark, sf_dir, "pages").select("page_id", "url", F.concat(before, F.coalesce("html", F.lit("")), after).alias("html"))
+    found = pages.image_links(docs, "url", "html", "images")
+    return found.select("page_id", F.array_join("images", " ").alias("images"))
+
+
+@query(
+    "dated_catalogue",
+    """
+select p_partkey, lpad(cast(p_partkey % 100000 as varchar), 5, '0') as program_code, substr(lpad(cast(p_partkey % 100000 as varchar), 5, '0'), 1, 3) as school_code,
+  case when p_partkey % 4 = 3 then '' else p_brand end as school_name, case when p_partkey % 4 = 3 then '' else p_name end as program_name, p_size % 8 + 1 as star_group
+from part
+""",
+)
+def dated_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X5, dated form: codes of this year's links with the bold entry before them; entries after the link do not count."""
+    code = F.lpad((F.col("p_partkey") % 100000).cast("string"), 5, "0")
+    entry = F.concat(F.lit("<b>"), "p_brand", F.lit("<br>"), "p_name", F.lit(" ("), code, F.lit(")</b>"))
+    link = F.concat(F.lit('<a href="./html/115_'), code, F.lit('.htm">x</a>'))
+    old = F.concat(F.lit("<a href='./html/114_99999.htm'>x</a><strong>y<br>z ("), code, F.lit(")</strong>"))
+    html = F.when(F.col("p_partkey") % 4 == 3, F.concat(old.substr(F.lit(1), F.lit(36)), link, entry)).otherwise(F.concat(old, entry, link, entry))
+    df = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 8 + 1).alias("star_group"), html.alias("html"))
+    return pages.star_catalog_rows(df, "p_partkey", "html", "star_group", 115)

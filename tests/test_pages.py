@@ -57,6 +57,9 @@ def test_catalogues(spark):
     assert rows == {"00101": ("甲大學", "文學系"), "00102": ("甲大學", "理學系")}
     star = {r["program_code"]: (r["school_code"], r["program_name"]) for r in pages.star_catalog_rows(df, "id", "html", "g", 115).collect()}
     assert star == {"00101": ("001", "文學系"), "00102": ("001", "理學系")}
+    late = '<a href="./html/115_00103.htm">看</a><b>甲大學<br>後來 (00103)</b>'
+    row = pages.star_catalog_rows(one(spark, late).withColumn("g", F.lit(1)), "id", "html", "g", 115).first()
+    assert (row["program_code"], row["school_name"], row["program_name"]) == ("00103", "", "")
 
 
 def test_programme_details(spark):
