@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid, text as text_rules, vocab as V
 from ..operators import pages, refsets, textrules
-from ..session import spread_table, table
+from ..session import dealt, spread_table, table
 from . import query
 
 # Subject words by event type and standards by the cents of the value; the table's values pick every word.
@@ -245,7 +245,7 @@ from p
 )
 def programme_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Programme pages read by the places of their cells."""
-    rows = pages.star_details(programme_pages(table(spark, sf_dir, "part")), "p_partkey", "html")
+    rows = pages.star_details(programme_pages(dealt(table(spark, sf_dir, "part"), "p_partkey")), "p_partkey", "html")
     pairs = F.transform("requirements", lambda r: F.concat(r["subject"], F.lit("="), r["standard"]))
     return rows.select(
         "p_partkey", "program_code", "school_name", "program_name", "group_name",
@@ -259,7 +259,7 @@ def programme_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values under their headings, over spans, beside a table inside a cell."""
-    read = programme_pages(table(spark, sf_dir, "part")).withColumn("c", grid.grid_cells("html"))
+    read = programme_pages(dealt(table(spark, sf_dir, "part"), "p_partkey")).withColumn("c", grid.grid_cells("html"))
     under = {n: grid.below(F.col("c"), grid.first_cell(F.col("c"), lambda x: x == w)) for n, w in (("general", "一般"), ("extra", "外加"), ("year", "年度"))}
     tables = F.size(F.array_distinct(F.transform("c", lambda x: x["grid"])))
     return read.select(

@@ -73,6 +73,18 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(int(wanted)) if wanted else df
 
 
+TASKS_PER_CORE = 4
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows whose work costs much CPU each, dealt by key over all cores before that work.
+
+    A table of one row group is one task however many rows it holds; the rows are shuffled while they are narrow.
+    The number is given, so that no step merges the parts again for being few bytes.
+    """
+    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def epoch_seconds(col: str):
     """Whole seconds since 1970 of a zone-less timestamp column, whatever the session time zone."""
     from pyspark.sql import functions as F

@@ -74,3 +74,23 @@ def test_details_inside_a_layout_table(spark):
     assert (row["program_code"], row["group_name"]) == ("00101", "第一類")
     assert [tuple(r) for r in row["requirements"]] == [("國文", "均標"), ("英文", "前標"), ("數學A", "--")]
     assert row["tie_break_items"] == ["百分比", "級分"]
+
+
+def test_plain_pages_read_as_by_the_full_parser(monkeypatch):
+    rng = np.random.default_rng(3)
+    pieces = ["<table>", "</table>", "<TR>", "</tr>", "<td>", "<td colspan=2>", "<TD RowSpan='2' nowrap>", '<td colspan="3" colspan=1 rowspan= 2>', "<th rowspan>", "</td >",
+              "</td x>", "<br/>", "<br>", "a\nb", " > ", "<", "&amp;", "<!-- <td> -->", "<script>", "</script>", "<title>", "x", "<b class=a-b>", "<td/>", "<td\ncolspan=2\n>", "<td colspan=2rowspan=2>"]
+    weights = np.array([0.3 if p in ("<", "&amp;", "<!-- <td> -->", "<script>", "</script>", "<title>", "</td x>", "<br/>", "<td/>") else 3 for p in pieces])
+    pages_ = ["".join(rng.choice(pieces, rng.integers(1, 25), p=weights / weights.sum())) for _ in range(4000)]
+    plain = [grid._plain_tags(p) is not None for p in pages_]
+    got = [grid._read(p) for p in pages_]
+    monkeypatch.setattr(grid, "_plain_tags", lambda html: None)
+    assert got == [grid._read(p) for p in pages_]
+    assert 500 < sum(plain) < 3800
+
+
+def test_programme_pages_of_one_row_group_are_read_by_many_tasks(spark, sf):
+    from cutline.plans import shapes
+
+    for query in (shapes.programme_details, shapes.page_grids):
+        assert query(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
