@@ -133,13 +133,15 @@ from part, (values (112), (113)) y(y) where p_partkey % 2 = 0 or y.y = 113
 def program_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histories nested to one document per programme, stored, read and unnested again."""
     part = table(spark, sf_dir, "part").withColumn("program_code", F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
-    base = part.select("program_code", F.concat(F.lit("A"), F.col("p_partkey").cast("string")).alias("apply_code"))
     years = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit(112), F.lit(113))).otherwise(F.array(F.lit(113)))
-    star = part.select("program_code", F.col("p_type").alias("kind"), "p_size", F.explode(years).alias("year"))
-    star = star.select("program_code", "year", (F.col("p_size") + F.col("year")).alias("page"), "kind")
+    # Codes have six digits, so from a million parts on programmes share theirs: the second code tells them apart.
+    apply_code = F.concat(F.lit("A"), F.col("p_partkey").cast("string")).alias("apply_code")
+    base = part.select("program_code", apply_code)
+    star = part.select("program_code", apply_code, F.col("p_type").alias("kind"), "p_size", F.explode(years).alias("year"))
+    star = star.select("program_code", "apply_code", "year", (F.col("p_size") + F.col("year")).alias("page"), "kind")
     taken = base.select("apply_code", F.lit(113).alias("year"), F.lit("q").alias("quota_type"))
     documents = writers.program_documents(base, star, taken)
-    pair = F.concat(F.lit('"'), "program_code", F.lit('":'), "document")
+    pair = F.concat(F.lit('"'), F.get_json_object("document", "$.apply_code"), F.lit('":'), "document")
     whole = F.concat(F.lit('{"programs":{'), F.array_join(F.collect_list(pair), ","), F.lit("}}"))
     store = readers.read_programs(spark, _write_shards(_sharded(documents, "program_code", part), whole, _folder(spark, "programs")))
     return readers.history_long(store, "star_history").select("program_code", "apply_code", "year", "page", "kind")

@@ -83,16 +83,21 @@ def write_names(df: DataFrame, name: str, path: str) -> None:
 def program_documents(
     programs: DataFrame, star_history: DataFrame, apply_history: DataFrame, sieve_history: DataFrame | None = None
 ) -> DataFrame:
-    """K8: one JSON document per programme, histories re-nested by year (a few years per programme)."""
+    """K8: one JSON document per programme, histories re-nested by year (a few years per programme).
 
-    def nested(history: DataFrame, key: str, name: str) -> DataFrame:
-        cols = [x for x in history.columns if x not in (key, "year")]
+    A history belongs to its code; one that names both codes belongs to the programme with both, so that programmes may
+    share one of them.
+    """
+
+    def nested(out: DataFrame, history: DataFrame, name: str) -> DataFrame:
+        keys = [x for x in ("program_code", "apply_code") if x in history.columns]
+        cols = [x for x in history.columns if x not in (*keys, "year")]
         entry = F.struct(F.col("year").cast("string"), F.struct(*cols))
-        return history.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias(name))
+        return out.join(history.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias(name)), keys, "left")
 
-    out = programs.join(nested(star_history, "program_code", "star_history"), "program_code", "left")
-    out = out.join(nested(apply_history, "apply_code", "apply_history"), "apply_code", "left")
+    out = nested(programs, star_history, "star_history")
+    out = nested(out, apply_history, "apply_history")
     if sieve_history is not None:
-        out = out.join(nested(sieve_history, "apply_code", "apply_sieve_history"), "apply_code", "left")
+        out = nested(out, sieve_history, "apply_sieve_history")
     return out.select("program_code", F.to_json(F.struct(*[F.col(x) for x in out.columns])).alias("document"))
 
