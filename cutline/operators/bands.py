@@ -144,17 +144,19 @@ def cell_parse(raw: Column | str) -> Column:
     return F.when(keep, F.struct(r.alias("raw"), expr.alias("expr"), score.alias("min_score")))
 
 
-def sieve_rows(words: DataFrame, columns: DataFrame, keys: Sequence[str] = ("doc", "page"), row_tol: float = 14.0) -> DataFrame:
+def sieve_rows(words: DataFrame, columns: DataFrame, keys: Sequence[str] = ("doc", "page"), row_tol: float = 14.0, every_anchor: bool = False) -> DataFrame:
     """Per programme code the ordered screening minima and the oversubscribe flag.
 
-    ``columns`` has one row per page key with ``bounds``: eight ascending positions.
+    ``columns`` has one row per page key with ``bounds``: eight ascending positions. Of a code that stands on a page
+    several times the top-most place counts (W4), with ``every_anchor`` the words near each of its places.
     """
     keys = list(keys)
     boxes = box_edges(words).join(columns, keys)
     codes = boxes.filter(
         strip("text").rlike(r"^\d{6}$") & (F.col("x0") < F.get("bounds", F.lit(0)))
     ).withColumn("apply_code", strip("text"))
-    anchors = dedupe_anchors(codes, keys, "apply_code").select(*keys, "apply_code", F.col("yc").alias("anchor_y"))
+    anchors = codes if every_anchor else dedupe_anchors(codes, keys, "apply_code")
+    anchors = anchors.select(*keys, "apply_code", F.col("yc").alias("anchor_y"))
     cells = boxes.withColumn("col", column_index(F.col("xc"), F.col("bounds"))).select(
         *keys, "col", "x0", "y0", F.col("yc").alias("word_y"), "text"
     )

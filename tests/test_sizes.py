@@ -16,3 +16,8 @@ def check(name, table, select, spark, sf, path):
 
 def test_programmes_that_share_a_code_keep_their_histories(spark, sf, tmp_path):
     check("program_store", "part", "p_partkey % 100 + case when p_partkey < 100 then 100000 else 1000000 end as p_partkey", spark, sf, tmp_path)
+
+
+def test_codes_of_several_places_read_the_words_of_each(spark, sf, tmp_path):
+    ids = "event_id % 100 + case when event_id < 500 then 100000 else 1000000 + event_id // 100 * 100 end as event_id, event_id % 4 as user_id"
+    check("sieve_boxes", "events", ids, spark, sf, tmp_path)
