@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.expr import c
 from ..functions.text import keyword_hit
 from ..functions.urls import dot_suffixes
+from ..session import cut_lineage
 
 # Bounds under which the alias table travels to every task as one automaton.
 MAX_BROADCAST_ALIASES = 50_000
@@ -28,13 +29,21 @@ def contains_join(
     alias_col: str,
     max_aliases: int = MAX_BROADCAST_ALIASES,
     max_chars: int = MAX_BROADCAST_CHARS,
+    shown: str | None = None,
+    test: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """Distinct (text id, alias id) pairs where the alias occurs in the text.
 
     Text ids must be unique, or rows that share one count as one text in parts.
     Up to the bounds the aliases become one automaton and every text is read once;
-    beyond them the join runs on grams and nothing is collected. Both are exact.
+    beyond them the join runs on grams and no alias is collected. Both are exact.
+
+    ``shown`` is another form of the text, character for character. Of it ``test`` sees the place where the alias
+    occurs (for long aliases the whole) beside the alias id, and pairs stay that pass at one place at least.
     """
+    if shown is None:
+        texts, shown, test = texts.withColumn("_shown", F.col(text_col)), "_shown", lambda place, alias: F.lit(True)
+    texts = texts.select(text_id, text_col, shown)
     clean = aliases.select(alias_id, alias_col).filter(F.length(alias_col) > 0).distinct()
     stats = clean.agg(
         F.count(F.lit(1)).alias("n"),
@@ -43,23 +52,24 @@ def contains_join(
         F.coalesce(F.max(F.length(alias_col)), F.lit(0)).alias("longest"),
     ).first()
     if stats["n"] <= max_aliases and stats["chars"] <= max_chars:
-        return _automaton_join(texts, text_id, text_col, clean, alias_id, alias_col)
-    return _gram_join(texts, text_id, text_col, clean, alias_id, alias_col, stats["shortest"], stats["longest"])
+        found = _automaton_join(texts, text_id, text_col, shown, clean, alias_id, alias_col)
+        return found.filter(test(F.col("_place"), F.col(alias_id))).select(text_id, alias_id).distinct()
+    return _gram_join(texts, text_id, text_col, shown, test, clean, alias_id, alias_col, stats["shortest"], stats["longest"])
 
 
-def _automaton_join(texts, text_id, text_col, aliases, alias_id, alias_col) -> DataFrame:
+def _automaton_join(texts, text_id, text_col, shown, aliases, alias_id, alias_col) -> DataFrame:
     import ahocorasick
 
     rows = aliases.collect()  # size checked by the caller
     words: dict[str, list] = {}
     for row in rows:
-        words.setdefault(row[alias_col], []).append(row[alias_id])
+        words.setdefault(row[alias_col], (len(row[alias_col]), []))[1].append(row[alias_id])
     shared = texts.sparkSession.sparkContext.broadcast(words)
-    schema = f"{text_id} {texts.schema[text_id].dataType.simpleString()}, {alias_id} {aliases.schema[alias_id].dataType.simpleString()}"
+    schema = f"{text_id} {texts.schema[text_id].dataType.simpleString()}, {alias_id} {aliases.schema[alias_id].dataType.simpleString()}, _place string"
     if not words:
         return texts.sparkSession.createDataFrame([], schema)
 
-    types = [to_arrow_type(texts.schema[text_id].dataType), to_arrow_type(aliases.schema[alias_id].dataType)]
+    alias_type = to_arrow_type(aliases.schema[alias_id].dataType)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = ahocorasick.Automaton()
@@ -67,16 +77,17 @@ def _automaton_join(texts, text_id, text_col, aliases, alias_id, alias_col) -> D
             machine.add_word(word, ids)
         machine.make_automaton()
         for batch in batches:
-            keys, hits = [], []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows, hits, places = [], [], []
+            for row, (value, whole) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 if value:
-                    ids = {i for _, group in machine.iter(value) for i in group}
-                    keys.extend([key] * len(ids))
-                    hits.extend(ids)
-            columns = [pa.array(keys, types[0]), pa.array(hits, types[1])]
-            yield pa.RecordBatch.from_arrays(columns, names=[text_id, alias_id])
+                    found = {(i, whole[end + 1 - n : end + 1]) for end, (n, group) in machine.iter(value) for i in group}
+                    rows.extend([row] * len(found))
+                    hits.extend(i for i, _ in found)
+                    places.extend(place for _, place in found)
+            columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(hits, alias_type), pa.array(places, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[text_id, alias_id, "_place"])
 
-    return texts.select(text_id, text_col).mapInArrow(scan, schema).distinct()
+    return texts.mapInArrow(scan, schema)
 
 
 # Aliases of at least this many characters are found by window minima of their grams,
@@ -84,11 +95,81 @@ def _automaton_join(texts, text_id, text_col, aliases, alias_id, alias_col) -> D
 LONG_ALIAS, LONG_GRAM = 64, 16
 
 
-def _gram_keys(df: DataFrame, key: str, value: str, q: int) -> DataFrame:
-    """(key, gram hash) for all overlapping grams of ``q`` characters, read in one JVM pass."""
-    grams = F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1))
-    hashes = F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
-    return df.select(key, F.explode(hashes).alias("gram"))
+# Slots of the filters of gram hashes: a fixed size, whatever the number of aliases.
+FILTER_BITS = 1 << 23
+
+
+def _gram_hashes(value: str, q: int) -> np.ndarray:
+    """Hashes of all overlapping grams of ``q`` characters."""
+    codes = np.frombuffer(value.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    n = max(len(codes) - q + 1, 0)
+    h = np.zeros(n, dtype=np.uint64)
+    for j in range(q if n else 0):
+        h = h * np.uint64(1099511628211) + codes[j : n + j]
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    return h
+
+
+def _alias_grams(aliases: DataFrame, value: str, q: int) -> DataFrame:
+    """(alias row, gram hash, place of the gram) for all grams of the aliases."""
+    grams = F.pandas_udf(lambda s: s.map(lambda v: _gram_hashes(v, q).view(np.int64)), "array<bigint>")
+    return aliases.select("*", F.posexplode(grams(value)).alias("at", "gram"))
+
+
+def _filter_of(grams: DataFrame):
+    """The gram hashes folded into bits of a fixed size, for the tasks that read the texts; an exact join follows."""
+    slot = F.col("gram").bitwiseAND(FILTER_BITS - 1)
+    bit = F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int"))
+    rows = grams.groupBy(F.shiftright(slot, 3).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
+    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    bits[rows["w"].to_numpy(dtype=np.int64)] = rows["b"].to_numpy(dtype=np.uint8)
+    return grams.sparkSession.sparkContext.broadcast(bits)
+
+
+def _wanted(value: str, q: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the grams of a text that the filter lets through."""
+    h = _gram_hashes(value, q)
+    slot = h & np.uint64(FILTER_BITS - 1)
+    places = np.flatnonzero((bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
+    return places, h[places].view(np.int64)
+
+
+def _gram_counts(texts: DataFrame, value: str, q: int, shared) -> DataFrame:
+    """(gram hash, number of places) of the wanted grams."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_wanted(v or "", q, shared.value)[1] for v in batch.column(0).to_pylist()]
+            grams, counts = np.unique(np.concatenate(found) if found else np.empty(0, dtype=np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(counts, pa.int64())], names=["gram", "n"])
+
+    return texts.select(value).mapInArrow(scan, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("_df"))
+
+
+def _gram_places(texts: DataFrame, text_id: str, q: int, longest: int, shared) -> DataFrame:
+    """Wanted grams of each text with what stands around them, as far as an alias can reach, in both forms of the text."""
+    reach = longest - q
+    schema = f"{text_id} {texts.schema[text_id].dataType.simpleString()}, gram bigint, at_text int, around string, around_shown string"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for row, (value, whole) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                places, grams = _wanted(value or "", q, shared.value)
+                spans = ((g, i, max(i - reach, 0), i + longest) for i, g in zip(places.tolist(), grams.tolist()))
+                here = {(g, i - lo, value[lo:hi], whole[lo:hi]) for g, i, lo, hi in spans}
+                rows.extend([row] * len(here))
+                found.extend(here)
+            grams, at, around, other = zip(*found) if found else ((), (), (), ())
+            columns = [
+                batch.column(0).take(pa.array(rows, pa.int64())), pa.array(grams, pa.int64()), pa.array(at, pa.int32()),
+                pa.array(around, pa.string()), pa.array(other, pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[text_id, "gram", "at_text", "around", "around_shown"])
+
+    return texts.mapInArrow(scan, schema)
 
 
 def _window_keys(df: DataFrame, key: str, value: str, q: int, span: int) -> DataFrame:
@@ -100,16 +181,9 @@ def _window_keys(df: DataFrame, key: str, value: str, q: int, span: int) -> Data
     schema = f"{key} {df.schema[key].dataType.simpleString()}, gram bigint"
 
     def minima(text: str) -> np.ndarray:
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-        n = len(codes) - q + 1
-        if n < span - q + 1:
+        h = _gram_hashes(text, q)
+        if len(h) < span - q + 1:
             return np.empty(0, dtype=np.int64)
-        h = np.zeros(n, dtype=np.uint64)
-        for j in range(q):
-            h = h * np.uint64(1099511628211) + codes[j : n + j]
-        h ^= h >> np.uint64(33)
-        h *= np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(33)
         windows = np.lib.stride_tricks.sliding_window_view(h, span - q + 1)
         return np.unique(windows.min(axis=1)).view(np.int64)
 
@@ -124,41 +198,50 @@ def _window_keys(df: DataFrame, key: str, value: str, q: int, span: int) -> Data
     return df.select(key, value).mapInArrow(scan, schema)
 
 
-def _gram_join(texts, text_id, text_col, aliases, alias_id, alias_col, shortest: int, longest: int) -> DataFrame:
-    """Each alias is looked up by its rarest key in the texts, then tested on the text itself."""
+def _gram_join(texts, text_id, text_col, shown, test, aliases, alias_id, alias_col, shortest: int, longest: int) -> DataFrame:
+    """Each alias is looked up by its rarest gram in the texts, then tested on what stands around that gram.
+
+    Texts are read where they lie: only grams that aliases hold leave a task, with the few characters around them.
+    """
     edges = sorted({shortest, *[e for e in (8, 24, LONG_ALIAS) if shortest < e <= longest]}) + [longest + 1]
     out = None
     for q, upper in zip(edges, edges[1:]):
         part = aliases.filter(F.length(alias_col).between(q, upper - 1))
-        numbered = part.select(alias_id, alias_col, F.xxhash64(alias_id, alias_col).alias("_alias"))
-
-        def keys(df: DataFrame, key: str, value: str) -> DataFrame:
-            if q >= LONG_ALIAS:
-                return _window_keys(df, key, value, LONG_GRAM, q)
-            return _gram_keys(df, key, value, q)
-
-        alias_keys = keys(numbered, "_alias", alias_col)
-        text_keys = keys(texts, text_id, text_col)
-        freq = (
-            text_keys.join(alias_keys.select("gram").distinct(), "gram", "left_semi")
-            .groupBy("gram")
-            .agg(F.count(F.lit(1)).alias("_df"))
-        )
-        # An alias with a key no text holds cannot occur: its rarest count is 0.
-        anchors = (
-            alias_keys.join(freq, "gram", "left")
-            .groupBy("_alias")
-            .agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "gram")).alias("_a"))
-            .filter("_a.df > 0")
-            .select("_alias", F.col("_a.gram").alias("gram"))
-        )
-        pairs = text_keys.join(anchors, "gram").join(numbered, "_alias").select(text_id, alias_id, alias_col)
-        hits = pairs.join(texts.select(text_id, text_col), text_id).filter(F.col(text_col).contains(F.col(alias_col)))
-        hits = hits.select(text_id, alias_id)
+        if q >= LONG_ALIAS:
+            hits = _long_hits(texts, text_id, text_col, shown, test, part, alias_id, alias_col, q)
+        else:
+            grams = _alias_grams(part, alias_col, q)
+            freq = _gram_counts(texts, text_col, q, _filter_of(grams))
+            # An alias with a gram no text holds cannot occur.
+            rarest = F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "gram", "at")).alias("_a")
+            anchors = grams.join(freq, "gram", "left").groupBy(alias_id, alias_col).agg(rarest).filter("_a.df > 0")
+            anchors = cut_lineage(anchors.select(alias_id, alias_col, "_a.gram", "_a.at"))
+            places = _gram_places(texts, text_id, q, upper - 1, _filter_of(anchors))
+            start, length = F.col("at_text") - F.col("at"), F.length(alias_col)
+            met = places.join(anchors, "gram").filter((start >= 0) & (F.substr("around", start + 1, length) == F.col(alias_col)))
+            hits = met.filter(test(F.substr("around_shown", start + 1, length), F.col(alias_id))).select(text_id, alias_id)
         out = hits if out is None else out.unionByName(hits)
     return out.distinct()
 
 
+def _long_hits(texts, text_id, text_col, shown, test, aliases, alias_id, alias_col, q: int) -> DataFrame:
+    numbered = aliases.select(alias_id, alias_col, F.xxhash64(alias_id, alias_col).alias("_alias"))
+    alias_keys = _window_keys(numbered, "_alias", alias_col, LONG_GRAM, q)
+    text_keys = _window_keys(texts, text_id, text_col, LONG_GRAM, q)
+    freq = text_keys.join(alias_keys.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
+    # An alias with a key no text holds cannot occur: its rarest count is 0.
+    anchors = (
+        alias_keys.join(freq, "gram", "left")
+        .groupBy("_alias")
+        .agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "gram")).alias("_a"))
+        .filter("_a.df > 0")
+        .select("_alias", F.col("_a.gram").alias("gram"))
+    )
+    pairs = text_keys.join(anchors, "gram").join(numbered, "_alias").select(text_id, alias_id, alias_col)
+    hits = pairs.join(texts, text_id).filter(F.col(text_col).contains(F.col(alias_col)))
+    return hits.filter(test(F.col(shown), F.col(alias_id))).select(text_id, alias_id)
+
+
 def names_in_texts(texts: DataFrame, text_id: str, text_col: str, names: DataFrame, name: str, aliases: Column, **kw) -> DataFrame:
     """J8 over institution names: a name matches when any of its aliases does."""
     exploded = names.select(name, F.explode(aliases).alias("_alias"))

@@ -42,24 +42,17 @@ def group_hits(
     """(key, group_name, precedence) for the groups of which a keyword occurs in a value of the key.
 
     ``values`` has any number of rows per key, such as its majors (precedence 1) and its labels (2); a group found in
-    several takes the smallest precedence, a null one only if there is no other. Each different value is searched once,
-    so one that very many keys share weighs one text. Keywords beyond the bounds are found by their rarest gram and then
-    tested on the text (see ``contains_join``). Null values, blank keywords and empty tables give no rows.
+    several takes the smallest precedence, a null one only if there is no other. Values are searched where they lie and
+    are not shuffled. Keywords beyond the bounds are found by their rarest gram and then tested on the place where they
+    stand (see ``contains_join``). Null values, blank keywords and empty tables give no rows.
     """
     words = keyword_table(groups)
-    held = values.select(F.col(key).alias("_key"), F.col(value).alias("_value"), F.col(precedence).alias("_p"))
-    held = held.filter("_value <> ''").withColumn("_id", F.sha2("_value", 256))
-    texts = held.groupBy("_id").agg(F.any_value("_value").alias("_value"))
+    held = values.select(F.struct(F.col(key).alias("k"), F.col(precedence).alias("p")).alias("_id"), F.col(value).alias("_value"))
+    held = held.filter("_value <> ''").select("_id", "_value", _folded(F.col("_value")).alias("_text"))
     aliases = words.select("keyword", _folded(F.col("keyword")).alias("_word")).distinct()
-    found = contains_join(texts.withColumn("_text", _folded(F.col("_value"))), "_id", "_text", aliases, "keyword", "_word", max_aliases, max_chars)
-    sure = found.join(texts, "_id").filter(keyword_in(F.col("_value"), F.col("keyword"))).select("_id", "keyword")
-    of_value = sure.join(words, "keyword").select("_id", "group_name").distinct()
-    return (
-        held.select("_key", "_id", "_p")
-        .join(of_value, "_id")
-        .groupBy(F.col("_key").alias(key), "group_name")
-        .agg(F.min("_p").alias(precedence))
-    )
+    found = contains_join(held, "_id", "_text", aliases, "keyword", "_word", max_aliases, max_chars, "_value", keyword_in)
+    of_key = found.join(words, "keyword").groupBy(F.col("_id.k").alias(key), "group_name")
+    return of_key.agg(F.min("_id.p").alias(precedence))
 
 
 def targets(df: DataFrame, key: str, hits: DataFrame, precedence: str, selected: list[str] | None = None, out: str = "target") -> DataFrame:

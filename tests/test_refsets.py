@@ -63,3 +63,20 @@ def test_readers(spark, tmp_path):
     df = spark.createDataFrame([("甲大学", ""), ("乙大学", "双一流")], "n string, t string")
     got = {r["n"]: r["local_tier"] for r in lookup.local_tier(df, sets, "n", "t").collect()}
     assert got == {"甲大学": "985", "乙大学": "双一流"}
+
+
+def _shuffled(spark):
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    stages = spark._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_searched_values_are_not_shuffled(spark):
+    rng = random.Random(1)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnop ", k=5000)) + ("Informatics" if i % 3 == 0 else ""), 1) for i in range(200)]
+    values = spark.createDataFrame(rows, "id long, v string, p int")
+    groups = spark.createDataFrame([("it", "informatics"), ("it", "computers"), ("art", "sculpture")], "group_name string, keyword string")
+    before = _shuffled(spark)
+    got = refsets.group_hits(values, "id", "v", "p", groups, max_aliases=0).collect()
+    assert sorted(r["id"] for r in got) == list(range(0, 200, 3))
+    assert sum(size for stage, size in _shuffled(spark).items() if stage not in before) < 100_000
