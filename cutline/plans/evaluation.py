@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import standards, vocab as V
 from ..functions.expr import array_of
 from ..operators import evaluate, filters, packed, stats
-from ..session import spread_table, table
+from ..session import dealt, table
 from . import query
 
 KEYS = V.SUBJECT_KEYS
@@ -25,7 +25,7 @@ def word(rank: Column) -> Column:
 
 def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirement rows out of ``part``: E1 inheritance, any-of prefixes and some score requirements."""
-    part = spread_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    part = dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     key = F.col("p_partkey")
     row_std, row_score, gen_std = {}, {}, {}
     for i, (k, m) in enumerate(zip(KEYS, FACTORS), start=1):

@@ -21,3 +21,10 @@ def test_programmes_that_share_a_code_keep_their_histories(spark, sf, tmp_path):
 def test_codes_of_several_places_read_the_words_of_each(spark, sf, tmp_path):
     ids = "event_id % 100 + case when event_id < 500 then 100000 else 1000000 + event_id // 100 * 100 end as event_id, event_id % 4 as user_id"
     check("sieve_boxes", "events", ids, spark, sf, tmp_path)
+
+
+def test_costly_rows_of_one_row_group_are_dealt_over_all_cores(spark, sf):
+    from cutline.plans import evaluation
+
+    cores = spark.sparkContext.defaultParallelism
+    assert evaluation.part_rows(spark, sf).rdd.getNumPartitions() >= cores
