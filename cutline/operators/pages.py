@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -221,10 +221,12 @@ def catalog_rows(df: DataFrame, key: str, html: str, group: str) -> DataFrame:
 
 
 def _named_block(rows: DataFrame) -> DataFrame:
+    return _names(rows).filter("program_code is not null")
+
+
+def _names(rows: DataFrame) -> DataFrame:
     whole = F.array_join("_lines", "\n")
-    rows = rows.withColumn("program_code", blank_to_null(F.regexp_extract(whole, r"\(([0-9]{5})\)", 1))).filter(
-        "program_code is not null"
-    )
+    rows = rows.withColumn("program_code", blank_to_null(F.regexp_extract(whole, r"\(([0-9]{5})\)", 1)))
     mark = F.concat(F.lit("("), F.col("program_code"), F.lit(")"))
     line = F.coalesce(F.get(F.filter("_lines", lambda x: x.contains(mark)), F.lit(0)), F.element_at("_lines", -1))
     return rows.withColumn("school_name", F.get("_lines", F.lit(0))).withColumn(
@@ -236,16 +238,18 @@ def star_catalog_rows(df: DataFrame, key: str, html: str, group: str, year: int)
     """X5, link form: codes of detail links with the nearest bold entry before them, without names if there is none; the last link wins."""
     part = rf"(?is)(<(?:b|strong)\b[^>]*>.*?</(?:b|strong)\s*>|<a\b[^>]*>)"
     seq = df.select(key, group, F.posexplode(F.regexp_extract_all(text(html), F.lit(part), F.lit(1))).alias("pos", "_b"))
-    links = seq.withColumn(
-        "program_code", blank_to_null(F.regexp_extract("_b", rf"/html/{int(year)}_(\d{{5}})\.htm", 1))
-    ).filter("program_code is not null")
-    bold = _named_block(
-        seq.filter(F.lower("_b").rlike(r"^<(?:b|strong)\b")).withColumn("_lines", F.split(lines_of(F.col("_b")), "\n"))
-    ).select(key, "program_code", F.col("pos").alias("_bpos"), "school_name", "program_name")
-    joined = links.join(bold, [key, "program_code"], "left")
-    for name in ("school_name", "program_name", "_bpos"):  # an entry after the link is none, the link stays
-        joined = joined.withColumn(name, F.when(F.col("_bpos") < F.col("pos"), F.col(name)))
-    last = top_per_key(joined, [key, "program_code"], [F.col("pos").desc(), F.col("_bpos").desc()], 1)
+    bold = F.lower("_b").rlike(r"^<(?:b|strong)\b")
+    named = _names(seq.withColumn("_lines", F.when(bold, F.split(lines_of(F.col("_b")), "\n"))))
+    link = blank_to_null(F.regexp_extract("_b", rf"/html/{int(year)}_(\d{{5}})\.htm", 1))
+    names = F.struct("school_name", "program_name")
+    marks = F.array_compact(F.array(  # a bold entry may hold a link, so a block gives up to two rows
+        F.when(link.isNotNull(), F.struct(link.alias("program_code"), F.lit(True).alias("_link"), F.when(F.lit(False), names).alias("_entry"))),
+        F.when(F.col("program_code").isNotNull(), F.struct("program_code", F.lit(False).alias("_link"), names.alias("_entry"))),
+    ))
+    rows = named.select(key, group, "pos", F.explode(marks).alias("_m")).select(key, group, "pos", "_m.*")
+    before = Window.partitionBy(key, "program_code").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
+    links = rows.withColumn("_entry", F.last("_entry", ignorenulls=True).over(before)).filter("_link")
+    last = top_per_key(links.select(key, group, "pos", "program_code", "_entry.*"), [key, "program_code"], [F.col("pos").desc()], 1)
     return last.select(
         key,
         "program_code",

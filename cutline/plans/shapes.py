@@ -365,5 +365,6 @@ def dated_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = F.concat(F.lit('<a href="./html/115_'), code, F.lit('.htm">x</a>'))
     old = F.concat(F.lit("<a href='./html/114_99999.htm'>x</a><strong>y<br>z ("), code, F.lit(")</strong>"))
     html = F.when(F.col("p_partkey") % 4 == 3, F.concat(old.substr(F.lit(1), F.lit(36)), link, entry)).otherwise(F.concat(old, entry, link, entry))
-    df = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 8 + 1).alias("star_group"), html.alias("html"))
+    part = dealt(table(spark, sf_dir, "part"), "p_partkey")
+    df = part.select("p_partkey", (F.col("p_size") % 8 + 1).alias("star_group"), html.alias("html"))
     return pages.star_catalog_rows(df, "p_partkey", "html", "star_group", 115)

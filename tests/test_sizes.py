@@ -28,3 +28,10 @@ def test_costly_rows_of_one_row_group_are_dealt_over_all_cores(spark, sf):
 
     cores = spark.sparkContext.defaultParallelism
     assert evaluation.part_rows(spark, sf).rdd.getNumPartitions() >= cores
+
+
+def test_catalogues_are_read_without_a_join(spark, sf):
+    from cutline.plans import shapes
+
+    plan = shapes.dated_catalogue(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
