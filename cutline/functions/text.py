@@ -29,7 +29,10 @@ def detect_subjects(value: Column | str, both_scripts: bool = True) -> Column:
     only, as the server-side rules do (Q8).
     """
     t = parens(text(value))
-    pair = t.rlike(MATH_PAIR)
+    return _subjects_in(t, t.rlike(MATH_PAIR), both_scripts)
+
+
+def _subjects_in(t: Column, pair: Column, both_scripts: bool) -> Column:
     math_a, math_b = contains_any(t, ["数学A", "數學A"]), contains_any(t, ["数学B", "數學B"])
     plain = contains_any(t, ["数学", "數學"] if both_scripts else ["数学"]) & ~pair & ~math_a & ~math_b
     parts = [
@@ -59,6 +62,14 @@ def choice_subjects(value: Column | str, both_scripts: bool = True) -> Column:
     return expand_choice(value, detect_subjects(value, both_scripts))
 
 
+def choice_subjects_once(value: Column, both_scripts: bool = True) -> Column:
+    """``choice_subjects`` for use inside a lambda, where Spark evaluates a repeated expression every time."""
+    plain = lambda v: F.struct(v.alias("v"), parens(v).alias("t"))
+    paired = lambda x: F.struct(x["v"].alias("v"), x["t"].alias("t"), x["t"].rlike(MATH_PAIR).alias("pair"))
+    found = lambda x: expand_choice(x["v"], _subjects_in(x["t"], x["pair"], both_scripts))
+    return let(let(let(text(value), plain), paired), found)
+
+
 # Fixed value: a subject list followed by an any-of word.
 _SUBJECT_ALT = "国文|國文|语文|英文|英语|数学A|數學A|数学B|數學B|数学|數學|社会|社會|自然|四科|四门|四項|四项|四科目"
 CHOICE_SEGMENT = "((?:" + _SUBJECT_ALT + ")[^。；;]{0,40}?)(" + "|".join(V.CHOICE_WORDS_LONG) + ")"

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..functions.expr import alternation, blank_to_null, count_words, let, no_space, parens, strip, text
 from ..functions.standards import detect_standard, extraction_has_requirements
-from ..functions.text import MATH_PAIR, choice_subjects, has_choice
+from ..functions.text import MATH_PAIR, choice_subjects_once, has_choice
 
 KEYS = V.SUBJECT_KEYS
 
 
 def _default_detect(value: Column) -> Column:
-    return choice_subjects(value, both_scripts=False)
+    return choice_subjects_once(value, both_scripts=False)
 
 
 @dataclass(frozen=True)
@@ -424,13 +424,18 @@ def _shaped(d: Column, context: Column) -> Column:
 
 def _named_subjects(d: Column, context: Column, std: Column) -> Column:
     """Subjects named in the row text, then those of the extra fields, later ones winning."""
-    steps = [F.struct(choice_subjects(context, False).alias("keys"), _any_if(std, context).alias("std"))]
-    for name in EXTRA_FIELDS:
-        extra = _extra(d, name)
-        keys = F.when(extra.isNotNull(), choice_subjects(extra, False)).otherwise(_none())
-        value = _any_if(F.coalesce(detect_standard(extra), std), text(extra))
-        steps.append(F.struct(keys.alias("keys"), value.alias("std")))
-    return let(F.array(*steps), _last_named)
+    extras = F.struct(*[_extra(d, name).alias(name) for name in EXTRA_FIELDS])  # read once each, not at every test
+
+    def steps(e: Column) -> Column:
+        found = [F.struct(choice_subjects_once(context, False).alias("keys"), _any_if(std, context).alias("std"))]
+        for name in EXTRA_FIELDS:
+            extra = e[name]
+            keys = F.when(extra.isNotNull(), choice_subjects_once(extra, False)).otherwise(_none())
+            value = _any_if(F.coalesce(detect_standard(extra), std), text(extra))
+            found.append(F.struct(keys.alias("keys"), value.alias("std")))
+        return F.array(*found)
+
+    return let(let(extras, steps), _last_named)
 
 
 def _any_if(std: Column, context: Column) -> Column:

@@ -148,7 +148,7 @@ def _written(subjects: Column) -> Column:
 @query("record_normalise", _SQL)
 def record_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of every shape, read as VARIANT, and what their requirements say."""
-    done = textrules.parse_record(raw_records(table(spark, sf_dir, "events")), "raw", "x")
+    done = textrules.parse_record(raw_records(dealt(table(spark, sf_dir, "events"), "event_id")), "raw", "x")
     depts = F.col("x.department_requirements")
     first = F.get(depts, F.lit(0))
     return done.select(

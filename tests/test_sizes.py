@@ -24,9 +24,10 @@ def test_codes_of_several_places_read_the_words_of_each(spark, sf, tmp_path):
 
 
 def test_costly_rows_of_one_row_group_are_dealt_over_all_cores(spark, sf):
-    from cutline.plans import evaluation
+    from cutline.plans import evaluation, shapes
 
     cores = spark.sparkContext.defaultParallelism
+    assert shapes.record_normalise(spark, sf).rdd.getNumPartitions() >= cores
     assert evaluation.part_rows(spark, sf).rdd.getNumPartitions() >= cores
 
 
