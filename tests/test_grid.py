@@ -94,3 +94,14 @@ def test_programme_pages_of_one_row_group_are_read_by_many_tasks(spark, sf):
 
     for query in (shapes.programme_details, shapes.page_grids):
         assert query(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_pages_of_one_template_are_laid_out_once(monkeypatch):
+    placed, place = [], grid._Cells._place
+    monkeypatch.setattr(grid._Cells, "_place", lambda self, *a: (placed.append(1), place(self, *a))[1])
+    template = "<table><caption>of one template</caption><tr><td rowspan=2>{0}<br> {1} <td>{2}\n{0}<tr><td>{1}</table>"
+    for i in range(500):
+        places, texts = grid._read(template.format(f"a{i}", "" if i % 3 else f"b{i}", i))
+        assert np.frombuffer(places, np.int32).reshape(-1, 6).tolist() == [[0, -1, 0, 0, 2, 1], [0, -1, 0, 1, 1, 1], [0, -1, 1, 1, 1, 1]]
+        assert texts == ([f"a{i}", f"{i}\na{i}", ""] if i % 3 else [f"a{i}\nb{i}", f"{i}\na{i}", f"b{i}"])
+    assert len(placed) == 3
