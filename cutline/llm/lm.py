@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
 from . import wordhash
 from .frames import written
 
@@ -247,6 +248,7 @@ def score(docs: DataFrame, fold: str, id_col: str = "doc_id", text_col: str = "t
     one end; null and empty texts are the end alone. Without training texts both scores are 0.
     Rows are scored each for itself; ids may be null or repeat.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.col(f"`{fold}`").cast("int").alias("fold"))
     cut = written(chunks(rows), "lm-chunks")
     per_text = cut.select(F.explode(F.arrays_zip("folds", "sizes")).alias("t")).select("t.folds", "t.sizes")
@@ -258,10 +260,10 @@ def score(docs: DataFrame, fold: str, id_col: str = "doc_id", text_col: str = "t
     answers = written(_answered(_asked(cut, bits)), "lm-counts")
     sizes = answers.filter("chunk is null and kind = 'word'").agg(F.sum("v_kept").alias("k"), F.sum("v_train").alias("t")).first()
     v_kept, v_train = sizes["k"] or 0, sizes["t"] or 0
-    answers = answers.filter("chunk is not null").select("chunk", "kind", "range", "kept", "train")
+    answers = answers.filter("chunk is not null")
 
     held = cut.filter("held")
-    of_held = answers.filter("chunk % 2 = 1")
+    of_held = answers.filter("chunk % 2 = 1").select("chunk", "kind", "range", "kept")
     seen = _histogram(held, of_held, n_kept, v_kept, texts[1]).collect()
     weights = learn_weights([(r["bucket"], r["bin"], r["n"]) for r in seen])
 
@@ -288,6 +290,6 @@ def score(docs: DataFrame, fold: str, id_col: str = "doc_id", text_col: str = "t
         _give_back()
         return pd.concat(out)
 
-    grouped = cut.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    grouped = cut.groupBy("chunk").cogroup(answers.select("chunk", "kind", "range", "train").groupBy("chunk"))
     scored = grouped.applyInPandas(add_up, "id bigint, fold int, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(n_train).cast("bigint"))

@@ -85,6 +85,20 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+TEXT_BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts end after ``TEXT_BATCH_BYTES``, unless the session has a limit of its own.
+
+    Batches are else cut by rows alone: 10,000 long texts are one buffer outside the heap of an executor, twice
+    that while it grows, and as much again in the worker.
+    """
+    if spark.conf.get(ARROW_BYTES, None) in (None, str(2**31 - 1)):
+        spark.conf.set(ARROW_BYTES, str(TEXT_BATCH_BYTES))
+
+
 def epoch_seconds(col: str):
     """Whole seconds since 1970 of a zone-less timestamp column, whatever the session time zone."""
     from pyspark.sql import functions as F
