@@ -4,7 +4,8 @@ Each language has a byte context tree of orders 0 to 3, learnt from a bounded sa
 labelled texts and then frozen. A symbol that a context has not seen costs an escape (method C:
 distinct successors over count plus distinct successors) and is coded by the next shorter
 context with the seen symbols excluded, down to a uniform code. The frozen code length of every
-(context, symbol) is tabulated once, so scoring a text is one table row per byte.
+(context, symbol) is tabulated once in each worker, so scoring a text is one table row per byte;
+the driver holds and ships only the counts.
 
 Bytes are folded to ``SYMBOLS`` classes (the most frequent bytes of the sample, and one class
 for the others), which bounds the tables: SYMBOLS**4 rows with one length per language.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import small_batches
 from . import wordhash
 from .frames import without
 
@@ -32,11 +35,22 @@ PER_LANGUAGE = 300
 
 @dataclass
 class PpmModel:
-    """Symbol class of each byte, languages in order, bits per (context, symbol) row and language."""
+    """Symbol class of each byte, languages in order, and per language the (context, symbol) rows of its sample with their counts."""
 
     classes: np.ndarray
     languages: list[str]
-    bits: np.ndarray
+    seen: list[tuple[np.ndarray, np.ndarray]]
+
+    @cached_property
+    def bits(self) -> np.ndarray:
+        """Bits per (context, symbol) row and language, worked out where they are first read."""
+        bits = np.empty((SYMBOLS ** (ORDER + 1) if self.seen else 0, len(self.seen)), np.float32)
+        for i, (rows, counts) in enumerate(self.seen):
+            bits[:, i] = _lengths(rows, counts)
+        return bits
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "bits"}
 
 
 def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -74,21 +88,28 @@ def _rows(symbols: np.ndarray) -> np.ndarray:
     return row
 
 
-def _lengths(rows: np.ndarray) -> np.ndarray:
+def _lengths(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Bits of every (context, symbol) for one language's counts, escapes with exclusion."""
-    count = np.bincount(rows, minlength=SYMBOLS ** (ORDER + 1)).astype(np.float32)
+    count = np.zeros(SYMBOLS ** (ORDER + 1), np.float32)
+    count[rows] = counts
     p = np.full((1, SYMBOLS), 1 / SYMBOLS, dtype=np.float32)
     for order in range(ORDER + 1):
-        c = count.reshape(-1, SYMBOLS ** (order + 1)).sum(0, dtype=np.float32).reshape(-1, SYMBOLS)
-        lower = np.tile(p, (len(c) // len(p), 1))
-        seen = c > 0
-        total, distinct = c.sum(1, keepdims=True), seen.sum(1, keepdims=True, dtype=np.float32)
-        rest = 1 - np.where(seen, lower, 0).sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escaped = distinct / (total + distinct) * lower / rest
-            p = np.where(seen, c / (total + distinct), escaped)
-            p = np.where(total == 0, lower, np.where(distinct == SYMBOLS, c / total, p))
-    return -np.log2(np.maximum(p, 1e-30)).astype(np.float32).ravel()
+        c = count.reshape(-1, SYMBOLS ** (order + 1)).sum(0, dtype=np.float32)
+        # Contexts that differ in their first symbol alone share their shorter contexts.
+        p = np.concatenate([_mixed(block, p) for block in c.reshape(-1, *p.shape)])
+    np.maximum(p, np.float32(1e-30), out=p)
+    return np.negative(np.log2(p, out=p), out=p).ravel()
+
+
+def _mixed(c: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probabilities in contexts with these counts, given those of the next shorter contexts."""
+    seen = c > 0
+    total, distinct = c.sum(1, keepdims=True), seen.sum(1, keepdims=True, dtype=np.float32)
+    rest = 1 - np.where(seen, lower, 0).sum(1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        escaped = distinct / (total + distinct) * lower / rest
+        p = np.where(seen, c / (total + distinct), escaped)
+        return np.where(total == 0, lower, np.where(distinct == SYMBOLS, c / total, p))
 
 
 def train(sample: list[tuple[str, str]]) -> PpmModel:
@@ -100,15 +121,15 @@ def train(sample: list[tuple[str, str]]) -> PpmModel:
     classes = np.zeros(256, dtype=np.int32)
     common = [b for b in np.argsort(-frequency, kind="stable") if frequency[b]][: SYMBOLS - 1]
     classes[common] = np.arange(1, len(common) + 1)
-    bits = []
+    found = []
     for lang in languages:
         data = classes[np.frombuffer(b"".join(blobs[lang]), np.uint8)]
         offsets = np.concatenate([[0], np.cumsum([len(b) for b in blobs[lang]])]).astype(np.int64)
         symbols, starts = _padded(data, offsets, classes[0x20])
         inside = np.ones(len(symbols), dtype=bool)
         inside[(starts[:, None] - np.arange(1, ORDER + 1)).ravel()] = False
-        bits.append(_lengths(_rows(symbols)[inside[ORDER:]]))
-    return PpmModel(classes, languages, np.stack(bits, axis=1) if bits else np.zeros((0, 0), np.float32))
+        found.append(np.unique(_rows(symbols)[inside[ORDER:]], return_counts=True))
+    return PpmModel(classes, languages, found)
 
 
 def code_lengths(model: PpmModel, texts: pa.Array) -> np.ndarray:
@@ -130,6 +151,7 @@ def identify(df: DataFrame, text_col: str, model: PpmModel, pred_col: str = "lan
     low = F.when(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lower(f"`{text_col}`"))
     if not model.languages:
         return base.withColumns({pred_col: F.lit("und"), score_col: F.lit(0.0)})
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*base.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import small_batches
 from . import wordhash
 from .frames import without
 
@@ -161,6 +162,7 @@ def _vectors(df: DataFrame, text_col: str, stems: list[str]) -> DataFrame:
     """Add the feature vector ``_x``; the text passes through the workers with its row."""
     schema = T.StructType([*df.schema.fields, T.StructField("_f", T.ArrayType(T.DoubleType()))])
     at = df.columns.index(text_col)
+    small_batches(df.sparkSession)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
