@@ -5,10 +5,11 @@ labelled texts and then frozen. A symbol that a context has not seen costs an es
 distinct successors over count plus distinct successors) and is coded by the next shorter
 context with the seen symbols excluded, down to a uniform code. The frozen code length of every
 (context, symbol) is tabulated once in each worker, so scoring a text is one table row per byte;
-the driver holds and ships only the counts.
+the driver holds and ships only the counts. A longest context that no language has seen reads the
+rows of its next shorter one, as it has no lengths of its own.
 
 Bytes are folded to ``SYMBOLS`` classes (the most frequent bytes of the sample, and one class
-for the others), which bounds the tables: SYMBOLS**4 rows with one length per language.
+for the others), which bounds the tables: SYMBOLS**4 + SYMBOLS**3 rows with one length per language.
 """
 
 from __future__ import annotations
@@ -42,15 +43,25 @@ class PpmModel:
     seen: list[tuple[np.ndarray, np.ndarray]]
 
     @cached_property
-    def bits(self) -> np.ndarray:
-        """Bits per (context, symbol) row and language, worked out where they are first read."""
-        bits = np.empty((SYMBOLS ** (ORDER + 1) if self.seen else 0, len(self.seen)), np.float32)
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """First row of each context and the rows' bits per language, worked out where they are first read."""
+        used = np.unique(np.concatenate([np.zeros(0, np.int32), *(rows // SYMBOLS for rows, _ in self.seen)]))
+        shorter = SYMBOLS ** (ORDER - 1)
+        first = np.tile(np.arange(shorter, dtype=np.int32), SYMBOLS)
+        first[used] = shorter + np.arange(len(used), dtype=np.int32)
+        bits = np.empty(((shorter + len(used)) * SYMBOLS, len(self.seen)), np.float32)
         for i, (rows, counts) in enumerate(self.seen):
-            bits[:, i] = _lengths(rows, counts)
-        return bits
+            bits[:, i] = _lengths(rows, counts, used)
+        return first * SYMBOLS, bits
+
+    @property
+    def bits(self) -> np.ndarray:
+        """Bits of every (context, symbol) row per language, spelled out; scoring reads ``table``."""
+        first, bits = self.table
+        return bits[(first[:, None] + np.arange(SYMBOLS, dtype=np.int32)).ravel()]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "bits"}
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
 
 
 def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -88,15 +99,17 @@ def _rows(symbols: np.ndarray) -> np.ndarray:
     return row
 
 
-def _lengths(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Bits of every (context, symbol) for one language's counts, escapes with exclusion."""
-    count = np.zeros(SYMBOLS ** (ORDER + 1), np.float32)
-    count[rows] = counts
+def _lengths(rows: np.ndarray, counts: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Bits of one language's counts, escapes with exclusion: rows of all contexts one shorter than the longest, then of the longest ones in ``used``."""
     p = np.full((1, SYMBOLS), 1 / SYMBOLS, dtype=np.float32)
-    for order in range(ORDER + 1):
-        c = count.reshape(-1, SYMBOLS ** (order + 1)).sum(0, dtype=np.float32)
+    for order in range(ORDER):
+        size = SYMBOLS ** (order + 1)
+        c = np.bincount(rows % size, counts, size).astype(np.float32).reshape(-1, SYMBOLS)
         # Contexts that differ in their first symbol alone share their shorter contexts.
-        p = np.concatenate([_mixed(block, p) for block in c.reshape(-1, *p.shape)])
+        p = _mixed(c, np.tile(p, (len(c) // len(p), 1)))
+    c = np.zeros((len(used), SYMBOLS), np.float32)
+    c[np.searchsorted(used, rows // SYMBOLS), rows % SYMBOLS] = counts
+    p = np.concatenate([p, _mixed(c, p[used % len(p)])])
     np.maximum(p, np.float32(1e-30), out=p)
     return np.negative(np.log2(p, out=p), out=p).ravel()
 
@@ -137,7 +150,8 @@ def code_lengths(model: PpmModel, texts: pa.Array) -> np.ndarray:
     data, offsets = wordhash.text_bytes(texts)
     symbols, starts = _padded(model.classes[data], offsets, model.classes[0x20])
     total = np.zeros((len(symbols) - ORDER + 1, len(model.languages)))
-    np.cumsum(model.bits[_rows(symbols)], axis=0, dtype=np.float64, out=total[1:])
+    first, bits = model.table
+    np.cumsum(bits[first[_rows(symbols) // SYMBOLS] + symbols[ORDER:]], axis=0, dtype=np.float64, out=total[1:])
     return total[starts - ORDER + np.diff(offsets)] - total[starts - ORDER]
 
 
@@ -159,7 +173,7 @@ def identify(df: DataFrame, text_col: str, model: PpmModel, pred_col: str = "lan
         ppm = shared.value
         names = np.array(ppm.languages, dtype=object)
         for batch in batches:
-            for part in wordhash.slices(batch, "_low", 1 << 20):
+            for part in wordhash.slices(batch, "_low"):
                 texts = part.column(part.num_columns - 1)
                 bits = code_lengths(ppm, texts)
                 best = bits.argmin(1)
