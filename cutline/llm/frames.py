@@ -39,6 +39,14 @@ def once(column: Column) -> Column:
     return F.explode(F.array(column))
 
 
+def filter_words(n: int, most: int) -> int:
+    """Words of a filter for ``n`` values: sixteen bits a value, a power of two from 1,024 to ``most``.
+
+    The driver ships a filter with every stage that tests it, several copies at once.
+    """
+    return min(most, 1 << max(10, (n // 4).bit_length()))
+
+
 def _word_and_bits(value: Column, words: int) -> tuple[Column, Column]:
     """The word that a 64-bit hash falls in, and its three bits there."""
     bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(value, k).bitwiseAND(63).cast("int")) for k in (20, 26, 32)]

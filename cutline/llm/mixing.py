@@ -100,7 +100,8 @@ def mix(
     """Per document: its size, its source's size and target, and ``taken``, the words the mix takes.
 
     The other columns but the text come along; sizes are counted in one pass over the texts and
-    written to the shared folder, so the texts are read once and never shuffled.
+    written to the shared folder, so the texts are read once and never shuffled. The rows per source
+    and per shard are written too: each plan is small, however often the next one reads its rows.
 
     A null id hashes as the text 'null'; rows with equal ids stand next to each other in the
     order, smaller first. A null source is a source of its own. Empty texts have size 0 and give
@@ -116,13 +117,13 @@ def mix(
     sources = sources.withColumn("shards", F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_size") / shard_words) + 1).cast("bigint"))
     blocks = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block).cast("bigint")
     sources = apportion(sources.withColumn("_blocks", blocks), [], "source", "target", "quota", "_blocks").drop("_blocks")
-    sources = sources.withColumnRenamed("source", "_src")
+    sources = written(sources.withColumnRenamed("source", "_src"), "mix-sources")
 
     shard = F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint") % F.col("shards")
     dealt = rows.join(sources, F.col("_s").eqNullSafe(F.col("_src"))).withColumn("_shard", shard)
     per_shard = dealt.groupBy("_src", "_shard", "quota").agg(F.sum("_size").alias("_words"))
     quotas = apportion(per_shard, ["_src"], "_shard", "_words", "_seats", "quota")
-    quotas = quotas.select(F.col("_src").alias("_src2"), F.col("_shard").alias("_shard2"), "_words", "_seats")
+    quotas = written(quotas.select(F.col("_src").alias("_src2"), F.col("_shard").alias("_shard2"), "_words", "_seats"), "mix-quotas")
     placed = dealt.join(quotas, F.col("_src").eqNullSafe(F.col("_src2")) & (F.col("_shard") == F.col("_shard2")))
 
     run = Window.partitionBy("_src", "_shard").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, 0)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import small_batches
 from . import wordhash
-from .frames import bit_filter, bit_test, written
+from .frames import bit_filter, bit_test, filter_words, written
 from .graph import components
 
 REGISTERS = 512
@@ -46,6 +46,7 @@ BLOCK = 256
 PAIRS = 50_000
 """Pairs that a task compares at once."""
 FILTER_WORDS = 1 << 18
+"""Words of the filter of ids at most; fewer ids take fewer."""
 CLASSES = (5, 10, 20, 40, 80, 160)
 """Buckets per hash seed by size class; a class starts at four shingles per bucket."""
 
@@ -157,10 +158,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, similari
     return rows.mapInArrow(sketch, "id bigint, n bigint, set_hash bigint, set_hash2 bigint, regs binary, bands binary")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, shingles) of the texts whose ``id`` is in ``wanted``.
+def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, at_most: int) -> DataFrame:
+    """(id, shingles) of the texts whose ``id`` is in ``wanted``, which holds ``at_most`` ids.
 
-    A bit filter of fixed size drops most other texts at the scan; the join is exact.
+    A bit filter of bounded size drops most other texts at the scan; the join is exact.
     """
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +173,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wi
                 lists = pa.ListArray.from_arrays(ends, pa.array(values))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "shingles"])
 
-    bits = bit_filter(wanted.select(F.xxhash64("id").alias("h")), "h", FILTER_WORDS)
+    words = filter_words(at_most, FILTER_WORDS)
+    bits = bit_filter(wanted.select(F.xxhash64("id").alias("h")), "h", words)
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.filter(F.col("id").isNotNull() & bit_test(bits, F.xxhash64("id"), FILTER_WORDS))
+    rows = rows.filter(F.col("id").isNotNull() & bit_test(bits, F.xxhash64("id"), words))
     sets = rows.mapInArrow(shingle, "id bigint, shingles array<bigint>")
     return sets.join(wanted, "id", "left_semi")
 
@@ -302,12 +304,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     stars = buckets.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     near = written(_estimated(stars, regs, similarity), "pairs")
     ends = _ends(near)
-    first = written(_confirmed(near, full_sets(docs, ends, id_col, text_col, width), similarity), "links")
+    first = written(_confirmed(near, full_sets(docs, ends, id_col, text_col, width, 2 * near.count()), similarity), "links")
     labels = components(first)
 
     rest = written(_cross_pairs(buckets.select("h", "band", "id"), labels, regs, similarity), "pairs")
     ends = _ends(rest)
-    second = written(_confirmed(rest, full_sets(docs, ends, id_col, text_col, width), similarity), "links")
+    second = written(_confirmed(rest, full_sets(docs, ends, id_col, text_col, width, 2 * rest.count()), similarity), "links")
 
     same = members.filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     whole = components(first.union(second).union(same.filter("a != b")))

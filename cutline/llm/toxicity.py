@@ -27,6 +27,8 @@ from .frames import without
 
 SAMPLE_ROWS = 8000
 """Labelled rows that may train the model, half of them of each label if there are enough."""
+SAMPLE_PARTS = 8
+"""Tasks that read the sample: trees and calibration read it some forty times over, whatever the session's shuffle partitions."""
 LEARNT_STEMS = 64
 STEM_SIZES = (4, 5, 6)
 LEARNT_SHARE = 0.02
@@ -199,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str = "d
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     # The picked rows are ids and labels, at most sample_rows of them, so they may be broadcast.
     sample = texts.join(F.broadcast(picked), "id").withColumns({"w": weight, "part": F.pmod(F.xxhash64("id", F.lit("part")), F.lit(10))})
-    sample = sample.repartition(8, "id").persist()
+    sample = sample.repartition(SAMPLE_PARTS, "id").coalesce(SAMPLE_PARTS).persist()
     words = learn_stems(sample.filter("part >= 3"))
     rows = _vectors(sample, "text", words).select("_x", "y", "w", "part").persist()
     try:
