@@ -70,3 +70,25 @@ def bit_test(bits: Column, value: Column, words: int = BIT_WORDS) -> Column:
     """False only for values that are not in the filter's set; an exact join must follow."""
     word, mask = _word_and_bits(value, words)
     return F.get(bits, word).bitwiseAND(mask) == mask
+
+
+CHUNK = 1 << 12
+
+
+def bit_table(hashes: DataFrame, column: str, words: int) -> DataFrame:
+    """The bits of ``bit_filter`` as rows (chunk, bits) of ``CHUNK`` words, for sets whose filter is too large for a plan."""
+    word, bits = _word_and_bits(F.col(column), words)
+    folded = hashes.filter(F.col(column).isNotNull()).select(word.alias("w"), bits.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    every = hashes.sparkSession.range(0, words).select(F.col("id").cast("int").alias("w")).join(folded, "w", "left")
+    chunks = every.groupBy(F.floor(F.col("w") / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))).alias("l"))
+    return written(chunks.select("chunk", F.transform("l", lambda x: x["b"]).alias("bits")), "bits")
+
+
+def maybe_in(rows: DataFrame, table: DataFrame, column: str, words: int) -> DataFrame:
+    """``rows`` with the filter's columns, without those whose value is not in its set; an exact join must follow.
+
+    The table is sent to every executor, 8 bytes a word.
+    """
+    word, mask = _word_and_bits(F.col(column), words)
+    tested = rows.join(F.broadcast(table), F.shiftright(word, CHUNK.bit_length() - 1).cast("bigint") == F.col("chunk"))
+    return tested.filter(F.get("bits", word.bitwiseAND(CHUNK - 1)).bitwiseAND(mask) == mask)
