@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import dealt
-from .frames import bit_table, filter_words, maybe_in, once, written
+from .frames import bit_filter, bit_table, bit_test, filter_words, maybe_in, once, written
 
 MASKS = ("1110010101", "1101100011", "1011001101", "1000111011", "0011110110", "1101011100", "0111011001", "0110101110", "0101111010")
 """Weight 6 of span 10: for any two of the ten positions, one mask ignores both."""
@@ -48,6 +48,8 @@ _BEFORE = WINDOW - SPAN
 SLICE = 128
 FILTER_WORDS = 1 << 23
 """At most: 64 MB, sixteen bits each for 33 million seeds."""
+LEAKY_WORDS = 1 << 18
+"""2 MB at most, as the plan holds them; a million leaky ids have sixteen bits each."""
 
 
 def token_hashes(text: Column) -> Column:
@@ -155,6 +157,12 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents without those that leak an item; rows that share an id share the decision."""
-    found = _matches(docs, _tokens(items, item_id_col, item_text_col), id_col, text_col).select(F.col("doc_id").alias("_leaky")).distinct()
-    return docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("_leaky")), "left_anti")
+    """The documents without those that leak an item; rows that share an id share the decision.
+
+    Only documents whose id is in a bit filter of the leaky ones are shuffled for the exact join.
+    """
+    found = _matches(docs, _tokens(items, item_id_col, item_text_col), id_col, text_col).select(F.col("doc_id").alias("_leaky"))
+    found = written(found.distinct(), "leaky")
+    own, words = F.col(f"`{id_col}`"), filter_words(found.count(), LEAKY_WORDS)
+    maybe = bit_test(bit_filter(found.select(F.xxhash64("_leaky").alias("h")), "h", words), F.xxhash64(own), words)
+    return docs.filter(~maybe).unionAll(docs.filter(maybe).join(found, own.eqNullSafe(F.col("_leaky")), "left_anti"))

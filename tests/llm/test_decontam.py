@@ -45,6 +45,15 @@ def test_items_of_equal_tokens_each_have_their_rows(spark):
     assert [r["doc_id"] for r in decontam.decontaminate(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()] == [3]
 
 
+def test_only_likely_leaky_documents_are_shuffled(spark):
+    """Of 2,000 documents two leak: their texts, and few others that the filter takes for them, meet the exact join."""
+    rows = [(k if k % 7 else None, f"text {k} of words that no item holds and that end here") for k in range(2000)]
+    docs = spark.createDataFrame([*rows, (1, " ".join(ITEM)), (5000, " ".join(ITEM))], DOCS)
+    kept = decontam.decontaminate(docs, spark.createDataFrame([(1, " ".join(ITEM))], ITEMS))
+    assert sorted(r["text"] for r in kept.collect()) == sorted(t for k, t in rows if k != 1)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
+
+
 def test_filter_in_chunks(spark):
     rng = random.Random(1)
     values = [rng.getrandbits(64) - (1 << 63) for _ in range(6000)]
